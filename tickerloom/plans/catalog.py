@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.plans import price_queries
+from tickerloom.plans import fundamental_queries, price_queries
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered: dict[str, Callable] = {}
-    for module in (price_queries,):
+    for module in (price_queries, fundamental_queries):
         registered.update(module.QUERIES)
     return registered

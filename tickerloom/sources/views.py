@@ -289,3 +289,134 @@ def sentiment_labels(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(F.lit("mixed"))
         .alias("sentiment"),
     )
+
+
+# ---- fundamentals ----------------------------------------------------------------------------
+
+# Base, quote, date, rate: one pair exists only in inverse form, one only with unusable rates.
+FX_RATES = [
+    ("USD", "INR", "2001-10-01", 47.5),
+    ("USD", "INR", "2001-11-01", 48.25),
+    ("USD", "AUD", "2001-11-01", 0.0),
+    ("AUD", "USD", "2001-11-01", 0.51),
+    ("USD", "SGD", "2001-11-01", 0.0),
+]
+
+
+def fx_rates(spark: SparkSession) -> DataFrame:
+    from tickerloom.functions.literals import literal_table
+
+    return literal_table(spark, FX_RATES, "base string, quote string, as_of date, rate double")
+
+
+def trading_currency(key: Column) -> Column:
+    return (
+        F.when(key % 5 == 1, F.lit("INR"))
+        .when(key % 5 == 2, F.lit("SGD"))
+        .when(key % 5 == 3, F.lit("AUD"))
+        .otherwise(F.lit("USD"))
+    )
+
+
+def primary_quotes(spark: SparkSession, sf: str) -> DataFrame:
+    """Primary provider records; missing for a third of the companies, unnamed for a few."""
+    k = F.col("company_key")
+    hundred = F.lit(100.0)
+    return (
+        companies(spark, sf)
+        .filter(k % 3 != 1)
+        .select(
+            "symbol",
+            F.when(k % 9 == 2, F.lit("")).otherwise(F.col("company_name")).alias("long_name"),
+            F.when(k % 18 == 2, F.lit("")).otherwise(F.col("company_name")).alias("short_name"),
+            "sector",
+            F.concat("sector", F.lit(" - General")).alias("industry"),
+            trading_currency(k).alias("currency"),
+            (F.col("acctbal_cents") + 200000).cast("double").alias("market_cap"),
+            ((k + 1) * 12345).cast("double").alias("total_revenue"),
+            (k % 40 + 0.125).alias("trailing_pe"),
+            F.when(k % 11 != 0, (k % 50 - 5).cast("double")).alias("forward_pe"),
+            ((k % 9) / 4).alias("price_to_book"),
+            ((k % 30 - 8) / hundred).alias("profit_margins"),
+            ((k % 28 - 4) / hundred).alias("return_on_equity"),
+            ((k % 20 - 3) / (2 * hundred)).alias("return_on_assets"),
+            ((k % 36 - 15) / hundred).alias("revenue_growth"),
+            F.when(k % 10 != 7, (k % 44 - 20) / hundred).alias("earnings_growth"),
+            ((k % 26) * 10).cast("double").alias("debt_to_equity"),
+            ((k % 7 - 2) * 1000000).cast("double").alias("free_cash_flow"),
+        )
+    )
+
+
+def metric_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics provider records: figures as text in a map, some not numeric, some maps empty."""
+    k = F.col("company_key")
+
+    def text(value: Column) -> Column:
+        return value.cast("decimal(12,2)").cast("string")
+
+    metrics = F.create_map(
+        F.lit("revenuePerShareTTM"), text((k % 60) / 4),
+        F.lit("freeCashFlowPerShareTTM"), text((k % 15 - 4) / 8),
+        F.lit("peBasicExclExtraTTM"), F.when(k % 4 == 0, F.lit("n/a")).otherwise(text((k % 33) / 2)),
+        F.lit("peTTM"), text((k % 21) / 5),
+        F.lit("pbAnnual"), text((k % 12) / 5),
+        F.lit("netProfitMarginTTM"), text((k % 40 - 12) / 2),
+        F.lit("roeRfy"), text((k % 34 - 9) / 2),
+        F.lit("roaTTM"), text((k % 10 - 2) / 4),
+        F.lit("revenueGrowthTTMYoy"), text((k % 50 - 22) / 2),
+        F.lit("epsGrowthQuarterlyYoy"), text((k % 62 - 30) / 2),
+        F.lit("totalDebt/totalEquityQuarterly"), text((k % 30) / 10),
+    )
+    return (
+        companies(spark, sf)
+        .filter(k % 2 == 0)
+        .select(
+            "symbol",
+            F.when(k % 14 == 0, F.lit("")).otherwise(F.col("company_name")).alias("name"),
+            (k % 90 + 10).cast("double").alias("shares_millions"),
+            F.col("sector").alias("industry"),
+            trading_currency(k).alias("currency"),
+            ((F.col("acctbal_cents") + 200000) / 1000).alias("market_cap_millions"),
+            F.when(k % 8 == 0, F.expr("cast(map() as map<string, string>)"))
+            .otherwise(metrics)
+            .alias("metrics"),
+        )
+    )
+
+
+def listing_quotes(spark: SparkSession, sf: str) -> DataFrame:
+    """Listing search records of the direct provider; missing for a fifth of the companies."""
+    k = F.col("company_key")
+    return (
+        companies(spark, sf)
+        .filter(k % 5 != 4)
+        .select(
+            "symbol",
+            F.when(k % 10 == 3, F.lit("")).otherwise(F.col("company_name")).alias("long_name"),
+            F.col("company_name").alias("short_name"),
+            F.when(k % 4 == 2, F.lit("")).otherwise(F.col("sector")).alias("sector"),
+            F.col("sector").alias("sector_display"),
+            F.lit(None).cast("string").alias("industry"),
+            F.concat("sector", F.lit(" - Other")).alias("industry_display"),
+            F.when(k % 6 == 0, F.lit("")).otherwise(trading_currency(k)).alias("quote_currency"),
+            F.when(k % 4 != 1, (F.col("acctbal_cents") + 300000).cast("double")).alias("market_cap"),
+            F.when(k % 3 != 0, k % 40 + 0.375).alias("trailing_pe"),
+            (k % 50 - 5).cast("double").alias("forward_pe"),
+            F.when(k % 2 == 0, (k % 9) / 8).alias("price_to_book"),
+        )
+    )
+
+
+def chart_meta(bars: DataFrame) -> DataFrame:
+    """Chart metadata per symbol: market price for every other company, USD unless unknown."""
+    k = F.substring("symbol", 2, 10).cast("bigint")
+    return (
+        bars.groupBy("symbol")
+        .agg(F.max_by("close", "date").alias("close"))
+        .select(
+            "symbol",
+            F.when(k % 2 == 1, F.col("close")).alias("market_price"),
+            F.when(k % 3 != 0, F.lit("USD")).alias("chart_currency"),
+        )
+    )
