@@ -113,16 +113,29 @@ def news_articles(payloads: DataFrame, column: str) -> DataFrame:
     )
 
 
-def series_observations(payloads: DataFrame, column: str) -> DataFrame:
-    """Valid observations of each series: placeholders and non-numeric values drop out."""
+def series_observations(payloads: DataFrame, column: str, limit: int) -> DataFrame:
+    """Valid observations among the ``limit`` newest of each series, newest first.
+
+    The limit is the provider's page size and counts placeholders too; those, and values that are not
+    numbers, drop out afterwards. All inside the row: no shuffle.
+    """
+    newest = F.slice(F.sort_array("parsed.observations", asc=False), 1, limit)
     return (
         payloads.select("series_id", F.from_json(column, OBSERVATIONS_SCHEMA).alias("parsed"))
-        .select("series_id", F.inline("parsed.observations"))
-        .withColumn("value", to_number(F.col("value")))
+        .select("series_id", F.inline(newest))
+        .select("series_id", F.col("date").try_cast("date").alias("date"), to_number(F.col("value")).alias("value"))
         .filter(F.col("value").isNotNull())
     )
 
 
+def filtered_records(lines: DataFrame, column: str, schema: str, filters: dict[str, str]) -> DataFrame:
+    """Landed JSON records whose fields equal the given filter values."""
+    records = lines.select(F.from_json(column, schema).alias("record")).select("record.*")
+    for field, value in filters.items():
+        records = records.filter(F.col(field) == value)
+    return records
+
+
 def statement_observations(payloads: DataFrame, column: str) -> DataFrame:
     """Long statement rows with the positions that decide the first reported currency."""
     return (

@@ -420,3 +420,289 @@ def chart_meta(bars: DataFrame) -> DataFrame:
             F.when(k % 3 != 0, F.lit("USD")).alias("chart_currency"),
         )
     )
+
+
+# ---- landed pages, records and files ----------------------------------------------------------
+
+
+def _tenths(value: Column) -> Column:
+    return (value / 10).cast("decimal(10,1)").cast("string")
+
+
+def rate_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Web pages that also state a policy rate and a last-updated date (some lack or garble them)."""
+    p = F.col("page_id")
+    rate = F.when(p % 4 == 0, (p % 13).cast("string")).otherwise(
+        F.concat((p % 13).cast("string"), F.lit("."), F.lpad(((p * 7) % 100).cast("string"), 2, "0"))
+    )
+    date = F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), (p % 300).cast("int")), "MMM d, yyyy")
+    return table(spark, sf, "pages").select(
+        "page_id",
+        F.concat(
+            "html",
+            F.when(
+                p % 6 != 0, F.concat(F.lit("<div>Policy <b>Repo</b>\n RATE&nbsp;: "), rate, F.lit(" %</div>"))
+            ).otherwise(F.lit("<div>Policy Rate</div>")),
+            F.when(p % 7 == 0, F.lit(""))
+            .when(p % 5 == 0, F.lit("<p>Website last updated date : Foo 45, 2026</p>"))
+            .otherwise(F.concat(F.lit("<p>Website last updated <i>date</i> : "), date, F.lit("</p>"))),
+        ).alias("html"),
+    )
+
+
+def table_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Web pages that also carry the captioned tables; some lack them or break off."""
+    from tickerloom.operators.pages import TABLE_CAPTIONS
+
+    p = F.col("page_id")
+
+    def row(m: Column) -> Column:
+        first = (
+            F.when((p + m) % 5 == 0, F.lit(""))
+            .when((p + m) % 9 == 4, F.lit("na"))
+            .otherwise(_tenths((p * 7 + m * 3) % 40 - 10))
+        )
+        second = F.when((p + 2 * m) % 7 == 0, F.lit(" &nbsp;")).otherwise(
+            _tenths((p * 5 + m * 11) % 60 - 15)
+        )
+        month = F.date_format(F.add_months(F.lit("2025-01-01").cast("date"), m), "MMM-yy")
+        return F.concat(
+            F.lit('<TR>\n<th scope="row" class="row-header">'), month,
+            F.lit('</th><td class="x"><b>'), first, F.lit("</b>&nbsp;</td><td>"), second,
+            F.lit("</td></TR>"),
+        )
+
+    rows = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(11)), row), "")
+    tables = [
+        F.concat(
+            F.lit(f"<table><caption>{caption}</caption><tr><th>Month</th></tr>"),
+            F.col("rows"),
+            F.when((p % 8 == 1) & F.lit(indicator == "gdp_growth"), F.lit("")).otherwise(F.lit("</table>")),
+        )
+        for indicator, caption in TABLE_CAPTIONS.items()
+    ]
+    return (
+        table(spark, sf, "pages")
+        .withColumn("rows", rows)
+        .select(
+            "page_id",
+            F.concat("html", F.when(p % 8 != 0, F.concat(*tables)).otherwise(F.lit(""))).alias("html"),
+        )
+    )
+
+
+def sora_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Web pages that also carry a rate table whose year and month cells are filled sparsely."""
+    p = F.col("page_id")
+
+    def day(i: Column) -> Column:
+        return F.date_add(F.lit("2025-11-20").cast("date"), (i * 4 + p % 5).cast("int"))
+
+    def row(i: Column) -> Column:
+        first = i == 0
+        year = F.when((p + i) % 11 == 7, F.lit("xx")).when(
+            first | (F.year(day(i)) != F.year(day(i - 1))), F.year(day(i)).cast("string")
+        ).otherwise(F.lit(""))
+        month = F.when(
+            first | (F.month(day(i)) != F.month(day(i - 1))), F.date_format(day(i), "MMM")
+        ).otherwise(F.lit("&nbsp;"))
+        published = F.when((p + i) % 13 == 5, F.lit("soon")).otherwise(
+            F.date_format(F.date_add(day(i), 1), "dd MMM yyyy")
+        )
+        rate = F.when((p + i) % 6 == 2, F.lit("")).otherwise(
+            (((p * 3 + i * 7) % 400) / 100).cast("decimal(10,2)").cast("string")
+        )
+        cells = [year, month, F.dayofmonth(day(i)).cast("string"), published]
+        head = F.concat(*[F.concat(F.lit("<td> "), c, F.lit("</td>")) for c in cells])
+        last = F.when(i % 10 == 9, F.lit("")).otherwise(F.concat(F.lit("<td>"), rate, F.lit("</td>")))
+        return F.concat(F.lit("<tr>"), head, last, F.lit("</tr>"))
+
+    rows = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(23)), row), "\n")
+    return table(spark, sf, "pages").select(
+        "page_id",
+        F.concat(
+            "html",
+            F.when(p % 9 != 0, F.lit('<table id="ContentPlaceHolder1_soraHeader">')).otherwise(F.lit("<table>")),
+            rows,
+            F.lit("</table>"),
+        ).alias("html"),
+    )
+
+
+def rate_files(spark: SparkSession, sf: str) -> DataFrame:
+    """CSV files with a preamble, one per customer: a line per order date (bounded by the calendar)."""
+    c = F.col("o_custkey")
+    daily = (
+        table(spark, sf, "orders")
+        .groupBy("o_custkey", F.col("o_orderdate").cast("date").alias("date"))
+        .agg(F.max(cents(F.col("o_totalprice"))).alias("price"))
+    )
+    text = (
+        F.when(F.dayofmonth("date") == 3, F.lit(""))
+        .when(F.dayofmonth("date") == 4, F.lit("n/a"))
+        .otherwise((F.expr("price div 10000") / 100).cast("decimal(10,2)").cast("string"))
+    )
+    line = F.concat(F.date_format("date", "dd-MMM-yyyy"), F.lit(","), text, F.lit(",x"))
+    files = daily.groupBy("o_custkey").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("date", line.alias("line")))), lambda s: s["line"]), "\r\n").alias("body")
+    )
+    return files.select(
+        F.concat(F.lit("F"), c.cast("string")).alias("file"),
+        F.concat(
+            F.lit("﻿F1 INTEREST RATES\r\n,\r\nTitle,\"Cash Rate, Target\"\r\n"),
+            F.when(c % 5 == 0, F.lit("Publication date,soon\r\n")).otherwise(
+                F.lit("Publication date,05-Nov-2001\r\n")
+            ),
+            F.when(c % 11 == 0, F.lit(""))
+            .when(c % 7 == 0, F.lit("Series ID,FIRMOTHER\r\n"))
+            .otherwise(F.lit("Series ID,FIRMMCRTD\r\n")),
+            "body",
+        ).alias("content"),
+    )
+
+
+def agency_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics-office records as JSON lines: one per order, publisher = customer, all values text."""
+    k, date = F.col("o_orderkey"), F.col("o_orderdate")
+    price = cents(F.col("o_totalprice"))
+    value = F.concat(
+        F.floor(price / 3000000).cast("string"), F.lit("."), F.lpad((price % 100).cast("string"), 2, "0")
+    )
+    fiscal = F.format_string("%d-%02d", F.year(date), (F.year(date) + 1) % 100)
+    record = F.struct(
+        F.concat(F.lit("P"), F.col("o_custkey").cast("string")).alias("publisher"),
+        k.alias("seq"),
+        F.when(k % 3 == 0, F.lit("CPI")).when(k % 3 == 1, F.lit("PLFS")).otherwise(F.lit("NAS")).alias("dataset"),
+        F.when(F.col("o_orderpriority") < "4", F.lit("CPI (General)"))
+        .otherwise(F.lit("CPI (Food)"))
+        .alias("division"),
+        F.when(k % 5 != 0, F.lit("GDP Growth Rate")).otherwise(F.lit("GVA Growth Rate")).alias("indicator"),
+        F.when(k % 17 == 0, F.lit("n/a")).otherwise(F.year(date).cast("string")).alias("year"),
+        F.when(k % 19 == 0, F.lit("Smarch")).otherwise(F.date_format(date, "MMMM")).alias("month"),
+        F.when(k % 23 == 0, F.year(date).cast("string")).otherwise(fiscal).alias("fiscal_year"),
+        F.when(k % 29 == 0, F.lit("Q5"))
+        .otherwise(F.concat(F.when(k % 2 == 0, F.lit("q")).otherwise(F.lit("Q")), F.quarter(date)))
+        .alias("quarter"),
+        F.when(k % 13 == 0, F.lit("na")).otherwise(value).alias("value"),
+    )
+    return table(spark, sf, "orders").select(F.to_json(record).alias("line"))
+
+
+AGENCY_RECORD_SCHEMA = (
+    "publisher string, seq bigint, dataset string, division string, indicator string, year string,"
+    " month string, fiscal_year string, quarter string, value string"
+)
+
+
+def annual_observations(spark: SparkSession, sf: str) -> DataFrame:
+    """Annual fallback figures per country (customer), some years empty."""
+    return (
+        table(spark, sf, "orders")
+        .groupBy(F.col("o_custkey").alias("c"), F.year("o_orderdate").alias("year"))
+        .agg(F.sum(cents(F.col("o_totalprice"))).alias("price"))
+        .select(
+            F.concat(F.lit("K"), F.col("c").cast("string")).alias("country_code"),
+            F.lit("NY.GDP.MKTP.KD.ZG").alias("indicator"),
+            "year",
+            F.when((F.col("c") + F.col("year")) % 4 != 0, F.col("price") / 10000000).alias("value"),
+        )
+    )
+
+
+def interpretation_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A rate per order for interpretation, over all bands, with unknown markets and missing values."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey") % 6
+    price = cents(F.col("o_totalprice"))
+    market = (
+        F.when(c == 0, F.lit("US"))
+        .when(c == 1, F.lit("IN"))
+        .when(c == 2, F.lit("SG"))
+        .when(c == 3, F.lit("AU"))
+        .when(c == 4, F.lit(" us "))
+        .otherwise(F.lit("BR"))
+    )
+    return table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("row_id"),
+        market.alias("market_code"),
+        F.when(k % 37 != 0, (price % 120) / 10 - 3).alias("rate"),
+        F.when(k % 31 != 0, (F.expr("cast(round(o_totalprice * 100) as bigint) div 120") % 100) / 10 - 2).alias(
+            "inflation"
+        ),
+        (k % 4 != 0).cast("int").alias("flag"),
+    )
+
+
+def live_observations(spark: SparkSession, sf: str) -> DataFrame:
+    """Latest live observation per market and indicator; some are out, one US outage spoils all of US."""
+    from tickerloom.operators import observations as O
+
+    obs = macro_obs(spark, sf)
+    keyed = obs.select(
+        F.concat_ws(":", "market_code", "indicator").alias("series_id"),
+        F.col("period_date").alias("date"),
+        "value",
+    )
+    cpi = O.inflation_yoy(keyed.filter(F.col("series_id").endswith(":cpi"))).select(
+        F.replace(F.col("series_id"), F.lit(":cpi"), F.lit(":inflation")).alias("series_id"),
+        "value",
+        "observation_date",
+    )
+    rest = O.series_latest(keyed.filter(~F.col("series_id").endswith(":cpi")))
+    market, indicator = (F.split_part("series_id", F.lit(":"), F.lit(i)) for i in (1, 2))
+    out = F.col("series_id").isin("US:gdp_growth", "IN:gdp_growth", "SG:unemployment", "AU:inflation")
+    return (
+        cpi.unionByName(rest)
+        .filter(~out)
+        .select(
+            market.alias("market_code"),
+            indicator.alias("indicator"),
+            "value",
+            "observation_date",
+            F.lit("official").alias("source"),
+            F.when(market != "US", market != "SG").alias("is_policy_rate"),
+            F.lit(False).alias("is_cached"),
+            F.lit(False).alias("is_fallback"),
+        )
+    )
+
+
+def stored_observations(spark: SparkSession, sf: str) -> DataFrame:
+    """Good observations kept before 2001 (the price index stands for inflation, less 100)."""
+    return (
+        macro_obs(spark, sf)
+        .filter(F.col("period_date") < F.lit("2001-01-01").cast("date"))
+        .filter(~F.concat_ws(":", "market_code", "indicator").isin("SG:unemployment", "IN:gdp_growth"))
+        .select(
+            "market_code",
+            F.when(F.col("indicator") == "cpi", F.lit("inflation")).otherwise(F.col("indicator")).alias("indicator"),
+            F.when(F.col("indicator") == "cpi", rounded((F.col("value") - 100) / 10, 4))
+            .otherwise(F.col("value"))
+            .alias("value"),
+            F.date_format("period_date", "yyyy-MM-dd").alias("observation_date"),
+            F.lit("official").alias("source"),
+            F.when(F.col("market_code") != "US", F.col("market_code") != "SG").alias("is_policy_rate"),
+            F.col("period_date").cast("timestamp_ntz").alias("cached_at"),
+        )
+    )
+
+
+def fallback_observations(spark: SparkSession, sf: str) -> DataFrame:
+    """Annual fallback per market and indicator from the same publications."""
+    from tickerloom.operators import observations as O
+
+    annual = (
+        macro_obs(spark, sf)
+        .filter(F.col("indicator").isin("gdp_growth", "unemployment", "policy_rate"))
+        .groupBy(F.col("market_code").alias("country_code"), "indicator", F.year("period_date").alias("year"))
+        .agg(F.max("value").alias("value"))
+    )
+    return O.annual_latest(annual).select(
+        F.col("country_code").alias("market_code"),
+        "indicator",
+        "value",
+        "observation_date",
+        F.lit("annual").alias("source"),
+        F.lit(None).cast("boolean").alias("is_policy_rate"),
+        F.lit(False).alias("is_cached"),
+        "is_fallback",
+    )
