@@ -104,24 +104,33 @@ def latest_two_statements(statements: DataFrame) -> DataFrame:
     )
 
 
-def wide_statements(latest_two: DataFrame) -> DataFrame:
-    def pick(metric: str, column: str, name: str) -> Column:
-        return F.max(F.when(F.col("metric") == metric, F.col(column))).alias(name)
+def wide_statements(statements: DataFrame) -> DataFrame:
+    """One row per symbol: latest (and previous) figures and the first reported currency, by one
+    window and one aggregate on the same exchange."""
+    newest = Window.partitionBy("symbol", "metric").orderBy(F.col("as_of_date").desc())
+    ranked = (
+        statements.filter(finite(F.col("raw")).isNotNull())
+        .repartition("symbol")
+        .withColumn("position", F.row_number().over(newest))
+    )
+
+    def pick(metric: str, position: int = 1) -> Column:
+        wanted = (F.col("metric") == metric) & (F.col("position") == position)
+        return F.max(F.when(wanted, F.col("raw")))
 
     revenue, income, equity, assets, debt, cash, diluted, ordinary = STATEMENT_METRICS
-    return latest_two.groupBy("symbol").agg(
-        pick(revenue, "latest", "revenue"),
-        pick(revenue, "previous", "previous_revenue"),
-        pick(income, "latest", "net_income"),
-        pick(income, "previous", "previous_net_income"),
-        pick(equity, "latest", "equity"),
-        pick(assets, "latest", "assets"),
-        pick(debt, "latest", "debt"),
-        pick(cash, "latest", "cash_flow"),
-        F.coalesce(
-            F.max(F.when(F.col("metric") == diluted, F.col("latest"))),
-            F.max(F.when(F.col("metric") == ordinary, F.col("latest"))),
-        ).alias("shares"),
+    reported = F.when(non_empty(F.col("currency")).isNotNull(), F.struct("metric_pos", "as_of_date"))
+    return ranked.groupBy("symbol").agg(
+        pick(revenue).alias("revenue"),
+        pick(revenue, 2).alias("previous_revenue"),
+        pick(income).alias("net_income"),
+        pick(income, 2).alias("previous_net_income"),
+        pick(equity).alias("equity"),
+        pick(assets).alias("assets"),
+        pick(debt).alias("debt"),
+        pick(cash).alias("cash_flow"),
+        F.coalesce(pick(diluted), pick(ordinary)).alias("shares"),
+        F.min_by("currency", reported).alias("statement_currency"),
     )
 
 
@@ -222,7 +231,7 @@ def from_metrics(profiles: DataFrame) -> DataFrame:
 
 
 def from_statements(
-    quotes: DataFrame, chart: DataFrame, wide: DataFrame, currencies: DataFrame, rates: DataFrame
+    quotes: DataFrame, chart: DataFrame, wide: DataFrame, rates: DataFrame
 ) -> DataFrame:
     """Direct provider: annual statements joined to the listing and chart metadata of the symbol.
 
@@ -232,7 +241,6 @@ def from_statements(
     joined = (
         quotes.join(chart, "symbol", "left")
         .join(wide, "symbol")
-        .join(currencies, "symbol", "left")
         .withColumn(
             "trading_currency",
             F.coalesce(
@@ -291,14 +299,17 @@ def from_statements(
 
 
 def with_fallback(*records: DataFrame) -> DataFrame:
-    """First provider, in the order given, that has a record of the symbol."""
+    """First provider, in the order given, that has a record of the symbol.
+
+    The whole record travels as one struct through the aggregate, so plans that use different columns
+    of the result still share one computed exchange.
+    """
     ranked = None
     for priority, record in enumerate(records):
-        tagged = record.select(*RECORD, F.lit(priority).alias("priority"))
+        tagged = record.select("symbol", F.struct(*RECORD[1:]).alias("record"), F.lit(priority).alias("priority"))
         ranked = tagged if ranked is None else ranked.unionByName(tagged)
-    best = Window.partitionBy("symbol").orderBy("priority")
     return (
-        ranked.withColumn("position", F.row_number().over(best))
-        .filter(F.col("position") == 1)
-        .select(*RECORD)
+        ranked.groupBy("symbol")
+        .agg(F.min_by("record", "priority").alias("record"))
+        .select("symbol", "record.*")
     )

@@ -97,16 +97,20 @@ def aggregates() -> dict[str, Column]:
     }
 
 
+def values() -> dict[str, Column]:
+    """Published figures from the raw aggregates."""
+    return {
+        "current_price": rounded(F.col("close_0"), 2),
+        **return_values(),
+        "annualized_volatility": rounded(F.col("raw_volatility"), 2),
+        "maximum_drawdown": rounded(F.col("raw_drawdown"), 2),
+        "period_high": rounded(F.col("raw_high"), 2),
+        "period_low": rounded(F.col("raw_low"), 2),
+    }
+
+
 def from_aggregates(raw: DataFrame) -> DataFrame:
-    return raw.select(
-        "symbol",
-        rounded(F.col("close_0"), 2).alias("current_price"),
-        *[v.alias(n) for n, v in return_values().items()],
-        rounded(F.col("raw_volatility"), 2).alias("annualized_volatility"),
-        rounded(F.col("raw_drawdown"), 2).alias("maximum_drawdown"),
-        rounded(F.col("raw_high"), 2).alias("period_high"),
-        rounded(F.col("raw_low"), 2).alias("period_low"),
-    )
+    return raw.select("symbol", *[v.alias(n) for n, v in values().items()])
 
 
 def historical_analysis(numbered: DataFrame) -> DataFrame:

@@ -233,19 +233,27 @@ def technical_signal(indicators: DataFrame) -> DataFrame:
     )
 
 
+def is_usable() -> Column:
+    """Enough history, and no volume missing among the last 20 bars."""
+    return (F.col("bars") >= MIN_BARS) & (F.col("volumes_20") == 20)
+
+
+def values() -> dict[str, Column]:
+    """Published figures from the raw aggregates."""
+    return {
+        "current_price": rounded(F.col("raw_price"), 2),
+        **{n: rounded(F.col("raw_" + n), 2) for n in INDICATORS[:5]},
+        "rsi": rounded(rsi_value(), 2),
+        **macd_values(),
+        **bollinger_values(),
+        "atr": rounded(F.col("raw_atr"), 2),
+        **volume_values(),
+    }
+
+
 def from_aggregates(raw: DataFrame) -> DataFrame:
     """Module rows from the raw aggregates; symbols with too little history drop out."""
-    usable = raw.filter((F.col("bars") >= MIN_BARS) & (F.col("volumes_20") == 20))
-    indicators = usable.select(
-        "symbol",
-        rounded(F.col("raw_price"), 2).alias("current_price"),
-        *[rounded(F.col("raw_" + n), 2).alias(n) for n in INDICATORS[:5]],
-        rounded(rsi_value(), 2).alias("rsi"),
-        *[v.alias(n) for n, v in macd_values().items()],
-        *[v.alias(n) for n, v in bollinger_values().items()],
-        rounded(F.col("raw_atr"), 2).alias("atr"),
-        *[v.alias(n) for n, v in volume_values().items()],
-    )
+    indicators = raw.filter(is_usable()).select("symbol", *[v.alias(n) for n, v in values().items()])
     return technical_signal(indicators)
 
 

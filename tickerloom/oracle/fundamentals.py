@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickerloom.oracle.views import num, r
+from tickerloom.oracle.views import AS_OF, num, r
 from tickerloom.sources.views import FX_RATES
 
 _CURRENCY = (
@@ -106,7 +106,8 @@ select c.*, w.* exclude (symbol), statement_currency,
   case when company_key % 2 = 1 then last_close end as market_price
 from companies c join wide w on w.symbol = c.symbol
 join first_currency f on f.symbol = c.symbol
-join (select symbol, arg_max(close, date) as last_close from bars group by symbol) b on b.symbol = c.symbol
+left join (select symbol, arg_max(close, date) as last_close from bars
+  where date >= date '{AS_OF}' - interval 31 day group by symbol) b on b.symbol = c.symbol
 where company_key % 5 <> 4""",
     "direct_converted": f"""
 select *, {r("coalesce(cap_quoted, nullif(coalesce(market_price, 0) * coalesce(shares, 0), 0))", 2)} as cap,

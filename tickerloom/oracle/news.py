@@ -1,4 +1,145 @@
-"""Oracles."""
+"""Oracles for news, sentiment and company lookup."""
 
-CTES: dict[str, str] = {}
-QUERIES: dict[str, str] = {}
+from __future__ import annotations
+
+from tickerloom.functions.markets import NEWS_OVERRIDES
+from tickerloom.functions.text import BLOCKED_HEADLINE_PHRASES
+from tickerloom.operators.resolve import IGNORED_WORDS
+from tickerloom.oracle.views import market, r, symbol
+
+_WS = "E' \\t\\r\\n'"
+_OVERRIDES = ", ".join(f"('{s}', '{n}', {t})" for s, n, t in NEWS_OVERRIDES)
+_BLOCKED = " or ".join(f"contains(lower(headline), '{p}')" for p in BLOCKED_HEADLINE_PHRASES)
+_IGNORED = ", ".join(f"'{w}'" for w in IGNORED_WORDS)
+_NORMAL = (
+    f"case when lower(trim(sentiment, {_WS})) in ('positive', 'negative')"
+    f" then lower(trim(sentiment, {_WS})) else 'neutral' end"
+)
+_CLASSES = ("positive", "neutral", "negative")
+
+
+def features(symbols: str, classified: str) -> str:
+    counts = ", ".join(f"count_if(label = '{c}') as {c}_count" for c in _CLASSES)
+    return f"""
+select s.symbol, coalesce(n, 0) as article_count,
+  {", ".join(f"coalesce({c}_count, 0) as {c}_count" for c in _CLASSES)},
+  {", ".join(f"coalesce({r(f'{c}_count / n', 4)}, 0) as {c}_ratio" for c in _CLASSES)},
+  coalesce({r("(positive_count - negative_count) / n", 4)}, 0) as sentiment_score,
+  case when (positive_count - negative_count) / n > 0.2 then 'POSITIVE'
+    when (positive_count - negative_count) / n < -0.2 then 'NEGATIVE' else 'NEUTRAL' end as overall_sentiment
+from {symbols} s left join (select symbol, count(*) as n, {counts}
+  from (select symbol, {_NORMAL} as label from {classified}) group by symbol) c on c.symbol = s.symbol"""
+
+
+def scored(articles: str, terms: str) -> str:
+    return f"""
+select a.*, coalesce(list_sum(list_transform(terms, lambda t:
+    case when contains(lower(coalesce(title, '')), t) then 10 else 0 end
+    + case when contains(lower(coalesce(description, '')), t) then 4 else 0 end
+    + case when contains(lower(coalesce(content, '')), t) then 1 else 0 end)), 0) as relevance_score
+from (select *, trim(title, {_WS}) as headline from {articles}) a join {terms} t on t.symbol = a.symbol
+where trim(title, {_WS}) <> '' and not ({_BLOCKED})"""
+
+
+def deduplicated(articles: str) -> str:
+    kind = "struct(rk bigint, title_key varchar, url varchar, doc_id bigint, relevance_score bigint)"
+    return f"""
+select symbol, k.doc_id, k.url, k.relevance_score, i as rank from (
+  select symbol, unnest(kept) as k, unnest(range(1, len(kept) + 1)) as i from (
+    select symbol, list_reduce(list([item] order by item.rk), lambda kept, x:
+      case when x[1].url = '' or len(list_filter(kept, lambda z: z.title_key = x[1].title_key
+        or z.url = x[1].url)) > 0 then kept else list_concat(kept, x) end, []::{kind}[]) as kept
+    from (select symbol, {{'rk': row_number() over (partition by symbol order by relevance_score desc, position),
+        'title_key': lower(headline), 'url': trim(url, {_WS}), 'doc_id': doc_id,
+        'relevance_score': cast(relevance_score as bigint)}}::{kind} as item
+      from {articles} where relevance_score >= 8)
+    group by symbol))"""
+
+
+CTES = {
+    "term_rows": f"""
+select c.symbol, coalesce(o.search_name, c.company_name) as search_name,
+  coalesce(o.terms, [lower(c.company_name)]) as terms
+from companies c left join (values {_OVERRIDES}) o(symbol, search_name, terms) on o.symbol = c.symbol""",
+    "candidates": """
+select * from (select *, row_number() over (partition by symbol order by published_at desc, doc_id) as position
+  from news) where position <= 100""",
+    "all_scored": scored("news", "term_rows"),
+    "capped_scored": scored("candidates", "term_rows"),
+    "deduped": deduplicated("capped_scored"),
+    "labelled_news": "select n.symbol, n.doc_id, sentiment from news n join sentiment_labels l using (doc_id)",
+    "named_companies": """
+select company_key, legal_name as name,
+  list_filter(regexp_extract_all(legal_name, '[A-Za-z0-9]+'),
+    lambda w: lower(w) not in (%s)) as words from companies"""
+    % _IGNORED,
+    "query_rows": """
+select company_key, row_number() over (partition by company_key order by pos) - 1 as query_pos, query
+from (select *, row_number() over (partition by company_key, upper(query) order by pos) as k from (
+  select company_key, 0 as pos, name as query from named_companies
+  union all select company_key, 1, array_to_string(words, ' ') from named_companies
+  union all select company_key, 2, case when len(words) > 1 then
+    array_to_string(list_transform(words, lambda w: w[1]), '') else '' end from named_companies
+  union all select company_key, 3, coalesce(words[1], '') from named_companies) where query <> '') where k = 1""",
+    "listing_rows": """
+select q as query, company_key as result_pos,
+  case when company_key % 16 = 5 then '' when company_key % 2 = 1 then lower(symbol) else symbol end as symbol,
+  case when company_key % 12 = 4 then ' ' || upper(q) end as display_symbol
+from (select company_key, symbol, case when company_key % 7 < 5 then lower(company_name) end as q from companies
+  union all select company_key, symbol, case when company_key % 3 = 0 then
+    legal_name[1] || string_split(legal_name, ' ')[2][1] || 'S' end from companies
+  union all select company_key, symbol, case when company_key % 10 = 0 then legal_name end from companies)
+where q is not null""",
+    "selected": """
+select query_key, listed from (
+  select *, row_number() over (partition by query_key order by rank, result_pos, listed) as k from (
+    select upper(query) as query_key, result_pos, upper(trim(symbol)) as listed,
+      case when upper(symbol) like '%.NS' then 0 when upper(symbol) like '%.SI' then 1
+        when upper(symbol) like '%.AX' then 2
+        when symbol <> '' and (upper(symbol) = upper(query) or upper(trim(display_symbol)) = upper(query)) then 3
+        when symbol <> '' then 4 end as rank from listing_rows) where rank is not null) where k = 1""",
+    "search_texts": f"""
+select c_custkey, case c_custkey % 8 when 0 then lower({symbol("c_custkey")}) when 1 then c_name
+  when 2 then '  ' || c_mktsegment || ' ' when 3 then 'Tata & Sons (' || c_mktsegment || ')'
+  when 4 then '-bad' when 5 then '' when 6 then repeat(c_mktsegment, 12) else 'x' end as search_text
+from customer""",
+}
+
+QUERIES = {
+    "news_payload": """
+select symbol, title, description, content, source, published_at, url from news
+where (doc_id // 300) % 5 <> 4""",
+    "headline_filter": "select symbol, doc_id, headline from all_scored",
+    "company_search_name": "select symbol, search_name from term_rows",
+    "company_terms": "select symbol, unnest(terms) as term from term_rows",
+    "term_article_join": """
+select n.symbol, doc_id, term, contains(lower(title), term) as in_title,
+  contains(lower(coalesce(description, '')), term) as in_description,
+  contains(lower(content), term) as in_content
+from news n join (select symbol, unnest(terms) as term from term_rows) t on t.symbol = n.symbol""",
+    "relevance_score": """
+select symbol, doc_id, cast(relevance_score as int) as relevance_score from all_scored
+where relevance_score >= 8""",
+    "candidate_cap": "select symbol, doc_id, position, published_at from candidates",
+    "news_dedup": "select symbol, rank, doc_id, url, relevance_score from deduped",
+    "news_topk": f"""
+select d.symbol, d.rank, d.doc_id, d.url, d.relevance_score, headline,
+  trim(coalesce(description, ''), {_WS}) as description, source, published_at
+from deduped d join capped_scored c on c.doc_id = d.doc_id where rank <= 5""",
+    "sentiment_normalize": f"select doc_id, {_NORMAL} as sentiment from sentiment_labels",
+    "sentiment_features": features("companies", "labelled_news"),
+    "search_input_valid": """
+select c_custkey, search_text,
+  regexp_full_match(upper(trim(search_text)), '[A-Z0-9][A-Z0-9&-]{0,19}(\\.(NS|BO|SI|AX))?')
+    or regexp_full_match(upper(trim(search_text)), '[A-Z0-9][A-Z0-9 .&''()-]{1,79}') as is_valid
+from search_texts""",
+    "company_queries": "select company_key, query_pos, query from query_rows",
+    "symbol_select": "select * from selected",
+    "company_resolve": """
+select company_key, arg_min(listed, query_pos) filter (listed is not null) as symbol
+from query_rows left join selected on query_key = upper(query) group by company_key""",
+    "symbols_rejected": f"""
+select s as symbol from (select {symbol("c_custkey")} as s, {market("c_custkey")} as m from customer)
+where s not in (select symbol from trades_10d)
+  and s not in (select symbol from fundamental_records where company_name is not null)""",
+}

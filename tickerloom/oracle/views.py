@@ -123,7 +123,9 @@ from orders group by 1, 2, 3""",
     "news": f"""
 select doc_id, {symbol("company_key")} as symbol, title, description, content, source, published_at, url
 from (select doc_id, case when doc_id % 3 = 0 then 1 else doc_id // 10 end as company_key,
-    string_split(text, E'\\n')[1] as title, string_split(text, E'\\n')[2] as description,
+    case when doc_id % 31 = 0 then E' \\n'
+      when doc_id % 23 = 0 then string_split(text, E'\\n')[1] || ' Stocks to Watch'
+      else string_split(text, E'\\n')[1] end as title, string_split(text, E'\\n')[2] as description,
     text as content, source,
     strftime(timestamp '2001-01-01' + to_hours(cast((doc_id * 37) % 5000 as int)), '%Y-%m-%dT%H:%M:%SZ')
       as published_at,

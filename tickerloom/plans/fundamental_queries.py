@@ -76,12 +76,11 @@ def fx_convert(spark, sf):
 
 
 def direct_records(spark: SparkSession, sf: str) -> DataFrame:
-    statements = views.statements(spark, sf)
+    recent = B.bars_period(views.trades(spark, sf), "1mo", views.AS_OF)
     return FD.from_statements(
         views.listing_quotes(spark, sf),
-        views.chart_meta(B.bars_from_trades(views.trades(spark, sf))),
-        FD.wide_statements(FD.latest_two_statements(statements)),
-        statement_currencies(statements),
+        views.chart_meta(B.bars_from_trades(recent)),
+        FD.wide_statements(views.statements(spark, sf)),
         FD.latest_rates(views.fx_rates(spark)),
     )
 

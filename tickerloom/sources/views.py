@@ -7,7 +7,7 @@ learn its symbol, and money is summed in whole cents, so sums do not depend on t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickerloom.functions.numeric import rounded
@@ -196,39 +196,37 @@ def macro_obs(spark: SparkSession, sf: str) -> DataFrame:
         F.count_if(F.col("status") == "F").alias("n_f"),
     )
     month_no = F.months_between("month", F.lit("1995-01-01").cast("date"))
-    avg_price = F.col("price") / F.col("n") / 100
-    series = monthly.select(
-        "market_code",
-        F.col("month").alias("period_date"),
-        F.inline(
-            F.array(
-                F.struct(
-                    F.lit("cpi").alias("indicator"),
-                    rounded(100 + 0.25 * month_no + avg_price / 25000, 4).alias("value"),
-                ),
-                F.struct(
-                    F.lit("unemployment").alias("indicator"),
-                    rounded(12 * F.col("n_p") / F.col("n"), 4).alias("value"),
-                ),
-                F.struct(
-                    F.lit("policy_rate").alias("indicator"),
-                    rounded(10 * F.col("n_f") / F.col("n"), 4).alias("value"),
-                ),
-            )
-        ),
-    )
-    quarterly = (
-        monthly.filter(F.col("month") < F.lit("2001-07-01").cast("date"))
-        .groupBy("market_code", F.trunc("month", "quarter").alias("period_date"))
-        .agg(F.sum("price").alias("price"), F.sum("n").alias("n"))
-        .select(
-            "market_code",
-            "period_date",
-            F.lit("gdp_growth").alias("indicator"),
-            rounded(40 * (avg_price / 250000 - 1) + 2.5, 4).alias("value"),
+    quarter = Window.partitionBy("market_code", F.trunc("month", "quarter"))
+    months = monthly.withColumns(
+        {
+            "quarter_price": F.sum("price").over(quarter),
+            "quarter_n": F.sum("n").over(quarter),
+            "quarter_month": F.min("month").over(quarter),
+        }
+    )
+    # Quarterly growth rides on the quarter's first month; the last, incomplete quarter has none.
+    gdp_here = (F.col("month") == F.col("quarter_month")) & (
+        F.col("month") < F.lit("2001-07-01").cast("date")
+    )
+    price, quarter_price = F.col("price") / F.col("n") / 100, F.col("quarter_price") / F.col("quarter_n") / 100
+
+    def observation(indicator: str, date: Column, value: Column) -> Column:
+        return F.struct(
+            date.alias("period_date"), F.lit(indicator).alias("indicator"), rounded(value, 4).alias("value")
         )
+
+    month = F.col("month")
+    published = F.array(
+        observation("cpi", month, 100 + 0.25 * month_no + price / 25000),
+        observation("unemployment", month, 12 * F.col("n_p") / F.col("n")),
+        observation("policy_rate", month, 10 * F.col("n_f") / F.col("n")),
+        observation(
+            "gdp_growth",
+            F.trunc("month", "quarter"),
+            F.when(gdp_here, 40 * (quarter_price / 250000 - 1) + 2.5),
+        ),
     )
-    return series.unionByName(quarterly)
+    return months.select("market_code", F.inline(published)).filter(F.col("value").isNotNull())
 
 
 def customer_series(spark: SparkSession, sf: str) -> DataFrame:
@@ -261,7 +259,10 @@ def news(spark: SparkSession, sf: str) -> DataFrame:
         .select(
             "doc_id",
             symbol_of(key).alias("symbol"),
-            first.alias("title"),
+            F.when(F.col("doc_id") % 31 == 0, F.lit(" \n"))
+            .when(F.col("doc_id") % 23 == 0, F.concat(first, F.lit(" Stocks to Watch")))
+            .otherwise(first)
+            .alias("title"),
             second.alias("description"),
             F.col("text").alias("content"),
             F.struct(F.col("source").alias("name")).alias("source"),
