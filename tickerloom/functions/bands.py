@@ -5,8 +5,7 @@ A band list is read top to bottom: the first upper bound that holds wins, ``None
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tickerloom.functions.literals import literal_table
 
@@ -136,34 +135,17 @@ def inflation_targets(spark: SparkSession) -> DataFrame:
     )
 
 
-def _classified(score: Column, classes: list[tuple]) -> Column:
-    result = None
-    for bound, included, name in classes:
-        if bound is None:
-            return result.when(score.isNotNull(), F.lit(name))
-        holds = score >= bound if included else score > bound
-        result = F.when(holds, F.lit(name)) if result is None else result.when(holds, F.lit(name))
-    return result
-
-
-def classify_intelligence(score: Column) -> Column:
-    return _classified(score, INTELLIGENCE_CLASSES)
-
-
-def classify_macro(score: Column) -> Column:
-    return _classified(score, MACRO_CLASSES)
-
-
-def classify_sector(score: Column) -> Column:
-    """The sector classes share the macro bounds and names."""
-    return _classified(score, MACRO_CLASSES)
+def classified(score: str, classes: list[tuple]) -> str:
+    """Class of a score, by the first bound that holds; null stays null."""
+    cases = " ".join(
+        f"when {score} is not null then '{name}'"
+        if bound is None
+        else f"when {score} {'>=' if included else '>'} {bound}D then '{name}'"
+        for bound, included, name in classes
+    )
+    return f"(case {cases} end)"
 
 
-def normalized_component(score: Column) -> Column:
+def normalized_component(score: str) -> str:
     """Framework scores -2..2 on the -1..+1 scale; anything else is neutral."""
-    return (
-        F.when(score.isin(1, 2), F.lit(1.0))
-        .when(score == -1, F.lit(-0.5))
-        .when(score == -2, F.lit(-1.0))
-        .otherwise(F.lit(0.0))
-    )
+    return f"(case {score} when 2 then 1D when 1 then 1D when -1 then -0.5D when -2 then -1D else 0D end)"

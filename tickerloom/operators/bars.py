@@ -91,11 +91,11 @@ def latest_snapshot(bars: DataFrame) -> DataFrame:
     last = bars.groupBy("symbol").agg(
         F.max("date").alias("date"), *[F.max_by(c, "date").alias(c) for c in PRICE_COLUMNS]
     )
-    return last.select(
+    return last.selectExpr(
         "symbol",
-        F.date_format("date", "yyyy-MM-dd").alias("date"),
-        *[rounded(F.col(c), 2).alias(c) for c in PRICE_COLUMNS[:4]],
-        F.col("volume").cast("bigint").alias("volume"),
+        "date_format(date, 'yyyy-MM-dd') as date",
+        *[f"{rounded(c, 2)} as {c}" for c in PRICE_COLUMNS[:4]],
+        "cast(volume as bigint) as volume",
     )
 
 

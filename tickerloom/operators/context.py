@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions.markets import detect_market
 from tickerloom.functions.numeric import rounded
+from tickerloom.operators.historical import return_aggregates, return_values
+from tickerloom.operators.technical import named, per_symbol
 
 # Return name -> number of bars back.
 SNAPSHOT_RETURNS = {"one_week_return": 5, "one_month_return": 21, "three_month_return": 63}
@@ -14,20 +16,14 @@ SNAPSHOT_RETURNS = {"one_week_return": 5, "one_month_return": 21, "three_month_r
 
 def series_snapshot(numbered: DataFrame) -> DataFrame:
     """Latest value (4 places), its date and recent returns per series (``symbol``)."""
-    ages = [0, *SNAPSHOT_RETURNS.values()]
-    raw = numbered.groupBy("symbol").agg(
-        F.max("date").alias("date"),
-        *[F.max(F.when(F.col("age") == n, F.col("close"))).alias(f"close_{n}") for n in ages],
+    raw = per_symbol(
+        numbered, {"last_date": "max(date)", **return_aggregates(list(SNAPSHOT_RETURNS.values()))}
     )
-    now = F.col("close_0")
-    return raw.select(
+    return raw.selectExpr(
         "symbol",
-        rounded(now, 4).alias("latest_value"),
-        F.date_format("date", "yyyy-MM-dd").alias("data_date"),
-        *[
-            rounded(F.try_divide(now - F.col(f"close_{n}"), F.col(f"close_{n}")) * 100, 2).alias(name)
-            for name, n in SNAPSHOT_RETURNS.items()
-        ],
+        f"{rounded('close_0', 4)} as latest_value",
+        "date_format(last_date, 'yyyy-MM-dd') as data_date",
+        *named(return_values(SNAPSHOT_RETURNS)),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.functions.numeric import (
@@ -17,6 +17,7 @@ from tickerloom.functions.numeric import (
     to_number,
     to_percent,
 )
+from tickerloom.operators.technical import named
 
 RECORD = [
     "symbol",
@@ -76,30 +77,35 @@ def statement_series(observations: DataFrame, metric: str) -> DataFrame:
 
 def statement_currency(observations: DataFrame) -> DataFrame:
     """First non-empty currency in series order, then observation order."""
-    order = F.struct("series_pos", "obs_pos")
     return (
-        observations.filter(non_empty(F.col("currency")).isNotNull())
+        observations.filter("currency <> ''")
         .groupBy("symbol")
-        .agg(F.min_by("currency", order).alias("statement_currency"))
+        .agg(F.expr("min_by(currency, struct(series_pos, obs_pos)) as statement_currency"))
     )
 
 
-def latest_two_statements(statements: DataFrame) -> DataFrame:
-    """Latest and previous value per symbol and metric.
+def _by_recency(statements: DataFrame) -> DataFrame:
+    """Statement rows with ``position`` 1 for the latest of each symbol and metric.
 
-    Rows are spread by symbol alone: the per-metric window here and the per-symbol pivot that follows
-    both run on that one exchange.
+    Rows are spread by symbol alone, so the per-metric window here and the per-symbol aggregate that
+    follows both run on that one exchange.
     """
     newest = Window.partitionBy("symbol", "metric").orderBy(F.col("as_of_date").desc())
     return (
-        statements.filter(finite(F.col("raw")).isNotNull())
+        statements.filter(f"{finite('raw')} is not null")
         .repartition("symbol")
         .withColumn("position", F.row_number().over(newest))
-        .filter(F.col("position") <= 2)
+    )
+
+
+def latest_two_statements(statements: DataFrame) -> DataFrame:
+    """Latest and previous value per symbol and metric."""
+    return (
+        _by_recency(statements)
         .groupBy("symbol", "metric")
         .agg(
-            F.max(F.when(F.col("position") == 1, F.col("raw"))).alias("latest"),
-            F.max(F.when(F.col("position") == 2, F.col("raw"))).alias("previous"),
+            F.expr("max(case when position = 1 then raw end) as latest"),
+            F.expr("max(case when position = 2 then raw end) as previous"),
         )
     )
 
@@ -107,40 +113,30 @@ def latest_two_statements(statements: DataFrame) -> DataFrame:
 def wide_statements(statements: DataFrame) -> DataFrame:
     """One row per symbol: latest (and previous) figures and the first reported currency, by one
     window and one aggregate on the same exchange."""
-    newest = Window.partitionBy("symbol", "metric").orderBy(F.col("as_of_date").desc())
-    ranked = (
-        statements.filter(finite(F.col("raw")).isNotNull())
-        .repartition("symbol")
-        .withColumn("position", F.row_number().over(newest))
-    )
 
-    def pick(metric: str, position: int = 1) -> Column:
-        wanted = (F.col("metric") == metric) & (F.col("position") == position)
-        return F.max(F.when(wanted, F.col("raw")))
+    def pick(metric: str, position: int = 1) -> str:
+        return f"max(case when metric = '{metric}' and position = {position} then raw end)"
 
     revenue, income, equity, assets, debt, cash, diluted, ordinary = STATEMENT_METRICS
-    reported = F.when(non_empty(F.col("currency")).isNotNull(), F.struct("metric_pos", "as_of_date"))
-    return ranked.groupBy("symbol").agg(
-        pick(revenue).alias("revenue"),
-        pick(revenue, 2).alias("previous_revenue"),
-        pick(income).alias("net_income"),
-        pick(income, 2).alias("previous_net_income"),
-        pick(equity).alias("equity"),
-        pick(assets).alias("assets"),
-        pick(debt).alias("debt"),
-        pick(cash).alias("cash_flow"),
-        F.coalesce(pick(diluted), pick(ordinary)).alias("shares"),
-        F.min_by("currency", reported).alias("statement_currency"),
-    )
+    figures = {
+        "revenue": pick(revenue),
+        "previous_revenue": pick(revenue, 2),
+        "net_income": pick(income),
+        "previous_net_income": pick(income, 2),
+        "equity": pick(equity),
+        "assets": pick(assets),
+        "debt": pick(debt),
+        "cash_flow": pick(cash),
+        "shares": f"coalesce({pick(diluted)}, {pick(ordinary)})",
+        "statement_currency": "min_by(currency, case when currency <> ''"
+        " then struct(metric_pos, as_of_date) end)",
+    }
+    return _by_recency(statements).groupBy("symbol").agg(*[F.expr(t) for t in named(figures)])
 
 
 def latest_rates(fx_rates: DataFrame) -> DataFrame:
     """Latest usable rate per currency pair (zero and null rates are not usable)."""
-    return (
-        fx_rates.filter(F.col("rate").isNotNull() & (F.col("rate") != 0))
-        .groupBy("base", "quote")
-        .agg(F.max_by("rate", "as_of").alias("rate"))
-    )
+    return fx_rates.filter("rate <> 0").groupBy("base", "quote").agg(F.max_by("rate", "as_of").alias("rate"))
 
 
 def fx_convert(rows: DataFrame, rates: DataFrame) -> DataFrame:
@@ -149,153 +145,115 @@ def fx_convert(rows: DataFrame, rates: DataFrame) -> DataFrame:
     Equal or missing currencies convert at 1; otherwise the direct pair, else the inverse pair turned
     round. ``rates`` holds one row per pair of world currencies, a bounded table, so it is broadcast.
     """
-    source, target = F.col("statement_currency"), F.col("trading_currency")
-    direct = rates.select(
-        F.col("base").alias("statement_currency"),
-        F.col("quote").alias("trading_currency"),
-        F.col("rate").alias("direct_rate"),
-    )
-    inverse = rates.select(
-        F.col("quote").alias("statement_currency"),
-        F.col("base").alias("trading_currency"),
-        F.col("rate").alias("inverse_rate"),
-    )
     pair = ["statement_currency", "trading_currency"]
+    direct = rates.toDF(*pair, "direct_rate")
+    inverse = rates.toDF(*reversed(pair), "inverse_rate")
     same = (
-        non_empty(source).isNull() | non_empty(target).isNull() | (source == target)
-    )
-    rate = F.when(same, F.lit(1.0)).otherwise(
-        F.coalesce("direct_rate", F.try_divide(F.lit(1.0), F.col("inverse_rate")))
+        "coalesce(statement_currency, '') = '' or coalesce(trading_currency, '') = ''"
+        " or statement_currency = trading_currency"
     )
+    rate = f"case when {same} then 1D else coalesce(direct_rate, try_divide(1D, inverse_rate)) end"
     return (
         rows.join(F.broadcast(direct), pair, "left")
         .join(F.broadcast(inverse), pair, "left")
-        .withColumn("exchange_rate", rate)
-        .withColumn("fx_error", F.col("exchange_rate").isNull())
-        .drop("direct_rate", "inverse_rate")
+        .selectExpr("* except (direct_rate, inverse_rate)", f"{rate} as exchange_rate")
+        .selectExpr("*", "exchange_rate is null as fx_error")
     )
 
 
 def from_primary(quotes: DataFrame) -> DataFrame:
     """Primary provider: ratios become percentages; a row needs a company name."""
-    name = F.coalesce(non_empty(F.col("long_name")), non_empty(F.col("short_name")))
-    return quotes.select(
+    return quotes.selectExpr(
         "symbol",
-        name.alias("company_name"),
+        f"coalesce({non_empty('long_name')}, {non_empty('short_name')}) as company_name",
         "sector",
         "industry",
         "currency",
         "market_cap",
         "total_revenue",
-        *[rounded(F.col(c), 2).alias(c) for c in ("trailing_pe", "forward_pe", "price_to_book")],
-        to_percent(F.col("profit_margins")).alias("profit_margin"),
-        to_percent(F.col("return_on_equity")).alias("return_on_equity"),
-        to_percent(F.col("return_on_assets")).alias("return_on_assets"),
-        to_percent(F.col("revenue_growth")).alias("revenue_growth"),
-        to_percent(F.col("earnings_growth")).alias("earnings_growth"),
-        rounded(F.col("debt_to_equity"), 2).alias("debt_to_equity"),
+        *[f"{rounded(c, 2)} as {c}" for c in ("trailing_pe", "forward_pe", "price_to_book")],
+        f"{to_percent('profit_margins')} as profit_margin",
+        *[
+            f"{to_percent(c)} as {c}"
+            for c in ("return_on_equity", "return_on_assets", "revenue_growth", "earnings_growth")
+        ],
+        f"{rounded('debt_to_equity', 2)} as debt_to_equity",
         "free_cash_flow",
-        F.lit("primary").alias("data_source"),
-        F.lit(False).alias("is_fallback"),
-    ).filter(F.col("company_name").isNotNull())
+        "'primary' as data_source",
+        "false as is_fallback",
+    ).filter("company_name is not null")
 
 
 def from_metrics(profiles: DataFrame) -> DataFrame:
     """Metrics provider: named metrics as text; needs a company name and at least one metric."""
-    metrics, shares = F.col("metrics"), F.col("shares_millions")
 
-    def per_share(name: str) -> Column:
-        return per_share_total(to_number(F.try_element_at(metrics, F.lit(name))), shares)
+    def per_share(name: str) -> str:
+        return per_share_total("number", "shares_millions").replace(
+            "number", to_number(f"try_element_at(metrics, '{name}')")
+        )
 
-    return profiles.filter(
-        non_empty(F.col("name")).isNotNull() & (F.size(metrics) > 0)
-    ).select(
+    figures = {field: first_metric("metrics", names) for field, names in METRIC_NAMES.items()}
+    return profiles.filter("name <> '' and size(metrics) > 0").selectExpr(
         "symbol",
-        F.col("name").alias("company_name"),
-        F.col("industry").alias("sector"),
+        "name as company_name",
+        "industry as sector",
         "industry",
         "currency",
-        millions_to_units(F.col("market_cap_millions")).alias("market_cap"),
-        per_share("revenuePerShareTTM").alias("total_revenue"),
-        first_metric(metrics, METRIC_NAMES["trailing_pe"]).alias("trailing_pe"),
-        F.lit(None).cast("double").alias("forward_pe"),
-        *[
-            first_metric(metrics, names).alias(field)
-            for field, names in METRIC_NAMES.items()
-            if field != "trailing_pe"
-        ],
-        per_share("freeCashFlowPerShareTTM").alias("free_cash_flow"),
-        F.lit("metrics").alias("data_source"),
-        F.lit(True).alias("is_fallback"),
+        f"{millions_to_units('market_cap_millions')} as market_cap",
+        f"{per_share('revenuePerShareTTM')} as total_revenue",
+        "cast(null as double) as forward_pe",
+        *named(figures),
+        f"{per_share('freeCashFlowPerShareTTM')} as free_cash_flow",
+        "'metrics' as data_source",
+        "true as is_fallback",
     )
 
 
-def from_statements(
-    quotes: DataFrame, chart: DataFrame, wide: DataFrame, rates: DataFrame
-) -> DataFrame:
+def from_statements(quotes: DataFrame, chart: DataFrame, wide: DataFrame, rates: DataFrame) -> DataFrame:
     """Direct provider: annual statements joined to the listing and chart metadata of the symbol.
 
     Monetary figures are converted to the trading currency; ratios use the statement currency. A
     symbol without a usable exchange rate, or without any rated statement figure, yields no record.
     """
-    joined = (
-        quotes.join(chart, "symbol", "left")
-        .join(wide, "symbol")
-        .withColumn(
-            "trading_currency",
-            F.coalesce(
-                non_empty(F.col("quote_currency")),
-                non_empty(F.col("chart_currency")),
-                F.col("statement_currency"),
-            ),
-        )
+    trading = (
+        f"coalesce({non_empty('quote_currency')}, {non_empty('chart_currency')}, statement_currency)"
     )
-    converted = fx_convert(joined, rates).filter(
-        ~F.col("fx_error") & F.coalesce(*RATED_FIELDS).isNotNull()
+    joined = quotes.join(chart, "symbol", "left").join(wide, "symbol")
+    converted = fx_convert(joined.selectExpr("*", f"{trading} as trading_currency"), rates).filter(
+        f"not fx_error and coalesce({', '.join(RATED_FIELDS)}) is not null"
     )
 
-    def money(name: str) -> Column:
-        return rounded(F.col(name) * F.col("exchange_rate"), 2)
+    def money(name: str) -> str:
+        return rounded(f"{name} * exchange_rate", 2)
 
-    computed_cap = rounded(
-        F.nullif(
-            F.coalesce(F.col("market_price"), F.lit(0.0)) * F.coalesce(F.col("shares"), F.lit(0.0)),
-            F.lit(0.0),
-        ),
-        2,
-    )
-    priced = converted.withColumns(
-        {
-            "cap": F.coalesce(rounded(F.col("market_cap"), 2), F.nullif(computed_cap, F.lit(0.0))),
-            "income_converted": money("net_income"),
-            "equity_converted": money("equity"),
-        }
-    )
-    return priced.select(
-        "symbol",
-        F.coalesce(non_empty(F.col("long_name")), F.col("short_name")).alias("company_name"),
-        F.coalesce(non_empty(F.col("sector")), F.col("sector_display")).alias("sector"),
-        F.coalesce(non_empty(F.col("industry")), F.col("industry_display")).alias("industry"),
-        F.col("trading_currency").alias("currency"),
-        F.col("cap").alias("market_cap"),
-        money("revenue").alias("total_revenue"),
-        F.coalesce(
-            rounded(F.col("trailing_pe"), 2), safe_ratio(F.col("cap"), F.col("income_converted"))
-        ).alias("trailing_pe"),
-        rounded(F.col("forward_pe"), 2).alias("forward_pe"),
-        F.coalesce(
-            rounded(F.col("price_to_book"), 2), safe_ratio(F.col("cap"), F.col("equity_converted"))
-        ).alias("price_to_book"),
-        safe_ratio(F.col("net_income"), F.col("revenue"), True).alias("profit_margin"),
-        safe_ratio(F.col("net_income"), F.col("equity"), True).alias("return_on_equity"),
-        safe_ratio(F.col("net_income"), F.col("assets"), True).alias("return_on_assets"),
-        growth_pct(F.col("revenue"), F.col("previous_revenue")).alias("revenue_growth"),
-        growth_pct(F.col("net_income"), F.col("previous_net_income")).alias("earnings_growth"),
-        safe_ratio(F.col("debt"), F.col("equity")).alias("debt_to_equity"),
-        money("cash_flow").alias("free_cash_flow"),
-        F.lit("statements").alias("data_source"),
-        F.lit(True).alias("is_fallback"),
+    computed_cap = rounded("coalesce(market_price, 0D) * coalesce(shares, 0D)", 2)
+    priced = converted.selectExpr(
+        "*",
+        f"coalesce({rounded('market_cap', 2)}, nullif({computed_cap}, 0D)) as cap",
+        f"{money('net_income')} as income_converted",
+        f"{money('equity')} as equity_converted",
     )
+    record = {
+        "company_name": f"coalesce({non_empty('long_name')}, short_name)",
+        "sector": f"coalesce({non_empty('sector')}, sector_display)",
+        "industry": f"coalesce({non_empty('industry')}, industry_display)",
+        "currency": "trading_currency",
+        "market_cap": "cap",
+        "total_revenue": money("revenue"),
+        "trailing_pe": f"coalesce({rounded('trailing_pe', 2)}, {safe_ratio('cap', 'income_converted')})",
+        "forward_pe": rounded("forward_pe", 2),
+        "price_to_book": f"coalesce({rounded('price_to_book', 2)}, {safe_ratio('cap', 'equity_converted')})",
+        "profit_margin": safe_ratio("net_income", "revenue", as_percentage=True),
+        "return_on_equity": safe_ratio("net_income", "equity", as_percentage=True),
+        "return_on_assets": safe_ratio("net_income", "assets", as_percentage=True),
+        "revenue_growth": growth_pct("revenue", "previous_revenue"),
+        "earnings_growth": growth_pct("net_income", "previous_net_income"),
+        "debt_to_equity": safe_ratio("debt", "equity"),
+        "free_cash_flow": money("cash_flow"),
+        "data_source": "'statements'",
+        "is_fallback": "true",
+    }
+    return priced.selectExpr("symbol", *named(record))
 
 
 def with_fallback(*records: DataFrame) -> DataFrame:
@@ -306,7 +264,9 @@ def with_fallback(*records: DataFrame) -> DataFrame:
     """
     ranked = None
     for priority, record in enumerate(records):
-        tagged = record.select("symbol", F.struct(*RECORD[1:]).alias("record"), F.lit(priority).alias("priority"))
+        tagged = record.selectExpr(
+            "symbol", f"struct({', '.join(RECORD[1:])}) as record", f"{priority} as priority"
+        )
         ranked = tagged if ranked is None else ranked.unionByName(tagged)
     return (
         ranked.groupBy("symbol")

@@ -1,15 +1,13 @@
-"""Returns, volatility, drawdown and price range per symbol."""
+"""Returns, volatility, drawdown and price range per symbol, as SQL expressions over numbered bars."""
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from tickerloom.functions.numeric import rounded
+from tickerloom.operators.technical import named, per_symbol
 
-# Return name -> number of bars back.
+# Return name -> number of bars back; trading days per year.
 RETURN_BARS = {
     "one_week_return": 5,
     "one_month_return": 21,
@@ -19,100 +17,77 @@ RETURN_BARS = {
 }
 TRADING_DAYS = 252
 
-
-def daily_return() -> Column:
-    return F.try_divide(F.col("close"), F.col("previous_close")) - 1
+DAILY_RETURN = "try_divide(close, previous_close) - 1"
+VOLATILITY = f"stddev_samp({DAILY_RETURN}) * sqrt({TRADING_DAYS}) * 100"
+DRAWDOWN = "min(try_divide(close - running_max, running_max)) * 100"
 
 
 def daily_returns(numbered: DataFrame) -> DataFrame:
     """One row per bar after the first."""
-    return numbered.filter(F.col("previous_close").isNotNull()).select(
-        "symbol", "date", rounded(daily_return(), 4).alias("daily_return")
+    return numbered.filter("previous_close is not null").selectExpr(
+        "symbol", "date", f"{rounded(DAILY_RETURN, 4)} as daily_return"
     )
 
 
-def _close_at(age: int) -> Column:
-    return F.max(F.when(F.col("age") == age, F.col("close")))
+def return_aggregates(ages: list[int]) -> dict[str, str]:
+    return {f"close_{n}": f"max(case when age = {n} then close end)" for n in (0, *ages)}
 
 
-def return_aggregates() -> dict[str, Column]:
+def return_values(bars_back: dict[str, int]) -> dict[str, str]:
+    """A return is null when the series is too short or the old price is zero."""
     return {
-        "close_0": _close_at(0),
-        **{f"close_{n}": _close_at(n) for n in RETURN_BARS.values()},
+        name: rounded(f"try_divide(close_0 - close_{n}, close_{n}) * 100", 2)
+        for name, n in bars_back.items()
     }
 
 
-def return_values() -> dict[str, Column]:
-    """A return is null when the series is too short or the old price is zero."""
-    now = F.col("close_0")
+def aggregates() -> dict[str, str]:
     return {
-        name: rounded(F.try_divide(now - F.col(f"close_{n}"), F.col(f"close_{n}")) * 100, 2)
-        for name, n in RETURN_BARS.items()
+        **return_aggregates(list(RETURN_BARS.values())),
+        "raw_volatility": VOLATILITY,
+        "raw_drawdown": DRAWDOWN,
+        "raw_high": "max(high)",
+        "raw_low": "min(low)",
     }
 
 
-def period_returns(numbered: DataFrame) -> DataFrame:
-    raw = numbered.groupBy("symbol").agg(*[v.alias(n) for n, v in return_aggregates().items()])
-    return raw.select(
-        "symbol",
-        rounded(F.col("close_0"), 2).alias("current_price"),
-        *[v.alias(n) for n, v in return_values().items()],
-    )
+def values() -> dict[str, str]:
+    """Published figures from the raw aggregates."""
+    return {
+        "current_price": rounded("close_0", 2),
+        **return_values(RETURN_BARS),
+        "annualized_volatility": rounded("raw_volatility", 2),
+        "maximum_drawdown": rounded("raw_drawdown", 2),
+        "period_high": rounded("raw_high", 2),
+        "period_low": rounded("raw_low", 2),
+    }
 
 
-def volatility_aggregate() -> Column:
-    return F.stddev_samp(daily_return()) * math.sqrt(TRADING_DAYS) * 100
+def _only(numbered: DataFrame, *names: str) -> DataFrame:
+    """Selected figures; Catalyst prunes the aggregates they do not use."""
+    figures = values()
+    return per_symbol(numbered, aggregates()).selectExpr(
+        "symbol", *named({n: figures[n] for n in names})
+    )
 
 
-def volatility(numbered: DataFrame) -> DataFrame:
-    raw = numbered.groupBy("symbol").agg(volatility_aggregate().alias("raw"))
-    return raw.select("symbol", rounded(F.col("raw"), 2).alias("annualized_volatility"))
+def period_returns(numbered: DataFrame) -> DataFrame:
+    return _only(numbered, "current_price", *RETURN_BARS)
 
 
-def drawdown_aggregate() -> Column:
-    return F.min(F.try_divide(F.col("close") - F.col("running_max"), F.col("running_max"))) * 100
+def volatility(numbered: DataFrame) -> DataFrame:
+    return _only(numbered, "annualized_volatility")
 
 
 def max_drawdown(numbered: DataFrame) -> DataFrame:
-    raw = numbered.groupBy("symbol").agg(drawdown_aggregate().alias("raw"))
-    return raw.select("symbol", rounded(F.col("raw"), 2).alias("maximum_drawdown"))
+    return _only(numbered, "maximum_drawdown")
 
 
 def price_range(bars: DataFrame) -> DataFrame:
-    raw = bars.groupBy("symbol").agg(F.max("high").alias("high"), F.min("low").alias("low"))
-    return raw.select(
-        "symbol",
-        rounded(F.col("high"), 2).alias("period_high"),
-        rounded(F.col("low"), 2).alias("period_low"),
-    )
-
-
-def aggregates() -> dict[str, Column]:
-    return {
-        **return_aggregates(),
-        "raw_volatility": volatility_aggregate(),
-        "raw_drawdown": drawdown_aggregate(),
-        "raw_high": F.max("high"),
-        "raw_low": F.min("low"),
-    }
-
-
-def values() -> dict[str, Column]:
-    """Published figures from the raw aggregates."""
-    return {
-        "current_price": rounded(F.col("close_0"), 2),
-        **return_values(),
-        "annualized_volatility": rounded(F.col("raw_volatility"), 2),
-        "maximum_drawdown": rounded(F.col("raw_drawdown"), 2),
-        "period_high": rounded(F.col("raw_high"), 2),
-        "period_low": rounded(F.col("raw_low"), 2),
-    }
-
-
-def from_aggregates(raw: DataFrame) -> DataFrame:
-    return raw.select("symbol", *[v.alias(n) for n, v in values().items()])
+    raw = per_symbol(bars, {"raw_high": "max(high)", "raw_low": "min(low)"})
+    figures = values()
+    return raw.selectExpr("symbol", *named({n: figures[n] for n in ("period_high", "period_low")}))
 
 
 def historical_analysis(numbered: DataFrame) -> DataFrame:
-    raw = numbered.groupBy("symbol").agg(*[v.alias(n) for n, v in aggregates().items()])
-    return from_aggregates(raw)
+    return per_symbol(numbered, aggregates()).selectExpr("symbol", *named(values()))

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.functions.bands import (
+    MACRO_CLASSES,
     UNAVAILABLE_STATUSES,
     band_table,
-    classify_macro,
+    classified,
     inflation_targets,
     normalized_component,
 )
 from tickerloom.functions.markets import MARKETS, detect_market
 from tickerloom.functions.numeric import rounded
+from tickerloom.operators.technical import named
 
 INDICATORS = ["policy_rate", "inflation", "gdp_growth", "unemployment"]
 COMPONENTS = ["inflation", "gdp_growth", "unemployment", "monetary_environment"]
@@ -30,55 +32,57 @@ OBSERVATION = [
     "is_cached",
     "is_fallback",
 ]
-
-
-def _complete_us(observations: DataFrame) -> DataFrame:
-    """Drops the US rows unless all four indicators are there: that snapshot is all or nothing."""
-    n = F.count("*").over(Window.partitionBy("market_code"))
-    return (
-        observations.withColumn("n", n)
-        .filter((F.col("market_code") != "US") | (F.col("n") == len(INDICATORS)))
-        .drop("n")
-    )
+_MARKET = "upper(trim(market_code))"
+_KNOWN = f"coalesce({_MARKET} in ({', '.join(repr(code) for code, *_ in MARKETS)}), false)"
+_UNAVAILABLE = "(" + ", ".join(f"'{s}'" for s in UNAVAILABLE_STATUSES) + ")"
 
 
 def indicator_priority(live: DataFrame, cached: DataFrame, fallback: DataFrame) -> DataFrame:
     """Per market and indicator: live, else the last good observation, else (India, all but the
-    policy rate) the annual fallback. Every input has at most one row per market and indicator."""
-    tiers = [
-        (_complete_us(live), 0),
-        (_complete_us(cached).withColumns({"is_cached": F.lit(True), "is_fallback": F.lit(False)}), 1),
-        (
-            fallback.filter((F.col("market_code") == "IN") & (F.col("indicator") != "policy_rate"))
-            .withColumn("is_fallback", F.lit(True)),
-            2,
-        ),
-    ]
-    union = None
-    for rows, priority in tiers:
-        tagged = rows.select(*OBSERVATION, F.lit(priority).alias("priority"))
-        union = tagged if union is None else union.unionByName(tagged)
+    policy rate) the annual fallback. The US snapshot is all or nothing: live or cached rows of the
+    US count only when all four indicators are there.
+
+    Every input has at most one row per market and indicator, a handful in all.
+    """
+    plain = [c for c in OBSERVATION if c not in ("is_cached", "is_fallback")]
+    tiers = (
+        live.selectExpr(*OBSERVATION, "0 as priority")
+        .unionByName(
+            cached.selectExpr(*plain, "true as is_cached", "false as is_fallback", "1 as priority")
+        )
+        .unionByName(
+            fallback.filter("market_code = 'IN' and indicator <> 'policy_rate'").selectExpr(
+                *plain, "false as is_cached", "true as is_fallback", "2 as priority"
+            )
+        )
+    )
+    in_tier = F.count("*").over(Window.partitionBy("market_code", "priority"))
     best = F.row_number().over(Window.partitionBy("market_code", "indicator").orderBy("priority"))
-    return union.withColumn("position", best).filter(F.col("position") == 1).select(*OBSERVATION)
+    return (
+        tiers.withColumn("in_tier", in_tier)
+        .filter(f"market_code <> 'US' or in_tier = {len(INDICATORS)}")
+        .withColumn("position", best)
+        .filter("position = 1")
+        .select(*OBSERVATION)
+    )
 
 
 def market_features(markets: DataFrame, observations: DataFrame) -> DataFrame:
     """One row per market: the four numeric features and quality flags (null when absent)."""
 
-    def pick(indicator: str, value: Column) -> Column:
-        return F.max(F.when(F.col("indicator") == indicator, value))
+    def pick(indicator: str, value: str, name: str) -> F.Column:
+        return F.expr(f"max(case when indicator = '{indicator}' then {value} end) as {name}")
 
-    flag = F.coalesce(F.col("is_policy_rate"), F.lit(True)).cast("int")
     wide = observations.groupBy("market_code").agg(
-        pick("inflation", F.col("value")).alias("inflation_rate"),
-        pick("policy_rate", F.col("value")).alias("monetary_rate"),
-        pick("gdp_growth", F.col("value")).alias("gdp_growth_rate"),
-        pick("unemployment", F.col("value")).alias("unemployment_rate"),
-        pick("policy_rate", flag).alias("monetary_rate_is_policy_rate"),
-        pick("inflation", F.col("is_cached").cast("int")).alias("inflation_is_cached"),
-        pick("policy_rate", F.col("is_cached").cast("int")).alias("policy_rate_is_cached"),
-        pick("gdp_growth", F.col("is_fallback").cast("int")).alias("gdp_is_fallback"),
-        pick("unemployment", F.col("is_cached").cast("int")).alias("unemployment_is_cached"),
+        pick("inflation", "value", "inflation_rate"),
+        pick("policy_rate", "value", "monetary_rate"),
+        pick("gdp_growth", "value", "gdp_growth_rate"),
+        pick("unemployment", "value", "unemployment_rate"),
+        pick("policy_rate", "int(coalesce(is_policy_rate, true))", "monetary_rate_is_policy_rate"),
+        pick("inflation", "int(is_cached)", "inflation_is_cached"),
+        pick("policy_rate", "int(is_cached)", "policy_rate_is_cached"),
+        pick("gdp_growth", "int(is_fallback)", "gdp_is_fallback"),
+        pick("unemployment", "int(is_cached)", "unemployment_is_cached"),
     )
     return markets.select("market_code", "country").join(wide, "market_code", "left")
 
@@ -92,106 +96,92 @@ def by_market(symbols: DataFrame, market_rows: DataFrame) -> DataFrame:
 
 def macro_snapshot(symbols: DataFrame, markets: DataFrame, observations: DataFrame) -> DataFrame:
     """Value, date and source of the four indicators of each symbol's market."""
-    wide = observations.groupBy("market_code").agg(
-        *[
-            F.max(F.when(F.col("indicator") == i, F.col(c))).alias(f"{i}_{c}")
-            for i in INDICATORS
-            for c in ("value", "observation_date", "source")
-        ]
-    )
+    picks = [
+        F.expr(f"max(case when indicator = '{i}' then {c} end) as {i}_{c}")
+        for i in INDICATORS
+        for c in ("value", "observation_date", "source")
+    ]
+    wide = observations.groupBy("market_code").agg(*picks)
     per_market = markets.select("market_code", "country").join(wide, "market_code", "left")
     return by_market(symbols.select("symbol"), per_market)
 
 
-def threshold_classify(rows: DataFrame, market: Column, indicator: Column, value: Column, prefix: str) -> DataFrame:
+def threshold_classify(rows: DataFrame, market: str, indicator: str, value: str, prefix: str) -> DataFrame:
     """Adds ``<prefix>_status`` and ``<prefix>_score`` of the band holding ``value``.
 
-    The bands are disjoint, so the equality on (market, indicator) makes this a broadcast hash join
-    with the range as residual, and at most one row matches.
+    ``market``, ``indicator`` and ``value`` are SQL expressions. The bands are disjoint, so the equality
+    on (market, indicator) makes this a broadcast hash join with the range as residual, and at most one
+    row matches.
     """
-    bands = band_table(rows.sparkSession).select(
-        "band_market",
-        "band_indicator",
-        "lo",
-        "lo_included",
-        "hi",
-        "hi_included",
-        F.col("status").alias(f"{prefix}_status"),
-        F.col("score").alias(f"{prefix}_score"),
+    bands = band_table(rows.sparkSession).selectExpr(
+        "band_market", "band_indicator", "lo", "lo_included", "hi", "hi_included",
+        f"status as {prefix}_status", f"score as {prefix}_score",
+    )
+    keyed = rows.selectExpr(
+        "*", f"{market} as key_market", f"{indicator} as key_indicator", f"{value} as key_value"
     )
-    keyed = rows.withColumns({"_market": market, "_indicator": indicator, "_value": value})
-    v = F.col("_value")
-    above = F.col("lo").isNull() | (v > F.col("lo")) | (F.col("lo_included") & (v == F.col("lo")))
-    below = F.col("hi").isNull() | (v < F.col("hi")) | (F.col("hi_included") & (v == F.col("hi")))
-    return keyed.join(
-        F.broadcast(bands),
-        (F.col("_market") == F.col("band_market"))
-        & (F.col("_indicator") == F.col("band_indicator"))
-        & v.isNotNull()
-        & above
-        & below,
-        "left",
-    ).drop(
-        "_market", "_indicator", "_value", "band_market", "band_indicator", "lo", "lo_included", "hi", "hi_included"
+    inside = F.expr(
+        "key_market = band_market and key_indicator = band_indicator and key_value is not null"
+        " and (lo is null or key_value > lo or (lo_included and key_value = lo))"
+        " and (hi is null or key_value < hi or (hi_included and key_value = hi))"
     )
-
-
-def _market() -> Column:
-    return F.upper(F.trim(F.col("market_code")))
-
-
-def _known() -> Column:
-    return _market().isin([code for code, *_ in MARKETS])
-
-
-def _settled(rows: DataFrame, prefix: str, rate: Column) -> DataFrame:
-    """Unsupported markets and missing rates get their status and a zero score."""
-    known = F.coalesce(_known(), F.lit(False))
-    status = (
-        F.when(~known, F.lit("unsupported_market"))
-        .when(rate.isNull(), F.lit("unavailable"))
-        .otherwise(F.col(f"{prefix}_status"))
-    )
-    return rows.withColumns(
-        {
-            f"{prefix}_status": status,
-            f"{prefix}_score": F.coalesce(
-                F.when(known & rate.isNotNull(), F.col(f"{prefix}_score")), F.lit(0)
-            ),
-        }
+    return keyed.join(F.broadcast(bands), inside, "left").drop(
+        "key_market", "key_indicator", "key_value",
+        "band_market", "band_indicator", "lo", "lo_included", "hi", "hi_included",
+    )
+
+
+def _settled(rows: DataFrame, prefix: str, rate: str, status: str, score: str, *extra: str) -> DataFrame:
+    """Final status and score: unsupported markets and missing rates get theirs and a zero score."""
+    drop = f"* except ({prefix}_status, {prefix}_score)"
+    return rows.selectExpr(
+        drop,
+        f"case when not {_KNOWN} then 'unsupported_market' when {rate} is null then 'unavailable'"
+        f" else {status} end as {prefix}_status",
+        f"case when {_KNOWN} and {rate} is not null then coalesce({score}, 0) else 0 end as {prefix}_score",
+        *extra,
     )
 
 
 def interpret_inflation(rows: DataFrame) -> DataFrame:
     """From ``market_code, inflation_rate``: status, score and deviation from the market's target."""
-    rate = F.col("inflation_rate")
-    banded = threshold_classify(rows, _market(), F.lit("inflation"), rate, "inflation")
+    banded = threshold_classify(rows, _MARKET, "'inflation'", "inflation_rate", "inflation")
     targets = inflation_targets(rows.sparkSession).select("target_market", "target_rate")
-    joined = banded.join(F.broadcast(targets), _market() == F.col("target_market"), "left")
-    return (
-        _settled(joined, "inflation", rate)
-        .withColumn("deviation_from_target", rounded(rate - F.col("target_rate"), 2))
-        .drop("target_market", "target_rate")
-    )
+    joined = banded.join(F.broadcast(targets), F.expr(f"{_MARKET} = target_market"), "left")
+    deviation = rounded("inflation_rate - target_rate", 2)
+    return _settled(
+        joined,
+        "inflation",
+        "inflation_rate",
+        "inflation_status",
+        "inflation_score",
+        f"{deviation} as deviation_from_target",
+    ).drop("target_market", "target_rate")
 
 
 def interpret_gdp_growth(rows: DataFrame) -> DataFrame:
     """From ``market_code, gdp_growth_rate, gdp_is_fallback``: status, score and data quality."""
-    rate = F.col("gdp_growth_rate")
-    banded = threshold_classify(rows, _market(), F.lit("gdp_growth"), rate, "gdp_growth")
-    fallback = F.coalesce(F.col("gdp_is_fallback") == 1, F.lit(False))
-    quality = F.when(
-        ~F.col("gdp_growth_status").isin(UNAVAILABLE_STATUSES),
-        F.when(fallback, F.lit("fallback_source")).otherwise(F.lit("official_source")),
+    banded = threshold_classify(rows, _MARKET, "'gdp_growth'", "gdp_growth_rate", "gdp_growth")
+    quality = (
+        f"case when {_KNOWN} and gdp_growth_rate is not null then"
+        " case when gdp_is_fallback = 1 then 'fallback_source' else 'official_source' end end"
+    )
+    return _settled(
+        banded,
+        "gdp_growth",
+        "gdp_growth_rate",
+        "gdp_growth_status",
+        "gdp_growth_score",
+        f"{quality} as gdp_data_quality",
     )
-    return _settled(banded, "gdp_growth", rate).withColumn("gdp_data_quality", quality)
 
 
 def interpret_unemployment(rows: DataFrame) -> DataFrame:
     """From ``market_code, unemployment_rate``: status and score; a negative rate is invalid."""
-    rate = F.col("unemployment_rate")
-    banded = threshold_classify(rows, _market(), F.lit("unemployment"), rate, "unemployment")
-    return _settled(banded, "unemployment", rate)
+    banded = threshold_classify(rows, _MARKET, "'unemployment'", "unemployment_rate", "unemployment")
+    return _settled(
+        banded, "unemployment", "unemployment_rate", "unemployment_status", "unemployment_score"
+    )
 
 
 def interpret_monetary_rate(rows: DataFrame) -> DataFrame:
@@ -200,34 +190,28 @@ def interpret_monetary_rate(rows: DataFrame) -> DataFrame:
     A negative rate is supportive as such. Singapore and market rates are judged by level, policy
     rates by the distance to inflation (the real-rate proxy), when inflation is known.
     """
-    rate, inflation = F.col("monetary_rate"), F.col("inflation_rate")
-    is_policy = F.coalesce(F.col("monetary_rate_is_policy_rate") == 1, F.lit(False))
-    by_level = (_market() == "SG") | ~is_policy
-    proxy = F.when((rate >= 0) & ~by_level & _known(), rounded(rate - inflation, 2))
-    staged = rows.withColumn("real_rate_proxy", proxy)
+    by_level = f"coalesce({_MARKET} = 'SG' or not coalesce(monetary_rate_is_policy_rate = 1, false), true)"
+    proxy = rounded("monetary_rate - inflation_rate", 2)
+    name = "monetary_environment"
+    staged = rows.selectExpr(
+        "*",
+        f"case when monetary_rate >= 0 and not {by_level} and {_KNOWN} then {proxy} end as real_rate_proxy",
+    )
     banded = threshold_classify(
         staged,
-        F.lit("*"),
-        F.when(by_level, F.lit("reference_rate")).otherwise(F.lit("real_rate")),
-        F.when(by_level, rate).otherwise(F.col("real_rate_proxy")),
-        "monetary_environment",
-    )
-    status = (
-        F.when(rate < 0, F.lit("negative_rate_environment"))
-        .when(~by_level & inflation.isNull(), F.lit("rate_available_inflation_unavailable"))
-        .otherwise(F.col("monetary_environment_status"))
-    )
-    score = (
-        F.when(rate < 0, F.lit(1))
-        .when(~by_level & inflation.isNull(), F.lit(0))
-        .otherwise(F.col("monetary_environment_score"))
+        "'*'",
+        f"case when {by_level} then 'reference_rate' else 'real_rate' end",
+        f"case when {by_level} then monetary_rate else real_rate_proxy end",
+        name,
     )
+    no_inflation = f"not {by_level} and inflation_rate is null"
     return _settled(
-        banded.withColumns(
-            {"monetary_environment_status": status, "monetary_environment_score": score}
-        ),
-        "monetary_environment",
-        rate,
+        banded,
+        name,
+        "monetary_rate",
+        f"case when monetary_rate < 0 then 'negative_rate_environment'"
+        f" when {no_inflation} then 'rate_available_inflation_unavailable' else {name}_status end",
+        f"case when monetary_rate < 0 then 1 when {no_inflation} then 0 else {name}_score end",
     )
 
 
@@ -236,53 +220,47 @@ def component_scores(features: DataFrame) -> DataFrame:
     rows = interpret_monetary_rate(
         interpret_unemployment(interpret_gdp_growth(interpret_inflation(features)))
     )
+    columns = {}
     for name in COMPONENTS:
-        available = ~F.col(f"{name}_status").isin(UNAVAILABLE_STATUSES)
-        quality = F.lit(1.0)
+        available = f"({name}_status not in {_UNAVAILABLE})"
+        quality = "1D"
         if name == "gdp_growth":
-            quality = F.when(
-                F.coalesce(F.col("gdp_is_fallback") == 1, F.lit(False)), F.lit(FALLBACK_GDP_QUALITY)
-            ).otherwise(F.lit(1.0))
-        rows = rows.withColumns(
-            {
-                f"{name}_available": available,
-                f"{name}_normalized": normalized_component(F.col(f"{name}_score")),
-                f"{name}_quality": F.when(available, quality).otherwise(F.lit(0.0)),
-            }
-        )
-    return rows
+            quality = f"(case when gdp_is_fallback = 1 then {FALLBACK_GDP_QUALITY}D else 1D end)"
+        columns[f"{name}_available"] = available
+        columns[f"{name}_normalized"] = normalized_component(f"{name}_score")
+        columns[f"{name}_quality"] = f"case when {available} then {quality} else 0D end"
+    return rows.selectExpr("*", *named(columns))
 
 
-def weighted_components(weights: dict[str, Column]) -> tuple[Column, Column]:
+def weighted_components(weights: dict[str, str]) -> tuple[str, str]:
     """Weighted mean over the available components (0 when none is) and their total weight."""
-    total, weight = F.lit(0.0), F.lit(0.0)
-    for name, w in weights.items():
-        available = F.col(f"{name}_available")
-        total = total + F.when(available, F.col(f"{name}_normalized") * w).otherwise(F.lit(0.0))
-        weight = weight + F.when(available, w).otherwise(F.lit(0.0))
-    return F.coalesce(F.try_divide(total, weight), F.lit(0.0)), weight
+    total = " + ".join(
+        f"case when {n}_available then {n}_normalized * {w} else 0D end" for n, w in weights.items()
+    )
+    weight = " + ".join(f"case when {n}_available then {w} else 0D end" for n, w in weights.items())
+    return f"coalesce(try_divide({total}, {weight}), 0D)", f"({weight})"
+
+
+def contributions(weights: dict[str, str], prefix: str = "") -> dict[str, str]:
+    return {
+        f"{prefix}{n}_contribution": f"case when {n}_available then {rounded(f'{n}_normalized * {w}', 3)} end"
+        for n, w in weights.items()
+    }
 
 
 def macro_combined(features: DataFrame) -> DataFrame:
     """Combined macro score per market: weighted mean, coverage, confidence, class, contributions."""
-    weights = {name: F.lit(w) for name, w in COMPONENT_WEIGHTS.items()}
+    weights = {name: f"{w}D" for name, w in COMPONENT_WEIGHTS.items()}
     score, coverage = weighted_components(weights)
-    confidence = sum((w * F.col(f"{n}_quality") for n, w in weights.items()), F.lit(0.0))
-    contributions = {
-        f"{n}_contribution": F.when(
-            F.col(f"{n}_available"), rounded(F.col(f"{n}_normalized") * w, 3)
-        )
-        for n, w in weights.items()
+    confidence = " + ".join(f"{w} * {n}_quality" for n, w in weights.items())
+    combined = {
+        "combined_macro_score": rounded(score, 3),
+        "coverage_ratio": rounded(coverage, 2),
+        "confidence_score": rounded(f"({confidence})", 2),
+        **contributions(weights),
     }
     return (
         component_scores(features)
-        .withColumns(
-            {
-                "combined_macro_score": rounded(score, 3),
-                "coverage_ratio": rounded(coverage, 2),
-                "confidence_score": rounded(confidence, 2),
-                **contributions,
-            }
-        )
-        .withColumn("classification", classify_macro(F.col("combined_macro_score")))
+        .selectExpr("*", *named(combined))
+        .selectExpr("*", f"{classified('combined_macro_score', MACRO_CLASSES)} as classification")
     )

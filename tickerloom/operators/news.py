@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickerloom.functions.numeric import non_empty
 from tickerloom.functions.text import is_blocked_headline, stripped
 from tickerloom.operators.joins import salted_lookup
 
@@ -18,13 +17,11 @@ DEFAULT_LIMIT = 5
 
 def company_terms(companies: DataFrame, overrides: DataFrame) -> DataFrame:
     """Search name and lower-case matching terms: override, else company name, else the symbol."""
-    name = stripped(non_empty(F.col("company_name")))
-    return companies.join(F.broadcast(overrides), "symbol", "left").select(
+    name = "nullif(btrim(company_name, ' \\t\\r\\n'), '')"
+    return companies.join(F.broadcast(overrides), "symbol", "left").selectExpr(
         "symbol",
-        F.coalesce("override_name", name, "symbol").alias("search_name"),
-        F.coalesce(
-            "override_terms", F.array(F.lower(F.coalesce(name, F.col("symbol"))))
-        ).alias("terms"),
+        f"coalesce(override_name, {name}, symbol) as search_name",
+        f"coalesce(override_terms, array(lower(coalesce({name}, symbol)))) as terms",
     )
 
 

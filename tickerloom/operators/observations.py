@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.functions.numeric import rounded, to_number
@@ -22,10 +22,18 @@ MONTH_NAMES = [
     "November",
     "December",
 ]
-
-
-def latest_by_key(rows: DataFrame, keys: list[str], values: list[str], order: str, tie: str | None = None,
-                  first_wins: bool = True) -> DataFrame:
+_MONTHS = "array(" + ", ".join(f"'{m}'" for m in MONTH_NAMES) + ")"
+_YEAR_PATTERN, _QUARTER_PATTERN = "^([0-9]{4})-([0-9]{2})$", "^[Qq]([1-4])$"
+
+
+def latest_by_key(
+    rows: DataFrame,
+    keys: list[str],
+    values: list[str],
+    order: str,
+    tie: str | None = None,
+    first_wins: bool = True,
+) -> DataFrame:
     """The row with the greatest ``order`` per key; among equals the first (or last) by ``tie``.
 
     Two combinable steps with numeric buffers instead of one over a struct: Spark can hash-aggregate
@@ -41,10 +49,10 @@ def latest_by_key(rows: DataFrame, keys: list[str], values: list[str], order: st
 
 def series_latest(observations: DataFrame) -> DataFrame:
     """Newest observation per series, 4 places."""
-    return latest_by_key(observations, ["series_id"], ["value"], "date").select(
+    return latest_by_key(observations, ["series_id"], ["value"], "date").selectExpr(
         "series_id",
-        rounded(F.col("value"), 4).alias("value"),
-        F.date_format("date", "yyyy-MM-dd").alias("observation_date"),
+        f"{rounded('value', 4)} as value",
+        "date_format(date, 'yyyy-MM-dd') as observation_date",
     )
 
 
@@ -55,79 +63,62 @@ def inflation_yoy(observations: DataFrame) -> DataFrame:
     series is bounded by the calendar and one exchange serves the window and the aggregate.
     """
     newest = F.max("date").over(Window.partitionBy("series_id"))
-    value, date = F.col("value"), F.col("date")
-    pairs = (
+    return (
         observations.withColumn("latest_date", newest)
         .groupBy("series_id", "latest_date")
         .agg(
-            F.max(F.when(date == F.col("latest_date"), value)).alias("latest"),
-            F.max(F.when(date == F.add_months("latest_date", -12), value)).alias("base"),
+            F.expr("max(case when date = latest_date then value end) as latest"),
+            F.expr("max(case when date = add_months(latest_date, -12) then value end) as base"),
+        )
+        .filter("base <> 0")
+        .selectExpr(
+            "series_id",
+            f"{rounded('(latest / base - 1) * 100', 2)} as value",
+            "date_format(latest_date, 'yyyy-MM-dd') as observation_date",
+            "date_format(add_months(latest_date, -12), 'yyyy-MM-dd') as comparison_date",
+            f"{rounded('latest', 4)} as latest_cpi",
+            f"{rounded('base', 4)} as year_ago_cpi",
         )
-        .filter(F.col("base").isNotNull() & (F.col("base") != 0))
-    )
-    return pairs.select(
-        "series_id",
-        rounded((F.col("latest") / F.col("base") - 1) * 100, 2).alias("value"),
-        F.date_format("latest_date", "yyyy-MM-dd").alias("observation_date"),
-        F.date_format(F.add_months("latest_date", -12), "yyyy-MM-dd").alias("comparison_date"),
-        rounded(F.col("latest"), 4).alias("latest_cpi"),
-        rounded(F.col("base"), 4).alias("year_ago_cpi"),
     )
 
 
 def annual_latest(observations: DataFrame) -> DataFrame:
     """Newest non-empty annual figure per country and indicator: the fallback observation."""
-    present = observations.filter(F.col("value").isNotNull())
-    return latest_by_key(present, ["country_code", "indicator"], ["value"], "year").select(
+    present = observations.filter("value is not null")
+    return latest_by_key(present, ["country_code", "indicator"], ["value"], "year").selectExpr(
         "country_code",
         "indicator",
-        rounded(F.col("value"), 2).alias("value"),
-        F.col("year").cast("string").alias("observation_date"),
-        F.lit("annual").alias("frequency"),
-        F.lit(True).alias("is_fallback"),
-    )
-
-
-def _whole(text: Column) -> Column:
-    return F.when(F.trim(text).rlike("^[+-]?[0-9]+$"), F.trim(text).try_cast("int"))
-
-
-def _month_number(name: Column) -> Column:
-    position = F.array_position(F.array(*[F.lit(m) for m in MONTH_NAMES]), name).cast("int")
-    return F.when(position > 0, position)
-
-
-def monthly_records(records: DataFrame) -> DataFrame:
-    """Usable monthly records with ``period`` = year * 12 + month - 1; others drop out."""
-    return (
-        records.select(
-            "publisher",
-            "seq",
-            to_number(F.col("value")).alias("value"),
-            (_whole(F.col("year")) * 12 + _month_number(F.col("month")) - 1).alias("period"),
-        )
-        .filter(F.col("value").isNotNull() & F.col("period").isNotNull())
+        f"{rounded('value', 2)} as value",
+        "cast(year as string) as observation_date",
+        "'annual' as frequency",
+        "true as is_fallback",
     )
 
 
 def monthly_latest(records: DataFrame, first_wins: bool) -> DataFrame:
-    """Newest month per publisher; ``first_wins`` decides between records of the same month."""
-    latest = latest_by_key(
-        monthly_records(records), ["publisher"], ["value"], "period", "seq", first_wins
-    )
-    year, month = F.expr("period div 12"), F.col("period") % 12 + 1
-    return latest.select(
+    """Newest month per publisher; ``first_wins`` decides between records of the same month. Records
+    without a usable year, month name or value drop out."""
+    year = "case when trim(year) rlike '^[+-]?[0-9]+$' then try_cast(trim(year) as int) end"
+    month = f"nullif(int(array_position({_MONTHS}, month)), 0)"
+    usable = records.selectExpr(
         "publisher",
-        rounded(F.col("value"), 2).alias("value"),
-        F.format_string("%d-%02d", year, month).alias("observation_date"),
-        F.element_at(F.array(*[F.lit(m) for m in MONTH_NAMES]), month.cast("int")).alias("month"),
-        year.cast("bigint").alias("year"),
+        "seq",
+        f"{to_number('value')} as value",
+        f"({year}) * 12 + {month} - 1 as period",
+    ).filter("value is not null and period is not null")
+    latest = latest_by_key(usable, ["publisher"], ["value"], "period", "seq", first_wins)
+    return latest.selectExpr(
+        "publisher",
+        f"{rounded('value', 2)} as value",
+        "format_string('%d-%02d', period div 12, period % 12 + 1) as observation_date",
+        f"element_at({_MONTHS}, int(period % 12 + 1)) as month",
+        "period div 12 as year",
     )
 
 
 def general_price_latest(records: DataFrame) -> DataFrame:
     """Headline inflation: the general division only, first record of a month wins."""
-    return monthly_latest(records.filter(F.col("division") == "CPI (General)"), first_wins=True)
+    return monthly_latest(records.filter("division = 'CPI (General)'"), first_wins=True)
 
 
 def unemployment_latest(records: DataFrame) -> DataFrame:
@@ -137,56 +128,56 @@ def unemployment_latest(records: DataFrame) -> DataFrame:
 
 def fiscal_gdp_latest(records: DataFrame) -> DataFrame:
     """Newest fiscal quarter (``YYYY-YY``, ``Qn``) of the growth indicator; first record wins."""
-    year_pattern, quarter_pattern = r"^([0-9]{4})-([0-9]{2})$", "^[Qq]([1-4])$"
-    start = F.regexp_extract("fiscal_year", year_pattern, 1)
-    end = F.regexp_extract("fiscal_year", year_pattern, 2)
-    quarter = F.regexp_extract("quarter", quarter_pattern, 1)
+
+    def part(column: str, pattern: str, group: int) -> str:
+        return f"try_cast(regexp_extract({column}, '{pattern}', {group}) as int)"
+
+    start, quarter = part("fiscal_year", _YEAR_PATTERN, 1), part("quarter", _QUARTER_PATTERN, 1)
     usable = (
-        records.filter(F.col("indicator") == "GDP Growth Rate")
-        .select(
+        records.filter("indicator = 'GDP Growth Rate'")
+        .selectExpr(
             "publisher",
             "seq",
-            to_number(F.col("value")).alias("value"),
-            end.try_cast("int").alias("end_year"),
-            (start.try_cast("int") * 4 + quarter.try_cast("int") - 1).alias("period"),
+            f"{to_number('value')} as value",
+            f"{part('fiscal_year', _YEAR_PATTERN, 2)} as end_year",
+            f"{start} * 4 + {quarter} - 1 as period",
         )
-        .filter(F.col("value").isNotNull() & F.col("period").isNotNull())
+        .filter("value is not null and period is not null")
     )
     latest = latest_by_key(usable, ["publisher"], ["value", "end_year"], "period", "seq")
-    start_year, quarter_no = F.expr("period div 4"), F.col("period") % 4 + 1
-    return latest.select(
+    return latest.selectExpr(
         "publisher",
-        rounded(F.col("value"), 2).alias("value"),
-        F.format_string("%d-%02d-Q%d", start_year, F.col("end_year"), quarter_no).alias("observation_date"),
-        F.format_string("%d-%02d", start_year, F.col("end_year")).alias("fiscal_year"),
-        quarter_no.cast("bigint").alias("quarter"),
+        f"{rounded('value', 2)} as value",
+        "format_string('%d-%02d-Q%d', period div 4, end_year, period % 4 + 1) as observation_date",
+        "format_string('%d-%02d', period div 4, end_year) as fiscal_year",
+        "bigint(period % 4 + 1) as quarter",
     )
 
 
 def month_cells_latest(cells: DataFrame) -> DataFrame:
     """Newest ``yyyy MMM`` cell per table."""
-    dated = cells.withColumn("date", F.try_to_date("key", "yyyy MMM")).filter(
-        F.col("date").isNotNull()
-    )
-    return latest_by_key(dated, ["series_id"], ["value"], "date").select(
+    dated = cells.withColumn("date", F.try_to_date("key", "yyyy MMM")).filter("date is not null")
+    return latest_by_key(dated, ["series_id"], ["value"], "date").selectExpr(
         "series_id",
-        rounded(F.col("value"), 2).alias("value"),
-        F.date_format("date", "yyyy-MM").alias("observation_date"),
+        f"{rounded('value', 2)} as value",
+        "date_format(date, 'yyyy-MM') as observation_date",
     )
 
 
 def quarter_cells_latest(cells: DataFrame) -> DataFrame:
     """Newest ``yyyy nQ`` cell per table."""
-    packed = F.replace(F.col("key"), F.lit(" "), F.lit(""))
-    year = _whole(F.substring(packed, 1, 4))
-    quarter = F.substring(packed, 5, 1).try_cast("int")
-    dated = cells.withColumn(
-        "period", F.when(quarter.between(1, 4), year * 4 + quarter - 1)
-    ).filter(F.col("period").isNotNull())
-    return latest_by_key(dated, ["series_id"], ["value"], "period").select(
+    dated = (
+        cells.selectExpr("*", "replace(key, ' ', '') as packed")
+        .selectExpr(
+            "*",
+            "try_cast(substring(packed, 5, 1) as int) as quarter",
+            "case when packed rlike '^[0-9]{4}' then int(substring(packed, 1, 4)) end as year",
+        )
+        .filter("quarter between 1 and 4 and year is not null")
+        .selectExpr("series_id", "value", "year * 4 + quarter - 1 as period")
+    )
+    return latest_by_key(dated, ["series_id"], ["value"], "period").selectExpr(
         "series_id",
-        rounded(F.col("value"), 2).alias("value"),
-        F.format_string("%d-Q%d", F.expr("period div 4"), F.col("period") % 4 + 1).alias(
-            "observation_date"
-        ),
+        f"{rounded('value', 2)} as value",
+        "format_string('%d-Q%d', period div 4, period % 4 + 1) as observation_date",
     )

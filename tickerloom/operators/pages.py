@@ -32,20 +32,19 @@ CSV_PAIR_PATTERN = r'^(?:"([^"]*)"|([^",]*)),(?:"([^"]*)"|([^",]*))'
 
 def page_rate_extract(pages: DataFrame) -> DataFrame:
     """Policy rate and last-updated date (null when it is no date) from a page's visible text."""
-    text = pages.select("page_id", page_text(F.col("html")).alias("text"))
-    found = text.select(
+    found = pages.select("page_id", page_text(F.col("html")).alias("text")).select(
         "page_id",
-        to_number(F.regexp_extract("text", POLICY_RATE_PATTERN, 1)).alias("value"),
+        F.regexp_extract("text", POLICY_RATE_PATTERN, 1).alias("rate"),
         F.try_to_date(
             F.initcap(F.regexp_extract("text", UPDATED_PATTERN, 1)), "MMM d, yyyy"
         ).alias("updated"),
     )
-    missing = F.col("value").isNull()
-    return found.select(
+    return found.selectExpr("page_id", f"{to_number('rate')} as value", "updated").selectExpr(
         "page_id",
         "value",
-        F.when(~missing, F.date_format("updated", "yyyy-MM-dd")).alias("page_last_updated_date"),
-        F.when(missing, F.lit("policy rate not found")).alias("error"),
+        "case when value is not null then date_format(updated, 'yyyy-MM-dd') end"
+        " as page_last_updated_date",
+        "case when value is null then 'policy rate not found' end as error",
     )
 
 
@@ -71,34 +70,30 @@ def page_table_extract(pages: DataFrame, indicator: str) -> DataFrame:
             F.get(cells, F.lit(1)).alias("second_text"),
         )
 
-    def usable(row: Column) -> Column:
-        first, second = to_number(row["first_text"]), to_number(row["second_text"])
-        first_ok = first.isNotNull()
-        if indicator == "unemployment":
-            first_ok = first_ok | (row["first_text"] == "")
-        return row["date"].isNotNull() & second.isNotNull() & first_ok
-
-    latest = F.array_max(F.filter("rows", usable))
+    first_ok = f"{to_number('r.first_text')} is not null"
+    if indicator == "unemployment":
+        first_ok = f"({first_ok} or r.first_text = '')"
+    usable = f"r.date is not null and {to_number('r.second_text')} is not null and {first_ok}"
     picked = (
         pages.select("page_id", table.alias("table_html"))
         .select("page_id", "table_html", F.transform(rows, parsed).alias("rows"))
-        .select("page_id", F.col("table_html").isNull().alias("no_table"), latest.alias("latest"))
+        .selectExpr(
+            "page_id", "table_html is null as no_table", f"array_max(filter(rows, r -> {usable})) as latest"
+        )
     )
-    first, second = to_number(F.col("latest.first_text")), to_number(F.col("latest.second_text"))
-    value, other = (first, second) if indicator == "gdp_growth" else (second, first)
-    date = F.col("latest.date")
-    label = F.date_format(date, "yyyy-MM")
+    value, other = to_number("latest.second_text"), to_number("latest.first_text")
+    label = "date_format(latest.date, 'yyyy-MM')"
     if indicator == "gdp_growth":
-        label = F.concat(F.year(date), F.lit("-Q"), F.quarter(date))
-    return picked.select(
+        value, other = other, value
+        label = "concat(year(latest.date), '-Q', quarter(latest.date))"
+    return picked.selectExpr(
         "page_id",
-        F.lit(indicator).alias("indicator"),
-        rounded(value, 2).alias("value"),
-        rounded(other, 2).alias("other"),
-        label.alias("observation_date"),
-        F.when(F.col("no_table"), F.lit("table not found"))
-        .when(F.col("latest").isNull(), F.lit("no valid observations"))
-        .alias("error"),
+        f"'{indicator}' as indicator",
+        f"{rounded(value, 2)} as value",
+        f"{rounded(other, 2)} as other",
+        f"{label} as observation_date",
+        "case when no_table then 'table not found'"
+        " when latest is null then 'no valid observations' end as error",
     )
 
 
@@ -140,29 +135,24 @@ def forward_fill(rows: DataFrame, keys: list[str], order: str, columns: list[str
 
 def sora_table_extract(pages: DataFrame) -> DataFrame:
     """Latest value date with its publication date and rate (4 places) per page."""
-    dated = rate_table_rows(pages).select(
+    dated = rate_table_rows(pages).selectExpr(
         "page_id",
-        F.try_to_date(
-            F.concat_ws(" ", "year", F.initcap("month"), "day"), "yyyy MMM d"
-        ).alias("value_date"),
-        F.try_to_date(F.initcap("published"), "d MMM yyyy").alias("publication_date"),
-        to_number(F.col("rate")).alias("value"),
-        "position",
-    )
-    valid = dated.filter(
-        F.col("value_date").isNotNull()
-        & F.col("publication_date").isNotNull()
-        & F.col("value").isNotNull()
+        "try_to_date(concat(year, ' ', initcap(month), ' ', day), 'yyyy MMM d') as value_date",
+        "try_to_date(initcap(published), 'd MMM yyyy') as publication_date",
+        f"{to_number('rate')} as value",
+        "-position as order",
     )
-    latest = valid.groupBy("page_id").agg(
-        F.max(F.struct("value_date", -F.col("position"), "publication_date", "value")).alias("latest")
+    latest = (
+        dated.filter("value_date is not null and publication_date is not null and value is not null")
+        .groupBy("page_id")
+        .agg(F.expr("max(struct(value_date, order, publication_date, value)) as latest"))
     )
-    return pages.select("page_id").join(latest, "page_id", "left").select(
+    return pages.select("page_id").join(latest, "page_id", "left").selectExpr(
         "page_id",
-        rounded(F.col("latest.value"), 4).alias("value"),
-        F.date_format("latest.value_date", "yyyy-MM-dd").alias("observation_date"),
-        F.date_format("latest.publication_date", "yyyy-MM-dd").alias("publication_date"),
-        F.when(F.col("latest").isNull(), F.lit("no valid observations")).alias("error"),
+        f"{rounded('latest.value', 4)} as value",
+        "date_format(latest.value_date, 'yyyy-MM-dd') as observation_date",
+        "date_format(latest.publication_date, 'yyyy-MM-dd') as publication_date",
+        "case when latest is null then 'no valid observations' end as error",
     )
 
 
@@ -186,46 +176,32 @@ def rba_csv_extract(files: DataFrame) -> DataFrame:
         )
 
     pairs = F.filter(F.transform(lines, pair), lambda p: p.isNotNull())
-    start = F.array_position(F.transform("pairs", lambda p: p["name"]), F.lit("Series ID")).cast("int")
-    preamble = F.filter(
-        F.slice("pairs", 1, F.greatest(F.col("start") - 1, F.lit(0))),
-        lambda p: p["name"] == "Publication date",
-    )
-    data = F.filter(
-        F.transform(
-            F.when(F.col("start") > 0, F.slice("pairs", F.col("start") + 1, F.size("pairs"))),
-            lambda p: F.struct(
-                F.try_to_date(F.initcap(p["name"]), "d-MMM-yyyy").alias("date"),
-                p["order"].alias("order"),
-                to_number(p["text"]).alias("value"),
-            ),
-        ),
-        lambda o: o["date"].isNotNull() & o["value"].isNotNull(),
-    )
     parsed = (
         files.select("file", pairs.alias("pairs"))
-        .select("file", "pairs", start.alias("start"))
-        .select(
+        .selectExpr("*", "int(array_position(pairs.name, 'Series ID')) as start")
+        .selectExpr(
             "file",
             "start",
-            F.when(F.col("start") > 0, F.element_at("pairs", F.greatest(F.col("start"), F.lit(1)))["text"]).alias("series_id"),
-            F.try_element_at(preamble, F.lit(-1))["text"].alias("published"),
-            F.array_max(data).alias("latest"),
+            "try_element_at(pairs.text, nullif(start, 0)) as series_id",
+            "try_element_at(filter(slice(pairs, 1, greatest(start - 1, 0)),"
+            " p -> p.name = 'Publication date'), -1).text as published",
+            "array_max(filter(transform(if(start > 0, slice(pairs, start + 1, size(pairs)), null), p -> struct("
+            "try_to_date(initcap(p.name), 'd-MMM-yyyy') as date, p.order as order,"
+            f" {to_number('p.text')} as value)),"
+            " o -> o.date is not null and o.value is not null)) as latest",
+        )
+        .selectExpr(
+            "*",
+            "case when start = 0 then 'data section not found'"
+            f" when series_id <> '{CASH_RATE_SERIES}' then 'unexpected series'"
+            " when latest is null then 'no valid observations' end as error",
         )
     )
-    error = (
-        F.when(F.col("start") == 0, F.lit("data section not found"))
-        .when(F.col("series_id") != CASH_RATE_SERIES, F.lit("unexpected series"))
-        .when(F.col("latest").isNull(), F.lit("no valid observations"))
-    )
-    published = F.try_to_date(F.initcap("published"), "d-MMM-yyyy")
-    ok = F.col("error").isNull()
-    return parsed.withColumn("error", error).select(
+    published = "coalesce(date_format(try_to_date(initcap(published), 'd-MMM-yyyy'), 'yyyy-MM-dd'), published)"
+    return parsed.selectExpr(
         "file",
-        F.when(ok, rounded(F.col("latest.value"), 2)).alias("value"),
-        F.when(ok, F.date_format("latest.date", "yyyy-MM-dd")).alias("observation_date"),
-        F.when(
-            ok, F.coalesce(F.date_format(published, "yyyy-MM-dd"), F.col("published"))
-        ).alias("publication_date"),
+        f"case when error is null then {rounded('latest.value', 2)} end as value",
+        "case when error is null then date_format(latest.date, 'yyyy-MM-dd') end as observation_date",
+        f"case when error is null then {published} end as publication_date",
         "error",
     )

@@ -1,12 +1,13 @@
-"""Module scores in [-1, +1] and their combination into one score per symbol."""
+"""Module scores in [-1, +1] and their combination into one score per symbol, as row-wise SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.functions.bands import classify_intelligence
+from tickerloom.functions.bands import INTELLIGENCE_CLASSES, classified
 from tickerloom.functions.numeric import clamp, rounded
+from tickerloom.operators.technical import named
 
 # Module weights; return -> (scale, weight); band scores of the fundamental metrics.
 MODULE_WEIGHTS = {
@@ -22,138 +23,148 @@ RETURN_SCALES = {
     "six_month_return": (40.0, 0.25),
     "one_year_return": (50.0, 0.25),
 }
+_GROWTH_BANDS = "when {0} >= 10 then 1D when {0} > 0 then 0.5D when {0} <= -10 then -1D when {0} is not null then -0.5D"
+# A negative forward P/E falls into the "up to 40" band, as that rule is stated.
+METRIC_BANDS = {
+    "profit_margin": "when {0} >= 10 then 1D when {0} > 0 then 0.5D when {0} is not null then -1D",
+    "return_on_equity": "when {0} >= 15 then 1D when {0} >= 5 then 0.5D when {0} >= 0 then 0D"
+    " when {0} is not null then -1D",
+    "revenue_growth": _GROWTH_BANDS,
+    "earnings_growth": _GROWTH_BANDS,
+    "forward_pe": "when {0} > 0 and {0} <= 25 then 1D when {0} <= 40 then 0.25D"
+    " when {0} is not null then -0.5D",
+    "debt_to_equity": "when {0} <= 100 then 0.5D when {0} <= 200 then 0D when {0} is not null then -0.5D",
+    "free_cash_flow": "when {0} > 0 then 1D when {0} is not null then -1D",
+}
 
 
-def _module(name: str, available: Column, score: Column, quality: Column) -> dict[str, Column]:
+def _module(name: str, available: str, score: str, quality: str) -> list[str]:
     """Score, availability and quality columns; an unavailable module scores 0 with quality 0."""
-    known = F.coalesce(available, F.lit(False))
-    return {
-        f"{name}_score": F.when(known, rounded(clamp(score), 3)).otherwise(F.lit(0.0)),
-        f"{name}_available": known,
-        f"{name}_quality": F.when(known, rounded(quality, 2)).otherwise(F.lit(0.0)),
-    }
+    known = f"coalesce({available}, false)"
+    return [
+        f"case when {known} then {rounded(clamp(f'({score})'), 3)} else 0D end as {name}_score",
+        f"{known} as {name}_available",
+        f"case when {known} then {rounded(quality, 2)} else 0D end as {name}_quality",
+    ]
 
 
-def score_technical(rows: DataFrame) -> DataFrame:
-    net = F.col("net_score")
-    return rows.withColumns(_module("technical", net.isNotNull(), net / 6, F.lit(1.0)))
+def technical_columns() -> list[str]:
+    return _module("technical", "net_score is not null", "net_score / 6", "1D")
 
 
-def score_sentiment(rows: DataFrame) -> DataFrame:
-    n, score = F.col("article_count"), F.col("sentiment_score")
-    return rows.withColumns(
-        _module("sentiment", (n > 0) & score.isNotNull(), score, F.least(n / 5, F.lit(1.0)))
+def sentiment_columns() -> list[str]:
+    """From ``article_count`` and ``headline_score`` (the sentiment score of the headlines)."""
+    return _module(
+        "sentiment",
+        "article_count > 0 and headline_score is not null",
+        "headline_score",
+        "least(article_count / 5, 1D)",
     )
 
 
-def score_historical(rows: DataFrame) -> DataFrame:
+def historical_columns() -> list[str]:
     """Scaled returns weighted over those available, less a penalty for volatility and drawdown."""
-    total, weight = F.lit(0.0), F.lit(0.0)
-    for name, (scale, w) in RETURN_SCALES.items():
-        value = F.col(name)
-        total = total + F.coalesce(clamp(value / scale) * w, F.lit(0.0))
-        weight = weight + F.when(value.isNotNull(), F.lit(w)).otherwise(F.lit(0.0))
-    volatility, drawdown = F.col("annualized_volatility"), F.col("maximum_drawdown")
+    total = " + ".join(
+        f"coalesce({clamp(f'({n} / {scale}D)')} * {w}D, 0D)" for n, (scale, w) in RETURN_SCALES.items()
+    )
+    weight = " + ".join(
+        f"case when {n} is null then 0D else {w}D end" for n, (_, w) in RETURN_SCALES.items()
+    )
     penalty = (
-        F.when(volatility > 75, F.lit(-0.20)).when(volatility > 50, F.lit(-0.10)).otherwise(F.lit(0.0))
-    ) + (F.when(drawdown < -50, F.lit(-0.20)).when(drawdown < -30, F.lit(-0.10)).otherwise(F.lit(0.0)))
-    staged = rows.withColumns({"_total": total, "_weight": weight, "_penalty": penalty})
-    available = F.col("_weight") > 0
-    score = F.try_divide(F.col("_total"), F.col("_weight")) + F.col("_penalty")
-    return staged.withColumns(
-        {
-            **_module("historical", available, score, F.col("_weight")),
-            "risk_penalty": F.when(available, rounded(F.col("_penalty"), 2)),
-        }
-    ).drop("_total", "_weight", "_penalty")
-
-
-def fundamental_metric_scores() -> dict[str, Column]:
-    """Banded score per metric; null when the metric is missing. A negative forward P/E falls into the
-    "up to 40" band, as that rule is stated."""
-    margin, equity, pe = F.col("profit_margin"), F.col("return_on_equity"), F.col("forward_pe")
-    debt, cash = F.col("debt_to_equity"), F.col("free_cash_flow")
-
-    def growth(name: str) -> Column:
-        value = F.col(name)
-        return (
-            F.when(value >= 10, F.lit(1.0))
-            .when(value > 0, F.lit(0.5))
-            .when(value <= -10, F.lit(-1.0))
-            .when(value.isNotNull(), F.lit(-0.5))
-        )
+        "(case when annualized_volatility > 75 then -0.2D when annualized_volatility > 50 then -0.1D"
+        " else 0D end + case when maximum_drawdown < -50 then -0.2D"
+        " when maximum_drawdown < -30 then -0.1D else 0D end)"
+    )
+    return [
+        *_module(
+            "historical", f"({weight}) > 0", f"try_divide({total}, {weight}) + {penalty}", f"({weight})"
+        ),
+        f"case when ({weight}) > 0 then {rounded(penalty, 2)} end as risk_penalty",
+    ]
+
+
+def fundamental_columns() -> list[str]:
+    """Mean of the banded metrics present; quality is the share of metrics present."""
+    metrics = ", ".join(f"case {bands.format(name)} end" for name, bands in METRIC_BANDS.items())
+    known = f"filter(array({metrics}), x -> x is not null)"
+    total = f"aggregate({known}, 0D, (a, x) -> a + x)"
+    return _module(
+        "fundamental",
+        f"size({known}) > 0",
+        f"try_divide({total}, size({known}))",
+        f"size({known}) / {len(METRIC_BANDS)}",
+    )
+
+
+def sector_macro_columns() -> list[str]:
+    return _module(
+        "sector_macro",
+        "sector_macro_score is not null and available_sector_weight <> 0",
+        "sector_macro_score",
+        "coalesce(macro_confidence_score, 0D)",
+    )
+
+
+def _scored(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.selectExpr("*", *columns)
 
-    return {
-        "profit_margin": F.when(margin >= 10, F.lit(1.0))
-        .when(margin > 0, F.lit(0.5))
-        .when(margin.isNotNull(), F.lit(-1.0)),
-        "return_on_equity": F.when(equity >= 15, F.lit(1.0))
-        .when(equity >= 5, F.lit(0.5))
-        .when(equity >= 0, F.lit(0.0))
-        .when(equity.isNotNull(), F.lit(-1.0)),
-        "revenue_growth": growth("revenue_growth"),
-        "earnings_growth": growth("earnings_growth"),
-        "forward_pe": F.when((pe > 0) & (pe <= 25), F.lit(1.0))
-        .when(pe <= 40, F.lit(0.25))
-        .when(pe.isNotNull(), F.lit(-0.5)),
-        "debt_to_equity": F.when(debt <= 100, F.lit(0.5))
-        .when(debt <= 200, F.lit(0.0))
-        .when(debt.isNotNull(), F.lit(-0.5)),
-        "free_cash_flow": F.when(cash > 0, F.lit(1.0)).when(cash.isNotNull(), F.lit(-1.0)),
-    }
+
+def score_technical(rows: DataFrame) -> DataFrame:
+    return _scored(rows, technical_columns())
+
+
+def score_sentiment(rows: DataFrame) -> DataFrame:
+    return _scored(rows, sentiment_columns())
+
+
+def score_historical(rows: DataFrame) -> DataFrame:
+    return _scored(rows, historical_columns())
 
 
 def score_fundamental(rows: DataFrame) -> DataFrame:
-    scores = list(fundamental_metric_scores().values())
-    total = sum((F.coalesce(s, F.lit(0.0)) for s in scores), F.lit(0.0))
-    count = sum((F.when(s.isNotNull(), F.lit(1)).otherwise(F.lit(0)) for s in scores), F.lit(0))
-    staged = rows.withColumns({"_total": total, "_count": count})
-    n = F.col("_count")
-    return staged.withColumns(
-        _module("fundamental", n > 0, F.try_divide(F.col("_total"), n), n / len(scores))
-    ).drop("_total", "_count")
+    return _scored(rows, fundamental_columns())
 
 
 def score_sector_macro(rows: DataFrame) -> DataFrame:
-    score, weight = F.col("sector_macro_score"), F.col("available_sector_weight")
-    quality = F.coalesce(F.col("macro_confidence_score"), F.lit(0.0))
-    return rows.withColumns(
-        _module("sector_macro", score.isNotNull() & (weight != 0), score, quality)
-    )
+    """The module score takes the name, and the place, of the sector score it is made from."""
+    return rows.selectExpr("* except (sector_macro_score)", *sector_macro_columns())
 
 
 def combine(rows: DataFrame) -> DataFrame:
     """Weighted mean over the available modules; coverage and confidence are plain weight sums."""
-    total, weight, confidence = F.lit(0.0), F.lit(0.0), F.lit(0.0)
-    contributions = {}
-    for name, w in MODULE_WEIGHTS.items():
-        available, part = F.col(f"{name}_available"), F.col(f"{name}_score") * w
-        total = total + F.when(available, part).otherwise(F.lit(0.0))
-        weight = weight + F.when(available, F.lit(w)).otherwise(F.lit(0.0))
-        confidence = confidence + F.when(available, F.col(f"{name}_quality") * w).otherwise(F.lit(0.0))
-        contributions[f"{name}_contribution"] = F.when(available, rounded(part, 3))
-    return rows.withColumns(
-        {
-            "intelligence_score": F.coalesce(rounded(F.try_divide(total, weight), 3), F.lit(0.0)),
-            "coverage_ratio": rounded(weight, 2),
-            "confidence_score": rounded(confidence, 2),
-            **contributions,
-        }
-    ).withColumn("classification", classify_intelligence(F.col("intelligence_score")))
+
+    def over_available(value: str) -> str:
+        return "(" + " + ".join(
+            f"case when {n}_available then {value.format(name=n)} * {w}D else 0D end"
+            for n, w in MODULE_WEIGHTS.items()
+        ) + ")"
+
+    total, weight = over_available("{name}_score"), over_available("1D")
+    score = f"coalesce({rounded(f'try_divide({total}, {weight})', 3)}, 0D)"
+    return rows.selectExpr(
+        "*",
+        f"{score} as intelligence_score",
+        f"{rounded(weight, 2)} as coverage_ratio",
+        f"{rounded(over_available('{name}_quality'), 2)} as confidence_score",
+        *[
+            f"case when {n}_available then {rounded(f'{n}_score * {w}D', 3)} end as {n}_contribution"
+            for n, w in MODULE_WEIGHTS.items()
+        ],
+    ).selectExpr("*", f"{classified('intelligence_score', INTELLIGENCE_CLASSES)} as classification")
 
 
 def intelligence_score(report: DataFrame) -> DataFrame:
     """All five module scores and their combination, inside the row."""
-    scored = report
-    for score in (
-        score_fundamental,
-        score_technical,
-        score_sentiment,
-        score_historical,
-        score_sector_macro,
-    ):
-        scored = score(scored)
-    return combine(scored)
+    return combine(
+        report.selectExpr(
+            "* except (sector_macro_score)",
+            *fundamental_columns(),
+            *technical_columns(),
+            *sentiment_columns(),
+            *historical_columns(),
+            *sector_macro_columns(),
+        )
+    )
 
 
 def intelligence_rank(scored: DataFrame, k: int) -> DataFrame:
@@ -163,7 +174,12 @@ def intelligence_rank(scored: DataFrame, k: int) -> DataFrame:
 
 def module_scores(scored: DataFrame) -> DataFrame:
     """Nested form: one row per symbol with a struct per module, as a report presents it."""
-    return scored.select(
+    modules = {
+        n: f"struct({n}_score as score, {n}_available as is_available, {n}_quality as quality_factor,"
+        f" {w}D as weight, {n}_contribution as weighted_contribution)"
+        for n, w in MODULE_WEIGHTS.items()
+    }
+    return scored.selectExpr(
         "symbol",
         "company_name",
         "sector",
@@ -171,18 +187,7 @@ def module_scores(scored: DataFrame) -> DataFrame:
         "classification",
         "coverage_ratio",
         "confidence_score",
-        F.struct(
-            *[
-                F.struct(
-                    F.col(f"{n}_score").alias("score"),
-                    F.col(f"{n}_available").alias("is_available"),
-                    F.col(f"{n}_quality").alias("quality_factor"),
-                    F.lit(w).alias("weight"),
-                    F.col(f"{n}_contribution").alias("weighted_contribution"),
-                ).alias(n)
-                for n, w in MODULE_WEIGHTS.items()
-            ]
-        ).alias("module_scores"),
+        f"struct({', '.join(named(modules))}) as module_scores",
         "errors",
     )
 
@@ -196,14 +201,11 @@ def report_chart_series(scored: DataFrame) -> DataFrame:
         "6 Months": "six_month_return",
         "1 Year": "one_year_return",
     }
-    gauge = (clamp(F.col("intelligence_score")) + 1) / 2 * 100
-
-    def point(chart: str, label: str, value: Column) -> Column:
-        return F.struct(F.lit(chart).alias("chart"), F.lit(label).alias("label"), value.alias("value"))
-
-    points = F.array(
-        *[point("module_scores", n, F.col(f"{n}_score")) for n in MODULE_WEIGHTS],
-        *[point("returns", label, F.col(c)) for label, c in labels.items()],
-        point("gauge", "position", rounded(gauge, 2)),
-    )
-    return scored.select("symbol", F.inline(points)).filter(F.col("value").isNotNull())
+    gauge = rounded(f"({clamp('intelligence_score')} + 1) / 2 * 100", 2)
+    points = [("module_scores", n, f"{n}_score") for n in MODULE_WEIGHTS]
+    points += [("returns", label, column) for label, column in labels.items()]
+    points += [("gauge", "position", gauge)]
+    stacked = ", ".join(f"'{chart}', '{label}', {value}" for chart, label, value in points)
+    return scored.selectExpr(
+        "symbol", f"stack({len(points)}, {stacked}) as (chart, label, value)"
+    ).filter("value is not null")

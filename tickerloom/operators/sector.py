@@ -2,44 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.functions.bands import classify_sector
+from tickerloom.functions.bands import MACRO_CLASSES, classified
 from tickerloom.functions.markets import DEFAULT_SECTOR_WEIGHT, sector_weights
 from tickerloom.functions.numeric import rounded
-from tickerloom.operators.macro import COMPONENTS, weighted_components
+from tickerloom.operators.macro import COMPONENTS, contributions, weighted_components
+from tickerloom.operators.technical import named
 
 
 def sector_weight_join(companies: DataFrame) -> DataFrame:
     """Adds the weights of ``sector``; unknown sectors get equal weights and ``used_default_weights``."""
-    weights = sector_weights(companies.sparkSession)
-    joined = companies.join(F.broadcast(weights), "sector", "left").withColumn(
-        "used_default_weights", F.col("w_inflation").isNull()
-    )
-    return joined.withColumns(
-        {f"w_{n}": F.coalesce(F.col(f"w_{n}"), F.lit(DEFAULT_SECTOR_WEIGHT)) for n in COMPONENTS}
+    weights = ", ".join(f"w_{n}" for n in COMPONENTS)
+    joined = companies.join(F.broadcast(sector_weights(companies.sparkSession)), "sector", "left")
+    return joined.selectExpr(
+        f"* except ({weights})",
+        "w_inflation is null as used_default_weights",
+        *[f"coalesce(w_{n}, {DEFAULT_SECTOR_WEIGHT}D) as w_{n}" for n in COMPONENTS],
     )
 
 
 def sector_macro(companies_with_macro: DataFrame) -> DataFrame:
     """From rows with ``sector`` and the macro component columns: sector score, weight, class."""
-    weights: dict[str, Column] = {n: F.col(f"w_{n}") for n in COMPONENTS}
+    weights = {n: f"w_{n}" for n in COMPONENTS}
     score, weight = weighted_components(weights)
-    contributions = {
-        f"sector_{n}_contribution": F.when(
-            F.col(f"{n}_available"), rounded(F.col(f"{n}_normalized") * w, 3)
-        )
-        for n, w in weights.items()
+    columns = {
+        "sector_macro_score": rounded(score, 3),
+        "available_sector_weight": rounded(weight, 2),
+        **contributions(weights, "sector_"),
     }
+    # The sector classes share the bounds and names of the macro classes.
     return (
         sector_weight_join(companies_with_macro)
-        .withColumns(
-            {
-                "sector_macro_score": rounded(score, 3),
-                "available_sector_weight": rounded(weight, 2),
-                **contributions,
-            }
-        )
-        .withColumn("sector_classification", classify_sector(F.col("sector_macro_score")))
+        .selectExpr("*", *named(columns))
+        .selectExpr("*", f"{classified('sector_macro_score', MACRO_CLASSES)} as sector_classification")
     )

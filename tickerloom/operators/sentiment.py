@@ -31,23 +31,20 @@ def sentiment_features(symbols: DataFrame, classified: DataFrame) -> DataFrame:
         F.count("*").alias("article_count"),
         *[F.count_if(label == c).alias(f"{c}_count") for c in CLASSES],
     )
-    n = F.col("article_count")
-    score = F.try_divide(F.col("positive_count") - F.col("negative_count"), n)
+    score = "try_divide(positive_count - negative_count, article_count)"
     return (
         symbols.select("symbol")
         .join(counts, "symbol", "left")
         .fillna(0, ["article_count", *[f"{c}_count" for c in CLASSES]])
-        .withColumns(
-            {
-                **{
-                    f"{c}_ratio": F.coalesce(rounded(F.try_divide(F.col(f"{c}_count"), n), 4), F.lit(0.0))
-                    for c in CLASSES
-                },
-                "sentiment_score": F.coalesce(rounded(score, 4), F.lit(0.0)),
-                "overall_sentiment": F.when(score > 0.2, F.lit("POSITIVE"))
-                .when(score < -0.2, F.lit("NEGATIVE"))
-                .otherwise(F.lit("NEUTRAL")),
-            }
+        .selectExpr(
+            "*",
+            *[
+                f"coalesce({rounded(f'try_divide({c}_count, article_count)', 4)}, 0D) as {c}_ratio"
+                for c in CLASSES
+            ],
+            f"coalesce({rounded(score, 4)}, 0D) as sentiment_score",
+            f"case when {score} > 0.2D then 'POSITIVE' when {score} < -0.2D then 'NEGATIVE'"
+            " else 'NEUTRAL' end as overall_sentiment",
         )
     )
 

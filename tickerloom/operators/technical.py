@@ -4,195 +4,179 @@ An exponential average with a fixed span is a weighted sum: a close of age ``k``
 ``alpha * (1 - alpha)^k`` and the first close of the series ``(1 - alpha)^k``. The signal line is an
 average of an average, whose weights have a closed form too. So EMA and MACD need neither an ordered
 fold nor a collected array, and combine before the shuffle like any sum.
+
+Indicators are SQL expressions: ``*_aggregates`` make raw sums and means per symbol, ``*_values`` turn
+those into the published, rounded figures.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.functions.numeric import rounded
 
 MIN_BARS = 50
 FAST_SPAN, SLOW_SPAN, SIGNAL_SPAN = 12, 26, 9
-INDICATORS = [
-    "sma_20",
-    "sma_50",
-    "sma_200",
-    "ema_12",
-    "ema_26",
-    "rsi",
-    "macd",
-    "macd_signal",
-    "macd_histogram",
-    "bollinger_upper",
-    "bollinger_middle",
-    "bollinger_lower",
-    "atr",
-]
-
-
-def _recent(value: Column, n: int) -> Column:
-    return F.when(F.col("age") < n, value)
-
-
-def _full(n: int, value: Column, aggregate: Column) -> Column:
+MOVING_AVERAGES = ["sma_20", "sma_50", "sma_200", "ema_12", "ema_26"]
+
+
+def _recent(value: str, n: int) -> str:
+    return f"case when age < {n} then {value} end"
+
+
+def _full(n: int, value: str, aggregate: str) -> str:
     """The aggregate, or null unless the last ``n`` bars all hold a value."""
-    return F.when(F.count(_recent(value, n)) == n, aggregate)
+    return f"case when count({_recent(value, n)}) = {n} then {aggregate} end"
 
 
-def _mean(value: Column, n: int) -> Column:
-    return _full(n, value, F.avg(_recent(value, n)))
+def _mean(value: str, n: int) -> str:
+    return _full(n, value, f"avg({_recent(value, n)})")
 
 
-def _ema(span: int) -> Column:
+def _ema(span: int) -> str:
     alpha = 2.0 / (span + 1)
-    decay = F.pow(F.lit(1 - alpha), F.col("age"))
-    weight = F.when(F.col("bar_no") == 1, decay).otherwise(alpha * decay)
-    return F.sum(F.col("close") * weight)
+    return f"sum(close * power({1 - alpha!r}D, age) * case when bar_no = 1 then 1D else {alpha!r}D end)"
 
 
-def _signal() -> Column:
+def _signal() -> str:
     """Signal line: EMA of (fast EMA - slow EMA), by the closed form of the double weighting."""
     s = 2.0 / (SIGNAL_SPAN + 1)
-    c, steps = 1 - s, F.col("age") + 1
 
-    def ramp(span: int) -> tuple[float, Column]:
+    def ramp(span: int) -> tuple[float, str]:
         alpha = 2.0 / (span + 1)
-        a = 1 - alpha
-        return alpha, s * (F.pow(F.lit(a), steps) - F.pow(F.lit(c), steps)) / (a - c)
+        gap = (1 - alpha) - (1 - s)
+        return alpha, f"(power({1 - alpha!r}D, age + 1) - power({1 - s!r}D, age + 1)) * {s / gap!r}D"
 
     (alpha_fast, fast), (alpha_slow, slow) = ramp(FAST_SPAN), ramp(SLOW_SPAN)
-    weight = F.when(F.col("bar_no") == 1, fast - slow).otherwise(alpha_fast * fast - alpha_slow * slow)
-    return F.sum(F.col("close") * weight)
+    return (
+        f"sum(close * case when bar_no = 1 then {fast} - {slow}"
+        f" else {alpha_fast!r}D * {fast} - {alpha_slow!r}D * {slow} end)"
+    )
 
 
-def moving_average_aggregates() -> dict[str, Column]:
-    close = F.col("close")
+def moving_average_aggregates() -> dict[str, str]:
     return {
-        "raw_sma_20": _mean(close, 20),
-        "raw_sma_50": _mean(close, 50),
-        "raw_sma_200": _mean(close, 200),
+        **{f"raw_sma_{n}": _mean("close", n) for n in (20, 50, 200)},
         "raw_ema_12": _ema(FAST_SPAN),
         "raw_ema_26": _ema(SLOW_SPAN),
     }
 
 
-def rsi_aggregates(period: int = 14) -> dict[str, Column]:
-    delta = F.col("close") - F.col("previous_close")
+def moving_average_values() -> dict[str, str]:
+    return {n: rounded(f"raw_{n}", 2) for n in MOVING_AVERAGES}
+
+
+def rsi_aggregates(period: int = 14) -> dict[str, str]:
+    """Mean gain and loss; the first bar has no change and counts for neither."""
+    change = "close - previous_close"
     return {
-        "avg_gain": _mean(F.greatest(delta, F.lit(0.0) * delta), period),
-        "avg_loss": _mean(F.greatest(-delta, F.lit(0.0) * delta), period),
+        "avg_gain": _mean(f"case when {change} > 0 then {change} when {change} <= 0 then 0D end", period),
+        "avg_loss": _mean(f"case when {change} < 0 then -({change}) when {change} >= 0 then 0D end", period),
     }
 
 
-def rsi_value() -> Column:
+def rsi_values() -> dict[str, str]:
     """0 loss with a gain is 100; no movement at all is undefined and scores no point."""
-    gain, loss = F.col("avg_gain"), F.col("avg_loss")
-    return F.when((loss == 0) & (gain > 0), F.lit(100.0)).otherwise(
-        100 - 100 / (1 + F.try_divide(gain, loss))
+    value = (
+        "case when avg_loss = 0 and avg_gain > 0 then 100D"
+        " else 100 - 100 / (1 + try_divide(avg_gain, avg_loss)) end"
     )
+    return {"rsi": rounded(value, 2)}
 
 
-def macd_aggregates() -> dict[str, Column]:
-    return {
-        "raw_ema_12": _ema(FAST_SPAN),
-        "raw_ema_26": _ema(SLOW_SPAN),
-        "raw_signal": _signal(),
-    }
+def macd_aggregates() -> dict[str, str]:
+    return {"raw_ema_12": _ema(FAST_SPAN), "raw_ema_26": _ema(SLOW_SPAN), "raw_signal": _signal()}
 
 
-def macd_values() -> dict[str, Column]:
-    macd = F.col("raw_ema_12") - F.col("raw_ema_26")
+def macd_values() -> dict[str, str]:
     return {
-        "macd": rounded(macd, 2),
-        "macd_signal": rounded(F.col("raw_signal"), 2),
-        "macd_histogram": rounded(macd - F.col("raw_signal"), 2),
+        "macd": rounded("raw_ema_12 - raw_ema_26", 2),
+        "macd_signal": rounded("raw_signal", 2),
+        "macd_histogram": rounded("raw_ema_12 - raw_ema_26 - raw_signal", 2),
     }
 
 
-def bollinger_aggregates(period: int = 20) -> dict[str, Column]:
-    close = F.col("close")
+def bollinger_aggregates(period: int = 20) -> dict[str, str]:
     return {
-        "raw_middle": _mean(close, period),
-        "raw_deviation": _full(period, close, F.stddev_samp(_recent(close, period))),
+        "raw_middle": _mean("close", period),
+        "raw_deviation": _full(period, "close", f"stddev_samp({_recent('close', period)})"),
     }
 
 
-def bollinger_values() -> dict[str, Column]:
-    middle, deviation = F.col("raw_middle"), F.col("raw_deviation")
+def bollinger_values() -> dict[str, str]:
     return {
-        "bollinger_upper": rounded(middle + 2 * deviation, 2),
-        "bollinger_middle": rounded(middle, 2),
-        "bollinger_lower": rounded(middle - 2 * deviation, 2),
+        "bollinger_upper": rounded("raw_middle + 2 * raw_deviation", 2),
+        "bollinger_middle": rounded("raw_middle", 2),
+        "bollinger_lower": rounded("raw_middle - 2 * raw_deviation", 2),
     }
 
 
-def atr_aggregates(period: int = 14) -> dict[str, Column]:
-    high, low, previous = F.col("high"), F.col("low"), F.col("previous_close")
-    true_range = F.greatest(high - low, F.abs(high - previous), F.abs(low - previous))
+def atr_aggregates(period: int = 14) -> dict[str, str]:
+    true_range = "greatest(high - low, abs(high - previous_close), abs(low - previous_close))"
     return {"raw_atr": _mean(true_range, period)}
 
 
-def volume_aggregates() -> dict[str, Column]:
-    volume = F.col("volume")
-    return {
-        "raw_volume": F.max(_recent(volume, 1)),
-        "raw_volume_mean": _mean(volume, 20),
-    }
+def atr_values() -> dict[str, str]:
+    return {"atr": rounded("raw_atr", 2)}
+
 
+def volume_aggregates() -> dict[str, str]:
+    return {"raw_volume": f"max({_recent('volume', 1)})", "raw_volume_mean": _mean("volume", 20)}
 
-def volume_values() -> dict[str, Column]:
+
+def volume_values() -> dict[str, str]:
     """Whole current and mean volume (truncated) and their ratio; a zero mean has no ratio."""
     return {
-        "current_volume": F.col("raw_volume").cast("bigint"),
-        "volume_ma_20": F.col("raw_volume_mean").cast("bigint"),
-        "relative_volume": rounded(F.try_divide(F.col("raw_volume"), F.col("raw_volume_mean")), 2),
+        "current_volume": "cast(raw_volume as bigint)",
+        "volume_ma_20": "cast(raw_volume_mean as bigint)",
+        "relative_volume": rounded("try_divide(raw_volume, raw_volume_mean)", 2),
     }
 
 
+def named(expressions: dict[str, str]) -> list[str]:
+    return [f"{text} as {name}" for name, text in expressions.items()]
+
+
+def per_symbol(numbered: DataFrame, aggregates: dict[str, str]) -> DataFrame:
+    return numbered.groupBy("symbol").agg(*[F.expr(text) for text in named(aggregates)])
+
+
+def _indicator(numbered: DataFrame, aggregates: dict[str, str], values: dict[str, str]) -> DataFrame:
+    return per_symbol(numbered, aggregates).selectExpr("symbol", *named(values))
+
+
 def moving_averages(numbered: DataFrame) -> DataFrame:
-    raw = numbered.groupBy("symbol").agg(
-        *[value.alias(name) for name, value in moving_average_aggregates().items()]
-    )
-    return raw.select(
-        "symbol",
-        *[rounded(F.col("raw_" + n), 2).alias(n) for n in INDICATORS[:5]],
-    )
+    return _indicator(numbered, moving_average_aggregates(), moving_average_values())
 
 
 def rsi(numbered: DataFrame) -> DataFrame:
-    raw = numbered.groupBy("symbol").agg(*[v.alias(n) for n, v in rsi_aggregates().items()])
-    return raw.select("symbol", rounded(rsi_value(), 2).alias("rsi"))
+    return _indicator(numbered, rsi_aggregates(), rsi_values())
 
 
 def macd(numbered: DataFrame) -> DataFrame:
-    raw = numbered.groupBy("symbol").agg(*[v.alias(n) for n, v in macd_aggregates().items()])
-    return raw.select("symbol", *[v.alias(n) for n, v in macd_values().items()])
+    return _indicator(numbered, macd_aggregates(), macd_values())
 
 
 def bollinger(numbered: DataFrame) -> DataFrame:
-    raw = numbered.groupBy("symbol").agg(*[v.alias(n) for n, v in bollinger_aggregates().items()])
-    return raw.select("symbol", *[v.alias(n) for n, v in bollinger_values().items()])
+    return _indicator(numbered, bollinger_aggregates(), bollinger_values())
 
 
 def atr(numbered: DataFrame) -> DataFrame:
-    raw = numbered.groupBy("symbol").agg(*[v.alias(n) for n, v in atr_aggregates().items()])
-    return raw.select("symbol", rounded(F.col("raw_atr"), 2).alias("atr"))
+    return _indicator(numbered, atr_aggregates(), atr_values())
 
 
 def volume_analysis(numbered: DataFrame) -> DataFrame:
-    raw = numbered.groupBy("symbol").agg(*[v.alias(n) for n, v in volume_aggregates().items()])
-    return raw.select("symbol", *[v.alias(n) for n, v in volume_values().items()])
+    return _indicator(numbered, volume_aggregates(), volume_values())
 
 
-def aggregates() -> dict[str, Column]:
+def aggregates() -> dict[str, str]:
     """All aggregates of the module, to be combined with others in one pass over the bars."""
     return {
-        "bars": F.count("*"),
-        "raw_price": F.max(_recent(F.col("close"), 1)),
-        "volumes_20": F.count(_recent(F.col("volume"), 20)),
+        "bars": "count(*)",
+        "raw_price": f"max({_recent('close', 1)})",
+        "volumes_20": f"count({_recent('volume', 20)})",
         **moving_average_aggregates(),
         **rsi_aggregates(),
         **macd_aggregates(),
@@ -202,64 +186,64 @@ def aggregates() -> dict[str, Column]:
     }
 
 
-def _point(holds: Column) -> Column:
-    return F.when(holds, F.lit(1)).otherwise(F.lit(0))
-
-
-def technical_signal(indicators: DataFrame) -> DataFrame:
-    """Rule points on the published (rounded) figures: net score and signal."""
-    price = F.col("current_price")
-    below = [(price > F.col(c), F.col(c).isNotNull()) for c in ("sma_20", "sma_50", "sma_200")]
-    macd_up = F.coalesce(F.col("macd") > F.col("macd_signal"), F.lit(False))
-    bullish = (
-        sum((_point(up & known) for up, known in below), F.lit(0))
-        + _point(F.col("rsi") < 30)
-        + _point(macd_up)
-        + _point(price < F.col("bollinger_lower"))
-    )
-    bearish = (
-        sum((_point(~up & known) for up, known in below), F.lit(0))
-        + _point(F.col("rsi") > 70)
-        + _point(~macd_up)
-        + _point(price > F.col("bollinger_upper"))
-    )
-    scored = indicators.withColumns({"bullish_points": bullish, "bearish_points": bearish})
-    net = F.col("bullish_points") - F.col("bearish_points")
-    return scored.withColumns(
-        {
-            "net_score": net,
-            "signal": F.when(net >= 2, "BULLISH").when(net <= -2, "BEARISH").otherwise("NEUTRAL"),
-        }
-    )
-
-
-def is_usable() -> Column:
-    """Enough history, and no volume missing among the last 20 bars."""
-    return (F.col("bars") >= MIN_BARS) & (F.col("volumes_20") == 20)
-
-
-def values() -> dict[str, Column]:
+def values() -> dict[str, str]:
     """Published figures from the raw aggregates."""
     return {
-        "current_price": rounded(F.col("raw_price"), 2),
-        **{n: rounded(F.col("raw_" + n), 2) for n in INDICATORS[:5]},
-        "rsi": rounded(rsi_value(), 2),
+        "current_price": rounded("raw_price", 2),
+        **moving_average_values(),
+        **rsi_values(),
         **macd_values(),
         **bollinger_values(),
-        "atr": rounded(F.col("raw_atr"), 2),
+        **atr_values(),
         **volume_values(),
     }
 
 
+# Enough history, and no volume missing among the last 20 bars.
+IS_USABLE = f"(bars >= {MIN_BARS} and volumes_20 = 20)"
+# Rule points, compared on the published (rounded) figures.
+_ABOVE = [f"int(coalesce(current_price > {c}, false))" for c in MOVING_AVERAGES[:3]]
+_NOT_ABOVE = [f"int(coalesce(current_price <= {c}, false))" for c in MOVING_AVERAGES[:3]]
+BULLISH_POINTS = " + ".join(
+    [
+        *_ABOVE,
+        "int(coalesce(rsi < 30, false))",
+        "int(coalesce(macd > macd_signal, false))",
+        "int(coalesce(current_price < bollinger_lower, false))",
+    ]
+)
+BEARISH_POINTS = " + ".join(
+    [
+        *_NOT_ABOVE,
+        "int(coalesce(rsi > 70, false))",
+        "int(not coalesce(macd > macd_signal, false))",
+        "int(coalesce(current_price > bollinger_upper, false))",
+    ]
+)
+
+
+def technical_signal(indicators: DataFrame) -> DataFrame:
+    """Rule points, net score and signal."""
+    return (
+        indicators.selectExpr(
+            "*", f"{BULLISH_POINTS} as bullish_points", f"{BEARISH_POINTS} as bearish_points"
+        )
+        .selectExpr("*", "bullish_points - bearish_points as net_score")
+        .selectExpr(
+            "*",
+            "case when net_score >= 2 then 'BULLISH' when net_score <= -2 then 'BEARISH'"
+            " else 'NEUTRAL' end as signal",
+        )
+    )
+
+
 def from_aggregates(raw: DataFrame) -> DataFrame:
     """Module rows from the raw aggregates; symbols with too little history drop out."""
-    indicators = raw.filter(is_usable()).select("symbol", *[v.alias(n) for n, v in values().items()])
-    return technical_signal(indicators)
+    return technical_signal(raw.filter(IS_USABLE).selectExpr("symbol", *named(values())))
 
 
 def technical_analysis(numbered: DataFrame) -> DataFrame:
-    raw = numbered.groupBy("symbol").agg(*[v.alias(n) for n, v in aggregates().items()])
-    return from_aggregates(raw)
+    return from_aggregates(per_symbol(numbered, aggregates()))
 
 
 def ema_series(bars: DataFrame, span: int) -> DataFrame:
@@ -276,4 +260,4 @@ def ema_series(bars: DataFrame, span: int) -> DataFrame:
         .groupBy("symbol")
         .applyInPandas(smooth, "symbol string, date date, ema double")
     )
-    return smoothed.withColumn("ema", rounded(F.col("ema"), 4))
+    return smoothed.selectExpr("symbol", "date", f"{rounded('ema', 4)} as ema")

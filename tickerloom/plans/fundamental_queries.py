@@ -19,7 +19,7 @@ def _observations(spark: SparkSession, sf: str) -> DataFrame:
 
 def statement_series(spark, sf):
     series = FD.statement_series(_observations(spark, sf), "annualTotalRevenue")
-    return series.withColumn("raw", N.rounded(F.col("raw"), 2))
+    return series.selectExpr("symbol", "position", "as_of_date", f"{N.rounded('raw', 2)} as raw")
 
 
 def statement_currency(spark, sf):
@@ -33,21 +33,15 @@ def chart_last_price(spark, sf):
 
 def latest_two_statements(spark, sf):
     two = FD.latest_two_statements(views.statements(spark, sf))
-    return two.select(
-        "symbol",
-        "metric",
-        N.rounded(F.col("latest"), 2).alias("latest"),
-        N.rounded(F.col("previous"), 2).alias("previous"),
+    return two.selectExpr(
+        "symbol", "metric", *[f"{N.rounded(c, 2)} as {c}" for c in ("latest", "previous")]
     )
 
 
 def statement_currencies(statements: DataFrame) -> DataFrame:
     """First reported currency of long statement rows (metric order, then date)."""
-    positions = statements.select(
-        "symbol",
-        "currency",
-        F.col("metric_pos").alias("series_pos"),
-        F.unix_date("as_of_date").alias("obs_pos"),
+    positions = statements.selectExpr(
+        "symbol", "currency", "metric_pos as series_pos", "as_of_date as obs_pos"
     )
     return FD.statement_currency(positions)
 
@@ -60,18 +54,19 @@ def fx_convert(spark, sf):
         .groupBy("symbol")
         .agg(F.max_by("raw", "as_of_date").alias("raw"))
     )
-    key = F.substring("symbol", 2, 10).cast("bigint")
-    rows = revenue.join(statement_currencies(statements), "symbol").withColumn(
-        "trading_currency", F.when(key % 6 == 0, F.lit("USD")).otherwise(views.trading_currency(key))
+    key = views.KEY_OF_SYMBOL
+    currency = f"case when {key} % 6 = 0 then 'USD' else {views.trading_currency(key)} end"
+    rows = revenue.join(statement_currencies(statements), "symbol").selectExpr(
+        "*", f"{currency} as trading_currency"
     )
     converted = FD.fx_convert(rows, FD.latest_rates(views.fx_rates(spark)))
-    return converted.select(
+    return converted.selectExpr(
         "symbol",
         "statement_currency",
         "trading_currency",
-        N.rounded(F.col("exchange_rate"), 6).alias("exchange_rate"),
+        f"{N.rounded('exchange_rate', 6)} as exchange_rate",
         "fx_error",
-        N.rounded(F.col("raw") * F.col("exchange_rate"), 2).alias("revenue"),
+        f"{N.rounded('raw * exchange_rate', 2)} as revenue",
     )
 
 
@@ -94,70 +89,59 @@ def fundamental_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def first_metric(spark, sf):
-    profiles = views.metric_profiles(spark, sf)
-    return profiles.select(
-        "symbol",
-        *[N.first_metric(F.col("metrics"), names).alias(f) for f, names in FD.METRIC_NAMES.items()],
-    )
+    figures = [f"{N.first_metric('metrics', names)} as {f}" for f, names in FD.METRIC_NAMES.items()]
+    return views.metric_profiles(spark, sf).selectExpr("symbol", *figures)
 
 
-def _event_text() -> F.Column:
-    value = F.col("value").cast("decimal(18,2)").cast("string")
-    k = F.col("event_id") % 9
-    return (
-        F.when(k == 0, F.lit("abc"))
-        .when(k == 1, F.lit("NaN"))
-        .when(k == 2, F.lit("Infinity"))
-        .when(k == 3, F.lit(""))
-        .when(k == 4, F.concat(F.lit("  "), value, F.lit(" ")))
-        .when(k == 5, F.lit("1e3"))
-        .when(k == 6, F.concat(F.lit("-"), value))
-        .when(k == 7, F.concat(value, F.lit("d")))
-        .otherwise(value)
-    )
+EVENT_TEXT = """
+case event_id % 9 when 0 then 'abc' when 1 then 'NaN' when 2 then 'Infinity' when 3 then ''
+  when 4 then concat('  ', v, ' ') when 5 then '1e3' when 6 then concat('-', v) when 7 then concat(v, 'd')
+  else v end as text
+"""
 
 
 def numeric_coerce(spark, sf):
-    number = F.col("number")
     return (
         table(spark, sf, "events")
-        .select("event_id", N.to_number(_event_text()).alias("number"))
-        .select(
+        .selectExpr("event_id", "cast(cast(value as decimal(18,2)) as string) as v")
+        .selectExpr("event_id", EVENT_TEXT)
+        .selectExpr("event_id", f"{N.to_number('text')} as number")
+        .selectExpr(
             "event_id",
             "number",
-            N.rounded(number, 2).alias("number_2dp"),
-            N.to_percent(number).alias("percent"),
-            N.millions_to_units(number).alias("units"),
+            f"{N.rounded('number', 2)} as number_2dp",
+            f"{N.to_percent('number')} as percent",
+            f"{N.millions_to_units('number')} as units",
         )
     )
 
 
 def safe_ratio(spark, sf):
-    value, base = F.col("value"), (F.col("event_id") % 7 - 3).cast("double")
-    return table(spark, sf, "events").select(
+    base = "double(event_id % 7 - 3)"
+    return table(spark, sf, "events").selectExpr(
         "event_id",
-        N.safe_ratio(value, base).alias("ratio"),
-        N.safe_ratio(value, base, as_percentage=True).alias("ratio_pct"),
+        f"{N.safe_ratio('value', base)} as ratio",
+        f"{N.safe_ratio('value', base, as_percentage=True)} as ratio_pct",
     )
 
 
 def growth_pct(spark, sf):
-    previous = (F.col("event_id") % 11 - 3) * 1.5
-    return table(spark, sf, "events").select(
-        "event_id", N.growth_pct(F.col("value"), previous).alias("growth_pct")
+    previous = "((event_id % 11 - 3) * 1.5D)"
+    return table(spark, sf, "events").selectExpr(
+        "event_id", f"{N.growth_pct('value', previous)} as growth_pct"
     )
 
 
 def per_share_total(spark, sf):
-    shares = F.when(F.col("user_id") % 10 != 0, (F.col("user_id") % 100).cast("double"))
-    return table(spark, sf, "events").select(
-        "event_id", N.per_share_total(F.col("value"), shares).alias("total")
+    shares = "(case when user_id % 10 <> 0 then double(user_id % 100) end)"
+    return table(spark, sf, "events").selectExpr(
+        "event_id", f"{N.per_share_total('value', shares)} as total"
     )
 
 
 def clamp(spark, sf):
-    value = F.when(F.col("event_id") % 13 != 0, (F.col("value") - 20) / 16)
-    return table(spark, sf, "events").select("event_id", N.clamp(value).alias("clamped"))
+    value = "(case when event_id % 13 <> 0 then (value - 20) / 16 end)"
+    return table(spark, sf, "events").selectExpr("event_id", f"{N.clamp(value)} as clamped")
 
 
 QUERIES = {

@@ -21,16 +21,16 @@ def price_report(bars: DataFrame) -> DataFrame:
     """Historical and technical module of each symbol from one pass over its bars; technical figures
     are null where the history is too short."""
     aggregates = {**technical.aggregates(), **historical.aggregates()}
-    raw = B.numbered(bars).groupBy("symbol").agg(*[v.alias(n) for n, v in aggregates.items()])
+    raw = technical.per_symbol(B.numbered(bars), aggregates)
     figures = {**historical.values(), **technical.values()}
     rows = technical.technical_signal(
-        raw.select(
-            "symbol", "bars", technical.is_usable().alias("usable"), *[v.alias(n) for n, v in figures.items()]
-        )
+        raw.selectExpr("symbol", "bars", f"{technical.IS_USABLE} as usable", *technical.named(figures))
     )
     module = [n for n in technical.values() if n != "current_price"]
     module += ["bullish_points", "bearish_points", "net_score", "signal"]
-    return rows.withColumns({n: F.when(F.col("usable"), F.col(n)) for n in module}).drop("usable")
+    return rows.selectExpr(
+        f"* except (usable, {', '.join(module)})", *[f"if(usable, {n}, null) as {n}" for n in module]
+    )
 
 
 def with_sector_macro(rows: DataFrame, market_features: DataFrame) -> DataFrame:
@@ -63,18 +63,15 @@ def report_assemble(
     )
 
 
-def module_errors() -> F.Column:
-    """Reason per failed module; modules that worked have no entry."""
-    reasons = {
-        "market_data": F.when(F.col("bars").isNull(), F.lit("no market data")),
-        "technical": F.when(
-            F.col("bars").isNotNull() & F.col("net_score").isNull(), F.lit("too few complete bars")
-        ),
-        "fundamental": F.when(F.col("data_source").isNull(), F.lit("no fundamental data")),
-        "macro": F.when(F.col("combined_macro_score").isNull(), F.lit("no macro data")),
-    }
-    entries = F.create_map(*[x for name, reason in reasons.items() for x in (F.lit(name), reason)])
-    return F.map_filter(entries, lambda _, reason: reason.isNotNull())
+# Reason per failed module; modules that worked have no entry.
+MODULE_ERRORS = """
+map_filter(map(
+  'market_data', if(bars is null, 'no market data', null),
+  'technical', if(bars is not null and net_score is null, 'too few complete bars', null),
+  'fundamental', if(data_source is null, 'no fundamental data', null),
+  'macro', if(combined_macro_score is null, 'no macro data', null)
+), (module, reason) -> reason is not null) as errors
+"""
 
 
 def assembled(spark: SparkSession, sf: str, period: str = "2y", news_limit: int = 5) -> DataFrame:
@@ -82,9 +79,11 @@ def assembled(spark: SparkSession, sf: str, period: str = "2y", news_limit: int
     trades = B.bars_period(views.trades(spark, sf), period, views.AS_OF)
     records = fundamental_records(spark, sf)
     stories = classified_news(spark, sf, records, symbols, news_limit)
-    sentiments = sentiment.sentiment_features(symbols, stories)
+    sentiments = sentiment.sentiment_features(symbols, stories).withColumnRenamed(
+        "sentiment_score", "headline_score"
+    )
     rows = report_assemble(symbols, price_report(B.bars_from_trades(trades)), records, sentiments)
-    return with_sector_macro(rows, features(spark, sf)).withColumn("errors", module_errors())
+    return with_sector_macro(rows, features(spark, sf)).selectExpr("*", MODULE_ERRORS)
 
 
 def intelligence_report(spark: SparkSession, sf: str, period: str = "2y", news_limit: int = 5) -> DataFrame:

@@ -30,13 +30,11 @@ def fred_observations(spark, sf):
 
 def fred_latest(spark, sf):
     """Newest value of the four US series, described by the series dimension."""
-    ids = F.create_map(
-        *[F.lit(x) for sid, indicator, *_ in markets.US_SERIES for x in (indicator, sid)]
-    )
+    ids = " ".join(f"when '{indicator}' then '{sid}'" for sid, indicator, *_ in markets.US_SERIES)
     us = (
         views.macro_obs(spark, sf)
         .filter(F.col("market_code") == "US")
-        .select(ids[F.col("indicator")].alias("series_id"), F.col("period_date").alias("date"), "value")
+        .selectExpr(f"case indicator {ids} end as series_id", "period_date as date", "value")
     )
     observations = landed.series_observations(payloads.observation_payloads(us), "payload", 12)
     return O.series_latest(observations).join(F.broadcast(markets.us_series(spark)), "series_id")
@@ -186,39 +184,37 @@ def interpret_monetary_rate(spark, sf):
 
 def threshold_classify(spark, sf):
     """Bands by (market, indicator) for a rate per order; the indicator rotates."""
-    rows = views.interpretation_rows(spark, sf).select("row_id", "market_code", "rate")
-    indicator = F.element_at(
-        F.array(F.lit("inflation"), F.lit("gdp_growth"), F.lit("unemployment")),
-        (F.col("row_id") % 3 + 1).cast("int"),
+    indicator = "element_at(array('inflation', 'gdp_growth', 'unemployment'), int(row_id % 3 + 1))"
+    rows = views.interpretation_rows(spark, sf).selectExpr(
+        "row_id", "market_code", "rate", f"{indicator} as indicator"
     )
-    rows = rows.withColumn("indicator", indicator)
-    return M.threshold_classify(rows, F.col("market_code"), F.col("indicator"), F.col("rate"), "band")
+    return M.threshold_classify(rows, "market_code", "indicator", "rate", "band")
 
 
 def component_normalize(spark, sf):
-    score = (F.col("event_id") % 7 - 3).cast("int")
-    return table(spark, sf, "events").select(
-        "event_id", score.alias("score"), bands.normalized_component(score).alias("normalized")
-    )
+    scores = table(spark, sf, "events").selectExpr("event_id", "int(event_id % 7 - 3) as score")
+    return scores.selectExpr("*", f"{bands.normalized_component('score')} as normalized")
 
 
-def _class_scores(spark: SparkSession, sf: str) -> DataFrame:
-    score = F.round((F.col("event_id") % 241 - 120) / 100, 2)
-    return table(spark, sf, "events").select("event_id", score.alias("score"))
+def _classified(spark: SparkSession, sf: str, classes: list[tuple]) -> DataFrame:
+    score = "round((event_id % 241 - 120) / 100, 2) as score"
+    return (
+        table(spark, sf, "events")
+        .selectExpr("event_id", score)
+        .selectExpr("*", f"{bands.classified('score', classes)} as classification")
+    )
 
 
 def classify_macro(spark, sf):
-    return _class_scores(spark, sf).withColumn("classification", bands.classify_macro(F.col("score")))
+    return _classified(spark, sf, bands.MACRO_CLASSES)
 
 
 def classify_sector(spark, sf):
-    return _class_scores(spark, sf).withColumn("classification", bands.classify_sector(F.col("score")))
+    return _classified(spark, sf, bands.MACRO_CLASSES)
 
 
 def classify_intelligence(spark, sf):
-    return _class_scores(spark, sf).withColumn(
-        "classification", bands.classify_intelligence(F.col("score"))
-    )
+    return _classified(spark, sf, bands.INTELLIGENCE_CLASSES)
 
 
 # ---- per market and symbol --------------------------------------------------------------------

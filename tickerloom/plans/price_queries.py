@@ -30,10 +30,6 @@ def recent_bars(spark: SparkSession, sf: str, period: str = "2y") -> DataFrame:
     return B.bars_from_trades(B.bars_period(views.trades(spark, sf), period, views.AS_OF))
 
 
-def _key() -> F.Column:
-    return F.substring("symbol", 2, 10).cast("bigint")
-
-
 def bars_from_trades(spark, sf):
     return dated(_bars(spark, sf))
 
@@ -57,7 +53,9 @@ def bars_with_fallback(spark, sf):
     bars = _bars(spark, sf)
     return dated(
         B.bars_with_fallback(
-            bars.filter(_key() % 3 != 1), bars.filter(_key() % 4 != 2), ("primary", "chart")
+            bars.filter(f"{views.KEY_OF_SYMBOL} % 3 <> 1"),
+            bars.filter(f"{views.KEY_OF_SYMBOL} % 4 <> 2"),
+            ("primary", "chart"),
         )
     )
 
@@ -67,7 +65,8 @@ def latest_snapshot(spark, sf):
 
 
 def sma(spark, sf):
-    return technical.moving_averages(_numbered(spark, sf)).select("symbol", "sma_20", "sma_50", "sma_200")
+    averages = technical.moving_averages(_numbered(spark, sf))
+    return averages.select("symbol", "sma_20", "sma_50", "sma_200")
 
 
 def ema(spark, sf):
@@ -143,7 +142,7 @@ def market_context(spark, sf):
         spark,
         [(name, n) for n, name in enumerate(names) if name != "GC=F"],
         "series_symbol string, company_key bigint",
-    ).select("series_symbol", views.symbol_of(F.col("company_key")).alias("symbol"))
+    ).selectExpr("series_symbol", f"{views.symbol_of('company_key')} as symbol")
     # Only trades of the few configured series go on to be aggregated and shuffled.
     trades = views.trades(spark, sf).join(F.broadcast(proxies), "symbol").drop("symbol")
     bars = B.bars_from_trades(trades.withColumnRenamed("series_symbol", "symbol"))

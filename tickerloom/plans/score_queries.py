@@ -111,49 +111,35 @@ def company_sentiment(spark, sf):
 
 
 def search_input_valid(spark, sf):
-    k = F.col("c_custkey")
-    text = (
-        F.when(k % 8 == 0, F.lower(views.symbol_of(k)))
-        .when(k % 8 == 1, F.col("c_name"))
-        .when(k % 8 == 2, F.concat(F.lit("  "), F.col("c_mktsegment"), F.lit(" ")))
-        .when(k % 8 == 3, F.concat(F.lit("Tata & Sons ("), F.col("c_mktsegment"), F.lit(")")))
-        .when(k % 8 == 4, F.lit("-bad"))
-        .when(k % 8 == 5, F.lit(""))
-        .when(k % 8 == 6, F.repeat(F.col("c_mktsegment"), 12))
-        .otherwise(F.lit("x"))
-    )
-    return table(spark, sf, "customer").select(
-        "c_custkey", text.alias("search_text"), is_valid_search(text).alias("is_valid")
-    )
+    text = f"""
+      case c_custkey % 8 when 0 then lower({views.symbol_of('c_custkey')}) when 1 then c_name
+        when 2 then concat('  ', c_mktsegment, ' ') when 3 then concat('Tata & Sons (', c_mktsegment, ')')
+        when 4 then '-bad' when 5 then '' when 6 then repeat(c_mktsegment, 12) else 'x' end as search_text"""
+    texts = table(spark, sf, "customer").selectExpr("c_custkey", text)
+    return texts.withColumn("is_valid", is_valid_search(F.col("search_text")))
 
 
 def _named(spark: SparkSession, sf: str) -> DataFrame:
-    spaced = F.concat(F.lit("  "), F.replace(F.col("legal_name"), F.lit(" "), F.lit("  ")))
-    return views.companies(spark, sf).select("company_key", spaced.alias("name"))
+    return views.companies(spark, sf).selectExpr(
+        "company_key", "concat('  ', replace(legal_name, ' ', '  ')) as name"
+    )
 
 
 def listings(spark: SparkSession, sf: str) -> DataFrame:
     """Search results per query text: brand (some brands unlisted), acronym and full name hits."""
-    k = F.col("company_key")
-    companies = views.companies(spark, sf)
-    words = F.split("legal_name", " ")
-    acronym = F.concat(*[F.substring(F.get(words, F.lit(i)), 1, 1) for i in (0, 1)], F.lit("S"))
-    queries = F.array(
-        F.when((k % 7 < 5), F.lower("company_name")),
-        F.when(k % 3 == 0, acronym),
-        F.when(k % 10 == 0, F.col("legal_name")),
-    )
+    queries = """explode(array(
+      if(company_key % 7 < 5, lower(company_name), null),
+      if(company_key % 3 = 0, concat(left(legal_name, 1), left(split(legal_name, ' ')[1], 1), 'S'), null),
+      if(company_key % 10 = 0, legal_name, null))) as query"""
     return (
-        companies.select("company_key", "symbol", "company_name", F.explode(queries).alias("query"))
-        .filter(F.col("query").isNotNull())
-        .select(
+        views.companies(spark, sf)
+        .selectExpr("company_key as k", "symbol", queries)
+        .filter("query is not null")
+        .selectExpr(
             "query",
-            k.alias("result_pos"),
-            F.when(k % 16 == 5, F.lit(""))
-            .when(k % 2 == 1, F.lower("symbol"))
-            .otherwise(F.col("symbol"))
-            .alias("symbol"),
-            F.when(k % 12 == 4, F.concat(F.lit(" "), F.upper("query"))).alias("display_symbol"),
+            "k as result_pos",
+            "case when k % 16 = 5 then '' when k % 2 = 1 then lower(symbol) else symbol end as symbol",
+            "case when k % 12 = 4 then concat(' ', upper(query)) end as display_symbol",
         )
     )
 
@@ -174,7 +160,7 @@ def company_resolve(spark, sf):
 
 def symbols_rejected(spark, sf):
     """Requested symbols that have neither bars nor a company name."""
-    requests = table(spark, sf, "customer").select(views.symbol_of(F.col("c_custkey")).alias("symbol"))
+    requests = table(spark, sf, "customer").selectExpr(f"{views.symbol_of('c_custkey')} as symbol")
     traded = I.B.bars_period(views.trades(spark, sf), "10d", views.AS_OF).select("symbol").distinct()
     named = (
         fundamental_records(spark, sf)
@@ -213,7 +199,9 @@ def score_fundamental(spark, sf):
 
 
 def score_sentiment(spark, sf):
-    rows = scoring.score_sentiment(sentiment_features(spark, sf))
+    rows = scoring.score_sentiment(
+        sentiment_features(spark, sf).withColumnRenamed("sentiment_score", "headline_score")
+    )
     return rows.select("symbol", *_columns("sentiment"))
 
 
@@ -257,7 +245,7 @@ def report_assemble(spark, sf):
         "profit_margin",
         "forward_pe",
         "article_count",
-        "sentiment_score",
+        F.col("headline_score").alias("sentiment_score"),
         "sector_macro_score",
         "available_sector_weight",
     )

@@ -90,16 +90,11 @@ def chart_last_price(payloads: DataFrame, column: str) -> DataFrame:
     """Quoted market price, else the last close present, scanning quote blocks from the end."""
     parsed = payloads.select("symbol", F.from_json(column, CHART_SCHEMA).alias("parsed"))
     result = F.get(F.col("parsed.chart.result"), F.lit(0))
-    closes = F.filter(
-        F.flatten(F.transform(F.col("result.indicators.quote"), lambda q: F.coalesce(q["close"], F.array()))),
-        lambda c: finite(c).isNotNull(),
-    )
-    return parsed.select("symbol", result.alias("result")).select(
+    closes = f"filter(flatten(transform(result.indicators.quote, q -> coalesce(q.close, array()))), c -> {finite('c')} is not null)"
+    return parsed.select("symbol", result.alias("result")).selectExpr(
         "symbol",
-        F.coalesce(
-            finite(F.col("result.meta.regularMarketPrice")), F.try_element_at(closes, F.lit(-1))
-        ).alias("last_price"),
-        F.col("result.meta.currency").alias("currency"),
+        f"coalesce({finite('result.meta.regularMarketPrice')}, try_element_at({closes}, -1)) as last_price",
+        "result.meta.currency as currency",
     )
 
 
@@ -123,8 +118,8 @@ def series_observations(payloads: DataFrame, column: str, limit: int) -> DataFra
     return (
         payloads.select("series_id", F.from_json(column, OBSERVATIONS_SCHEMA).alias("parsed"))
         .select("series_id", F.inline(newest))
-        .select("series_id", F.col("date").try_cast("date").alias("date"), to_number(F.col("value")).alias("value"))
-        .filter(F.col("value").isNotNull())
+        .selectExpr("series_id", "try_cast(date as date) as date", f"{to_number('value')} as value")
+        .filter("value is not null")
     )
 
 
@@ -147,14 +142,14 @@ def statement_observations(payloads: DataFrame, column: str) -> DataFrame:
             F.col("series.metric").alias("metric"),
             F.posexplode("series.observations").alias("obs_pos", "obs"),
         )
-        .select(
+        .selectExpr(
             "symbol",
             "series_pos",
             "metric",
             "obs_pos",
-            F.coalesce("obs.asOfDate", F.lit("")).alias("as_of_date"),
-            F.col("obs.currencyCode").alias("currency"),
-            to_number(F.col("obs.raw")).alias("raw"),
+            "coalesce(obs.asOfDate, '') as as_of_date",
+            "obs.currencyCode as currency",
+            f"{to_number('obs.raw')} as raw",
         )
     )
 
@@ -166,7 +161,7 @@ def table_cells(payloads: DataFrame, column: str, is_wanted) -> DataFrame:
         payloads.select("series_id", F.from_json(column, TABLE_SCHEMA).alias("parsed"))
         .select("series_id", F.get(wanted, F.lit(0)).alias("row"))
         .select("series_id", F.inline("row.columns"))
-        .filter(F.col("key").isNotNull() & ~F.col("value").isin("", "na", "NA"))
-        .withColumn("value", to_number(F.col("value")))
-        .filter(F.col("value").isNotNull())
+        .filter("key is not null and value not in ('', 'na', 'NA')")
+        .selectExpr("series_id", "key", f"{to_number('value')} as value")
+        .filter("value is not null")
     )

@@ -7,10 +7,13 @@ learn its symbol, and money is summed in whole cents, so sums do not depend on t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickerloom.functions.literals import literal_table
 from tickerloom.functions.numeric import rounded
+from tickerloom.operators import observations as O
+from tickerloom.operators.pages import TABLE_CAPTIONS
 from tickerloom.sources.tables import table
 
 BRANDS = ["eriner", "attion", "thanea", "thanedble", "anea", "thon", "edthe"]
@@ -38,261 +41,93 @@ SECTORS = [
 AS_OF = "2001-11-05"
 
 
-def _pick(options: list[str], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(o) for o in options]), (index + 1).cast("int"))
+def _pick(options: list[str], index: str) -> str:
+    listed = ", ".join(f"'{o}'" for o in options)
+    return f"element_at(array({listed}), int({index} + 1))"
 
 
-def cents(amount: Column) -> Column:
-    return F.round(amount * 100).cast("bigint")
+def cents(amount: str) -> str:
+    return f"cast(round({amount} * 100) as bigint)"
 
 
-def symbol_of(key: Column) -> Column:
-    suffix = (
-        F.when(key % 10 == 6, F.lit(".BO"))
-        .when(key % 5 == 1, F.lit(".NS"))
-        .when(key % 5 == 2, F.lit(".SI"))
-        .when(key % 5 == 3, F.lit(".AX"))
-        .otherwise(F.lit(""))
-    )
-    return F.concat(F.lit("S"), F.lpad(key.cast("string"), 10, "0"), suffix)
-
-
-def market_of(key: Column) -> Column:
+def symbol_of(key: str) -> str:
     return (
-        F.when(key % 5 == 1, F.lit("IN"))
-        .when(key % 5 == 2, F.lit("SG"))
-        .when(key % 5 == 3, F.lit("AU"))
-        .otherwise(F.lit("US"))
-    )
-
-
-def companies(spark: SparkSession, sf: str) -> DataFrame:
-    key = F.col("s_suppkey")
-    brand = F.initcap(_pick(BRANDS, key % 7))
-    return table(spark, sf, "supplier").select(
-        key.alias("company_key"),
-        symbol_of(key).alias("symbol"),
-        brand.alias("company_name"),
-        F.concat_ws(" ", brand, _pick(LEGAL_FORMS, key % 5)).alias("legal_name"),
-        _pick(SECTORS, key % 12).alias("sector"),
-        cents(F.col("s_acctbal")).alias("acctbal_cents"),
+        f"concat('S', lpad(string({key}), 10, '0'), case when {key} % 10 = 6 then '.BO'"
+        f" when {key} % 5 = 1 then '.NS' when {key} % 5 = 2 then '.SI' when {key} % 5 = 3 then '.AX'"
+        " else '' end)"
     )
 
 
-def trades(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per trade. ``seq`` is the arrival order; equal ``seq`` implies an equal price."""
-    key = F.col("l_suppkey")
-    days = F.datediff(F.col("l_shipdate"), F.lit("1995-01-01").cast("date"))
-    drift = (F.expr("l_suppkey div 5") % 5 - 2) * 25 * days
-    noise = F.expr("cast(round(l_extendedprice * 100) as bigint) div (300 * (1 + l_suppkey % 4))")
-    price_cents = F.lit(200000).cast("bigint") + drift + noise
+def _by_suffix(key: str, india: str, singapore: str, australia: str, other: str) -> str:
     return (
-        table(spark, sf, "lineitem")
-        .withColumn("price_cents", price_cents)
-        .select(
-            symbol_of(key).alias("symbol"),
-            F.col("l_shipdate").alias("ts"),
-            (F.col("price_cents") / 100).alias("price"),
-            F.col("l_quantity").alias("quantity"),
-            ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1048576 + F.col("price_cents")).alias(
-                "seq"
-            ),
-            F.col("l_linenumber").alias("line"),
-        )
+        f"(case when {key} % 5 = 1 then '{india}' when {key} % 5 = 2 then '{singapore}'"
+        f" when {key} % 5 = 3 then '{australia}' else '{other}' end)"
     )
 
 
-def raw_bars(spark: SparkSession, sf: str) -> DataFrame:
-    """Landed bar rows with repeated timestamps and missing closes."""
-    return trades(spark, sf).select(
-        "symbol",
-        "ts",
-        "seq",
-        F.col("price").alias("open"),
-        (F.col("price") + 1).alias("high"),
-        (F.col("price") - 1).alias("low"),
-        F.when(F.col("line") < 6, F.col("price")).alias("close"),
-        F.col("quantity").alias("volume"),
-    )
+def market_of(key: str) -> str:
+    return _by_suffix(key, "IN", "SG", "AU", "US")
 
 
-def statements(spark: SparkSession, sf: str) -> DataFrame:
-    """Annual statement figures in long form, up to fiscal year 2000."""
-    key, year = F.col("l_suppkey"), F.year("l_shipdate")
-    p = cents(F.col("l_extendedprice"))
-    d = cents(F.col("l_discount"))
-    t = cents(F.col("l_tax"))
-    yearly = (
-        table(spark, sf, "lineitem")
-        .filter(F.col("l_shipdate") < F.lit("2001-01-01").cast("timestamp_ntz"))
-        .groupBy(key.alias("company_key"), year.alias("fiscal_year"))
-        .agg(
-            F.sum(p * (100 - d)).alias("revenue"),
-            F.sum(p * (500 * (key % 6 - 1) + 250 - 50 * d)).alias("income"),
-            F.sum(p).alias("assets"),
-            F.sum(p * t).alias("debt"),
-            F.sum(p * (10 * t - 8 * d)).alias("cash"),
-            F.sum("l_quantity").alias("shares"),
-        )
-    )
-    supplier = table(spark, sf, "supplier").select(
-        F.col("s_suppkey").alias("company_key"),
-        (cents(F.col("s_acctbal")) * 2).cast("double").alias("equity"),
-    )
-    k = F.col("company_key")
-    metrics = F.array(
-        *[
-            F.struct(F.lit(pos).alias("metric_pos"), F.lit(name).alias("metric"), value.alias("raw"))
-            for pos, (name, value) in enumerate(
-                [
-                    ("annualTotalRevenue", F.col("revenue") / 10000),
-                    ("annualNetIncome", F.col("income") / 1000000),
-                    ("annualStockholdersEquity", F.when(k % 13 != 0, F.col("equity"))),
-                    ("annualTotalAssets", F.col("assets") / 100),
-                    ("annualTotalDebt", F.col("debt") * 6 / 10000),
-                    ("annualFreeCashFlow", F.when(k % 17 != 0, F.col("cash") / 100000)),
-                    ("annualDilutedAverageShares", F.when(k % 3 != 0, F.col("shares"))),
-                    ("annualOrdinarySharesNumber", F.col("shares") + 1),
-                ]
-            )
-        ]
-    )
-    return (
-        yearly.join(supplier, "company_key")
-        .select("company_key", "fiscal_year", F.inline(metrics))
-        .filter(F.col("raw").isNotNull())
-        .select(
-            symbol_of(k).alias("symbol"),
-            "metric_pos",
-            "metric",
-            F.make_date("fiscal_year", F.lit(12), F.lit(31)).alias("as_of_date"),
-            "raw",
-            F.when(k % 4 == 0, F.lit("USD"))
-            .when(k % 5 == 1, F.lit("INR"))
-            .when(k % 5 == 2, F.lit("SGD"))
-            .when(k % 5 == 3, F.lit("AUD"))
-            .otherwise(F.lit("USD"))
-            .alias("currency"),
-        )
-    )
+def trading_currency(key: str) -> str:
+    return _by_suffix(key, "INR", "SGD", "AUD", "USD")
 
 
-def macro_obs(spark: SparkSession, sf: str) -> DataFrame:
-    """Published observations per market: monthly CPI index, unemployment and rate, quarterly GDP."""
-    orders = (
-        table(spark, sf, "orders")
-        .filter(F.col("o_orderdate") < F.lit("2001-08-01").cast("timestamp_ntz"))
-        .select(
-            market_of(F.col("o_custkey")).alias("market_code"),
-            F.trunc(F.col("o_orderdate").cast("date"), "MM").alias("month"),
-            cents(F.col("o_totalprice")).alias("price"),
-            F.col("o_orderstatus").alias("status"),
-        )
-    )
-    monthly = orders.groupBy("market_code", "month").agg(
-        F.sum("price").alias("price"),
-        F.count("*").alias("n"),
-        F.count_if(F.col("status") == "P").alias("n_p"),
-        F.count_if(F.col("status") == "F").alias("n_f"),
-    )
-    month_no = F.months_between("month", F.lit("1995-01-01").cast("date"))
-    quarter = Window.partitionBy("market_code", F.trunc("month", "quarter"))
-    months = monthly.withColumns(
-        {
-            "quarter_price": F.sum("price").over(quarter),
-            "quarter_n": F.sum("n").over(quarter),
-            "quarter_month": F.min("month").over(quarter),
-        }
-    )
-    # Quarterly growth rides on the quarter's first month; the last, incomplete quarter has none.
-    gdp_here = (F.col("month") == F.col("quarter_month")) & (
-        F.col("month") < F.lit("2001-07-01").cast("date")
-    )
-    price, quarter_price = F.col("price") / F.col("n") / 100, F.col("quarter_price") / F.col("quarter_n") / 100
+KEY_OF_SYMBOL = "bigint(substring(symbol, 2, 10))"
 
-    def observation(indicator: str, date: Column, value: Column) -> Column:
-        return F.struct(
-            date.alias("period_date"), F.lit(indicator).alias("indicator"), rounded(value, 4).alias("value")
-        )
 
-    month = F.col("month")
-    published = F.array(
-        observation("cpi", month, 100 + 0.25 * month_no + price / 25000),
-        observation("unemployment", month, 12 * F.col("n_p") / F.col("n")),
-        observation("policy_rate", month, 10 * F.col("n_f") / F.col("n")),
-        observation(
-            "gdp_growth",
-            F.trunc("month", "quarter"),
-            F.when(gdp_here, 40 * (quarter_price / 250000 - 1) + 2.5),
-        ),
-    )
-    return months.select("market_code", F.inline(published)).filter(F.col("value").isNotNull())
+# ---- companies and prices ---------------------------------------------------------------------
 
 
-def customer_series(spark: SparkSession, sf: str) -> DataFrame:
-    """A sparse monthly price index per customer: one published series each."""
+def companies(spark: SparkSession, sf: str) -> DataFrame:
+    k = "company_key"
     return (
-        table(spark, sf, "orders")
-        .groupBy(
-            F.col("o_custkey").alias("series_key"),
-            F.trunc(F.col("o_orderdate").cast("date"), "MM").alias("date"),
+        table(spark, sf, "supplier")
+        .selectExpr(
+            f"s_suppkey as {k}",
+            f"initcap({_pick(BRANDS, 's_suppkey % 7')}) as company_name",
+            f"{cents('s_acctbal')} as acctbal_cents",
         )
-        .agg(F.sum(cents(F.col("o_totalprice"))).alias("price"), F.count("*").alias("n"))
-        .select(
-            F.concat(F.lit("C"), F.col("series_key").cast("string")).alias("series_id"),
-            "series_key",
-            "date",
-            rounded(F.col("price") / F.col("n") / 1000000, 4).alias("value"),
+        .selectExpr(
+            k,
+            f"{symbol_of(k)} as symbol",
+            "company_name",
+            f"concat(company_name, ' ', {_pick(LEGAL_FORMS, f'{k} % 5')}) as legal_name",
+            f"{_pick(SECTORS, f'{k} % 12')} as sector",
+            "acctbal_cents",
         )
     )
 
 
-def news(spark: SparkSession, sf: str) -> DataFrame:
-    """English documents as provider articles; company 1 receives a third of all of them."""
-    first, second = F.get(F.split("text", "\n"), F.lit(0)), F.get(F.split("text", "\n"), F.lit(1))
-    key = F.when(F.col("doc_id") % 3 == 0, F.lit(1).cast("bigint")).otherwise(
-        F.expr("doc_id div 10")
+def trades(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per trade. ``seq`` is the arrival order; equal ``seq`` implies an equal price."""
+    price_cents = (
+        "200000L + ((l_suppkey div 5) % 5 - 2) * 25 * datediff(l_shipdate, date'1995-01-01')"
+        f" + {cents('l_extendedprice')} div (300 * (1 + l_suppkey % 4))"
     )
     return (
-        table(spark, sf, "documents")
-        .filter(F.col("lang") == "en")
-        .select(
-            "doc_id",
-            symbol_of(key).alias("symbol"),
-            F.when(F.col("doc_id") % 31 == 0, F.lit(" \n"))
-            .when(F.col("doc_id") % 23 == 0, F.concat(first, F.lit(" Stocks to Watch")))
-            .otherwise(first)
-            .alias("title"),
-            second.alias("description"),
-            F.col("text").alias("content"),
-            F.struct(F.col("source").alias("name")).alias("source"),
-            F.date_format(
-                F.timestamp_add("HOUR", (F.col("doc_id") * 37) % 5000, F.lit("2001-01-01").cast("timestamp_ntz")),
-                "yyyy-MM-dd'T'HH:mm:ss'Z'",
-            ).alias("published_at"),
-            F.when(
-                F.col("doc_id") % 29 != 0,
-                F.concat_ws(
-                    "/", F.lit("https://n"), F.col("source"), (F.col("doc_id") % 7).cast("string")
-                ),
-            )
-            .otherwise(F.lit(""))
-            .alias("url"),
+        table(spark, sf, "lineitem")
+        .selectExpr("*", f"{price_cents} as price_cents")
+        .selectExpr(
+            f"{symbol_of('l_suppkey')} as symbol",
+            "l_shipdate as ts",
+            "price_cents / 100 as price",
+            "l_quantity as quantity",
+            "(l_orderkey * 8 + l_linenumber) * 1048576 + price_cents as seq",
+            "l_linenumber as line",
         )
     )
 
 
-def sentiment_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "labels").select(
-        "doc_id",
-        F.when(F.col("toxic") == 1, F.lit("Negative"))
-        .when(F.col("quality") == 1, F.lit(" positive "))
-        .otherwise(F.lit("mixed"))
-        .alias("sentiment"),
-    )
+def raw_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Landed bar rows with repeated timestamps and missing closes."""
+    return trades(spark, sf).selectExpr(
+        "symbol", "ts", "seq", "price as open", "price + 1 as high", "price - 1 as low",
+        "case when line < 6 then price end as close", "quantity as volume",
+    )
 
 
-# ---- fundamentals ----------------------------------------------------------------------------
+# ---- fundamentals -----------------------------------------------------------------------------
 
 # Base, quote, date, rate: one pair exists only in inverse form, one only with unusable rates.
 FX_RATES = [
@@ -305,288 +140,257 @@ FX_RATES = [
 
 
 def fx_rates(spark: SparkSession) -> DataFrame:
-    from tickerloom.functions.literals import literal_table
-
     return literal_table(spark, FX_RATES, "base string, quote string, as_of date, rate double")
 
 
-def trading_currency(key: Column) -> Column:
+def statements(spark: SparkSession, sf: str) -> DataFrame:
+    """Annual statement figures in long form, up to fiscal year 2000."""
+    sums = {
+        "revenue": "sum(p * (100 - d))",
+        "income": "sum(p * (500 * (company_key % 6 - 1) + 250 - 50 * d))",
+        "assets": "sum(p)",
+        "debt": "sum(p * t)",
+        "cash": "sum(p * (10 * t - 8 * d))",
+        "shares": "sum(l_quantity)",
+    }
+    yearly = (
+        table(spark, sf, "lineitem")
+        .filter("l_shipdate < timestamp_ntz'2001-01-01'")
+        .selectExpr(
+            "l_suppkey as company_key",
+            "year(l_shipdate) as fiscal_year",
+            f"{cents('l_extendedprice')} as p",
+            f"{cents('l_discount')} as d",
+            f"{cents('l_tax')} as t",
+            "l_quantity",
+        )
+        .groupBy("company_key", "fiscal_year")
+        .agg(*[F.expr(f"{text} as {name}") for name, text in sums.items()])
+    )
+    equity = table(spark, sf, "supplier").selectExpr(
+        "s_suppkey as company_key", f"double(2 * {cents('s_acctbal')}) as equity"
+    )
+    metrics = [
+        ("annualTotalRevenue", "revenue / 10000"),
+        ("annualNetIncome", "income / 1000000"),
+        ("annualStockholdersEquity", "case when company_key % 13 <> 0 then equity end"),
+        ("annualTotalAssets", "assets / 100"),
+        ("annualTotalDebt", "debt * 6 / 10000"),
+        ("annualFreeCashFlow", "case when company_key % 17 <> 0 then cash / 100000 end"),
+        ("annualDilutedAverageShares", "case when company_key % 3 <> 0 then shares end"),
+        ("annualOrdinarySharesNumber", "shares + 1"),
+    ]
+    stacked = ", ".join(f"{i}, '{name}', {value}" for i, (name, value) in enumerate(metrics))
+    currency = f"case when company_key % 4 = 0 then 'USD' else {trading_currency('company_key')} end"
     return (
-        F.when(key % 5 == 1, F.lit("INR"))
-        .when(key % 5 == 2, F.lit("SGD"))
-        .when(key % 5 == 3, F.lit("AUD"))
-        .otherwise(F.lit("USD"))
+        yearly.join(equity, "company_key")
+        .selectExpr(
+            "company_key", "fiscal_year", f"stack({len(metrics)}, {stacked}) as (metric_pos, metric, raw)"
+        )
+        .filter("raw is not null")
+        .selectExpr(
+            f"{symbol_of('company_key')} as symbol",
+            "metric_pos",
+            "metric",
+            "make_date(fiscal_year, 12, 31) as as_of_date",
+            "raw",
+            f"{currency} as currency",
+        )
     )
 
 
 def primary_quotes(spark: SparkSession, sf: str) -> DataFrame:
     """Primary provider records; missing for a third of the companies, unnamed for a few."""
-    k = F.col("company_key")
-    hundred = F.lit(100.0)
     return (
         companies(spark, sf)
-        .filter(k % 3 != 1)
-        .select(
+        .withColumnRenamed("company_key", "k")
+        .filter("k % 3 <> 1")
+        .selectExpr(
             "symbol",
-            F.when(k % 9 == 2, F.lit("")).otherwise(F.col("company_name")).alias("long_name"),
-            F.when(k % 18 == 2, F.lit("")).otherwise(F.col("company_name")).alias("short_name"),
+            "case when k % 9 = 2 then '' else company_name end as long_name",
+            "case when k % 18 = 2 then '' else company_name end as short_name",
             "sector",
-            F.concat("sector", F.lit(" - General")).alias("industry"),
-            trading_currency(k).alias("currency"),
-            (F.col("acctbal_cents") + 200000).cast("double").alias("market_cap"),
-            ((k + 1) * 12345).cast("double").alias("total_revenue"),
-            (k % 40 + 0.125).alias("trailing_pe"),
-            F.when(k % 11 != 0, (k % 50 - 5).cast("double")).alias("forward_pe"),
-            ((k % 9) / 4).alias("price_to_book"),
-            ((k % 30 - 8) / hundred).alias("profit_margins"),
-            ((k % 28 - 4) / hundred).alias("return_on_equity"),
-            ((k % 20 - 3) / (2 * hundred)).alias("return_on_assets"),
-            ((k % 36 - 15) / hundred).alias("revenue_growth"),
-            F.when(k % 10 != 7, (k % 44 - 20) / hundred).alias("earnings_growth"),
-            ((k % 26) * 10).cast("double").alias("debt_to_equity"),
-            ((k % 7 - 2) * 1000000).cast("double").alias("free_cash_flow"),
+            "concat(sector, ' - General') as industry",
+            f"{trading_currency('k')} as currency",
+            "double(acctbal_cents + 200000) as market_cap",
+            "double((k + 1) * 12345) as total_revenue",
+            "k % 40 + 0.125D as trailing_pe",
+            "case when k % 11 <> 0 then double(k % 50 - 5) end as forward_pe",
+            "(k % 9) / 4 as price_to_book",
+            "(k % 30 - 8) / 100 as profit_margins",
+            "(k % 28 - 4) / 100 as return_on_equity",
+            "(k % 20 - 3) / 200 as return_on_assets",
+            "(k % 36 - 15) / 100 as revenue_growth",
+            "case when k % 10 <> 7 then (k % 44 - 20) / 100 end as earnings_growth",
+            "double((k % 26) * 10) as debt_to_equity",
+            "double((k % 7 - 2) * 1000000) as free_cash_flow",
         )
     )
 
 
 def metric_profiles(spark: SparkSession, sf: str) -> DataFrame:
     """Metrics provider records: figures as text in a map, some not numeric, some maps empty."""
-    k = F.col("company_key")
-
-    def text(value: Column) -> Column:
-        return value.cast("decimal(12,2)").cast("string")
-
-    metrics = F.create_map(
-        F.lit("revenuePerShareTTM"), text((k % 60) / 4),
-        F.lit("freeCashFlowPerShareTTM"), text((k % 15 - 4) / 8),
-        F.lit("peBasicExclExtraTTM"), F.when(k % 4 == 0, F.lit("n/a")).otherwise(text((k % 33) / 2)),
-        F.lit("peTTM"), text((k % 21) / 5),
-        F.lit("pbAnnual"), text((k % 12) / 5),
-        F.lit("netProfitMarginTTM"), text((k % 40 - 12) / 2),
-        F.lit("roeRfy"), text((k % 34 - 9) / 2),
-        F.lit("roaTTM"), text((k % 10 - 2) / 4),
-        F.lit("revenueGrowthTTMYoy"), text((k % 50 - 22) / 2),
-        F.lit("epsGrowthQuarterlyYoy"), text((k % 62 - 30) / 2),
-        F.lit("totalDebt/totalEquityQuarterly"), text((k % 30) / 10),
-    )
+
+    def text(value: str) -> str:
+        return f"string(cast({value} as decimal(12,2)))"
+
+    metrics = {
+        "revenuePerShareTTM": text("(k % 60) / 4"),
+        "freeCashFlowPerShareTTM": text("(k % 15 - 4) / 8"),
+        "peBasicExclExtraTTM": f"case when k % 4 = 0 then 'n/a' else {text('(k % 33) / 2')} end",
+        "peTTM": text("(k % 21) / 5"),
+        "pbAnnual": text("(k % 12) / 5"),
+        "netProfitMarginTTM": text("(k % 40 - 12) / 2"),
+        "roeRfy": text("(k % 34 - 9) / 2"),
+        "roaTTM": text("(k % 10 - 2) / 4"),
+        "revenueGrowthTTMYoy": text("(k % 50 - 22) / 2"),
+        "epsGrowthQuarterlyYoy": text("(k % 62 - 30) / 2"),
+        "totalDebt/totalEquityQuarterly": text("(k % 30) / 10"),
+    }
+    entries = ", ".join(f"'{name}', {value}" for name, value in metrics.items())
     return (
         companies(spark, sf)
-        .filter(k % 2 == 0)
-        .select(
+        .withColumnRenamed("company_key", "k")
+        .filter("k % 2 = 0")
+        .selectExpr(
             "symbol",
-            F.when(k % 14 == 0, F.lit("")).otherwise(F.col("company_name")).alias("name"),
-            (k % 90 + 10).cast("double").alias("shares_millions"),
-            F.col("sector").alias("industry"),
-            trading_currency(k).alias("currency"),
-            ((F.col("acctbal_cents") + 200000) / 1000).alias("market_cap_millions"),
-            F.when(k % 8 == 0, F.expr("cast(map() as map<string, string>)"))
-            .otherwise(metrics)
-            .alias("metrics"),
+            "case when k % 14 = 0 then '' else company_name end as name",
+            "double(k % 90 + 10) as shares_millions",
+            "sector as industry",
+            f"{trading_currency('k')} as currency",
+            "(acctbal_cents + 200000) / 1000 as market_cap_millions",
+            f"case when k % 8 = 0 then cast(map() as map<string, string>) else map({entries}) end as metrics",
         )
     )
 
 
 def listing_quotes(spark: SparkSession, sf: str) -> DataFrame:
     """Listing search records of the direct provider; missing for a fifth of the companies."""
-    k = F.col("company_key")
     return (
         companies(spark, sf)
-        .filter(k % 5 != 4)
-        .select(
+        .withColumnRenamed("company_key", "k")
+        .filter("k % 5 <> 4")
+        .selectExpr(
             "symbol",
-            F.when(k % 10 == 3, F.lit("")).otherwise(F.col("company_name")).alias("long_name"),
-            F.col("company_name").alias("short_name"),
-            F.when(k % 4 == 2, F.lit("")).otherwise(F.col("sector")).alias("sector"),
-            F.col("sector").alias("sector_display"),
-            F.lit(None).cast("string").alias("industry"),
-            F.concat("sector", F.lit(" - Other")).alias("industry_display"),
-            F.when(k % 6 == 0, F.lit("")).otherwise(trading_currency(k)).alias("quote_currency"),
-            F.when(k % 4 != 1, (F.col("acctbal_cents") + 300000).cast("double")).alias("market_cap"),
-            F.when(k % 3 != 0, k % 40 + 0.375).alias("trailing_pe"),
-            (k % 50 - 5).cast("double").alias("forward_pe"),
-            F.when(k % 2 == 0, (k % 9) / 8).alias("price_to_book"),
+            "case when k % 10 = 3 then '' else company_name end as long_name",
+            "company_name as short_name",
+            "case when k % 4 = 2 then '' else sector end as sector",
+            "sector as sector_display",
+            "cast(null as string) as industry",
+            "concat(sector, ' - Other') as industry_display",
+            f"case when k % 6 = 0 then '' else {trading_currency('k')} end as quote_currency",
+            "case when k % 4 <> 1 then double(acctbal_cents + 300000) end as market_cap",
+            "case when k % 3 <> 0 then k % 40 + 0.375D end as trailing_pe",
+            "double(k % 50 - 5) as forward_pe",
+            "case when k % 2 = 0 then (k % 9) / 8 end as price_to_book",
         )
     )
 
 
 def chart_meta(bars: DataFrame) -> DataFrame:
     """Chart metadata per symbol: market price for every other company, USD unless unknown."""
-    k = F.substring("symbol", 2, 10).cast("bigint")
     return (
         bars.groupBy("symbol")
         .agg(F.max_by("close", "date").alias("close"))
-        .select(
+        .selectExpr(
             "symbol",
-            F.when(k % 2 == 1, F.col("close")).alias("market_price"),
-            F.when(k % 3 != 0, F.lit("USD")).alias("chart_currency"),
+            f"case when {KEY_OF_SYMBOL} % 2 = 1 then close end as market_price",
+            f"case when {KEY_OF_SYMBOL} % 3 <> 0 then 'USD' end as chart_currency",
         )
     )
 
 
-# ---- landed pages, records and files ----------------------------------------------------------
-
-
-def _tenths(value: Column) -> Column:
-    return (value / 10).cast("decimal(10,1)").cast("string")
+# ---- macro series -----------------------------------------------------------------------------
 
 
-def rate_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Web pages that also state a policy rate and a last-updated date (some lack or garble them)."""
-    p = F.col("page_id")
-    rate = F.when(p % 4 == 0, (p % 13).cast("string")).otherwise(
-        F.concat((p % 13).cast("string"), F.lit("."), F.lpad(((p * 7) % 100).cast("string"), 2, "0"))
-    )
-    date = F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), (p % 300).cast("int")), "MMM d, yyyy")
-    return table(spark, sf, "pages").select(
-        "page_id",
-        F.concat(
-            "html",
-            F.when(
-                p % 6 != 0, F.concat(F.lit("<div>Policy <b>Repo</b>\n RATE&nbsp;: "), rate, F.lit(" %</div>"))
-            ).otherwise(F.lit("<div>Policy Rate</div>")),
-            F.when(p % 7 == 0, F.lit(""))
-            .when(p % 5 == 0, F.lit("<p>Website last updated date : Foo 45, 2026</p>"))
-            .otherwise(F.concat(F.lit("<p>Website last updated <i>date</i> : "), date, F.lit("</p>"))),
-        ).alias("html"),
-    )
-
-
-def table_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Web pages that also carry the captioned tables; some lack them or break off."""
-    from tickerloom.operators.pages import TABLE_CAPTIONS
-
-    p = F.col("page_id")
+def macro_obs(spark: SparkSession, sf: str) -> DataFrame:
+    """Published observations per market: monthly CPI index, unemployment and rate, quarterly GDP.
 
-    def row(m: Column) -> Column:
-        first = (
-            F.when((p + m) % 5 == 0, F.lit(""))
-            .when((p + m) % 9 == 4, F.lit("na"))
-            .otherwise(_tenths((p * 7 + m * 3) % 40 - 10))
-        )
-        second = F.when((p + 2 * m) % 7 == 0, F.lit(" &nbsp;")).otherwise(
-            _tenths((p * 5 + m * 11) % 60 - 15)
-        )
-        month = F.date_format(F.add_months(F.lit("2025-01-01").cast("date"), m), "MMM-yy")
-        return F.concat(
-            F.lit('<TR>\n<th scope="row" class="row-header">'), month,
-            F.lit('</th><td class="x"><b>'), first, F.lit("</b>&nbsp;</td><td>"), second,
-            F.lit("</td></TR>"),
-        )
-
-    rows = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(11)), row), "")
-    tables = [
-        F.concat(
-            F.lit(f"<table><caption>{caption}</caption><tr><th>Month</th></tr>"),
-            F.col("rows"),
-            F.when((p % 8 == 1) & F.lit(indicator == "gdp_growth"), F.lit("")).otherwise(F.lit("</table>")),
+    Quarterly growth rides on the quarter's first month (the last, incomplete quarter has none), so
+    one pass over the orders serves all four.
+    """
+    monthly = (
+        table(spark, sf, "orders")
+        .filter("o_orderdate < timestamp_ntz'2001-08-01'")
+        .selectExpr(
+            f"{market_of('o_custkey')} as market_code",
+            "trunc(date(o_orderdate), 'MM') as month",
+            f"{cents('o_totalprice')} as price",
+            "o_orderstatus as status",
         )
-        for indicator, caption in TABLE_CAPTIONS.items()
-    ]
-    return (
-        table(spark, sf, "pages")
-        .withColumn("rows", rows)
-        .select(
-            "page_id",
-            F.concat("html", F.when(p % 8 != 0, F.concat(*tables)).otherwise(F.lit(""))).alias("html"),
+        .groupBy("market_code", "month")
+        .agg(
+            F.expr("sum(price) as price"),
+            F.expr("count(*) as n"),
+            F.expr("count_if(status = 'P') as n_p"),
+            F.expr("count_if(status = 'F') as n_f"),
         )
     )
-
-
-def sora_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Web pages that also carry a rate table whose year and month cells are filled sparsely."""
-    p = F.col("page_id")
-
-    def day(i: Column) -> Column:
-        return F.date_add(F.lit("2025-11-20").cast("date"), (i * 4 + p % 5).cast("int"))
-
-    def row(i: Column) -> Column:
-        first = i == 0
-        year = F.when((p + i) % 11 == 7, F.lit("xx")).when(
-            first | (F.year(day(i)) != F.year(day(i - 1))), F.year(day(i)).cast("string")
-        ).otherwise(F.lit(""))
-        month = F.when(
-            first | (F.month(day(i)) != F.month(day(i - 1))), F.date_format(day(i), "MMM")
-        ).otherwise(F.lit("&nbsp;"))
-        published = F.when((p + i) % 13 == 5, F.lit("soon")).otherwise(
-            F.date_format(F.date_add(day(i), 1), "dd MMM yyyy")
-        )
-        rate = F.when((p + i) % 6 == 2, F.lit("")).otherwise(
-            (((p * 3 + i * 7) % 400) / 100).cast("decimal(10,2)").cast("string")
-        )
-        cells = [year, month, F.dayofmonth(day(i)).cast("string"), published]
-        head = F.concat(*[F.concat(F.lit("<td> "), c, F.lit("</td>")) for c in cells])
-        last = F.when(i % 10 == 9, F.lit("")).otherwise(F.concat(F.lit("<td>"), rate, F.lit("</td>")))
-        return F.concat(F.lit("<tr>"), head, last, F.lit("</tr>"))
-
-    rows = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(23)), row), "\n")
-    return table(spark, sf, "pages").select(
-        "page_id",
-        F.concat(
-            "html",
-            F.when(p % 9 != 0, F.lit('<table id="ContentPlaceHolder1_soraHeader">')).otherwise(F.lit("<table>")),
-            rows,
-            F.lit("</table>"),
-        ).alias("html"),
+    quarter = Window.partitionBy("market_code", F.trunc("month", "quarter"))
+    months = monthly.withColumns(
+        {
+            "quarter_price": F.sum("price").over(quarter),
+            "quarter_n": F.sum("n").over(quarter),
+            "quarter_month": F.min("month").over(quarter),
+        }
+    )
+    cpi = "100 + 0.25D * months_between(month, date'1995-01-01') + price / n / 100 / 25000"
+    gdp = (
+        "case when month = quarter_month and month < date'2001-07-01'"
+        " then 40 * (quarter_price / quarter_n / 100 / 250000 - 1) + 2.5D end"
+    )
+    published = (
+        f"stack(4, month, 'cpi', {rounded(cpi, 4)}, month, 'unemployment', {rounded('12 * n_p / n', 4)},"
+        f" month, 'policy_rate', {rounded('10 * n_f / n', 4)},"
+        f" trunc(month, 'quarter'), 'gdp_growth', {rounded(gdp, 4)}) as (period_date, indicator, value)"
     )
+    return months.selectExpr("market_code", published).filter("value is not null")
 
 
-def rate_files(spark: SparkSession, sf: str) -> DataFrame:
-    """CSV files with a preamble, one per customer: a line per order date (bounded by the calendar)."""
-    c = F.col("o_custkey")
-    daily = (
+def customer_series(spark: SparkSession, sf: str) -> DataFrame:
+    """A sparse monthly price index per customer: one published series each."""
+    return (
         table(spark, sf, "orders")
-        .groupBy("o_custkey", F.col("o_orderdate").cast("date").alias("date"))
-        .agg(F.max(cents(F.col("o_totalprice"))).alias("price"))
-    )
-    text = (
-        F.when(F.dayofmonth("date") == 3, F.lit(""))
-        .when(F.dayofmonth("date") == 4, F.lit("n/a"))
-        .otherwise((F.expr("price div 10000") / 100).cast("decimal(10,2)").cast("string"))
-    )
-    line = F.concat(F.date_format("date", "dd-MMM-yyyy"), F.lit(","), text, F.lit(",x"))
-    files = daily.groupBy("o_custkey").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("date", line.alias("line")))), lambda s: s["line"]), "\r\n").alias("body")
-    )
-    return files.select(
-        F.concat(F.lit("F"), c.cast("string")).alias("file"),
-        F.concat(
-            F.lit("﻿F1 INTEREST RATES\r\n,\r\nTitle,\"Cash Rate, Target\"\r\n"),
-            F.when(c % 5 == 0, F.lit("Publication date,soon\r\n")).otherwise(
-                F.lit("Publication date,05-Nov-2001\r\n")
-            ),
-            F.when(c % 11 == 0, F.lit(""))
-            .when(c % 7 == 0, F.lit("Series ID,FIRMOTHER\r\n"))
-            .otherwise(F.lit("Series ID,FIRMMCRTD\r\n")),
-            "body",
-        ).alias("content"),
+        .selectExpr(
+            "o_custkey as series_key",
+            "trunc(date(o_orderdate), 'MM') as date",
+            f"{cents('o_totalprice')} as price",
+        )
+        .groupBy("series_key", "date")
+        .agg(F.expr("sum(price) as price"), F.expr("count(*) as n"))
+        .selectExpr(
+            "concat('C', series_key) as series_id",
+            "series_key",
+            "date",
+            f"{rounded('price / n / 1000000', 4)} as value",
+        )
     )
 
 
 def agency_records(spark: SparkSession, sf: str) -> DataFrame:
     """Statistics-office records as JSON lines: one per order, publisher = customer, all values text."""
-    k, date = F.col("o_orderkey"), F.col("o_orderdate")
-    price = cents(F.col("o_totalprice"))
-    value = F.concat(
-        F.floor(price / 3000000).cast("string"), F.lit("."), F.lpad((price % 100).cast("string"), 2, "0")
-    )
-    fiscal = F.format_string("%d-%02d", F.year(date), (F.year(date) + 1) % 100)
-    record = F.struct(
-        F.concat(F.lit("P"), F.col("o_custkey").cast("string")).alias("publisher"),
-        k.alias("seq"),
-        F.when(k % 3 == 0, F.lit("CPI")).when(k % 3 == 1, F.lit("PLFS")).otherwise(F.lit("NAS")).alias("dataset"),
-        F.when(F.col("o_orderpriority") < "4", F.lit("CPI (General)"))
-        .otherwise(F.lit("CPI (Food)"))
-        .alias("division"),
-        F.when(k % 5 != 0, F.lit("GDP Growth Rate")).otherwise(F.lit("GVA Growth Rate")).alias("indicator"),
-        F.when(k % 17 == 0, F.lit("n/a")).otherwise(F.year(date).cast("string")).alias("year"),
-        F.when(k % 19 == 0, F.lit("Smarch")).otherwise(F.date_format(date, "MMMM")).alias("month"),
-        F.when(k % 23 == 0, F.year(date).cast("string")).otherwise(fiscal).alias("fiscal_year"),
-        F.when(k % 29 == 0, F.lit("Q5"))
-        .otherwise(F.concat(F.when(k % 2 == 0, F.lit("q")).otherwise(F.lit("Q")), F.quarter(date)))
-        .alias("quarter"),
-        F.when(k % 13 == 0, F.lit("na")).otherwise(value).alias("value"),
-    )
-    return table(spark, sf, "orders").select(F.to_json(record).alias("line"))
+    fields = {
+        "publisher": "concat('P', o_custkey)",
+        "seq": "k",
+        "dataset": "case when k % 3 = 0 then 'CPI' when k % 3 = 1 then 'PLFS' else 'NAS' end",
+        "division": "case when o_orderpriority < '4' then 'CPI (General)' else 'CPI (Food)' end",
+        "indicator": "case when k % 5 <> 0 then 'GDP Growth Rate' else 'GVA Growth Rate' end",
+        "year": "case when k % 17 = 0 then 'n/a' else string(y) end",
+        "month": "case when k % 19 = 0 then 'Smarch' else date_format(o_orderdate, 'MMMM') end",
+        "fiscal_year": "case when k % 23 = 0 then string(y) else format_string('%d-%02d', y, (y + 1) % 100) end",
+        "quarter": "case when k % 29 = 0 then 'Q5'"
+        " else concat(case when k % 2 = 0 then 'q' else 'Q' end, quarter(o_orderdate)) end",
+        "value": "case when k % 13 = 0 then 'na'"
+        " else concat(price div 3000000, '.', lpad(string(price % 100), 2, '0')) end",
+    }
+    record = ", ".join(f"{value} as {name}" for name, value in fields.items())
+    return (
+        table(spark, sf, "orders")
+        .selectExpr(
+            "*", "o_orderkey as k", "year(o_orderdate) as y", f"{cents('o_totalprice')} as price"
+        )
+        .selectExpr(f"to_json(struct({record})) as line")
+    )
 
 
 AGENCY_RECORD_SCHEMA = (
@@ -599,70 +403,54 @@ def annual_observations(spark: SparkSession, sf: str) -> DataFrame:
     """Annual fallback figures per country (customer), some years empty."""
     return (
         table(spark, sf, "orders")
-        .groupBy(F.col("o_custkey").alias("c"), F.year("o_orderdate").alias("year"))
-        .agg(F.sum(cents(F.col("o_totalprice"))).alias("price"))
-        .select(
-            F.concat(F.lit("K"), F.col("c").cast("string")).alias("country_code"),
-            F.lit("NY.GDP.MKTP.KD.ZG").alias("indicator"),
+        .selectExpr("o_custkey as c", "year(o_orderdate) as year", f"{cents('o_totalprice')} as price")
+        .groupBy("c", "year")
+        .agg(F.expr("sum(price) as price"))
+        .selectExpr(
+            "concat('K', c) as country_code",
+            "'NY.GDP.MKTP.KD.ZG' as indicator",
             "year",
-            F.when((F.col("c") + F.col("year")) % 4 != 0, F.col("price") / 10000000).alias("value"),
+            "case when (c + year) % 4 <> 0 then price / 10000000 end as value",
         )
     )
 
 
 def interpretation_rows(spark: SparkSession, sf: str) -> DataFrame:
     """A rate per order for interpretation, over all bands, with unknown markets and missing values."""
-    k, c = F.col("o_orderkey"), F.col("o_custkey") % 6
-    price = cents(F.col("o_totalprice"))
-    market = (
-        F.when(c == 0, F.lit("US"))
-        .when(c == 1, F.lit("IN"))
-        .when(c == 2, F.lit("SG"))
-        .when(c == 3, F.lit("AU"))
-        .when(c == 4, F.lit(" us "))
-        .otherwise(F.lit("BR"))
-    )
-    return table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("row_id"),
-        market.alias("market_code"),
-        F.when(k % 37 != 0, (price % 120) / 10 - 3).alias("rate"),
-        F.when(k % 31 != 0, (F.expr("cast(round(o_totalprice * 100) as bigint) div 120") % 100) / 10 - 2).alias(
-            "inflation"
-        ),
-        (k % 4 != 0).cast("int").alias("flag"),
+    price = cents("o_totalprice")
+    return table(spark, sf, "orders").selectExpr(
+        "o_orderkey as row_id",
+        "case o_custkey % 6 when 0 then 'US' when 1 then 'IN' when 2 then 'SG' when 3 then 'AU'"
+        " when 4 then ' us ' else 'BR' end as market_code",
+        f"case when o_orderkey % 37 <> 0 then ({price} % 120) / 10 - 3 end as rate",
+        f"case when o_orderkey % 31 <> 0 then (({price} div 120) % 100) / 10 - 2 end as inflation",
+        "int(o_orderkey % 4 <> 0) as flag",
     )
 
 
+_IS_POLICY_RATE = "case when market_code <> 'US' then market_code <> 'SG' end as is_policy_rate"
+
+
 def live_observations(spark: SparkSession, sf: str) -> DataFrame:
     """Latest live observation per market and indicator; some are out, one US outage spoils all of US."""
-    from tickerloom.operators import observations as O
-
-    obs = macro_obs(spark, sf)
-    keyed = obs.select(
-        F.concat_ws(":", "market_code", "indicator").alias("series_id"),
-        F.col("period_date").alias("date"),
-        "value",
+    keyed = macro_obs(spark, sf).selectExpr(
+        "concat(market_code, ':', indicator) as series_id", "period_date as date", "value"
     )
-    cpi = O.inflation_yoy(keyed.filter(F.col("series_id").endswith(":cpi"))).select(
-        F.replace(F.col("series_id"), F.lit(":cpi"), F.lit(":inflation")).alias("series_id"),
-        "value",
-        "observation_date",
+    inflation = O.inflation_yoy(keyed.filter("series_id like '%:cpi'")).selectExpr(
+        "replace(series_id, ':cpi', ':inflation') as series_id", "value", "observation_date"
     )
-    rest = O.series_latest(keyed.filter(~F.col("series_id").endswith(":cpi")))
-    market, indicator = (F.split_part("series_id", F.lit(":"), F.lit(i)) for i in (1, 2))
-    out = F.col("series_id").isin("US:gdp_growth", "IN:gdp_growth", "SG:unemployment", "AU:inflation")
+    rest = O.series_latest(keyed.filter("series_id not like '%:cpi'"))
     return (
-        cpi.unionByName(rest)
-        .filter(~out)
-        .select(
-            market.alias("market_code"),
-            indicator.alias("indicator"),
+        inflation.unionByName(rest)
+        .filter("series_id not in ('US:gdp_growth', 'IN:gdp_growth', 'SG:unemployment', 'AU:inflation')")
+        .selectExpr(
+            "split_part(series_id, ':', 1) as market_code",
+            "split_part(series_id, ':', 2) as indicator",
             "value",
             "observation_date",
-            F.lit("official").alias("source"),
-            F.when(market != "US", market != "SG").alias("is_policy_rate"),
-            F.lit(False).alias("is_cached"),
-            F.lit(False).alias("is_fallback"),
+        )
+        .selectExpr(
+            "*", "'official' as source", _IS_POLICY_RATE, "false as is_cached", "false as is_fallback"
         )
     )
 
@@ -671,39 +459,162 @@ def stored_observations(spark: SparkSession, sf: str) -> DataFrame:
     """Good observations kept before 2001 (the price index stands for inflation, less 100)."""
     return (
         macro_obs(spark, sf)
-        .filter(F.col("period_date") < F.lit("2001-01-01").cast("date"))
-        .filter(~F.concat_ws(":", "market_code", "indicator").isin("SG:unemployment", "IN:gdp_growth"))
-        .select(
+        .filter("period_date < date'2001-01-01'")
+        .filter("concat(market_code, ':', indicator) not in ('SG:unemployment', 'IN:gdp_growth')")
+        .selectExpr(
             "market_code",
-            F.when(F.col("indicator") == "cpi", F.lit("inflation")).otherwise(F.col("indicator")).alias("indicator"),
-            F.when(F.col("indicator") == "cpi", rounded((F.col("value") - 100) / 10, 4))
-            .otherwise(F.col("value"))
-            .alias("value"),
-            F.date_format("period_date", "yyyy-MM-dd").alias("observation_date"),
-            F.lit("official").alias("source"),
-            F.when(F.col("market_code") != "US", F.col("market_code") != "SG").alias("is_policy_rate"),
-            F.col("period_date").cast("timestamp_ntz").alias("cached_at"),
+            "case when indicator = 'cpi' then 'inflation' else indicator end as indicator",
+            f"case when indicator = 'cpi' then {rounded('(value - 100) / 10', 4)} else value end as value",
+            "date_format(period_date, 'yyyy-MM-dd') as observation_date",
+            "'official' as source",
+            _IS_POLICY_RATE,
+            "cast(period_date as timestamp_ntz) as cached_at",
         )
     )
 
 
 def fallback_observations(spark: SparkSession, sf: str) -> DataFrame:
     """Annual fallback per market and indicator from the same publications."""
-    from tickerloom.operators import observations as O
-
     annual = (
         macro_obs(spark, sf)
-        .filter(F.col("indicator").isin("gdp_growth", "unemployment", "policy_rate"))
-        .groupBy(F.col("market_code").alias("country_code"), "indicator", F.year("period_date").alias("year"))
-        .agg(F.max("value").alias("value"))
+        .filter("indicator <> 'cpi'")
+        .selectExpr("market_code as country_code", "indicator", "year(period_date) as year", "value")
+        .groupBy("country_code", "indicator", "year")
+        .agg(F.expr("max(value) as value"))
     )
-    return O.annual_latest(annual).select(
-        F.col("country_code").alias("market_code"),
+    return O.annual_latest(annual).selectExpr(
+        "country_code as market_code",
         "indicator",
         "value",
         "observation_date",
-        F.lit("annual").alias("source"),
-        F.lit(None).cast("boolean").alias("is_policy_rate"),
-        F.lit(False).alias("is_cached"),
+        "'annual' as source",
+        "cast(null as boolean) as is_policy_rate",
+        "false as is_cached",
         "is_fallback",
     )
+
+
+# ---- news -------------------------------------------------------------------------------------
+
+
+def news(spark: SparkSession, sf: str) -> DataFrame:
+    """English documents as provider articles; company 1 receives a third of all of them."""
+    return (
+        table(spark, sf, "documents")
+        .filter("lang = 'en'")
+        .selectExpr(
+            "*",
+            "case when doc_id % 3 = 0 then 1L else doc_id div 10 end as company_key",
+            "split(text, '\\n') as lines",
+        )
+        .selectExpr(
+            "doc_id",
+            f"{symbol_of('company_key')} as symbol",
+            "case when doc_id % 31 = 0 then ' \\n' when doc_id % 23 = 0"
+            " then concat(lines[0], ' Stocks to Watch') else lines[0] end as title",
+            "get(lines, 1) as description",
+            "text as content",
+            "struct(source as name) as source",
+            "date_format(timestamp_ntz'2001-01-01' + make_dt_interval(0, int((doc_id * 37) % 5000)),"
+            " \"yyyy-MM-dd'T'HH:mm:ss'Z'\") as published_at",
+            "case when doc_id % 29 <> 0 then concat('https://n/', source, '/', doc_id % 7) else '' end as url",
+        )
+    )
+
+
+def sentiment_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "labels").selectExpr(
+        "doc_id",
+        "case when toxic = 1 then 'Negative' when quality = 1 then ' positive ' else 'mixed' end as sentiment",
+    )
+
+
+# ---- landed pages and files -------------------------------------------------------------------
+
+
+def rate_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Web pages that also state a policy rate and a last-updated date (some lack or garble them)."""
+    rate = (
+        "case when page_id % 4 = 0 then string(page_id % 13)"
+        " else concat(page_id % 13, '.', lpad(string((page_id * 7) % 100), 2, '0')) end"
+    )
+    date = "date_format(date_add(date'2026-01-01', int(page_id % 300)), 'MMM d, yyyy')"
+    return table(spark, sf, "pages").selectExpr(
+        "page_id",
+        f"""concat(html, case when page_id % 6 = 0 then '<div>Policy Rate</div>'
+          else concat('<div>Policy <b>Repo</b>\\n RATE&nbsp;: ', {rate}, ' %</div>') end,
+          case when page_id % 7 = 0 then ''
+            when page_id % 5 = 0 then '<p>Website last updated date : Foo 45, 2026</p>'
+            else concat('<p>Website last updated <i>date</i> : ', {date}, '</p>') end) as html""",
+    )
+
+
+def table_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Web pages that also carry the captioned tables; some lack them or break off."""
+
+    def tenths(value: str) -> str:
+        return f"string(cast(({value}) / 10 as decimal(10,1)))"
+
+    row = f"""concat('<TR>\\n<th scope="row" class="row-header">',
+      date_format(add_months(date'2025-01-01', m), 'MMM-yy'), '</th><td class="x"><b>',
+      case when (page_id + m) % 5 = 0 then '' when (page_id + m) % 9 = 4 then 'na'
+        else {tenths("(page_id * 7 + m * 3) % 40 - 10")} end,
+      '</b>&nbsp;</td><td>',
+      case when (page_id + 2 * m) % 7 = 0 then ' &nbsp;'
+        else {tenths("(page_id * 5 + m * 11) % 60 - 15")} end, '</td></TR>')"""
+    tables = ", ".join(
+        f"'<table><caption>{caption}</caption><tr><th>Month</th></tr>', rows, "
+        + ("case when page_id % 8 = 1 then '' else '</table>' end" if name == "gdp_growth" else "'</table>'")
+        for name, caption in TABLE_CAPTIONS.items()
+    )
+    return (
+        table(spark, sf, "pages")
+        .selectExpr("*", f"array_join(transform(sequence(0, 11), m -> {row}), '') as rows")
+        .selectExpr(
+            "page_id", f"concat(html, case when page_id % 8 = 0 then '' else concat({tables}) end) as html"
+        )
+    )
+
+
+def sora_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Web pages that also carry a rate table whose year and month cells are filled sparsely."""
+    day = "date_add(date'2025-11-20', int(i * 4 + page_id % 5))"
+    before = "date_add(date'2025-11-20', int(i * 4 - 4 + page_id % 5))"
+    row = f"""concat('<tr><td> ',
+      case when (page_id + i) % 11 = 7 then 'xx'
+        when i = 0 or year({day}) <> year({before}) then string(year({day})) else '' end,
+      '</td><td> ',
+      case when i = 0 or month({day}) <> month({before}) then date_format({day}, 'MMM') else '&nbsp;' end,
+      '</td><td> ', day({day}), '</td><td> ',
+      case when (page_id + i) % 13 = 5 then 'soon'
+        else date_format(date_add({day}, 1), 'dd MMM yyyy') end, '</td>',
+      case when i % 10 = 9 then '' else concat('<td>', case when (page_id + i) % 6 = 2 then ''
+        else string(cast(((page_id * 3 + i * 7) % 400) / 100 as decimal(10,2))) end, '</td>') end, '</tr>')"""
+    opening = (
+        "case when page_id % 9 <> 0 then '<table id=\"ContentPlaceHolder1_soraHeader\">' else '<table>' end"
+    )
+    return table(spark, sf, "pages").selectExpr(
+        "page_id",
+        f"concat(html, {opening}, array_join(transform(sequence(0, 23), i -> {row}), '\\n'), '</table>') as html",
+    )
+
+
+def rate_files(spark: SparkSession, sf: str) -> DataFrame:
+    """CSV files with a preamble, one per customer: a line per order date (bounded by the calendar)."""
+    line = """concat(date_format(date, 'dd-MMM-yyyy'), ',', case when day(date) = 3 then ''
+      when day(date) = 4 then 'n/a' else string(cast((price div 10000) / 100 as decimal(10,2))) end, ',x')"""
+    files = (
+        table(spark, sf, "orders")
+        .selectExpr("o_custkey as c", "date(o_orderdate) as date", f"{cents('o_totalprice')} as price")
+        .groupBy("c", "date")
+        .agg(F.expr("max(price) as price"))
+        .groupBy("c")
+        .agg(F.expr(f"array_sort(collect_list(struct(date, {line} as line))) as lines"))
+    )
+    return files.selectExpr(
+        "concat('F', c) as file",
+        """concat('\\ufeffF1 INTEREST RATES\\r\\n,\\r\\nTitle,"Cash Rate, Target"\\r\\n',
+          case when c % 5 = 0 then 'Publication date,soon\\r\\n' else 'Publication date,05-Nov-2001\\r\\n' end,
+          case when c % 11 = 0 then '' when c % 7 = 0 then 'Series ID,FIRMOTHER\\r\\n'
+            else 'Series ID,FIRMMCRTD\\r\\n' end, array_join(lines.line, '\\r\\n')) as content""",
+    )
