@@ -5,10 +5,6 @@ A band list is read top to bottom: the first upper bound that holds wins, ``None
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-from tickerloom.functions.literals import literal_table
-
 LT, LE = "<", "<="
 
 
@@ -107,32 +103,40 @@ MACRO_CLASSES = [
 ]
 
 
-def band_table(spark: SparkSession) -> DataFrame:
-    """All bands as intervals ``(lo, lo_included, hi, hi_included)``; disjoint per (market, indicator)."""
-    keyed = dict(BANDS)
-    keyed[("*", "reference_rate")] = REFERENCE_RATE_BANDS
-    keyed[("*", "real_rate")] = REAL_RATE_BANDS
-    rows = []
-    for (market, indicator), bands in keyed.items():
-        lo, lo_included = None, False
-        for hi, op, status, score in bands:
-            rows.append((market, indicator, lo, lo_included, hi, op == LE, status, score))
-            lo, lo_included = hi, op == LT
-    return literal_table(
-        spark,
-        rows,
-        "band_market string, band_indicator string, lo double, lo_included boolean,"
-        " hi double, hi_included boolean, status string, score int",
+def _band_case(value: str, rules: list[tuple]) -> str:
+    cases = " ".join(
+        f"else struct('{status}' as status, {score} as score)"
+        if bound is None
+        else f"when {value} {op} {bound}D then struct('{status}' as status, {score} as score)"
+        for bound, op, status, score in rules
     )
+    return f"case {cases} end"
+
 
+def band_of(value: str, market: str, indicator: str) -> str:
+    """``struct<status, score>`` of the band of (market, indicator) that holds the value, null if none.
 
-def inflation_targets(spark: SparkSession) -> DataFrame:
-    return literal_table(
-        spark,
-        INFLATION_TARGETS,
-        "target_market string, framework_name string, target_rate double,"
-        " lower_bound double, upper_bound double",
+    The bands are a fixed table, so the lookup is an expression evaluated inside the row: nothing is
+    joined or broadcast, whatever the number of rows.
+    """
+    cases = " ".join(
+        f"when {market} = '{m}' and {indicator} = '{i}' then {_band_case(value, rules)}"
+        for (m, i), rules in BANDS.items()
     )
+    return f"case when {value} is null then null {cases} end"
+
+
+def reference_rate_band(value: str) -> str:
+    return f"case when {value} is not null then {_band_case(value, REFERENCE_RATE_BANDS)} end"
+
+
+def real_rate_band(value: str) -> str:
+    return f"case when {value} is not null then {_band_case(value, REAL_RATE_BANDS)} end"
+
+
+def inflation_target(market: str) -> str:
+    cases = " ".join(f"when '{m}' then {target}D" for m, _, target, *_ in INFLATION_TARGETS)
+    return f"case {market} {cases} end"
 
 
 def classified(score: str, classes: list[tuple]) -> str:

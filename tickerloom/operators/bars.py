@@ -15,11 +15,11 @@ PRICE_COLUMNS = ["open", "high", "low", "close", "volume"]
 PERIOD_UNIT_DAYS = {"d": 1, "wk": 7, "mo": 31, "y": 366}
 
 
-def bars_from_trades(trades: DataFrame) -> DataFrame:
-    """Daily bars. Every aggregate is combinable before the shuffle, so one hot symbol-day or symbol
-    costs no more than its number of map tasks; a symbol then has at most one bar per calendar day."""
-    day = F.col("ts").cast("date")
-    return trades.groupBy("symbol", day.alias("date")).agg(
+def bars_from_trades(trades: DataFrame, key: str = "symbol") -> DataFrame:
+    """Daily bars per ``key``. Every aggregate is combinable before the shuffle, so one hot symbol-day
+    or symbol costs no more than its number of map tasks; a symbol then has at most one bar per
+    calendar day. A short numeric key, where there is one, keeps strings out of the raw scan."""
+    return trades.groupBy(key, F.col("ts").cast("date").alias("date")).agg(
         F.min_by("price", "seq").alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),

@@ -32,14 +32,13 @@ def market_context(
 ) -> DataFrame:
     """One row per symbol and series of its market; a series without data keeps null figures.
 
-    Snapshots are taken for the few configured series only (left join from the literal list), so the
-    context of a market is a handful of rows and is broadcast to the symbols.
+    Only snapshots of the configured series are kept (an inner broadcast join with the literal list),
+    so the context of all markets is a couple of dozen rows and is itself broadcast to the symbols.
     """
-    figures = snapshots.withColumnRenamed("symbol", "series_symbol")
-    per_market = (
-        F.broadcast(market_series)
-        .join(figures, "series_symbol", "left")
-        .join(F.broadcast(markets), "market_code")
+    wanted = F.broadcast(market_series.select("series_symbol").distinct())
+    figures = snapshots.withColumnRenamed("symbol", "series_symbol").join(wanted, "series_symbol")
+    per_market = market_series.join(F.broadcast(figures), "series_symbol", "left").join(
+        F.broadcast(markets), "market_code"
     )
     return symbols.select("symbol", detect_market(F.col("symbol")).alias("market_code")).join(
         F.broadcast(per_market), "market_code"

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from tickerloom.functions.bands import (
     MACRO_CLASSES,
     UNAVAILABLE_STATUSES,
-    band_table,
+    band_of,
     classified,
-    inflation_targets,
+    inflation_target,
     normalized_component,
+    real_rate_band,
+    reference_rate_band,
 )
 from tickerloom.functions.markets import MARKETS, detect_market
 from tickerloom.functions.numeric import rounded
@@ -107,35 +109,23 @@ def macro_snapshot(symbols: DataFrame, markets: DataFrame, observations: DataFra
 
 
 def threshold_classify(rows: DataFrame, market: str, indicator: str, value: str, prefix: str) -> DataFrame:
-    """Adds ``<prefix>_status`` and ``<prefix>_score`` of the band holding ``value``.
+    """Adds ``<prefix>_status`` and ``<prefix>_score`` of the band holding ``value``; ``market``,
+    ``indicator`` and ``value`` are SQL expressions."""
+    return _banded(rows, band_of(value, market, indicator), prefix)
 
-    ``market``, ``indicator`` and ``value`` are SQL expressions. The bands are disjoint, so the equality
-    on (market, indicator) makes this a broadcast hash join with the range as residual, and at most one
-    row matches.
-    """
-    bands = band_table(rows.sparkSession).selectExpr(
-        "band_market", "band_indicator", "lo", "lo_included", "hi", "hi_included",
-        f"status as {prefix}_status", f"score as {prefix}_score",
-    )
-    keyed = rows.selectExpr(
-        "*", f"{market} as key_market", f"{indicator} as key_indicator", f"{value} as key_value"
-    )
-    inside = F.expr(
-        "key_market = band_market and key_indicator = band_indicator and key_value is not null"
-        " and (lo is null or key_value > lo or (lo_included and key_value = lo))"
-        " and (hi is null or key_value < hi or (hi_included and key_value = hi))"
+
+def _banded(rows: DataFrame, band: str, prefix: str) -> DataFrame:
+    return rows.selectExpr("*", f"{band} as matched_band").selectExpr(
+        "* except (matched_band)",
+        f"matched_band.status as {prefix}_status",
+        f"matched_band.score as {prefix}_score",
     )
-    return keyed.join(F.broadcast(bands), inside, "left").drop(
-        "key_market", "key_indicator", "key_value",
-        "band_market", "band_indicator", "lo", "lo_included", "hi", "hi_included",
-    )
 
 
 def _settled(rows: DataFrame, prefix: str, rate: str, status: str, score: str, *extra: str) -> DataFrame:
     """Final status and score: unsupported markets and missing rates get theirs and a zero score."""
-    drop = f"* except ({prefix}_status, {prefix}_score)"
     return rows.selectExpr(
-        drop,
+        f"* except ({prefix}_status, {prefix}_score)",
         f"case when not {_KNOWN} then 'unsupported_market' when {rate} is null then 'unavailable'"
         f" else {status} end as {prefix}_status",
         f"case when {_KNOWN} and {rate} is not null then coalesce({score}, 0) else 0 end as {prefix}_score",
@@ -143,45 +133,29 @@ def _settled(rows: DataFrame, prefix: str, rate: str, status: str, score: str, *
     )
 
 
+def _interpreted(rows: DataFrame, indicator: str, rate: str, *extra: str) -> DataFrame:
+    banded = threshold_classify(rows, _MARKET, f"'{indicator}'", rate, indicator)
+    return _settled(banded, indicator, rate, f"{indicator}_status", f"{indicator}_score", *extra)
+
+
 def interpret_inflation(rows: DataFrame) -> DataFrame:
     """From ``market_code, inflation_rate``: status, score and deviation from the market's target."""
-    banded = threshold_classify(rows, _MARKET, "'inflation'", "inflation_rate", "inflation")
-    targets = inflation_targets(rows.sparkSession).select("target_market", "target_rate")
-    joined = banded.join(F.broadcast(targets), F.expr(f"{_MARKET} = target_market"), "left")
-    deviation = rounded("inflation_rate - target_rate", 2)
-    return _settled(
-        joined,
-        "inflation",
-        "inflation_rate",
-        "inflation_status",
-        "inflation_score",
-        f"{deviation} as deviation_from_target",
-    ).drop("target_market", "target_rate")
+    deviation = rounded(f"inflation_rate - {inflation_target(_MARKET)}", 2)
+    return _interpreted(rows, "inflation", "inflation_rate", f"{deviation} as deviation_from_target")
 
 
 def interpret_gdp_growth(rows: DataFrame) -> DataFrame:
     """From ``market_code, gdp_growth_rate, gdp_is_fallback``: status, score and data quality."""
-    banded = threshold_classify(rows, _MARKET, "'gdp_growth'", "gdp_growth_rate", "gdp_growth")
     quality = (
         f"case when {_KNOWN} and gdp_growth_rate is not null then"
         " case when gdp_is_fallback = 1 then 'fallback_source' else 'official_source' end end"
     )
-    return _settled(
-        banded,
-        "gdp_growth",
-        "gdp_growth_rate",
-        "gdp_growth_status",
-        "gdp_growth_score",
-        f"{quality} as gdp_data_quality",
-    )
+    return _interpreted(rows, "gdp_growth", "gdp_growth_rate", f"{quality} as gdp_data_quality")
 
 
 def interpret_unemployment(rows: DataFrame) -> DataFrame:
     """From ``market_code, unemployment_rate``: status and score; a negative rate is invalid."""
-    banded = threshold_classify(rows, _MARKET, "'unemployment'", "unemployment_rate", "unemployment")
-    return _settled(
-        banded, "unemployment", "unemployment_rate", "unemployment_status", "unemployment_score"
-    )
+    return _interpreted(rows, "unemployment", "unemployment_rate")
 
 
 def interpret_monetary_rate(rows: DataFrame) -> DataFrame:
@@ -197,16 +171,13 @@ def interpret_monetary_rate(rows: DataFrame) -> DataFrame:
         "*",
         f"case when monetary_rate >= 0 and not {by_level} and {_KNOWN} then {proxy} end as real_rate_proxy",
     )
-    banded = threshold_classify(
-        staged,
-        "'*'",
-        f"case when {by_level} then 'reference_rate' else 'real_rate' end",
-        f"case when {by_level} then monetary_rate else real_rate_proxy end",
-        name,
+    band = (
+        f"case when {by_level} then {reference_rate_band('monetary_rate')}"
+        f" else {real_rate_band('real_rate_proxy')} end"
     )
     no_inflation = f"not {by_level} and inflation_rate is null"
     return _settled(
-        banded,
+        _banded(staged, band, name),
         name,
         "monetary_rate",
         f"case when monetary_rate < 0 then 'negative_rate_environment'"

@@ -154,30 +154,27 @@ def fiscal_gdp_latest(records: DataFrame) -> DataFrame:
     )
 
 
-def month_cells_latest(cells: DataFrame) -> DataFrame:
-    """Newest ``yyyy MMM`` cell per table."""
-    dated = cells.withColumn("date", F.try_to_date("key", "yyyy MMM")).filter("date is not null")
-    return latest_by_key(dated, ["series_id"], ["value"], "date").selectExpr(
+def table_cells_latest(cells: DataFrame) -> DataFrame:
+    """Newest cell per table and indicator. A key is a month (``yyyy MMM``) or a quarter (``yyyy nQ``);
+    other keys drop out. Months order by year * 12 + month, quarters by year * 4 + quarter."""
+    packed = "replace(key, ' ', '')"
+    dated = cells.selectExpr(
+        "*",
+        "try_to_date(key, 'yyyy MMM') as month",
+        f"case when {packed} rlike '^[0-9]{{4}}[1-4]' then int(substring({packed}, 1, 4)) * 4"
+        f" + int(substring({packed}, 5, 1)) - 1 end as quarter",
+    ).selectExpr(
         "series_id",
-        f"{rounded('value', 2)} as value",
-        "date_format(date, 'yyyy-MM') as observation_date",
-    )
-
-
-def quarter_cells_latest(cells: DataFrame) -> DataFrame:
-    """Newest ``yyyy nQ`` cell per table."""
-    dated = (
-        cells.selectExpr("*", "replace(key, ' ', '') as packed")
-        .selectExpr(
-            "*",
-            "try_cast(substring(packed, 5, 1) as int) as quarter",
-            "case when packed rlike '^[0-9]{4}' then int(substring(packed, 1, 4)) end as year",
-        )
-        .filter("quarter between 1 and 4 and year is not null")
-        .selectExpr("series_id", "value", "year * 4 + quarter - 1 as period")
+        "indicator",
+        "value",
+        "month is not null as is_monthly",
+        "coalesce(year(month) * 12 + month(month) - 1, quarter) as period",
     )
-    return latest_by_key(dated, ["series_id"], ["value"], "period").selectExpr(
+    usable = dated.filter("period is not null")
+    return latest_by_key(usable, ["series_id", "indicator"], ["value", "is_monthly"], "period").selectExpr(
         "series_id",
+        "indicator",
         f"{rounded('value', 2)} as value",
-        "format_string('%d-Q%d', period div 4, period % 4 + 1) as observation_date",
+        "if(is_monthly, format_string('%d-%02d', period div 12, period % 12 + 1),"
+        " format_string('%d-Q%d', period div 4, period % 4 + 1)) as observation_date",
     )

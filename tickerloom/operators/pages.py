@@ -48,17 +48,13 @@ def page_rate_extract(pages: DataFrame) -> DataFrame:
     )
 
 
-def page_table_extract(pages: DataFrame, indicator: str) -> DataFrame:
-    """Latest row of one captioned table.
-
-    Inflation publishes the annual change (second cell), unemployment the adjusted rate (second cell,
-    trend optional), growth the quarterly change (first cell); ``other`` is the remaining cell.
-    """
+def _table_rows(indicator: str) -> Column:
+    """Rows of one captioned table as an array of (date, order, first cell, second cell); null when the
+    table is missing or breaks off."""
     marker = f"<caption>{TABLE_CAPTIONS[indicator]}</caption>"
     html = F.col("html")
     tail = F.when(html.contains(marker), F.split_part(html, F.lit(marker), F.lit(2)))
     table = F.when(tail.contains("</table>"), F.split_part(tail, F.lit("</table>"), F.lit(1)))
-    rows = F.regexp_extract_all("table_html", F.lit(ROW_PATTERN), F.lit(1))
 
     def parsed(row: Column, position: Column) -> Column:
         cells = F.transform(F.regexp_extract_all(row, F.lit(CELL_PATTERN), F.lit(1)), html_cell_text)
@@ -70,30 +66,42 @@ def page_table_extract(pages: DataFrame, indicator: str) -> DataFrame:
             F.get(cells, F.lit(1)).alias("second_text"),
         )
 
-    first_ok = f"{to_number('r.first_text')} is not null"
-    if indicator == "unemployment":
-        first_ok = f"({first_ok} or r.first_text = '')"
-    usable = f"r.date is not null and {to_number('r.second_text')} is not null and {first_ok}"
-    picked = (
-        pages.select("page_id", table.alias("table_html"))
-        .select("page_id", "table_html", F.transform(rows, parsed).alias("rows"))
-        .selectExpr(
-            "page_id", "table_html is null as no_table", f"array_max(filter(rows, r -> {usable})) as latest"
-        )
+    return F.transform(F.regexp_extract_all(table, F.lit(ROW_PATTERN), F.lit(1)), parsed)
+
+
+def page_table_extract(pages: DataFrame) -> DataFrame:
+    """Latest row of each captioned table, all tables of a page in one pass over it.
+
+    Inflation publishes the annual change (second cell), unemployment the adjusted rate (second cell,
+    trend optional), growth the quarterly change (first cell); ``other`` is the remaining cell.
+    """
+    first, second = to_number("r.first_text"), to_number("r.second_text")
+    both = f"r.date is not null and {second} is not null and {first} is not null"
+    trend_optional = f"r.date is not null and {second} is not null and ({first} is not null or r.first_text = '')"
+    latest = ", ".join(
+        f"'{i}', {i} is null, array_max(filter({i}, r -> {trend_optional if i == 'unemployment' else both}))"
+        for i in TABLE_CAPTIONS
     )
-    value, other = to_number("latest.second_text"), to_number("latest.first_text")
-    label = "date_format(latest.date, 'yyyy-MM')"
-    if indicator == "gdp_growth":
-        value, other = other, value
-        label = "concat(year(latest.date), '-Q', quarter(latest.date))"
+    picked = pages.select("page_id", *[_table_rows(i).alias(i) for i in TABLE_CAPTIONS]).selectExpr(
+        "page_id", f"stack({len(TABLE_CAPTIONS)}, {latest}) as (indicator, no_table, latest)"
+    )
+    by_quarter = "indicator = 'gdp_growth'"
     return picked.selectExpr(
         "page_id",
-        f"'{indicator}' as indicator",
-        f"{rounded(value, 2)} as value",
-        f"{rounded(other, 2)} as other",
-        f"{label} as observation_date",
+        "indicator",
+        f"{to_number('latest.first_text')} as first",
+        f"{to_number('latest.second_text')} as second",
+        f"if({by_quarter}, concat(year(latest.date), '-Q', quarter(latest.date)),"
+        " date_format(latest.date, 'yyyy-MM')) as observation_date",
         "case when no_table then 'table not found'"
         " when latest is null then 'no valid observations' end as error",
+    ).selectExpr(
+        "page_id",
+        "indicator",
+        f"{rounded(f'if({by_quarter}, first, second)', 2)} as value",
+        f"{rounded(f'if({by_quarter}, second, first)', 2)} as other",
+        "observation_date",
+        "error",
     )
 
 

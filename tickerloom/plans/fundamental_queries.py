@@ -27,7 +27,7 @@ def statement_currency(spark, sf):
 
 
 def chart_last_price(spark, sf):
-    landing = payloads.chart_payloads(B.bars_from_trades(views.trades(spark, sf)))
+    landing = payloads.chart_payloads(views.daily_bars(views.trades(spark, sf)))
     return landed.chart_last_price(landing, "payload")
 
 
@@ -74,7 +74,7 @@ def direct_records(spark: SparkSession, sf: str) -> DataFrame:
     recent = B.bars_period(views.trades(spark, sf), "1mo", views.AS_OF)
     return FD.from_statements(
         views.listing_quotes(spark, sf),
-        views.chart_meta(B.bars_from_trades(recent)),
+        views.chart_meta(views.daily_bars(recent)),
         FD.wide_statements(views.statements(spark, sf)),
         FD.latest_rates(views.fx_rates(spark)),
     )

@@ -82,7 +82,7 @@ def assembled(spark: SparkSession, sf: str, period: str = "2y", news_limit: int
     sentiments = sentiment.sentiment_features(symbols, stories).withColumnRenamed(
         "sentiment_score", "headline_score"
     )
-    rows = report_assemble(symbols, price_report(B.bars_from_trades(trades)), records, sentiments)
+    rows = report_assemble(symbols, price_report(views.daily_bars(trades)), records, sentiments)
     return with_sector_macro(rows, features(spark, sf)).selectExpr("*", MODULE_ERRORS)
 
 

@@ -75,23 +75,17 @@ def mospi_gdp_latest(spark, sf):
     return O.fiscal_gdp_latest(_records(spark, sf, "NAS"))
 
 
+# Which row of a statistics table holds an indicator.
+TABLE_ROWS = {
+    "inflation": "row_text = 'All Items'",
+    "unemployment": "row_text = 'Total Unemployment Rate, (SA)'",
+    "gdp_growth": "contains(lower(row_text), 'gdp') and contains(lower(row_text), 'chained')",
+}
+
+
 def singstat_unpivot(spark, sf):
     landing = payloads.table_payloads(views.customer_series(spark, sf))
-    prices = landed.table_cells(landing, "payload", lambda t: t == "All Items")
-    jobs = landed.table_cells(landing, "payload", lambda t: t == "Total Unemployment Rate, (SA)")
-    growth = landed.table_cells(
-        landing, "payload", lambda t: F.lower(t).contains("gdp") & F.lower(t).contains("chained")
-    )
-    parts = [
-        ("inflation", O.month_cells_latest(prices)),
-        ("unemployment", O.quarter_cells_latest(jobs)),
-        ("gdp_growth", O.quarter_cells_latest(growth)),
-    ]
-    union = None
-    for name, part in parts:
-        part = part.withColumn("indicator", F.lit(name))
-        union = part if union is None else union.unionByName(part)
-    return union
+    return O.table_cells_latest(landed.table_cells(landing, "payload", TABLE_ROWS))
 
 
 def latest_by_key(spark, sf):
@@ -115,11 +109,7 @@ def page_rate_extract(spark, sf):
 
 
 def page_table_extract(spark, sf):
-    pages, union = views.table_pages(spark, sf), None
-    for indicator in P.TABLE_CAPTIONS:
-        part = P.page_table_extract(pages, indicator)
-        union = part if union is None else union.unionByName(part)
-    return union
+    return P.page_table_extract(views.table_pages(spark, sf))
 
 
 def sora_table_extract(spark, sf):

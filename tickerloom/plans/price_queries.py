@@ -19,7 +19,7 @@ def dated(frame: DataFrame, column: str = "date") -> DataFrame:
 
 
 def _bars(spark: SparkSession, sf: str) -> DataFrame:
-    return B.bars_from_trades(views.trades(spark, sf))
+    return views.daily_bars(views.trades(spark, sf))
 
 
 def _numbered(spark: SparkSession, sf: str) -> DataFrame:
@@ -27,7 +27,7 @@ def _numbered(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def recent_bars(spark: SparkSession, sf: str, period: str = "2y") -> DataFrame:
-    return B.bars_from_trades(B.bars_period(views.trades(spark, sf), period, views.AS_OF))
+    return views.daily_bars(B.bars_period(views.trades(spark, sf), period, views.AS_OF))
 
 
 def bars_from_trades(spark, sf):

@@ -161,7 +161,7 @@ def company_resolve(spark, sf):
 def symbols_rejected(spark, sf):
     """Requested symbols that have neither bars nor a company name."""
     requests = table(spark, sf, "customer").selectExpr(f"{views.symbol_of('c_custkey')} as symbol")
-    traded = I.B.bars_period(views.trades(spark, sf), "10d", views.AS_OF).select("symbol").distinct()
+    traded = B.bars_period(views.trades(spark, sf), "10d", views.AS_OF).select("symbol").distinct()
     named = (
         fundamental_records(spark, sf)
         .filter(F.col("company_name").isNotNull())
@@ -180,7 +180,7 @@ def _columns(name: str) -> list[str]:
 
 
 def _numbered(spark: SparkSession, sf: str) -> DataFrame:
-    return B.numbered(B.bars_from_trades(views.trades(spark, sf)))
+    return B.numbered(views.daily_bars(views.trades(spark, sf)))
 
 
 def score_technical(spark, sf):

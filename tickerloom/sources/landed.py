@@ -154,14 +154,19 @@ def statement_observations(payloads: DataFrame, column: str) -> DataFrame:
     )
 
 
-def table_cells(payloads: DataFrame, column: str, is_wanted) -> DataFrame:
-    """Cells of the first row that ``is_wanted(rowText)``, blanks and ``na`` dropped."""
-    wanted = F.filter(F.col("parsed.Data.row"), lambda row: is_wanted(row["rowText"]))
+def table_cells(payloads: DataFrame, column: str, wanted: dict[str, str]) -> DataFrame:
+    """Cells of the first row each condition on ``row_text`` selects (name -> SQL condition), all in one
+    pass over the payload; blanks, ``na`` and values that are not numbers drop out."""
+    firsts = ", ".join(
+        f"named_struct('indicator', '{name}', 'row', get(filter(parsed.Data.row, row ->"
+        f" {condition.replace('row_text', 'row.rowText')}), 0))"
+        for name, condition in wanted.items()
+    )
     return (
         payloads.select("series_id", F.from_json(column, TABLE_SCHEMA).alias("parsed"))
-        .select("series_id", F.get(wanted, F.lit(0)).alias("row"))
-        .select("series_id", F.inline("row.columns"))
+        .selectExpr("series_id", f"inline(array({firsts}))")
+        .selectExpr("series_id", "indicator", "inline(row.columns)")
         .filter("key is not null and value not in ('', 'na', 'NA')")
-        .selectExpr("series_id", "key", f"{to_number('value')} as value")
+        .selectExpr("series_id", "indicator", "key", f"{to_number('value')} as value")
         .filter("value is not null")
     )

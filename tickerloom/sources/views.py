@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tickerloom.functions.literals import literal_table
 from tickerloom.functions.numeric import rounded
 from tickerloom.operators import observations as O
+from tickerloom.operators.bars import bars_from_trades
 from tickerloom.operators.pages import TABLE_CAPTIONS
 from tickerloom.sources.tables import table
 
@@ -109,6 +110,7 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
         table(spark, sf, "lineitem")
         .selectExpr("*", f"{price_cents} as price_cents")
         .selectExpr(
+            "l_suppkey as company_key",
             f"{symbol_of('l_suppkey')} as symbol",
             "l_shipdate as ts",
             "price_cents / 100 as price",
@@ -119,6 +121,13 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def daily_bars(trade_rows: DataFrame) -> DataFrame:
+    """Daily bars by symbol, aggregated by the numeric key: the symbol is spelled out per bar only."""
+    return bars_from_trades(trade_rows, "company_key").selectExpr(
+        f"{symbol_of('company_key')} as symbol", "* except (company_key)"
+    )
+
+
 def raw_bars(spark: SparkSession, sf: str) -> DataFrame:
     """Landed bar rows with repeated timestamps and missing closes."""
     return trades(spark, sf).selectExpr(
