@@ -109,7 +109,9 @@ QUERIES = {
     "news_payload": """
 select symbol, title, description, content, source, published_at, url from news
 where (doc_id // 300) % 5 <> 4""",
-    "headline_filter": "select symbol, doc_id, headline from all_scored",
+    "headline_filter": f"""
+select symbol, doc_id, headline from (select *, trim(title, {_WS}) as headline from news)
+where headline <> '' and not ({_BLOCKED})""",
     "company_search_name": "select symbol, search_name from term_rows",
     "company_terms": "select symbol, unnest(terms) as term from term_rows",
     "term_article_join": """
