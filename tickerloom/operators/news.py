@@ -94,9 +94,9 @@ def relevance_score(articles: DataFrame, terms: DataFrame, capped: bool = False)
     else:
         joined = salted_lookup(lowered, lookup, ["symbol"], ["doc_id"], how="inner")
     score = F.aggregate("terms", F.lit(0), lambda total, term: total + points(term))
-    return joined.withColumn("relevance_score", score).drop(
-        "terms", "title_lower", "description_lower", "content_lower"
-    )
+    kept = [c for c in joined.columns if c != "terms" and not c.endswith("_lower")]
+    # The texts are searched in a generator, so that a filter on the score reads it, not recomputes it.
+    return joined.select(*kept, F.explode(F.array(score)).alias("relevance_score"))
 
 
 def relevant(scored: DataFrame) -> DataFrame:

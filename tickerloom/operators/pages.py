@@ -115,7 +115,7 @@ def rate_table_rows(pages: DataFrame) -> DataFrame:
     cells = F.transform(F.regexp_extract_all("row", F.lit(CELL_PATTERN), F.lit(1)), html_cell_text)
     exploded = (
         pages.select("page_id", F.posexplode(rows).alias("position", "row"))
-        .select("page_id", "position", cells.alias("cells"))
+        .select("page_id", "position", F.explode(F.array(cells)).alias("cells"))
         .filter(F.size("cells") >= 5)
         .filter((F.col("cells")[0] == "") | F.col("cells")[0].rlike("^[+-]?[0-9]+$"))
     )

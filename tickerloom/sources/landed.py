@@ -101,9 +101,9 @@ def chart_last_price(payloads: DataFrame, column: str) -> DataFrame:
 def news_articles(payloads: DataFrame, column: str) -> DataFrame:
     """Article rows of the payloads whose status is ``ok``."""
     return (
-        payloads.select("symbol", F.from_json(column, NEWS_SCHEMA).alias("parsed"))
-        .filter(F.col("parsed.status") == "ok")
-        .select("symbol", F.inline("parsed.articles"))
+        _parsed(payloads, column, NEWS_SCHEMA, ["symbol"])
+        .filter("status = 'ok'")
+        .select("symbol", F.inline("articles"))
         .withColumnRenamed("publishedAt", "published_at")
     )
 
@@ -123,9 +123,15 @@ def series_observations(payloads: DataFrame, column: str, limit: int) -> DataFra
     )
 
 
+def _parsed(lines: DataFrame, column: str, schema: str, keep: list[str]) -> DataFrame:
+    """Fields of each JSON payload as columns. Parsing sits in a generator, which filters on the fields
+    do not pass: a payload is parsed once however many conditions follow."""
+    return lines.select(*keep, F.inline(F.array(F.from_json(column, schema))))
+
+
 def filtered_records(lines: DataFrame, column: str, schema: str, filters: dict[str, str]) -> DataFrame:
     """Landed JSON records whose fields equal the given filter values."""
-    records = lines.select(F.from_json(column, schema).alias("record")).select("record.*")
+    records = _parsed(lines, column, schema, [])
     for field, value in filters.items():
         records = records.filter(F.col(field) == value)
     return records
