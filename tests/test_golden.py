@@ -288,3 +288,38 @@ def test_module_errors_name_each_failed_module(spark):
         " 0.1D as combined_macro_score"
     ).selectExpr(intelligence.MODULE_ERRORS)
     assert set(frame.first().errors) == {"technical", "fundamental"}
+
+
+def test_landed_files_are_read_whole(spark, tmp_path):
+    chart = {"chart": {"result": [{"timestamp": [86400], "indicators": {"quote": [{"close": [7.5]}]}}]}}
+    (tmp_path / "charts").mkdir()
+    (tmp_path / "charts" / "ABC.json").write_text(json.dumps(chart, indent=2))
+    files = landed.whole_files(spark, str(tmp_path / "charts")).selectExpr(
+        "replace(file, '.json', '') as symbol", "content"
+    )
+    bar = landed.bars_from_chart_json(files, "content").first()
+    assert (bar.symbol, str(bar.ts), bar.close, bar.open) == ("ABC", "1970-01-02 00:00:00", 7.5, None)
+
+
+def test_cash_rate_file(spark, tmp_path):
+    lines = [
+        "\ufeffF1 RATES",
+        '"Title, long",Cash Rate Target',
+        "Publication date,05-Aug-2026",
+        "Series ID,FIRMMCRTD",
+        "01-Jul-2026,3.85",
+        "04-Aug-2026,3.60,3.1",
+        "05-Aug-2026,",
+    ]
+    (tmp_path / "f1.csv").write_text("\r\n".join(lines), encoding="utf-8")
+    (tmp_path / "other.csv").write_text("Series ID,OTHER\n01-Jul-2026,1.0")
+    got = {r.file: r for r in pages.rba_csv_extract(landed.whole_files(spark, str(tmp_path))).collect()}
+    row = got["f1.csv"]
+    assert (row.value, row.observation_date, row.publication_date) == (3.6, "2026-08-04", "2026-08-05")
+    assert (got["other.csv"].value, got["other.csv"].error) == (None, "unexpected series")
+
+
+def test_shared_folder_is_the_one_the_session_names(spark):
+    from tickerloom import shared_folder
+
+    assert shared_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir") + "/x-")

@@ -3,7 +3,7 @@ does not parse yields nulls (then no rows), never a failed job."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerloom.functions.numeric import finite, to_number
@@ -35,52 +35,32 @@ Data struct<row: array<struct<
 WORLD_BANK_SCHEMA = "array<struct<date: string, value: double>>"
 
 
-def json_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One payload per file, typed by ``schema``; the file path stays as the payload's identity."""
-    return (
-        spark.read.option("multiLine", True)
-        .schema(schema)
-        .json(path)
-        .withColumn("file", F.col("_metadata.file_path"))
-    )
-
-
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per landed text file (pages, CSV with a preamble): ``file``, ``content``."""
+    """One row per landed file, whatever its format: ``file`` (name without folder) and ``content``.
+
+    Files are split over tasks by size, so many small payloads share a task; each is parsed by the
+    readers below.
+    """
     return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.col("value").alias("content")
+        F.col("_metadata.file_name").alias("file"), F.col("value").alias("content")
     )
 
 
 def bars_from_chart_json(payloads: DataFrame, column: str) -> DataFrame:
     """Parallel arrays to bar rows with ``symbol, ts, seq``; a column whose array does not match the
-    timestamps in length is null throughout."""
-    result = F.get(F.col("parsed.chart.result"), F.lit(0))
-    quote = F.get(F.col("result.indicators.quote"), F.lit(0))
-    stamps = F.col("result.timestamp")
+    timestamps in length is null throughout. Epoch seconds become zone-free UTC timestamps."""
     fields = ["open", "high", "low", "close", "volume"]
-
-    def aligned(field: str) -> Column:
-        values = F.col(f"quote.{field}")
-        return F.when(F.size(values) == F.size(stamps), values).alias(field)
-
-    zipped = F.arrays_zip(stamps.alias("stamp"), *[F.col(f"a_{f}").alias(f) for f in fields])
+    aligned = [f"if(size(quote.{f}) = size(result.timestamp), quote.{f}, null) as {f}_values" for f in fields]
+    cells = ", ".join(f"get({f}_values, i) as {f}" for f in fields)
+    stamp = "timestamp_ntz'1970-01-01' + make_dt_interval(0, 0, 0, cast(s as decimal(18,6)))"
     return (
         payloads.select("symbol", F.from_json(column, CHART_SCHEMA).alias("parsed"))
-        .select("symbol", result.alias("result"))
-        .select("symbol", "result", quote.alias("quote"))
-        .select("symbol", "result", *[aligned(f).alias(f"a_{f}") for f in fields])
-        .select(
+        .selectExpr("symbol", "get(parsed.chart.result, 0) as result")
+        .selectExpr("symbol", "result", "get(result.indicators.quote, 0) as quote")
+        .selectExpr("symbol", "result.timestamp as stamps", *aligned)
+        .selectExpr(
             "symbol",
-            F.posexplode(
-                F.transform(
-                    F.sequence(F.lit(0), F.size(stamps) - 1),
-                    lambda i: F.struct(
-                        F.timestamp_seconds(F.get(stamps, i)).alias("ts"),
-                        *[F.get(F.col(f"a_{f}"), i).alias(f) for f in fields],
-                    ),
-                )
-            ).alias("seq", "bar"),
+            f"posexplode(transform(stamps, (s, i) -> struct({stamp} as ts, {cells}))) as (seq, bar)",
         )
         .select("symbol", "seq", "bar.*")
     )
