@@ -54,8 +54,9 @@ def unescaped(text: Column) -> Column:
 
 
 def html_cell_text(fragment: Column) -> Column:
-    """Plain text of an HTML fragment: tags out, entities decoded, whitespace collapsed."""
-    return collapsed(unescaped(F.regexp_replace(fragment, "<[^>]+>", " ")))
+    """Plain text of an HTML fragment: tags out, entities (if there are any) decoded, whitespace collapsed."""
+    text = F.regexp_replace(fragment, "<[^>]+>", " ")
+    return F.when(fragment.contains("&"), collapsed(unescaped(text))).otherwise(collapsed(text))
 
 
 def page_text(html: Column) -> Column:

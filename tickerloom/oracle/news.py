@@ -19,7 +19,7 @@ _CLASSES = ("positive", "neutral", "negative")
 
 
 def features(symbols: str, classified: str) -> str:
-    counts = ", ".join(f"count_if(label = '{c}') as {c}_count" for c in _CLASSES)
+    counts = ", ".join(f"cast(count_if(label = '{c}') as bigint) as {c}_count" for c in _CLASSES)
     return f"""
 select s.symbol, coalesce(n, 0) as article_count,
   {", ".join(f"coalesce({c}_count, 0) as {c}_count" for c in _CLASSES)},

@@ -19,7 +19,7 @@ def _observations(spark: SparkSession, sf: str) -> DataFrame:
 
 def statement_series(spark, sf):
     series = FD.statement_series(_observations(spark, sf), "annualTotalRevenue")
-    return series.selectExpr("symbol", "position", "as_of_date", f"{N.rounded('raw', 2)} as raw")
+    return series.selectExpr("symbol", "bigint(position) as position", "as_of_date", f"{N.rounded('raw', 2)} as raw")
 
 
 def statement_currency(spark, sf):
