@@ -77,13 +77,8 @@ REAL_RATE_BANDS = [
     (2.0, LE, "restrictive_rate_environment", -1),
     (None, None, "strongly_restrictive_rate_environment", -2),
 ]
-# Market -> inflation target (or reference) used for the deviation, range bounds.
-INFLATION_TARGETS = [
-    ("US", "Federal Reserve price stability goal", 2.0, None, None),
-    ("IN", "RBI flexible inflation targeting framework", 4.0, 2.0, 6.0),
-    ("SG", "MAS exchange-rate-centred monetary policy", 2.0, None, None),
-    ("AU", "RBA flexible inflation targeting framework", 2.5, 2.0, 3.0),
-]
+# Market -> inflation target (a reference rate for SG).
+INFLATION_TARGETS = [("US", 2.0), ("IN", 4.0), ("SG", 2.0), ("AU", 2.5)]
 UNAVAILABLE_STATUSES = ["unavailable", "unsupported_market", "invalid_value"]
 
 # Overall classes, highest first; (bound, is the bound included, class).
@@ -135,7 +130,7 @@ def real_rate_band(value: str) -> str:
 
 
 def inflation_target(market: str) -> str:
-    cases = " ".join(f"when '{m}' then {target}D" for m, _, target, *_ in INFLATION_TARGETS)
+    cases = " ".join(f"when '{m}' then {target}D" for m, target in INFLATION_TARGETS)
     return f"case {market} {cases} end"
 
 

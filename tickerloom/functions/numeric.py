@@ -17,6 +17,11 @@ NUMBER_PATTERN = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 WHITESPACE = " \\t\\r\\n"
 
 
+def named(expressions: dict[str, str]) -> list[str]:
+    """``name -> expression`` as a select list."""
+    return [f"{text} as {name}" for name, text in expressions.items()]
+
+
 def rounded(value: str, digits: int) -> str:
     """Round half up at ``digits`` places; null for NaN and infinities."""
     return f"cast(round(try_cast({value} as decimal(38,6)), {digits}) as double)"

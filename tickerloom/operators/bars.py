@@ -8,7 +8,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickerloom.functions.numeric import rounded
+from tickerloom.functions.numeric import named, rounded
 
 PRICE_COLUMNS = ["open", "high", "low", "close", "volume"]
 # Length of a period unit in days.
@@ -117,3 +117,8 @@ def numbered(bars: DataFrame) -> DataFrame:
             "bar_count": F.count("*").over(Window.partitionBy("symbol")),
         }
     ).withColumn("age", F.col("bar_count") - F.col("bar_no"))
+
+
+def per_symbol(bars: DataFrame, aggregates: dict[str, str]) -> DataFrame:
+    """Named aggregates per symbol, all in one pass."""
+    return bars.groupBy("symbol").agg(*[F.expr(text) for text in named(aggregates)])

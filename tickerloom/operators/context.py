@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.functions.markets import detect_market
-from tickerloom.functions.numeric import rounded
+from tickerloom.functions.numeric import named, rounded
 from tickerloom.operators.historical import return_aggregates, return_values
-from tickerloom.operators.technical import named, per_symbol
+from tickerloom.operators.bars import per_symbol
 
 # Return name -> number of bars back.
 SNAPSHOT_RETURNS = {"one_week_return": 5, "one_month_return": 21, "three_month_return": 63}

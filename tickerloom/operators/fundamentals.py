@@ -10,6 +10,7 @@ from tickerloom.functions.numeric import (
     first_metric,
     growth_pct,
     millions_to_units,
+    named,
     non_empty,
     per_share_total,
     rounded,
@@ -17,7 +18,6 @@ from tickerloom.functions.numeric import (
     to_number,
     to_percent,
 )
-from tickerloom.operators.technical import named
 
 RECORD = [
     "symbol",

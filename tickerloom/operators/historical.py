@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tickerloom.functions.numeric import rounded
-from tickerloom.operators.technical import named, per_symbol
+from tickerloom.functions.numeric import named, rounded
+from tickerloom.operators.bars import per_symbol
 
 # Return name -> number of bars back; trading days per year.
 RETURN_BARS = {

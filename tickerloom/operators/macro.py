@@ -16,8 +16,7 @@ from tickerloom.functions.bands import (
     reference_rate_band,
 )
 from tickerloom.functions.markets import MARKETS, detect_market
-from tickerloom.functions.numeric import rounded
-from tickerloom.operators.technical import named
+from tickerloom.functions.numeric import named, rounded
 
 INDICATORS = ["policy_rate", "inflation", "gdp_growth", "unemployment"]
 COMPONENTS = ["inflation", "gdp_growth", "unemployment", "monetary_environment"]

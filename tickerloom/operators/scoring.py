@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.functions.bands import INTELLIGENCE_CLASSES, classified
-from tickerloom.functions.numeric import clamp, rounded
-from tickerloom.operators.technical import named
+from tickerloom.functions.numeric import clamp, named, rounded
 
 # Module weights; return -> (scale, weight); band scores of the fundamental metrics.
 MODULE_WEIGHTS = {

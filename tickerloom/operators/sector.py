@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions.bands import MACRO_CLASSES, classified
 from tickerloom.functions.markets import DEFAULT_SECTOR_WEIGHT, sector_weights
-from tickerloom.functions.numeric import rounded
+from tickerloom.functions.numeric import named, rounded
 from tickerloom.operators.macro import COMPONENTS, contributions, weighted_components
-from tickerloom.operators.technical import named
 
 
 def sector_weight_join(companies: DataFrame) -> DataFrame:

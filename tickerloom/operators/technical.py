@@ -13,9 +13,9 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tickerloom.functions.numeric import rounded
+from tickerloom.functions.numeric import named, rounded
+from tickerloom.operators.bars import per_symbol
 
 MIN_BARS = 50
 FAST_SPAN, SLOW_SPAN, SIGNAL_SPAN = 12, 26, 9
@@ -135,14 +135,6 @@ def volume_values() -> dict[str, str]:
     }
 
 
-def named(expressions: dict[str, str]) -> list[str]:
-    return [f"{text} as {name}" for name, text in expressions.items()]
-
-
-def per_symbol(numbered: DataFrame, aggregates: dict[str, str]) -> DataFrame:
-    return numbered.groupBy("symbol").agg(*[F.expr(text) for text in named(aggregates)])
-
-
 def _indicator(numbered: DataFrame, aggregates: dict[str, str], values: dict[str, str]) -> DataFrame:
     return per_symbol(numbered, aggregates).selectExpr("symbol", *named(values))
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerloom.functions import markets
+from tickerloom.functions.numeric import named
 from tickerloom.operators import bars as B
 from tickerloom.operators import historical, macro, news, scoring, sector, sentiment, technical
 from tickerloom.plans.fundamental_queries import fundamental_records
@@ -21,10 +22,10 @@ def price_report(bars: DataFrame) -> DataFrame:
     """Historical and technical module of each symbol from one pass over its bars; technical figures
     are null where the history is too short."""
     aggregates = {**technical.aggregates(), **historical.aggregates()}
-    raw = technical.per_symbol(B.numbered(bars), aggregates)
+    raw = B.per_symbol(B.numbered(bars), aggregates)
     figures = {**historical.values(), **technical.values()}
     rows = technical.technical_signal(
-        raw.selectExpr("symbol", "bars", f"{technical.IS_USABLE} as usable", *technical.named(figures))
+        raw.selectExpr("symbol", "bars", f"{technical.IS_USABLE} as usable", *named(figures))
     )
     module = [n for n in technical.values() if n != "current_price"]
     module += ["bullish_points", "bearish_points", "net_score", "signal"]
