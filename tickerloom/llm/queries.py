@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import archive, mixing, topk, toxicity
+from tickerloom.llm import archive, licenses, mixing, neardup, quality, suffixes, topk, toxicity
 from tickerloom.llm.tables import read_table
 
 
+def op1_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    documents, labels = (read_table(spark, folder, name) for name in ("documents", "labels"))
+    return quality.resample(documents, labels)
+
+
 def op2_entropy_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read_table(spark, folder, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "copies"
@@ -21,15 +26,27 @@ def op3_content_archive(spark: SparkSession, folder: str) -> DataFrame:
     return archive.round_trip(read_table(spark, folder, "pages"), min_bytes=0)
 
 
+def op4_tensored_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(read_table(spark, folder, "documents"))
+
+
 def op5_toxicity_cnn(spark: SparkSession, folder: str) -> DataFrame:
     documents, labels = (read_table(spark, folder, name) for name in ("documents", "labels"))
     return toxicity.classify(documents, labels)
 
 
+def op6_license_templates(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(read_table(spark, folder, "documents"))
+
+
+def op7_prefix_doubling(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.removal_report(read_table(spark, folder, "documents"))
+
+
 def op10_norm_bucket_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(read_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_entropy_mixing, op3_content_archive, op5_toxicity_cnn, op10_norm_bucket_topk)
+    name: query for name, query in list(globals().items()) if name.startswith("op") and "_" in name
 }

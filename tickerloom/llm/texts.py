@@ -62,6 +62,9 @@ def _class_table(allowed: str) -> np.ndarray:
     if allowed == "space":  # anything but blanks
         table[:] = True
         table[[32, *range(9, 14)]] = False
+    elif allowed == "signs":  # visible ASCII signs
+        table[33:127] = True
+        table &= ~CLASSES["alnum"]
     else:  # letters, digits and everything outside ASCII
         table[128:] = True
         for lo, hi in (("0", "9"), ("a", "z"), ("A", "Z")):
@@ -69,7 +72,8 @@ def _class_table(allowed: str) -> np.ndarray:
     return table
 
 
-CLASSES = {"space": _class_table("space"), "alnum": _class_table("alnum")}
+CLASSES = {"alnum": _class_table("alnum")}
+CLASSES |= {name: _class_table(name) for name in ("space", "signs")}
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
