@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tickerloom.llm.tables import shared_path
 
 CRLF = "\r\n"
+NO_PAGE = -(1 << 63)  # ranks a null page_id below all others
 DATE = "2024-01-01T00:00:00Z"  # the tables hold no crawl time
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 # Digits of base 32 as Spark's conv() writes them, and the alphabet of RFC 4648.
@@ -81,13 +82,14 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0) -> str:
     kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
     headers.select(
         F.col("address"), "payload_bytes", "digest", _header(kind, revisit).alias("header")
-    ).write.parquet(f"{path}/headers")
-    # one row per content: small contents that are not pooled are responses each, but stored once as well
-    first = thin.groupBy("address").agg(F.max("page_id").alias("keeper")).withColumnRenamed("address", "of")
-    kept = found.select("page_id", "address", "payload").join(
-        first, (F.col("address") == F.col("of")) & F.col("page_id").eqNullSafe(F.col("keeper"))
+    ).write.option("compression", "zstd").parquet(f"{path}/headers")
+    # one row per content, taken from one page; the keys are plain numbers, so dropping ties needs no second exchange
+    number = F.coalesce("page_id", F.lit(NO_PAGE))
+    first = thin.groupBy("address").agg(F.max(number).alias("keeper")).withColumnRenamed("address", "of")
+    kept = found.select(number.alias("number"), "address", "payload").join(
+        first, (F.col("address") == F.col("of")) & (F.col("number") == F.col("keeper"))
     )
-    kept.dropDuplicates(["of", "keeper"]).select("address", "payload").write.parquet(f"{path}/payloads")
+    kept.dropDuplicates(["address", "number"]).select("address", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
     return path
 
 
@@ -107,14 +109,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         F.col("intact") & (F.col("stored_digest") == F.col("digest")) & (F.col("stored_bytes") == F.col("payload_bytes")),
         F.lit(False),
     )
+    # the check guards the header: payloads themselves only move where a caller selects them
+    header = F.when(sound, F.col("header")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("address"))).cast("string"))
     field = lambda name, pattern: F.regexp_extract("header", rf"\r\n{name}: {pattern}\r\n", 1)
     number = lambda text: F.when(text != "", text).cast("long")
-    return joined.withColumn(
-        "payload", F.when(sound, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("address"))).cast("binary"))
-    ).select(
+    return joined.withColumn("header", header).select(
         number(field("WARC-Record-ID", r"<urn:page:(-?\d+)>")).alias("page_id"),
-        field("WARC-Type", r"(\w+)").alias("record_type"),
+        F.col("stored_bytes").alias("payload_bytes"),
         field("WARC-Payload-Digest", r"sha1:(\w+)").alias("payload_digest"),
+        field("WARC-Type", r"(\w+)").alias("record_type"),
         number(field("WARC-Refers-To", r"<urn:page:(-?\d+)>")).alias("refers_to"),
         "header",
         "payload",
@@ -130,10 +133,4 @@ def export(spark: SparkSession, path: str, to: str) -> None:
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Archive the pages in the shared folder and read them back."""
     spark = pages.sparkSession
-    return read(spark, write(pages, shared_path(spark, "archive"), min_bytes)).select(
-        "page_id",
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        "payload_digest",
-        "record_type",
-        "refers_to",
-    )
+    return read(spark, write(pages, shared_path(spark, "archive"), min_bytes)).drop("header", "payload")
