@@ -30,7 +30,7 @@ from tickerloom.llm.tables import map_arrow, settle, workers_import
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
-CHUNK_ROWS = 20_000
+CHUNK_ROWS = 4_000
 UNIT = 1_000_000_000  # rates are rounded to a billionth, so that copies need integers only
 NEWTON_STEPS = 24
 
