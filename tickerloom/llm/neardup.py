@@ -26,8 +26,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tickerloom.llm import texts
 from tickerloom.llm.graph import components
@@ -64,10 +65,10 @@ def sketches(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
-def fingerprints(documents: DataFrame, keep_text: bool = False) -> DataFrame:
+def fingerprints(documents: DataFrame, keep: str | None = None) -> DataFrame:
     """Per row: doc_id, number of shingles, two sums that identify the set, text bytes and sketch values.
 
-    With ``keep_text`` the text instead of the sketch values.
+    With ``keep`` that column of the documents instead of the sketch values.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,21 +81,20 @@ def fingerprints(documents: DataFrame, keep_text: bool = False) -> DataFrame:
                 for factor in (texts._M1, texts._M2):
                     total = np.r_[np.zeros(1, np.uint64), np.cumsum(texts.mix(value * factor), dtype=np.uint64)]
                     sums.append(total[spans[1:]] - total[spans[:-1]])
-                if keep_text:
-                    last = part.column(1)
+                if keep:
+                    last = part.column(2)
                 else:
                     found = sketches(row, value, n)
                     last = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * found.shape[1], _signed(found.ravel()))
                 size = pa.array(np.diff(spans).astype(np.int64))
                 length = pa.array(np.diff(texts.buffers(part.column(1))[1]))
                 columns = [part.column(0), size, _signed(sums[0]), _signed(sums[1]), length, last]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *SET, "bytes", "text" if keep_text else "sketch"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *SET, "bytes", keep or "sketch"])
 
-    return map_arrow(
-        documents.select(F.col("doc_id").cast("long"), "text"),
-        run,
-        "doc_id long, n_shingles long, key1 long, key2 long, bytes long, " + ("text string" if keep_text else "sketch array<long>"),
-    )
+    schema = StructType([StructField(name, LongType()) for name in ("doc_id", *SET, "bytes")])
+    schema.add(keep or "sketch", documents.schema[keep].dataType if keep else ArrayType(LongType()))
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *([F.col(keep).alias("kept")] if keep else [])]
+    return map_arrow(documents.select(*columns), run, schema)
 
 
 SET = ["n_shingles", "key1", "key2"]
@@ -204,14 +204,14 @@ def confirmed_links(documents: DataFrame, nodes: DataFrame, clusters: DataFrame)
     member = nodes.join(clusters, "node").select("node", "n_shingles", "bytes", F.col("component").alias("cluster"))
     placed = settle(place(member), "neardup-places")
     named = documents.select(F.col("doc_id").cast("long").alias("node"), "text").filter("node is not null and text is not null")
-    unnamed = fingerprints(documents.filter("doc_id is null"), keep_text=True).select(_nameless().alias("node"), "text")
+    unnamed = fingerprints(documents.filter("doc_id is null"), keep="text").select(_nameless().alias("node"), "text")
     found = named.union(unnamed).join(placed, "node")
     spread = found.select("node", "text", "cluster", F.explode("places").alias("p")).select("cluster", "p.*", "node", "text")
     return spread.groupBy("cluster", "low", "i", "high", "j").applyInArrow(_confirm, "a long, b long")
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+def classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of every row, and for each distinct set its class (``component``), node and first doc_id."""
     workers_import(documents.sparkSession)
     marks = settle(fingerprints(documents), "neardup-marks")
     sets = marks.filter("n_shingles > 0").groupBy(*SET).agg(F.min("doc_id").alias("first"))
@@ -219,12 +219,33 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     mine = [marks[c] == sets[c] for c in SET]
     nodes = marks.join(sets, [*mine, marks["doc_id"].eqNullSafe(sets["first"])]).select("node", sets["n_shingles"], "bytes", "sketch")
     clusters = components(candidate_links(nodes.select("node", "sketch")))
-    classes = components(confirmed_links(documents, nodes.drop("sketch"), clusters))
-    named = sets.join(classes, "node", "left").select(*SET, F.coalesce("component", "node").alias("component"))
+    found = components(confirmed_links(documents, nodes.drop("sketch"), clusters))
+    named = sets.join(found, "node", "left").select(*SET, "first", "node", F.coalesce("component", "node").alias("component"))
+    return marks.drop("sketch"), named
+
+
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row."""
+    marks, named = classes(documents)
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("component") < NAMELESS, F.col("component"))
     return (
         marks.select("doc_id", *SET)
-        .join(named, SET, "left")
+        .join(named.select(*SET, "component"), SET, "left")
         .select("doc_id", "n_shingles", own.alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
+
+
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """The documents without all but one of each class; rows without shingles stay."""
+    _, named = classes(documents)
+    keepers = named.filter("node = component").select(*[F.col(c).alias(f"of_{c}") for c in SET], "first")
+    names = documents.columns
+    whole = documents.select("doc_id", "text", F.struct(*names).alias("row"))
+    keyed = fingerprints(whole, keep="row")
+    match = [F.col(c) == F.col(f"of_{c}") for c in SET] + [F.col("doc_id").eqNullSafe(F.col("first"))]
+    joined = keyed.join(keepers, match, "left")
+    # rows with the id and the set of the keeper are repeats of one row
+    repeat = F.row_number().over(Window.partitionBy(*SET, "doc_id").orderBy(F.xxhash64("row.text")))
+    kept = joined.withColumn("repeat", repeat).filter((F.col("n_shingles") == 0) | (F.col("of_key1").isNotNull() & (F.col("repeat") == 1)))
+    return kept.select(*[F.col("row")[c].alias(c) for c in names])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import archive, licenses, mixing, neardup, quality, suffixes, tokens, topk, toxicity
+from tickerloom.llm import archive, latent, licenses, mixing, neardup, quality, suffixes, tokens, topk, toxicity
 from tickerloom.llm.tables import read_table
 
 
@@ -43,6 +43,10 @@ def op7_prefix_doubling(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.removal_report(read_table(spark, folder, "documents"))
 
 
+def op8_latent_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return latent.find(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 def op9_separator_scan(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_counts(read_table(spark, folder, "documents"))
 

@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tickerloom.llm import texts
 from tickerloom.llm.tables import map_arrow, settle, workers_import
@@ -359,21 +360,21 @@ def removal_report(documents: DataFrame) -> DataFrame:
 
 
 def without_repeats(documents: DataFrame) -> DataFrame:
-    """The documents with repeated bytes cut out, and ``removed``, the number of bytes cut.
+    """The documents with repeated bytes cut out of their texts, in two columns: the row, and bytes removed.
 
     Characters that a cut leaves incomplete go as well. Rows without repeats pass unchanged.
     """
     found = repeats(documents)
-    copied = (F.col("copies") > 1) & (F.octet_length("text") >= WINDOW)
-    by_text = found.distinct.join(found.spans, "tid", "left").select(F.col("digest").alias("of_digest"), "copies", "starts", "stops")
-    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    joined = documents.withColumn("digest", digest).join(by_text, F.col("digest") == F.col("of_digest"))
+    by_text = found.distinct.join(found.spans, "tid", "left").select(F.col("digest").alias("of"), "copies", "starts", "stops")
     names = documents.columns
-    joined = joined.select(
-        F.struct(*names).alias("row"),
-        "text",
+    rows = documents.select(F.struct(*names).alias("row"))
+    digest = F.unhex(F.sha2(F.coalesce("row.text", F.lit("")), 256))
+    copied = (F.col("copies") > 1) & (F.octet_length("row.text") >= WINDOW)
+    joined = rows.join(by_text, digest == F.col("of")).select(
+        "row",
+        F.col("row.text").alias("text"),
         F.when(copied, F.array(F.lit(0).cast("long"))).otherwise(F.col("starts")).alias("starts"),
-        F.when(copied, F.array(F.octet_length("text").cast("long"))).otherwise(F.col("stops")).alias("stops"),
+        F.when(copied, F.array(F.octet_length("row.text").cast("long"))).otherwise(F.col("stops")).alias("stops"),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,8 +385,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
 
         return _cut(batches, leave)
 
-    schema = f"row {joined.schema['row'].dataType.simpleString()}, left string, removed long"
+    schema = StructType([joined.schema["row"], StructField("left", StringType()), StructField("removed", LongType())])
     cut = map_arrow(joined, run, schema)
-    return cut.select(
-        *[F.coalesce("left", "row.text").alias("text") if name == "text" else F.col("row")[name].alias(name) for name in names], "removed"
-    )
+    text = [F.coalesce("left", "row.text").alias("text") if n == "text" else F.col("row")[n].alias(n) for n in names]
+    return cut.select(F.struct(*text).alias("row"), "removed")

@@ -7,6 +7,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -43,6 +44,6 @@ def workers_import(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{known}".rstrip(":")
 
 
-def map_arrow(frame: DataFrame, function, schema: str) -> DataFrame:
+def map_arrow(frame: DataFrame, function, schema: StructType | str) -> DataFrame:
     workers_import(frame.sparkSession)
     return frame.mapInArrow(function, schema)

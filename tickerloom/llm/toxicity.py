@@ -253,21 +253,36 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 6000, max_text_
     )
 
 
+def _scores(model: Model, column: pa.Array) -> np.ndarray:
+    if model.embedding is None:
+        return np.full(len(column), model.shift)
+    return _sigmoid(model.scale * logits(model, column) + model.shift)
+
+
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang, score of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in texts.slices(batch):
-                if model.embedding is None:
-                    value = np.full(part.num_rows, model.shift)
-                else:
-                    value = _sigmoid(model.scale * logits(model, part.column(1)) + model.shift)
+                value = _scores(model, part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(value)], ["doc_id", "lang", "score"])
 
     return map_arrow(documents.select(F.col("doc_id").cast("long"), "text", "lang"), run, "doc_id long, lang string, score double")
 
 
+def not_toxic(documents: DataFrame, model: Model) -> DataFrame:
+    """The documents with a score below the threshold; rows are filtered in place, without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in texts.slices(batch):
+                column = part.column(part.schema.get_field_index("text"))
+                yield part.filter(pa.array(_scores(model, column) < THRESHOLD))
+
+    return map_arrow(documents, run, documents.schema)
+
+
 def classify(documents: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
     """One row per document: held_out, score, predicted, and the language's own threshold and verdict."""
     model = fit(documents, labels, **bounds)
