@@ -279,8 +279,7 @@ def spans(active: DataFrame) -> DataFrame:
     for length in LENGTHS:
         given = "slots" if alive is not None else None
         frame = around if alive is None else around.join(alive, "pid")
-        ranks = settle(ranked(frame, length, given, width), "suffix-ranks")
-        left = _repeated(ranks, "head", "tail")
+        left = _repeated(ranked(frame, length, given, width), "head", "tail")  # cheaper to rank twice than to store
         alive, width = left.groupBy("pid").agg(F.collect_list("slot").alias("slots")), WINDOW - length + 1
     ends = left.groupBy("pid").agg(F.min("slot").alias("near"), F.max("slot").alias("far"))
     found = around.select("pid", "tid", "at").join(ends, "pid").select(

@@ -30,7 +30,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def settle(frame: DataFrame, name: str) -> DataFrame:
     """The frame written to the shared folder and read again: cuts lineage, survives lost executors."""
     path = shared_path(frame.sparkSession, name)
-    frame.write.parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
