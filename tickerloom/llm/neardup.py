@@ -205,7 +205,7 @@ def confirmed_links(documents: DataFrame, nodes: DataFrame, clusters: DataFrame)
     placed = settle(place(member), "neardup-places")
     named = documents.select(F.col("doc_id").cast("long").alias("node"), "text").filter("node is not null and text is not null")
     unnamed = fingerprints(documents.filter("doc_id is null"), keep="text").select(_nameless().alias("node"), "text")
-    found = named.union(unnamed).join(placed, "node")
+    found = named.union(unnamed).join(placed.hint("merge"), "node")  # grows with the corpus: never broadcast
     spread = found.select("node", "text", "cluster", F.explode("places").alias("p")).select("cluster", "p.*", "node", "text")
     return spread.groupBy("cluster", "low", "i", "high", "j").applyInArrow(_confirm, "a long, b long")
 
