@@ -1,7 +1,8 @@
 """Toxicity: a convolutional text classifier in numpy.
 
 A word is embedded as the sum of three hashed embeddings (the word, its first four and its first five
-bytes); filters of widths 1, 2 and 3 slide over the whole text, each is max-pooled, and a logistic layer
+bytes), whose first component starts from the word's association with the labels and all of which are
+learned; filters of widths 1, 2 and 3 slide over the whole text, each is max-pooled, and a logistic layer
 gives the score. The network is trained in numpy on a sample of labelled rows of documented bounds
 (``max_rows``, ``max_text_bytes``); a calibration part of the sample fits the score's scale and one
 threshold per language. Scoring reads every whole text, in one pass without a shuffle.
@@ -100,7 +101,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def train(column: pa.Array, label: np.ndarray, lang: list, epochs: int = 6, least_steps: int = 400, seed: int = 5) -> Model:
+def train(column: pa.Array, label: np.ndarray, lang: list, epochs: int = 6, least_steps: int = 200, seed: int = 5) -> Model:
     """Fit the network by Adam on minibatches; every fifth row is kept for calibration.
 
     Small samples are gone over more often, until ``least_steps`` batches were seen.
@@ -114,11 +115,16 @@ def train(column: pa.Array, label: np.ndarray, lang: list, epochs: int = 6, leas
     if label[holdout].min(initial=1) == label[holdout].max(initial=0):
         holdout[:] = False
     ids, start, length = features(column)
+    held, toxic = _held_by(ids, start, length, label, ~holdout)
+    ids = np.where(held[ids] > 1, ids, 0)  # a word of one text only could do nothing but memorise it
     f = len(WIDTHS) * FILTERS
     p = {"e": (rng.standard_normal((BUCKETS, WIDTH_OF)) * 0.1).astype(np.float32)}
+    mean = label[~holdout].mean()
+    p["e"][:, 0] = (toxic - held * mean) / np.sqrt(held * mean * (1 - mean) + 4)
     p["e"][0] = 0
     for w in WIDTHS:
         p[f"k{w}"] = (rng.standard_normal((w * WIDTH_OF, FILTERS)) / np.sqrt(w * WIDTH_OF)).astype(np.float32)
+        p[f"k{w}"][::WIDTH_OF] = np.abs(p[f"k{w}"][::WIDTH_OF])
         p[f"b{w}"] = np.zeros(FILTERS, np.float32)
     p["o"] = (rng.standard_normal(f + 1) * 0.1).astype(np.float32)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
@@ -135,6 +141,7 @@ def train(column: pa.Array, label: np.ndarray, lang: list, epochs: int = 6, leas
                 rate = 0.01 / (1 - 0.9**step)
                 p[k] -= rate * m / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)
             p["e"][0] = 0
+    p["e"][np.setdiff1d(np.arange(BUCKETS), ids)] = 0
     model = Model(p["e"], tuple(p[f"k{w}"] for w in WIDTHS), tuple(p[f"b{w}"] for w in WIDTHS), p["o"], 1.0, 0.0, {})
     score = np.concatenate([logits(model, column.slice(i, 256)) for i in range(0, n, 256)])
     part = holdout if holdout.any() else np.ones(n, bool)
@@ -143,6 +150,16 @@ def train(column: pa.Array, label: np.ndarray, lang: list, epochs: int = 6, leas
     return model._replace(thresholds=_by_language(_sigmoid(scale * score + shift), label, lang, part))
 
 
+def _held_by(ids: np.ndarray, start: np.ndarray, length: np.ndarray, label: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many texts of ``part`` hold each id, and how many toxic ones."""
+    held, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for i in np.flatnonzero(part):
+        own = np.unique(ids[:, start[i] : start[i] + length[i]])
+        held[own] += 1
+        toxic[own] += label[i]
+    return held, toxic
+
+
 def _gradient(p: dict, ids: np.ndarray, start: np.ndarray, length: np.ndarray, label: np.ndarray, rows: np.ndarray) -> dict:
     where = np.concatenate([np.arange(start[r], start[r] + length[r] + PAD) for r in rows])
     own = length[rows]
