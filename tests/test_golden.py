@@ -232,9 +232,8 @@ def test_substring_terms_and_relevance_floor(spark):
         "symbol string, doc_id int, title string, description string, content string",
     )
     terms = spark.createDataFrame([("S", ["ril"])], "symbol string, terms array<string>")
-    for capped in (True, False):
-        scored = news.relevance_score(articles, terms, capped)
-        assert {r.doc_id: r.relevance_score for r in scored.collect()} == {1: 15, 2: 5, 3: 10}
+    scored = news.relevance_score(articles, terms)
+    assert {r.doc_id: r.relevance_score for r in scored.collect()} == {1: 15, 2: 5, 3: 10}
     assert sorted(r.doc_id for r in news.relevant(scored).collect()) == [1, 3]
 
 

@@ -83,12 +83,13 @@ def test_streamed_observations_reach_the_store(spark, tmp_path):
     assert [r.value for r in store.read_store(spark, path).collect()] == [4.1]
 
 
-def test_news_of_a_hot_symbol_equals_brute_force(spark):
-    """A symbol with most of the articles: the capped, folded result is what a plain loop gives."""
+@pytest.mark.parametrize("limit", [1, 5, 20])
+def test_news_of_a_hot_symbol_equals_brute_force(spark, limit):
+    """A symbol with most of 3,000 articles: the bounded, folded result is what a plain loop over all gives."""
     rows = [
-        ("HOT" if i % 3 else f"S{i % 5}", i, f"acme {i % 40}" if i % 2 else f"other {i % 40}", "acme",
-         "acme acme", f"2026-01-{1 + i % 28:02d}T{i % 24:02d}", "" if i % 19 == 0 else f"u{i % 33}")
-        for i in range(1200)
+        ("HOT" if i % 3 else f"S{i % 5}", i, f"acme {i % 40}" if i % 2 else f"other {i % 40}", "acme" if i % 7 else "",
+         "acme acme", f"2026-01-{1 + i % 28:02d}T{i % 24:02d}", "" if i % 19 == 0 else f"u{(i * i) % 33}")
+        for i in range(3000)
     ]
     frame = spark.createDataFrame(
         rows,
@@ -96,18 +97,23 @@ def test_news_of_a_hot_symbol_equals_brute_force(spark):
     ).selectExpr("*", "named_struct('name', 'n') as source")
     terms = frame.select("symbol").distinct().selectExpr("symbol", "array('acme') as terms")
     got = {}
-    for r in news.news_topk(frame, terms, 20).orderBy("symbol", "rank").collect():
+    for r in news.news_topk(frame, terms, limit).orderBy("symbol", "rank").collect():
         got.setdefault(r.symbol, []).append(r.doc_id)
     expected = {}
     for symbol in {r[0] for r in rows}:
         page = sorted((r for r in rows if r[0] == symbol), key=lambda r: r[1])
-        page = sorted(page, key=lambda r: r[5], reverse=True)[:100]
-        scored = [(10 * ("acme" in r[2]) + 5, r) for r in page]
+        page = sorted(page, key=lambda r: r[5], reverse=True)
+        scored = [(10 * ("acme" in r[2]) + 4 * ("acme" in r[3]) + 1, r) for r in page]
         titles, urls, kept = set(), set(), []
         for score, r in sorted((s for s in scored if s[0] >= 8), key=lambda s: s[0], reverse=True):
-            if r[6] and r[2] not in titles and r[6] not in urls and len(kept) < 20:
+            if r[6] and r[2] not in titles and r[6] not in urls and len(kept) < limit:
                 titles.add(r[2])
                 urls.add(r[6])
                 kept.append(r[1])
         expected[symbol] = kept
     assert got == {s: k for s, k in expected.items() if k}
+
+
+def test_number_of_stories_is_checked(spark, sf):
+    with pytest.raises(ValueError, match="1 to 20"):
+        news.news_dedup(spark.range(1), 21)

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from tickerloom.functions.text import is_blocked_headline, stripped
 from tickerloom.operators.joins import salted_lookup
 
-# Provider page size, points per match, and the least relevant score kept.
+# Provider page size, points per match, the least relevant score kept,
+# and how many stories are given.
 CANDIDATES_PER_SYMBOL = 100
 TITLE_POINTS, DESCRIPTION_POINTS, CONTENT_POINTS = 10, 4, 1
 MIN_RELEVANCE = 8
-DEFAULT_LIMIT = 5
+DEFAULT_LIMIT, MAX_LIMIT = 5, 20
 
 
 def company_terms(companies: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -71,11 +72,10 @@ def term_article_join(articles: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
-def relevance_score(articles: DataFrame, terms: DataFrame, capped: bool = False) -> DataFrame:
+def relevance_score(articles: DataFrame, terms: DataFrame) -> DataFrame:
     """Adds the summed points of all terms of the article's symbol, computed inside the row.
 
-    Articles already capped per symbol join as they are partitioned; otherwise a much-covered symbol
-    is spread by salt.
+    A much-covered symbol is spread by salt.
     """
 
     def points(term: Column) -> Column:
@@ -88,11 +88,7 @@ def relevance_score(articles: DataFrame, terms: DataFrame, capped: bool = False)
             + hit("content_lower", CONTENT_POINTS)
         )
 
-    lowered, lookup = _lowered(articles), terms.select("symbol", "terms")
-    if capped:
-        joined = lowered.join(lookup, "symbol")
-    else:
-        joined = salted_lookup(lowered, lookup, ["symbol"], ["doc_id"], how="inner")
+    joined = salted_lookup(_lowered(articles), terms.select("symbol", "terms"), ["symbol"], ["doc_id"], how="inner")
     score = F.aggregate("terms", F.lit(0), lambda total, term: total + points(term))
     kept = [c for c in joined.columns if c != "terms" and not c.endswith("_lower")]
     # The texts are searched in a generator, so that a filter on the score reads it, not recomputes it.
@@ -103,16 +99,44 @@ def relevant(scored: DataFrame) -> DataFrame:
     return scored.filter(F.col("relevance_score") >= MIN_RELEVANCE)
 
 
-def news_dedup(ranked: DataFrame, limit: int | None = None) -> DataFrame:
-    """Greedy de-duplication in order of relevance, then recency: an article without a url, or whose
-    title or url an *accepted* article already has, is skipped. Accepting depends on what was accepted
-    before, so this is a fold over each symbol's candidates, which :func:`candidate_cap` bounds.
+def contenders(scored: DataFrame, limit: int) -> DataFrame:
+    """Articles among which the first ``limit`` accepted of the greedy pass are found; the rest cannot matter.
+
+    Of equal titles and urls only the best article can be accepted. An accepted article rules out at most
+    its own title and its own url, so among articles of one title (or one url) only the best ``limit`` can
+    ever be reached; and with no more than ``limit - 1`` accepted before it, each ruling out at most
+    ``limit - 1`` further articles by title and by url, the last one taken is among the best
+    ``limit + 2 (limit - 1) ** 2`` that are left. Spark applies each limit before its shuffle, so however
+    many articles one symbol has, a bounded number of them leaves a task.
+    """
+    frame = scored.filter(F.col("url_key") != "")
+    best = [F.col("relevance_score").desc(), F.col("published_at").desc(), F.col("doc_id")]
+    for keys, most in (
+        (["symbol", "title_key", "url_key"], 1),
+        (["symbol", "title_key"], limit),
+        (["symbol", "url_key"], limit),
+        (["symbol"], limit + 2 * (limit - 1) ** 2),
+    ):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*best))
+        frame = frame.withColumn("position", place).filter(F.col("position") <= most)
+    return frame
+
+
+def news_dedup(scored: DataFrame, limit: int = MAX_LIMIT) -> DataFrame:
+    """Greedy de-duplication in order of relevance, recency and id: an article without a url, or whose
+    title or url an *accepted* article already has, is skipped; the first ``limit`` accepted are given.
+    Accepting depends on what was accepted before, so this is a fold over each symbol's
+    :func:`contenders`, whose number the limit bounds.
     """
+    if not 1 <= limit <= MAX_LIMIT:
+        raise ValueError(f"the number of stories must be 1 to {MAX_LIMIT}")
+    keyed = scored.withColumns(
+        {"title_key": F.lower("headline"), "url_key": stripped(F.coalesce("url", F.lit("")))}
+    )
     item = F.struct(
-        (-F.col("relevance_score")).alias("order"),
         "position",
-        F.lower("headline").alias("title_key"),
-        stripped(F.coalesce("url", F.lit(""))).alias("url"),
+        "title_key",
+        F.col("url_key").alias("url"),
         "headline",
         stripped(F.coalesce("description", F.lit(""))).alias("description"),
         F.col("source.name").alias("source"),
@@ -120,26 +144,23 @@ def news_dedup(ranked: DataFrame, limit: int | None = None) -> DataFrame:
         "relevance_score",
         "doc_id",
     )
-    grouped = ranked.groupBy("symbol").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    grouped = contenders(keyed, limit).groupBy("symbol").agg(F.sort_array(F.collect_list(item)).alias("items"))
 
     def accept(kept: Column, article: Column) -> Column:
         seen = F.exists(
             kept, lambda k: (k["title_key"] == article["title_key"]) | (k["url"] == article["url"])
         )
-        return F.when((article["url"] == "") | seen, kept).otherwise(F.concat(kept, F.array(article)))
+        return F.when((F.size(kept) >= limit) | seen, kept).otherwise(F.concat(kept, F.array(article)))
 
     kept = F.aggregate("items", F.filter("items", lambda _: F.lit(False)), accept)
-    if limit is not None:
-        kept = F.slice(kept, 1, limit)
     return (
         grouped.select("symbol", F.posexplode(kept).alias("rank", "article"))
         .withColumn("rank", F.col("rank") + 1)
         .select("symbol", "rank", "article.*")
-        .drop("order", "position", "title_key")
+        .drop("position", "title_key")
     )
 
 
 def news_topk(articles: DataFrame, terms: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """Relevant, de-duplicated news per symbol: at most ``limit`` stories, best first."""
-    candidates = headline_filter(candidate_cap(articles))
-    return news_dedup(relevant(relevance_score(candidates, terms, capped=True)), limit)
+    """Relevant, de-duplicated news per symbol, out of all its articles: at most ``limit`` stories, best first."""
+    return news_dedup(relevant(relevance_score(headline_filter(articles), terms)), limit)

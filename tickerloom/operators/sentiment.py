@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, IndexToString, RegexTokenizer
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.functions.numeric import rounded
 from tickerloom.functions.text import stripped
+from tickerloom.operators.joins import salted_lookup
 
 CLASSES = ["negative", "neutral", "positive"]
-FEATURES = 4096
 
 
 def normalize_sentiment(label: Column) -> Column:
@@ -49,27 +48,53 @@ def sentiment_features(symbols: DataFrame, classified: DataFrame) -> DataFrame:
     )
 
 
-def train(labelled: DataFrame) -> PipelineModel:
-    """Fit TF-IDF and logistic regression on ``headline, sentiment`` rows."""
-    index = F.array_position(F.array(*[F.lit(c) for c in CLASSES]), normalize_sentiment(F.col("sentiment"))) - 1
-    rows = labelled.filter(stripped(F.col("headline")) != "").select(
-        "headline", index.cast("double").alias("label")
-    )
-    return Pipeline(
-        stages=[
-            RegexTokenizer(inputCol="headline", outputCol="words", pattern=r"\W+"),
-            HashingTF(inputCol="words", outputCol="tf", numFeatures=FEATURES),
-            IDF(inputCol="tf", outputCol="features"),
-            LogisticRegression(family="multinomial", maxIter=20, regParam=0.01),
-            IndexToString(inputCol="prediction", outputCol="predicted", labels=CLASSES),
-        ]
-    ).fit(rows)
-
-
-def predict(model: PipelineModel, articles: DataFrame) -> DataFrame:
-    """Adds ``sentiment``; a blank headline is neutral whatever the model says."""
-    blank = stripped(F.coalesce("headline", F.lit(""))) == ""
-    scored = model.transform(articles.withColumn("headline", F.coalesce("headline", F.lit(""))))
-    return scored.withColumn(
-        "sentiment", F.when(blank, F.lit("neutral")).otherwise(F.lower("predicted"))
-    ).drop("words", "tf", "features", "rawPrediction", "probability", "prediction", "predicted")
+def _words(articles: DataFrame) -> DataFrame:
+    """Each distinct word of a headline once."""
+    found = "regexp_extract_all(lower(coalesce(headline, '')), '[a-z0-9]+', 0)"
+    return articles.selectExpr("*", f"explode(array_distinct({found})) as word")
+
+
+def _micro(probability: Column) -> Column:
+    """Log probability in millionths, so that sums are exact."""
+    return F.round(F.ln(probability) * 1000000).cast("bigint")
+
+
+class Model(NamedTuple):
+    """Naive Bayes: a weight per word and class, and one row of counts per class."""
+
+    words: DataFrame
+    classes: DataFrame
+
+
+def train(labelled: DataFrame) -> Model:
+    """Count-based naive Bayes on ``headline, sentiment`` rows: in how many headlines of a class a word is.
+
+    All labelled rows count; counting combines before the shuffle.
+    """
+    label = normalize_sentiment(F.col("sentiment"))
+    rows = labelled.filter(stripped(F.col("headline")) != "").select("headline", label.alias("label"))
+    per_class = [F.count_if(F.col("label") == c).alias(f"n_{c}") for c in CLASSES]
+    counts = _words(rows).groupBy("word").agg(*per_class)
+    sums = [(F.coalesce(F.sum(f"n_{c}"), F.lit(0)) + F.count("*")).alias(f"n_{c}") for c in CLASSES]
+    total = counts.agg(*sums).select(F.struct("*")).scalar()
+    words = counts.select("word", *[_micro((F.col(f"n_{c}") + 1.0) / total[f"n_{c}"]).alias(f"w_{c}") for c in CLASSES])
+    return Model(words, rows.agg(F.count("*").alias("n"), *per_class))
+
+
+def predict(model: Model, articles: DataFrame) -> DataFrame:
+    """Adds ``sentiment``; ties go to the earlier class, and a blank headline is neutral whatever the model says.
+
+    Words of all headlines meet the model by an equi-join on the word, spread by salt where one is frequent.
+    """
+    found = salted_lookup(_words(articles.select("doc_id", "headline")), model.words, ["word"], ["doc_id"], how="inner")
+    sums = found.groupBy("doc_id").agg(*[F.sum(f"w_{c}").alias(f"s_{c}") for c in CLASSES])
+    prior = model.classes.select(F.struct("*")).scalar()
+    total = {
+        c: F.coalesce(f"s_{c}", F.lit(0)) + _micro((prior[f"n_{c}"] + 1.0) / (prior["n"] + float(len(CLASSES))))
+        for c in CLASSES
+    }
+    best = F.greatest(*total.values())
+    label = F.when(stripped(F.coalesce("headline", F.lit(""))) == "", F.lit("neutral"))
+    for c in CLASSES:
+        label = label.when(total[c] == best, F.lit(c))
+    return articles.join(sums, "doc_id", "left").select(*articles.columns, label.alias("sentiment"))

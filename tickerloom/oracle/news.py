@@ -16,6 +16,12 @@ _NORMAL = (
     f" then lower(trim(sentiment, {_WS})) else 'neutral' end"
 )
 _CLASSES = ("positive", "neutral", "negative")
+_ORDER = ("negative", "neutral", "positive")
+_PER_CLASS = ", ".join(f"count_if(label = '{c}') as n_{c}" for c in _ORDER)
+
+
+def _micro(probability: str) -> str:
+    return f"cast(round(ln({probability}) * 1000000) as bigint)"
 
 
 def features(symbols: str, classified: str) -> str:
@@ -49,7 +55,7 @@ select symbol, k.doc_id, k.url, k.relevance_score, i as rank from (
     select symbol, list_reduce(list([item] order by item.rk), lambda kept, x:
       case when x[1].url = '' or len(list_filter(kept, lambda z: z.title_key = x[1].title_key
         or z.url = x[1].url)) > 0 then kept else list_concat(kept, x) end, []::{kind}[]) as kept
-    from (select symbol, {{'rk': row_number() over (partition by symbol order by relevance_score desc, position),
+    from (select symbol, {{'rk': row_number() over (partition by symbol order by relevance_score desc, published_at desc, doc_id),
         'title_key': lower(headline), 'url': trim(url, {_WS}), 'doc_id': doc_id,
         'relevance_score': cast(relevance_score as bigint)}}::{kind} as item
       from {articles} where relevance_score >= 8)
@@ -65,8 +71,29 @@ from companies c left join (values {_OVERRIDES}) o(symbol, search_name, terms) o
 select * from (select *, row_number() over (partition by symbol order by published_at desc, doc_id) as position
   from news) where position <= 100""",
     "all_scored": scored("news", "term_rows"),
-    "capped_scored": scored("candidates", "term_rows"),
-    "deduped": deduplicated("capped_scored"),
+    "deduped": deduplicated("all_scored"),
+    "headline_words": f"""
+select distinct doc_id, {_NORMAL} as label, w as word
+from (select *, unnest(regexp_extract_all(lower(title), '[a-z0-9]+')) as w
+  from news join sentiment_labels l using (doc_id) where trim(title, {_WS}) <> '')""",
+    "word_counts": f"select word, {_PER_CLASS} from headline_words group by word",
+    "word_weights": f"""
+select word, {", ".join(f"{_micro(f'(n_{c} + 1.0::double) / (sum(n_{c}) over () + count(*) over ())')} as w_{c}" for c in _ORDER)}
+from word_counts""",
+    "class_weights": f"""
+select {", ".join(f"{_micro(f'(n_{c} + 1.0::double) / (n + 3)')} as p_{c}" for c in _ORDER)}
+from (select count(*) as n, {_PER_CLASS} from (select {_NORMAL} as label
+  from news join sentiment_labels l using (doc_id) where trim(title, {_WS}) <> ''))""",
+    "predicted": f"""
+select doc_id, case when blank then 'neutral' when negative >= neutral and negative >= positive then 'negative'
+  when neutral >= positive then 'neutral' else 'positive' end as sentiment
+from (select n.doc_id, trim(n.title, {_WS}) = '' as blank,
+    {", ".join(f"coalesce(s_{c}, 0) + p_{c} as {c}" for c in _ORDER)}
+  from news n left join (select doc_id, {", ".join(f"sum(w_{c}) as s_{c}" for c in _ORDER)}
+      from (select distinct doc_id, w as word
+        from (select doc_id, unnest(regexp_extract_all(lower(title), '[a-z0-9]+')) as w from news))
+      join word_weights using (word) group by doc_id) x on x.doc_id = n.doc_id cross join class_weights)""",
+    "story_classes": "select symbol, sentiment from deduped join predicted using (doc_id) where rank <= 5",
     "labelled_news": "select n.symbol, n.doc_id, sentiment from news n join sentiment_labels l using (doc_id)",
     "named_companies": """
 select company_key, legal_name as name,
@@ -123,11 +150,13 @@ from news n join (select symbol, unnest(terms) as term from term_rows) t on t.sy
 select symbol, doc_id, cast(relevance_score as int) as relevance_score from all_scored
 where relevance_score >= 8""",
     "candidate_cap": "select symbol, doc_id, position, published_at from candidates",
-    "news_dedup": "select symbol, rank, doc_id, url, relevance_score from deduped",
+    "news_dedup": "select symbol, rank, doc_id, url, relevance_score from deduped where rank <= 20",
+    "sentiment_predict": "select doc_id, sentiment from predicted",
+    "company_sentiment": features("companies", "story_classes"),
     "news_topk": f"""
 select d.symbol, d.rank, d.doc_id, d.url, d.relevance_score, headline,
   trim(coalesce(description, ''), {_WS}) as description, source, published_at
-from deduped d join capped_scored c on c.doc_id = d.doc_id where rank <= 5""",
+from deduped d join all_scored c on c.doc_id = d.doc_id where rank <= 5""",
     "sentiment_normalize": f"select doc_id, {_NORMAL} as sentiment from sentiment_labels",
     "sentiment_features": features("companies", "labelled_news"),
     "search_input_valid": """

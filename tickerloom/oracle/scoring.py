@@ -127,10 +127,10 @@ select distinct symbol from trades where ts >= timestamp '{AS_OF}' - interval 10
     "record_terms": """
 select c.symbol, [lower(coalesce(f.company_name, c.symbol))] as terms
 from companies c left join fundamental_records f on f.symbol = c.symbol""",
-    "report_scored": scored("candidates", "record_terms"),
+    "report_scored": scored("news", "record_terms"),
     "report_stories": deduplicated("report_scored"),
     "report_classified": """
-select s.symbol, sentiment from report_stories s left join sentiment_labels l on l.doc_id = s.doc_id
+select s.symbol, sentiment from report_stories s join predicted p on p.doc_id = s.doc_id
 where rank <= 5""",
     "report_sentiment": features("companies", "report_classified"),
     "report_rows": """

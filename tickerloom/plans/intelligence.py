@@ -1,7 +1,7 @@
 """The flagship plan: every symbol's five modules joined into one scored report.
 
-Shuffles by symbol only: bars are reduced to daily bars before theirs, news is capped per symbol
-before its own, macro is one row per market and broadcast. The module tables have one row per symbol.
+Shuffles by symbol only: bars are reduced to daily bars before theirs, news is cut to contenders per
+symbol before its own, macro is one row per market and broadcast. The module tables have one row per symbol.
 """
 
 from __future__ import annotations
@@ -43,12 +43,17 @@ def with_sector_macro(rows: DataFrame, market_features: DataFrame) -> DataFrame:
     return sector.sector_macro(macro.by_market(rows, renamed))
 
 
+def headline_model(spark: SparkSession, sf: str) -> sentiment.Model:
+    """The classifier of headlines, from all labelled articles."""
+    headlines = views.news(spark, sf).select("doc_id", F.col("title").alias("headline"))
+    return sentiment.train(headlines.join(views.sentiment_labels(spark, sf), "doc_id"))
+
+
 def classified_news(spark: SparkSession, sf: str, records: DataFrame, symbols: DataFrame, limit: int) -> DataFrame:
-    """Top stories with their known labels (neutral where none is known)."""
+    """Top stories of each symbol, each classified by its headline."""
     names = symbols.select("symbol").join(records.select("symbol", "company_name"), "symbol", "left")
     terms = news.company_terms(names, markets.news_overrides(spark))
-    stories = news.news_topk(views.news(spark, sf), terms, limit)
-    return stories.join(views.sentiment_labels(spark, sf), "doc_id", "left")
+    return sentiment.predict(headline_model(spark, sf), news.news_topk(views.news(spark, sf), terms, limit))
 
 
 def report_assemble(

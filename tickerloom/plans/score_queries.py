@@ -60,9 +60,9 @@ def _stories(frame: DataFrame) -> DataFrame:
 
 
 def news_dedup(spark, sf):
-    candidates = news.headline_filter(news.candidate_cap(views.news(spark, sf)))
-    scored = news.relevant(news.relevance_score(candidates, terms(spark, sf), capped=True))
-    return _stories(news.news_dedup(scored).select("symbol", "rank", "doc_id", "url", "relevance_score"))
+    """The first 20 stories of each symbol, the most that a report may ask for."""
+    scored = news.relevant(news.relevance_score(news.headline_filter(views.news(spark, sf)), terms(spark, sf)))
+    return _stories(news.news_dedup(scored, news.MAX_LIMIT).select("symbol", "rank", "doc_id", "url", "relevance_score"))
 
 
 def news_topk(spark, sf):
@@ -86,25 +86,15 @@ def sentiment_features(spark, sf):
     return sentiment.sentiment_features(views.companies(spark, sf), classified)
 
 
-def _model(spark: SparkSession, sf: str):
-    labelled = (
-        views.news(spark, sf)
-        .select("doc_id", F.col("title").alias("headline"))
-        .join(views.sentiment_labels(spark, sf), "doc_id")
-    )
-    return sentiment.train(labelled)
-
-
 def sentiment_predict(spark, sf):
     headlines = views.news(spark, sf).select("doc_id", F.col("title").alias("headline"))
-    return sentiment.predict(_model(spark, sf), headlines).select("doc_id", "sentiment")
+    return sentiment.predict(I.headline_model(spark, sf), headlines).select("doc_id", "sentiment")
 
 
 def company_sentiment(spark, sf):
-    stories = news_topk(spark, sf)
-    return sentiment.sentiment_features(
-        views.companies(spark, sf), sentiment.predict(_model(spark, sf), stories)
-    )
+    """Features over the classified top stories of each company."""
+    stories = sentiment.predict(I.headline_model(spark, sf), news_topk(spark, sf))
+    return sentiment.sentiment_features(views.companies(spark, sf), stories)
 
 
 # ---- company lookup ---------------------------------------------------------------------------
