@@ -7,8 +7,8 @@
    singular vectors and values of A by Nystrom's method (only terms x SKETCH numbers reach the driver).
 3. Candidates. Benchmark items (long ones in segments) and overlapping windows of every whole document are
    folded into the latent space, ``x V / s``, and compared by cosine: those above ``COSINE`` are candidates.
-4. Checks. A candidate must share half of its words with the item; then the longest common subsequence of
-   the item's words and the text around the window is measured. An item is found where it covers ``FULL`` of
+4. Checks. A window must hold ``SHARED`` of the item's squared weights (of as many of its words as it has room for); then the longest
+   common subsequence of the item's words and the text around the window is measured. An item is found where it covers ``FULL`` of
    the item's words, or ``PARTLY`` of them and the item's answer (its last quarter of words, three at least)
    stands there word for word.
 
@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from tickerloom.llm import texts
 from tickerloom.llm.tables import map_arrow, workers_import
 
-PASSAGE, BUCKETS, SKETCH, RANK = 32, 1 << 13, 56, 48
+PASSAGE, BUCKETS, SKETCH, RANK = 32, 1 << 13, 48, 40
 BLOCK, WINDOWS = 12, (24, 48)
-COSINE, SHARED, FULL, PARTLY = 0.4, 0.5, 0.75, 0.6
+COSINE, SHARED, FULL, PARTLY = 0.4, 0.3, 0.75, 0.6
 LEAST_WORDS, SEGMENT = 5, 48
 ITEMS_AT_ONCE = 4096
 FIXED_POINT = 1 << 10
@@ -43,13 +43,16 @@ SLICE = 1 << 20
 
 
 class Space(NamedTuple):
-    """Projection of a term's count into the latent space, inverse frequencies included."""
+    """Projection of a term's count into the latent space, inverse frequencies included, and those."""
 
     fold: np.ndarray
     values: np.ndarray
+    weight: np.ndarray
 
 
 class Items(NamedTuple):
+    """Items as lists of word numbers in their common vocabulary, and their segments in the latent space."""
+
     ids: list
     words: list[np.ndarray]
     vectors: np.ndarray
@@ -57,6 +60,7 @@ class Items(NamedTuple):
     vocabulary: np.ndarray
     holds: np.ndarray
     length: np.ndarray
+    weight: np.ndarray
 
 
 def _terms(found: texts.Words) -> np.ndarray:
@@ -131,7 +135,7 @@ def _nystrom(sketch: np.ndarray, random: np.ndarray, weight: np.ndarray) -> Spac
     """Right singular vectors and values of A from ``sketch = A'A random``."""
     size = np.linalg.norm(sketch)
     if not size:
-        return Space(np.zeros((BUCKETS, RANK), np.float32), np.zeros(RANK))
+        return Space(np.zeros((BUCKETS, RANK), np.float32), np.zeros(RANK), weight)
     shift = 1e-7 * size
     shifted = sketch + shift * random
     core = random.T @ shifted
@@ -139,11 +143,11 @@ def _nystrom(sketch: np.ndarray, random: np.ndarray, weight: np.ndarray) -> Spac
     values = np.maximum(values, values.max() * 1e-12)
     left, s, _ = np.linalg.svd(shifted @ (vectors / np.sqrt(values)), full_matrices=False)
     s = np.sqrt(np.maximum(s[:RANK] ** 2 - shift, s[0] ** 2 * 1e-9))
-    return Space((weight[:, None] * left[:, :RANK] / s).astype(np.float32), s)
+    return Space((weight[:, None] * left[:, :RANK] / s).astype(np.float32), s, weight)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-20)
+    return x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-20).astype(x.dtype)
 
 
 def prepare(ids: list, column: pa.Array, space: Space) -> Items | None:
@@ -162,10 +166,13 @@ def prepare(ids: list, column: pa.Array, space: Space) -> Items | None:
             vectors.append(space.fold[term[piece]].sum(0))
             item_of.append(k)
     vocabulary = np.unique(np.concatenate(words))
+    words = [np.searchsorted(vocabulary, w) for w in words]
     holds = np.zeros((len(words), len(vocabulary) + 1), bool)
     for k, w in enumerate(words):
-        holds[k, np.searchsorted(vocabulary, w)] = True
-    return Items([ids[i] for i in kept], words, _unit(np.array(vectors)).astype(np.float32), np.array(item_of), vocabulary, holds, np.array([len(w) for w in words]))
+        holds[k, w] = True
+    heavy = np.array([(space.weight[term[spans[i] : spans[i + 1]]] ** 2).sum() for i in kept])
+    unit = _unit(np.array(vectors)).astype(np.float32)
+    return Items([ids[i] for i in kept], words, unit, np.array(item_of), vocabulary, holds, np.array([len(w) for w in words]), heavy)
 
 
 def common_subsequence(item: np.ndarray, text: np.ndarray) -> int:
@@ -176,8 +183,8 @@ def common_subsequence(item: np.ndarray, text: np.ndarray) -> int:
     full = (1 << len(item)) - 1
     row = full
     for w in text.tolist():
-        match = row & places.get(w, 0)
-        row = ((row + match) | (row - match)) & full
+        if match := row & places.get(w, 0):
+            row = ((row + match) | (row - match)) & full
     return len(item) - row.bit_count()
 
 
@@ -202,34 +209,43 @@ def search_column(column: pa.Array, space: Space, items: Items) -> list[tuple[in
         return []
     starts = _block_starts(found, len(column), BLOCK)
     row, spans = found.row[starts], texts.row_spans(found.row, len(column))
-    blocks = np.add.reduceat(space.fold[_terms(found)], starts, axis=0)
-    place = np.searchsorted(items.vocabulary, found.hash)
-    place[(place == len(items.vocabulary)) | (items.vocabulary[np.minimum(place, len(items.vocabulary) - 1)] != found.hash)] = len(items.vocabulary)
+    term = _terms(found)
+    blocks = np.add.reduceat(space.fold[term], starts, axis=0)
+    none = len(items.vocabulary)
+    place = np.minimum(np.searchsorted(items.vocabulary, found.hash), none - 1)
+    place[items.vocabulary[place] != found.hash] = none
+    weight = space.weight[term] ** 2
+    known = np.r_[0.0, np.cumsum(weight * (place < none))]
     best: dict[tuple[int, int], tuple] = {}
     for width in WINDOWS:
-        count, total = width // BLOCK, blocks.copy()
+        count, vector = width // BLOCK, blocks.copy()
         for k in range(1, count):
             same = row[k:] == row[:-k]
-            total[: len(row) - k][same] += blocks[k:][same]
+            vector[: len(row) - k][same] += blocks[k:][same]
         number = (starts - spans[row]) // BLOCK
         chosen = np.flatnonzero(number % (count // 2) == 0)
-        cosine = _unit(total[chosen]) @ items.vectors.T
-        window, segment = np.nonzero(cosine >= COSINE)
+        near = _unit(vector[chosen]) @ items.vectors.T >= COSINE
+        first = starts[chosen]
+        stop = np.minimum(first + width, spans[row[chosen] + 1])
+        # what a window holds of the words of all items bounds what it holds of one item's
+        least = SHARED * items.weight * np.minimum(1.0, width / items.length)
+        near &= (known[stop] - known[first])[:, None] >= least[items.item_of][None, :]
+        window, segment = np.nonzero(near)
         if not len(window):
             continue
-        value, item = cosine[window, segment], items.item_of[segment]
-        first = starts[chosen[window]]
-        stop = np.minimum(first + width, spans[found.row[first] + 1])
-        shared = np.zeros(len(first), np.int64)
+        item, first, stop, at_window = items.item_of[segment], first[window], stop[window], chosen[window]
+        value = np.einsum("ij,ij->i", _unit(vector[at_window]), items.vectors[segment])
+        shared = np.zeros(len(first))
         for k in range(width):
             inside = first + k < stop
-            shared[inside] += items.holds[item[inside], place[first[inside] + k]]
-        likely = shared >= SHARED * np.minimum(items.length[item], np.minimum(width, stop - first))
+            at = first[inside] + k
+            shared[inside] += weight[at] * items.holds[item[inside], place[at]]
+        likely = shared >= least[item]
         for at, end, i, c in zip(first[likely].tolist(), stop[likely].tolist(), item[likely].tolist(), value[likely].tolist()):
             r = int(found.row[at])
             own = items.words[i]
             begin = max(int(spans[r]), at - len(own))
-            around = found.hash[begin : min(int(spans[r + 1]), end + len(own))]
+            around = place[begin : min(int(spans[r + 1]), end + len(own))]
             common = common_subsequence(own, around)
             if common < PARTLY * len(own):
                 continue
