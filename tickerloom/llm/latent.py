@@ -39,6 +39,7 @@ COSINE, SHARED, FULL, PARTLY = 0.4, 0.3, 0.75, 0.6
 LEAST_WORDS, SEGMENT = 5, 48
 ITEMS_AT_ONCE = 4096
 FIXED_POINT = 1 << 10
+GROUPS = 64
 SLICE = 1 << 20
 
 
@@ -61,6 +62,7 @@ class Items(NamedTuple):
     holds: np.ndarray
     length: np.ndarray
     weight: np.ndarray
+    groups: np.ndarray
 
 
 def _terms(found: texts.Words) -> np.ndarray:
@@ -172,7 +174,11 @@ def prepare(ids: list, column: pa.Array, space: Space) -> Items | None:
         holds[k, w] = True
     heavy = np.array([(space.weight[term[spans[i] : spans[i + 1]]] ** 2).sum() for i in kept])
     unit = _unit(np.array(vectors)).astype(np.float32)
-    return Items([ids[i] for i in kept], words, unit, np.array(item_of), vocabulary, holds, np.array([len(w) for w in words]), heavy)
+    groups = np.zeros((len(words), GROUPS), np.float32)
+    for k, w in enumerate(words):
+        groups[k, w % GROUPS] = 1
+    length = np.array([len(w) for w in words])
+    return Items([ids[i] for i in kept], words, unit, np.array(item_of), vocabulary, holds, length, heavy, groups[item_of])
 
 
 def common_subsequence(item: np.ndarray, text: np.ndarray) -> int:
@@ -215,21 +221,24 @@ def search_column(column: pa.Array, space: Space, items: Items) -> list[tuple[in
     place = np.minimum(np.searchsorted(items.vocabulary, found.hash), none - 1)
     place[items.vocabulary[place] != found.hash] = none
     weight = space.weight[term] ** 2
-    known = np.r_[0.0, np.cumsum(weight * (place < none))]
+    block = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(term)]))
+    held = np.bincount(block * GROUPS + place % GROUPS, weight * (place < none), len(starts) * GROUPS)
+    held = held.reshape(len(starts), GROUPS).astype(np.float32)
     best: dict[tuple[int, int], tuple] = {}
     for width in WINDOWS:
-        count, vector = width // BLOCK, blocks.copy()
+        count, vector, known = width // BLOCK, blocks.copy(), held.copy()
         for k in range(1, count):
             same = row[k:] == row[:-k]
             vector[: len(row) - k][same] += blocks[k:][same]
+            known[: len(row) - k][same] += held[k:][same]
         number = (starts - spans[row]) // BLOCK
         chosen = np.flatnonzero(number % (count // 2) == 0)
         near = _unit(vector[chosen]) @ items.vectors.T >= COSINE
         first = starts[chosen]
         stop = np.minimum(first + width, spans[row[chosen] + 1])
-        # what a window holds of the words of all items bounds what it holds of one item's
+        # the words of a window by groups of the vocabulary bound what it holds of an item's words
         least = SHARED * items.weight * np.minimum(1.0, width / items.length)
-        near &= (known[stop] - known[first])[:, None] >= least[items.item_of][None, :]
+        near &= known[chosen] @ items.groups.T >= (least[items.item_of] * 0.999)[None, :]
         window, segment = np.nonzero(near)
         if not len(window):
             continue
