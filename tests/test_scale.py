@@ -117,3 +117,49 @@ def test_news_of_a_hot_symbol_equals_brute_force(spark, limit):
 def test_number_of_stories_is_checked(spark, sf):
     with pytest.raises(ValueError, match="1 to 20"):
         news.news_dedup(spark.range(1), 21)
+
+
+def test_symbols_of_long_keys_stay_apart(spark):
+    keys = spark.sql("select explode(array(7L, 12345678901L, 12345678902L, 123456789012L)) as k")
+    rows = keys.selectExpr("k", f"{views.symbol_of('k')} as symbol").selectExpr("k", f"{views.KEY_OF_SYMBOL} as back", "symbol").collect()
+    assert all(r.k == r.back for r in rows) and len({r.symbol for r in rows}) == 4
+    assert rows[0].symbol.startswith("S0000000007")
+
+
+def test_damaged_store_file_fails_and_a_batch_replaces_itself(spark, tmp_path):
+    from pathlib import Path
+
+    from tickerloom.sources import store
+
+    path = str(tmp_path / "store")
+    rows = spark.sql(
+        "select 'IN' as market_code, 'cpi' as indicator, 1.5D as value, '2026-01' as observation_date, 's' as source,"
+        " true as is_policy_rate, timestamp_ntz'2026-01-01' as cached_at"
+    )
+    assert store.read_store(spark, path).count() == 0
+    for batch in (0, 0, 1):
+        store.save_good_observations(rows, path, batch)
+    assert store.read_store(spark, path).count() == 2
+    next(Path(path).rglob("*.parquet")).write_bytes(b"broken")
+    with pytest.raises(Exception):  # noqa: B017
+        store.read_store(spark, path).collect()
+
+
+def test_rewritten_table_shows_its_new_schema(spark, tmp_path):
+    from tickerloom.sources.tables import table
+
+    folder = str(tmp_path)
+    spark.sql("select 1 as a").write.parquet(f"{folder}/t.parquet")
+    assert table(spark, folder, "t").columns == ["a"]
+    import time
+
+    time.sleep(1.1)
+    spark.sql("select 1 as b").write.mode("overwrite").parquet(f"{folder}/t.parquet")
+    assert table(spark, folder, "t").columns == ["b"]
+
+
+def test_quotes_and_backslashes_in_literal_tables(spark):
+    from tickerloom.functions.literals import literal_table
+
+    values = [("it's",), ("a\\b",), ("\\'",)]
+    assert [tuple(r) for r in literal_table(spark, values, "v string").collect()] == values

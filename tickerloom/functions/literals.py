@@ -16,7 +16,7 @@ def _sql(value) -> str:
         return str(value)
     if isinstance(value, list):
         return "array(" + ", ".join(_sql(v) for v in value) + ")"
-    return "'" + value.replace("'", "''") + "'"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

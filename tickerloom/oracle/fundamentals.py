@@ -161,7 +161,7 @@ select symbol, arg_min(currency, metric_pos * 100000 + datediff('day', date '197
     "chart_last_price": """
 select symbol, case when k % 2 = 0 then high else close end as last_price,
   case when k % 3 <> 0 then 'USD' end as currency
-from (select symbol, cast(substr(symbol, 2, 10) as bigint) as k, arg_max(high, date) as high,
+from (select symbol, cast(regexp_extract(symbol, '^S([0-9]+)', 1) as bigint) as k, arg_max(high, date) as high,
   arg_max(close, date) filter (day(date) % 11 <> 0) as close from bars group by symbol)""",
     "latest_two_statements": f"""
 select symbol, metric, {r("latest", 2)} as latest, {r("previous", 2)} as previous from latest_two""",

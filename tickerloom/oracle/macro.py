@@ -159,7 +159,7 @@ select market_code, case when indicator = 'cpi' then 'inflation' else indicator
     else value end as value,
   strftime(period_date, '%Y-%m-%d') as observation_date, 'official' as source,
   case when market_code <> 'US' then market_code <> 'SG' end as is_policy_rate, period_date as cached_at
-from macro_obs where period_date < date '2001-01-01'
+from macro_obs where period_date < date_trunc('year', date '2001-11-05')
   and market_code || ':' || indicator not in ('SG:unemployment', 'IN:gdp_growth')""",
     "stored_latest": """
 select * exclude (k) from (select *, row_number() over (partition by market_code, indicator
@@ -266,14 +266,14 @@ _CLASS_SCORES = "(select event_id, round((event_id % 241 - 120) / 100, 2) as sco
 QUERIES = {
     "fred_observations": """
 select series_id, strftime(date, '%Y-%m-%d') as date, value from series_valid
-where n <= 12 and month(date) not in (3, 7)""",
+where n <= 24 and month(date) not in (3, 7)""",
     "fred_latest": f"""
 select series_id, {r("value", 4)} as value, strftime(date, '%Y-%m-%d') as observation_date,
   s.indicator, s.name, s.unit, s.frequency
 from (select *, row_number() over (partition by sid order by date desc) as v from (
     select case indicator {_US_IDS} end as sid, period_date as date, value,
       row_number() over (partition by indicator order by period_date desc) as n
-    from macro_obs where market_code = 'US') where n <= 12 and month(date) not in (3, 7)) l
+    from macro_obs where market_code = 'US') where month(date) not in (3, 7)) l
 join (values {", ".join(str(row) for row in US_SERIES)}) s(series_id, indicator, name, unit, frequency)
   on s.series_id = l.sid where v = 1""",
     "inflation_yoy": f"""
@@ -281,9 +281,9 @@ select a.series_id, {r("(a.value / b.value - 1) * 100", 2)} as value,
   strftime(a.date, '%Y-%m-%d') as observation_date, strftime(b.date, '%Y-%m-%d') as comparison_date,
   {r("a.value", 4)} as latest_cpi, {r("b.value", 4)} as year_ago_cpi
 from (select *, max(date) over (partition by series_id) as top from series_valid
-  where n <= 30 and month(date) not in (3, 7)) a
+  where month(date) not in (3, 7)) a
 join series_valid b on b.series_id = a.series_id and b.date = a.date - interval 1 year
-where a.date = a.top and b.value <> 0 and b.n <= 30 and month(b.date) not in (3, 7)""",
+where a.date = a.top and b.value <> 0 and month(b.date) not in (3, 7)""",
     "world_bank_latest": f"""
 select country_code, indicator, {r("value", 2)} as value, cast(year as varchar) as observation_date,
   'annual' as frequency, true as is_fallback

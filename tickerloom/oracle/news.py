@@ -171,6 +171,6 @@ select company_key, arg_min(listed, query_pos) filter (listed is not null) as sy
 from query_rows left join selected on query_key = upper(query) group by company_key""",
     "symbols_rejected": f"""
 select s as symbol from (select {symbol("c_custkey")} as s, {market("c_custkey")} as m from customer)
-where s not in (select symbol from trades_10d)
+where s not in (select symbol from trades_2y where ts <= timestamp '2001-11-05')
   and s not in (select symbol from fundamental_records where company_name is not null)""",
 }

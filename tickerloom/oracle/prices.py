@@ -124,9 +124,9 @@ select symbol, ts, open, high, low, close, volume from (
     "two_provider_bars": """
 select *, min(priority) over (partition by symbol) as best from (
   select *, 0 as priority, 'primary' as data_source, false as is_fallback from bars
-    where cast(substr(symbol, 2, 10) as bigint) % 3 <> 1
+    where cast(regexp_extract(symbol, '^S([0-9]+)', 1) as bigint) % 3 <> 1
   union all
-  select *, 1, 'chart', true from bars where cast(substr(symbol, 2, 10) as bigint) % 4 <> 2)""",
+  select *, 1, 'chart', true from bars where cast(regexp_extract(symbol, '^S([0-9]+)', 1) as bigint) % 4 <> 2)""",
     "series_figures": f"""
 select symbol, {r("close", 4)} as latest_value, strftime(date, '%Y-%m-%d') as data_date,
   one_week_return, one_month_return, three_month_return
@@ -159,7 +159,7 @@ QUERIES = {
     "bars_clean": "select * replace (strftime(ts, '%Y-%m-%d') as ts) from bars_cleaned",
     "bars_from_chart_json": """
 select symbol, strftime(date, '%Y-%m-%d') as date, open, high, low, close,
-  case when cast(substr(symbol, 2, 10) as bigint) % 7 = 3 then null else volume end as volume
+  case when cast(regexp_extract(symbol, '^S([0-9]+)', 1) as bigint) % 7 = 3 then null else volume end as volume
 from bars where day(date) % 11 <> 0""",
     "bars_period": "select * replace (strftime(date, '%Y-%m-%d') as date) from bars_2y",
     "bars_with_fallback": """

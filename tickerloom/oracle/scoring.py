@@ -121,9 +121,6 @@ _CONFIDENCE = " + ".join(
 _PARTS = ["score", "available", "quality", "contribution"]
 
 CTES = {
-    "trades_10d": f"""
-select distinct symbol from trades where ts >= timestamp '{AS_OF}' - interval 10 day
-  and ts <= timestamp '{AS_OF}'""",
     "record_terms": """
 select c.symbol, [lower(coalesce(f.company_name, c.symbol))] as terms
 from companies c left join fundamental_records f on f.symbol = c.symbol""",
@@ -222,11 +219,13 @@ union all
 select symbol, 'gauge', 'position', {r(f"({_clamp('intelligence_score')} + 1) / 2 * 100", 2)} from report_combined""",
     "module_errors": """
 select symbol, module, reason from (
-  select c.symbol, unnest([{'module': 'market_data', 'reason': case when n is null then 'no market data' end},
-      {'module': 'technical', 'reason': case when n < 50 then 'too few complete bars' end},
-      {'module': 'fundamental', 'reason': case when f.symbol is null then 'no fundamental data' end}],
+  select x.symbol, unnest([{'module': 'market_data', 'reason': case when bar_count is null then 'no market data' end},
+      {'module': 'historical', 'reason': case when bar_count is not null and annualized_volatility is null
+        then 'too few returns' end},
+      {'module': 'technical', 'reason': case when bar_count is not null and net_score is null
+        then 'too few complete bars' end},
+      {'module': 'fundamental', 'reason': case when data_source is null then 'no fundamental data' end},
+      {'module': 'sector_macro', 'reason': case when s.sector_macro_score is null then 'no sector weights' end}],
       recursive := true)
-  from companies c left join half_year_bars b on b.symbol = c.symbol
-  left join fundamental_records f on f.symbol = c.symbol
-  where n is not null or f.company_name is not null) where reason is not null""",
+  from report_rows x left join report_sectors s on s.symbol = x.symbol) where reason is not null""",
 }

@@ -14,7 +14,7 @@ def r(value: str, digits: int) -> str:
 
 def symbol(key: str) -> str:
     return (
-        f"('S' || lpad(cast({key} as varchar), 10, '0') || case when {key} % 10 = 6 then '.BO'"
+        f"('S' || lpad(cast({key} as varchar), greatest(10, length(cast({key} as varchar)))::int, '0') || case when {key} % 10 = 6 then '.BO'"
         f" when {key} % 5 = 1 then '.NS' when {key} % 5 = 2 then '.SI'"
         f" when {key} % 5 = 3 then '.AX' else '' end)"
     )
@@ -95,14 +95,14 @@ from (
     from (select l_suppkey as company_key, year(l_shipdate) as fiscal_year,
         cast(round(l_extendedprice * 100) as bigint) as p, cast(round(l_discount * 100) as bigint) as d,
         cast(round(l_tax * 100) as bigint) as t, l_quantity
-      from lineitem where l_shipdate < timestamp '2001-01-01')
+      from lineitem where l_shipdate < date_trunc('year', timestamp '{AS_OF}'))
     join supplier on s_suppkey = company_key
     group by company_key, fiscal_year))
 where raw is not null""",
     "market_orders": f"""
 select {market("o_custkey")} as market_code, cast(date_trunc('month', o_orderdate) as date) as month,
   cast(round(o_totalprice * 100) as bigint) as price, o_orderstatus as status
-from orders where o_orderdate < timestamp '2001-08-01'""",
+from orders where o_orderdate < date_trunc('month', timestamp '{AS_OF}')""",
     "market_months": """
 select market_code, month, cast(sum(price) as double) as price, cast(count(*) as double) as n,
   count_if(status = 'P') as n_p, count_if(status = 'F') as n_f from market_orders group by all""",
@@ -114,7 +114,7 @@ union all select market_code, month, 'unemployment', {r("12 * n_p / n", 4)} from
 union all select market_code, month, 'policy_rate', {r("10 * n_f / n", 4)} from market_months
 union all select market_code, cast(date_trunc('quarter', month) as date), 'gdp_growth',
   {r("40 * (sum(price) / sum(n) / 100 / 250000 - 1) + 2.5", 4)}
-from market_months where month < date '2001-07-01' group by 1, 2""",
+from market_months where month < date_trunc('quarter', date '{AS_OF}') group by 1, 2""",
     "customer_series": f"""
 select 'C' || o_custkey as series_id, o_custkey as series_key,
   cast(date_trunc('month', o_orderdate) as date) as date,

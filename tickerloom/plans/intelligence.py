@@ -73,9 +73,12 @@ def report_assemble(
 MODULE_ERRORS = """
 map_filter(map(
   'market_data', if(bars is null, 'no market data', null),
+  'historical', if(bars is not null and annualized_volatility is null, 'too few returns', null),
   'technical', if(bars is not null and net_score is null, 'too few complete bars', null),
   'fundamental', if(data_source is null, 'no fundamental data', null),
-  'macro', if(combined_macro_score is null, 'no macro data', null)
+  'sentiment', if(article_count is null, 'no news data', null),
+  'macro', if(combined_macro_score is null, 'no macro data', null),
+  'sector_macro', if(combined_macro_score is not null and sector_macro_score is null, 'no sector weights', null)
 ), (module, reason) -> reason is not null) as errors
 """
 

@@ -19,13 +19,13 @@ from tickerloom.sources.tables import table
 # ---- published series and records -------------------------------------------------------------
 
 
-def _series(spark: SparkSession, sf: str, limit: int) -> DataFrame:
+def _series(spark: SparkSession, sf: str, limit: int | None = None) -> DataFrame:
     landing = payloads.observation_payloads(views.customer_series(spark, sf))
     return landed.series_observations(landing, "payload", limit)
 
 
 def fred_observations(spark, sf):
-    return _series(spark, sf, 12).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+    return _series(spark, sf, landed.OBSERVATIONS_PER_REQUEST).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
 
 
 def fred_latest(spark, sf):
@@ -36,12 +36,12 @@ def fred_latest(spark, sf):
         .filter(F.col("market_code") == "US")
         .selectExpr(f"case indicator {ids} end as series_id", "period_date as date", "value")
     )
-    observations = landed.series_observations(payloads.observation_payloads(us), "payload", 12)
+    observations = landed.series_observations(payloads.observation_payloads(us), "payload")
     return O.series_latest(observations).join(F.broadcast(markets.us_series(spark)), "series_id")
 
 
 def inflation_yoy(spark, sf):
-    return O.inflation_yoy(_series(spark, sf, 30))
+    return O.inflation_yoy(_series(spark, sf))
 
 
 def world_bank_latest(spark, sf):

@@ -151,7 +151,7 @@ def company_resolve(spark, sf):
 def symbols_rejected(spark, sf):
     """Requested symbols that have neither bars nor a company name."""
     requests = table(spark, sf, "customer").selectExpr(f"{views.symbol_of('c_custkey')} as symbol")
-    traded = B.bars_period(views.trades(spark, sf), "10d", views.AS_OF).select("symbol").distinct()
+    traded = B.bars_period(views.trades(spark, sf), "2y", views.AS_OF).select("symbol").distinct()
     named = (
         fundamental_records(spark, sf)
         .filter(F.col("company_name").isNotNull())
@@ -246,8 +246,8 @@ def report_chart_series(spark, sf):
 
 
 def module_errors(spark, sf):
-    """Failed modules and reasons over a short period, where some histories are too short."""
-    rows = I.assembled(spark, sf, period="6mo")
+    """Failed modules and reasons of the report."""
+    rows = I.assembled(spark, sf)
     return rows.select("symbol", F.explode("errors").alias("module", "reason"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -31,12 +29,8 @@ def build_session(app: str = "tickerloom", master: str | None = None, **conf: st
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the cluster's shared checkpoint folder.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only a local-mode session
-    that names none (tests, bench) falls back to a local temporary folder.
+    The folder is the one the session names in ``spark.checkpoint.dir``, else the session's warehouse,
+    which all executors share as well.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = os.path.join(tempfile.gettempdir(), "tickerloom-local")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -88,13 +88,18 @@ def news_articles(payloads: DataFrame, column: str) -> DataFrame:
     )
 
 
-def series_observations(payloads: DataFrame, column: str, limit: int) -> DataFrame:
-    """Valid observations among the ``limit`` newest of each series, newest first.
+OBSERVATIONS_PER_REQUEST = 24  # fixed value: how many a provider is asked for by default
 
-    The limit is the provider's page size and counts placeholders too; those, and values that are not
-    numbers, drop out afterwards. All inside the row: no shuffle.
+
+def series_observations(payloads: DataFrame, column: str, limit: int | None = None) -> DataFrame:
+    """Valid observations of each series, newest first; with a limit, those among its ``limit`` newest.
+
+    A limit stands for the provider's page size and counts placeholders too; those, and values that are
+    not numbers, drop out afterwards. All inside the row: no shuffle.
     """
-    newest = F.slice(F.sort_array("parsed.observations", asc=False), 1, limit)
+    newest = F.sort_array("parsed.observations", asc=False)
+    if limit is not None:
+        newest = F.slice(newest, 1, limit)
     return (
         payloads.select("series_id", F.from_json(column, OBSERVATIONS_SCHEMA).alias("parsed"))
         .select("series_id", F.inline(newest))

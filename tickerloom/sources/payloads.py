@@ -13,7 +13,7 @@ PAGE_KEYS = 300
 
 
 def _key():
-    return F.substring("symbol", 2, 10).cast("bigint")
+    return F.regexp_extract("symbol", "^S([0-9]+)", 1).cast("bigint")
 
 
 def chart_payloads(bars: DataFrame) -> DataFrame:

@@ -12,23 +12,22 @@ STORE_SCHEMA = (
 )
 
 
-def save_good_observations(observations: DataFrame, path: str) -> None:
-    """Append observations that hold a value; the write is atomic per job, so a retry adds nothing twice."""
+def save_good_observations(observations: DataFrame, path: str, batch: int = 0) -> None:
+    """Keep observations that hold a value as one batch of the store; a batch written again replaces itself."""
     names = [f.split(" ")[0] for f in STORE_SCHEMA.split(", ")]
     (
         observations.filter(F.col("value").isNotNull())
         .select(*names)
-        .write.mode("append")
+        .write.mode("overwrite")
         .partitionBy("market_code")
-        .parquet(path)
+        .parquet(f"{path}/batch={batch}")
     )
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """The stored rows; an absent store reads as empty, damaged files are skipped."""
-    reader = spark.read.schema(STORE_SCHEMA).option("ignoreCorruptFiles", "true")
+    """The stored rows; an absent store reads as empty, a damaged file fails the read."""
     try:
-        return reader.parquet(path)
+        return spark.read.schema(STORE_SCHEMA).parquet(path).drop("batch")
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise

@@ -7,7 +7,7 @@ learn its symbol, and money is summed in whole cents, so sums do not depend on t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickerloom.functions.literals import literal_table
@@ -42,6 +42,11 @@ SECTORS = [
 AS_OF = "2001-11-05"
 
 
+def period_begin(as_of: str, unit: str) -> Column:
+    """First moment of the year, quarter or month that ``as_of`` lies in: what came before it is complete."""
+    return F.date_trunc(unit, F.lit(as_of).cast("date")).cast("timestamp_ntz")
+
+
 def _pick(options: list[str], index: str) -> str:
     listed = ", ".join(f"'{o}'" for o in options)
     return f"element_at(array({listed}), int({index} + 1))"
@@ -53,7 +58,7 @@ def cents(amount: str) -> str:
 
 def symbol_of(key: str) -> str:
     return (
-        f"concat('S', lpad(string({key}), 10, '0'), case when {key} % 10 = 6 then '.BO'"
+        f"concat('S', lpad(string({key}), greatest(10, length(string({key}))), '0'), case when {key} % 10 = 6 then '.BO'"
         f" when {key} % 5 = 1 then '.NS' when {key} % 5 = 2 then '.SI' when {key} % 5 = 3 then '.AX'"
         " else '' end)"
     )
@@ -74,7 +79,7 @@ def trading_currency(key: str) -> str:
     return _by_suffix(key, "INR", "SGD", "AUD", "USD")
 
 
-KEY_OF_SYMBOL = "bigint(substring(symbol, 2, 10))"
+KEY_OF_SYMBOL = "bigint(regexp_extract(symbol, '^S([0-9]+)', 1))"
 
 
 # ---- companies and prices ---------------------------------------------------------------------
@@ -152,8 +157,8 @@ def fx_rates(spark: SparkSession) -> DataFrame:
     return literal_table(spark, FX_RATES, "base string, quote string, as_of date, rate double")
 
 
-def statements(spark: SparkSession, sf: str) -> DataFrame:
-    """Annual statement figures in long form, up to fiscal year 2000."""
+def statements(spark: SparkSession, sf: str, as_of: str = AS_OF) -> DataFrame:
+    """Annual statement figures in long form, of the fiscal years closed by ``as_of``."""
     sums = {
         "revenue": "sum(p * (100 - d))",
         "income": "sum(p * (500 * (company_key % 6 - 1) + 250 - 50 * d))",
@@ -164,7 +169,7 @@ def statements(spark: SparkSession, sf: str) -> DataFrame:
     }
     yearly = (
         table(spark, sf, "lineitem")
-        .filter("l_shipdate < timestamp_ntz'2001-01-01'")
+        .filter(F.col("l_shipdate") < period_begin(as_of, "year"))
         .selectExpr(
             "l_suppkey as company_key",
             "year(l_shipdate) as fiscal_year",
@@ -312,15 +317,15 @@ def chart_meta(bars: DataFrame) -> DataFrame:
 # ---- macro series -----------------------------------------------------------------------------
 
 
-def macro_obs(spark: SparkSession, sf: str) -> DataFrame:
+def macro_obs(spark: SparkSession, sf: str, as_of: str = AS_OF) -> DataFrame:
     """Published observations per market: monthly CPI index, unemployment and rate, quarterly GDP.
 
-    Quarterly growth rides on the quarter's first month (the last, incomplete quarter has none), so
-    one pass over the orders serves all four.
+    Months and quarters that are not over at ``as_of`` are not published. Quarterly growth rides on the
+    quarter's first month, so one pass over the orders serves all four.
     """
     monthly = (
         table(spark, sf, "orders")
-        .filter("o_orderdate < timestamp_ntz'2001-08-01'")
+        .filter(F.col("o_orderdate") < period_begin(as_of, "month"))
         .selectExpr(
             f"{market_of('o_custkey')} as market_code",
             "trunc(date(o_orderdate), 'MM') as month",
@@ -345,7 +350,7 @@ def macro_obs(spark: SparkSession, sf: str) -> DataFrame:
     )
     cpi = "100 + 0.25D * months_between(month, date'1995-01-01') + price / n / 100 / 25000"
     gdp = (
-        "case when month = quarter_month and month < date'2001-07-01'"
+        f"case when month = quarter_month and month < trunc(date'{as_of}', 'quarter')"
         " then 40 * (quarter_price / quarter_n / 100 / 250000 - 1) + 2.5D end"
     )
     published = (
@@ -464,11 +469,11 @@ def live_observations(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def stored_observations(spark: SparkSession, sf: str) -> DataFrame:
-    """Good observations kept before 2001 (the price index stands for inflation, less 100)."""
+def stored_observations(spark: SparkSession, sf: str, as_of: str = AS_OF) -> DataFrame:
+    """Good observations kept until the year of ``as_of`` (the price index stands for inflation, less 100)."""
     return (
-        macro_obs(spark, sf)
-        .filter("period_date < date'2001-01-01'")
+        macro_obs(spark, sf, as_of)
+        .filter(F.col("period_date") < period_begin(as_of, "year"))
         .filter("concat(market_code, ':', indicator) not in ('SG:unemployment', 'IN:gdp_growth')")
         .selectExpr(
             "market_code",

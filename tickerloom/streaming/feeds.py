@@ -28,11 +28,11 @@ def daily_bars(trades: DataFrame, lateness: str = "1 day") -> DataFrame:
 
 
 def keep_good_observations(observations: DataFrame, store_path: str, checkpoint: str) -> StreamingQuery:
-    """Append each micro-batch's good observations to the store, whose readers take the latest per
-    indicator: a batch replayed after a failure appends equal rows and changes no answer."""
+    """Keep each micro-batch's good observations as a batch of the store under its own number: a batch
+    replayed after a failure replaces itself."""
 
-    def append(batch: DataFrame, _: int) -> None:
-        save_good_observations(batch, store_path)
+    def append(batch: DataFrame, number: int) -> None:
+        save_good_observations(batch, store_path, number)
 
     return (
         observations.writeStream.foreachBatch(append)
