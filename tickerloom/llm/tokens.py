@@ -109,4 +109,5 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
     """doc_id and n_tokens of every row, with the place of its tokens in the flat files."""
     spark = documents.sparkSession
     order = settle(write_flat(documents, shared_path(spark, "tokens"), vocabulary), "token-order")
-    return order.join(count(spark, order), ["file", "number"]).select("doc_id", "n_tokens", "file", "number", "first_token")
+    # file names compress so well that Spark would take the counts for small: both sides grow with the corpus
+    return order.hint("merge").join(count(spark, order), ["file", "number"]).select("doc_id", "n_tokens", "file", "number", "first_token")
