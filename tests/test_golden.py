@@ -284,9 +284,14 @@ def test_store_roundtrip_latest_and_absent(spark, tmp_path):
 def test_module_errors_name_each_failed_module(spark):
     frame = spark.sql(
         "select 40L as bars, cast(null as int) as net_score, cast(null as string) as data_source,"
-        " 0.1D as combined_macro_score"
+        " 0.1D as combined_macro_score, 0.2D as annualized_volatility, 0L as article_count, 0.1D as sector_macro_score"
     ).selectExpr(intelligence.MODULE_ERRORS)
     assert set(frame.first().errors) == {"technical", "fundamental"}
+    nothing = spark.sql(
+        "select 1L as bars, cast(null as int) as net_score, cast(null as string) as data_source, 0D as combined_macro_score,"
+        " cast(null as double) as annualized_volatility, cast(null as long) as article_count, cast(null as double) as sector_macro_score"
+    ).selectExpr(intelligence.MODULE_ERRORS)
+    assert set(nothing.first().errors) == {"historical", "technical", "fundamental", "sentiment", "sector_macro"}
 
 
 def test_landed_files_are_read_whole(spark, tmp_path):
