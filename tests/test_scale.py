@@ -163,3 +163,12 @@ def test_quotes_and_backslashes_in_literal_tables(spark):
 
     values = [("it's",), ("a\\b",), ("\\'",)]
     assert [tuple(r) for r in literal_table(spark, values, "v string").collect()] == values
+
+
+def test_folds_stay_in_the_row(spark, sf):
+    text = plan(price_queries.ema_series(spark, sf))
+    assert "Pandas" not in text and "Python" not in text
+    from tickerloom.plans import macro_queries
+
+    text = plan(macro_queries.sora_table_extract(spark, sf))
+    assert text.count("Scan parquet") == 1 and "Exchange" not in text

@@ -105,34 +105,41 @@ def page_table_extract(pages: DataFrame) -> DataFrame:
     )
 
 
-def rate_table_rows(pages: DataFrame) -> DataFrame:
-    """Rows of the sparse rate table, year and month carried down; rows with a bad year are dropped."""
+RATE_FIELDS = ["year", "month", "day", "published", "rate"]
+
+
+def _rate_rows() -> Column:
+    """Rows of the sparse rate table as an array of their first five cells; rows with a bad year are dropped."""
     html = F.col("html")
     tail = F.when(
         html.contains(RATE_TABLE_MARKER), html.substr(F.instr(html, RATE_TABLE_MARKER), F.length(html))
     )
-    rows = F.regexp_extract_all(tail, F.lit(ROW_PATTERN), F.lit(1))
-    cells = F.transform(F.regexp_extract_all("row", F.lit(CELL_PATTERN), F.lit(1)), html_cell_text)
-    exploded = (
-        pages.select("page_id", F.posexplode(rows).alias("position", "row"))
-        .select("page_id", "position", F.explode(F.array(cells)).alias("cells"))
-        .filter(F.size("cells") >= 5)
-        .filter((F.col("cells")[0] == "") | F.col("cells")[0].rlike("^[+-]?[0-9]+$"))
+    cells = F.transform(
+        F.regexp_extract_all(tail, F.lit(ROW_PATTERN), F.lit(1)),
+        lambda row, position: F.struct(
+            position.alias("position"),
+            F.transform(F.regexp_extract_all(row, F.lit(CELL_PATTERN), F.lit(1)), html_cell_text).alias("cells"),
+        ),
     )
-    return forward_fill(
-        exploded.select(
-            "page_id",
-            "position",
-            *[F.nullif(F.col("cells")[i], F.lit("")).alias(n) for i, n in enumerate(["year", "month", "day"])],
-            F.col("cells")[3].alias("published"),
-            F.nullif(F.col("cells")[4], F.lit("")).alias("rate"),
+    sound = F.filter(
+        cells, lambda r: (F.size(r["cells"]) >= 5) & F.get(r["cells"], F.lit(0)).rlike("^([+-]?[0-9]+)?$")
+    )
+    blank = lambda r, i: F.nullif(r["cells"][i], F.lit(""))
+    return F.transform(
+        sound,
+        lambda r: F.struct(
+            r["position"].alias("position"),
+            *[(r["cells"][i] if n == "published" else blank(r, i)).alias(n) for i, n in enumerate(RATE_FIELDS)],
         ),
-        ["page_id"],
-        "position",
-        ["year", "month"],
     )
 
 
+def rate_table_rows(pages: DataFrame) -> DataFrame:
+    """Rows of the sparse rate table, year and month carried down."""
+    rows = pages.select("page_id", F.inline(_rate_rows()))
+    return forward_fill(rows, ["page_id"], "position", ["year", "month"])
+
+
 def forward_fill(rows: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
     """Carry the last non-null value of the columns down each group (a page's rows)."""
     before = (
@@ -142,20 +149,34 @@ def forward_fill(rows: DataFrame, keys: list[str], order: str, columns: list[str
 
 
 def sora_table_extract(pages: DataFrame) -> DataFrame:
-    """Latest value date with its publication date and rate (4 places) per page."""
-    dated = rate_table_rows(pages).selectExpr(
-        "page_id",
-        "try_to_date(concat(year, ' ', initcap(month), ' ', day), 'yyyy MMM d') as value_date",
-        "try_to_date(initcap(published), 'd MMM yyyy') as publication_date",
-        f"{to_number('rate')} as value",
-        "-position as order",
-    )
+    """Latest value date with its publication date and rate (4 places) per page.
+
+    Year and month are carried down inside the row, by a fold that keeps the best row so far: one scan, no
+    exchange, and a page without a table keeps its row.
+    """
+    text, best_type = F.lit(None).cast("string"), "struct<value_date:date,publication_date:date,value:double>"
+    start = F.struct(text.alias("year"), text.alias("month"), F.lit(None).cast(best_type).alias("best"))
+
+    def step(state: Column, row: Column) -> Column:
+        year, month = (F.coalesce(row[n], state[n]) for n in ("year", "month"))
+        found = F.struct(
+            F.try_to_date(F.concat_ws(" ", year, F.initcap(month), row["day"]), "yyyy MMM d").alias("value_date"),
+            F.try_to_date(F.initcap(row["published"]), "d MMM yyyy").alias("publication_date"),
+            row["value"].alias("value"),
+        )
+        whole = year.isNotNull() & month.isNotNull() & row["day"].isNotNull()
+        sound = whole & found["value_date"].isNotNull() & found["publication_date"].isNotNull() & row["value"].isNotNull()
+        better = state["best"].isNull() | (found["value_date"] > state["best"]["value_date"])
+        best = F.when(sound & better, found).otherwise(state["best"])
+        return F.struct(year.alias("year"), month.alias("month"), best.alias("best"))
+
+    valued = f"transform(rows, r -> struct(r.year, r.month, r.day, r.published, {to_number('r.rate')} as value))"
     latest = (
-        dated.filter("value_date is not null and publication_date is not null and value is not null")
-        .groupBy("page_id")
-        .agg(F.expr("max(struct(value_date, order, publication_date, value)) as latest"))
+        pages.select("page_id", F.explode(F.array(_rate_rows())).alias("rows"))
+        .selectExpr("page_id", f"{valued} as rows")
+        .select("page_id", F.aggregate(F.coalesce("rows", F.array()), start, step)["best"].alias("latest"))
     )
-    return pages.select("page_id").join(latest, "page_id", "left").selectExpr(
+    return latest.selectExpr(
         "page_id",
         f"{rounded('latest.value', 4)} as value",
         "date_format(latest.value_date, 'yyyy-MM-dd') as observation_date",

@@ -11,8 +11,8 @@ those into the published, rounded figures.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tickerloom.functions.numeric import named, rounded
 from tickerloom.operators.bars import per_symbol
@@ -240,16 +240,17 @@ def technical_analysis(numbered: DataFrame) -> DataFrame:
 
 def ema_series(bars: DataFrame, span: int) -> DataFrame:
     """The whole EMA series. A recursive series has no window form, so each symbol's daily closes
-    (bounded by the calendar) go through pandas in one Arrow batch."""
-
-    def smooth(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("date")
-        group["ema"] = group["close"].ewm(span=span, adjust=False).mean()
-        return group[["symbol", "date", "ema"]]
-
-    smoothed = (
-        bars.select("symbol", "date", "close")
-        .groupBy("symbol")
-        .applyInPandas(smooth, "symbol string, date date, ema double")
-    )
-    return smoothed.selectExpr("symbol", "date", f"{rounded('ema', 4)} as ema")
+    (bounded by the calendar) are folded in order of date inside the row, keeping every state."""
+    weight = 2 / (span + 1)
+    days = F.array_sort(F.collect_list(F.struct("date", "close")))
+    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("states"))
+
+    def step(state: Column, day: Column) -> Column:
+        value = F.coalesce(state["last"] * (1 - weight) + day["close"] * weight, day["close"], state["last"])
+        return F.struct(value.alias("last"), F.concat(state["states"], F.array(value)).alias("states"))
+
+    folded = bars.groupBy("symbol").agg(days.alias("days"))
+    states = F.aggregate("days", start, step)["states"]
+    return folded.select(
+        "symbol", F.explode(F.arrays_zip(F.col("days.date").alias("date"), states.alias("ema"))).alias("day")
+    ).selectExpr("symbol", "day.date as date", f"{rounded('day.ema', 4)} as ema")
