@@ -41,3 +41,8 @@ def test_flagship_entry_schema(spark, sf):
 
     frame = contract.entry(spark)
     assert frame.columns[0] == "symbol" and frame.count() == 10
+
+
+def test_requests_are_direct_resolved_or_rejected(spark, sf):
+    rows = QUERIES["intelligence_by_request"](spark, sf).groupBy("outcome").count().collect()
+    assert {r["outcome"] for r in rows if r["count"] > 0} == {"direct", "resolved", "rejected"}

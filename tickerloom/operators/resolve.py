@@ -27,6 +27,7 @@ IGNORED_WORDS = [
     "the",
 ]
 PREFERRED_SUFFIXES = [".NS", ".SI", ".AX"]
+PLACES = 1 << 40  # positions of a search result lie below; they are unique within a query
 
 
 def company_queries(companies: DataFrame, name: str, keep: list[str]) -> DataFrame:
@@ -73,14 +74,12 @@ def symbol_select(listings: DataFrame) -> DataFrame:
     rank = rank.when((symbol != "") & ((symbol == query) | (display == query)), F.lit(3)).when(
         symbol != "", F.lit(4)
     )
-    best = F.min(F.struct("rank", "result_pos", "listed"))
-    return (
-        listings.select(query.alias("query_key"), rank.alias("rank"), "result_pos", symbol.alias("listed"))
-        .filter(F.col("rank").isNotNull())
-        .groupBy("query_key")
-        .agg(best.alias("best"))
-        .select("query_key", F.col("best.listed").alias("listed"))
-    )
+    ranked = listings.select(
+        query.alias("query_key"), (rank * PLACES + F.col("result_pos")).alias("place"), symbol.alias("listed")
+    ).filter(F.col("place").isNotNull())
+    # the place is one number, so the minimum is a hash aggregate; the text is picked afterwards
+    best = ranked.groupBy("query_key").agg(F.min("place").alias("place"))
+    return ranked.join(best, ["query_key", "place"]).select("query_key", "listed").distinct()
 
 
 def company_resolve(queries: DataFrame, best_listings: DataFrame, company: str) -> DataFrame:
@@ -88,5 +87,7 @@ def company_resolve(queries: DataFrame, best_listings: DataFrame, company: str)
     matched = salted_lookup(
         queries.withColumn("query_key", F.upper("query")), best_listings, ["query_key"], [company]
     )
-    hit = F.when(F.col("listed").isNotNull(), F.col("query_pos"))
-    return matched.groupBy(company).agg(F.min_by("listed", hit).alias("symbol"))
+    hits = matched.filter(F.col("listed").isNotNull()).select(company, "query_pos", "listed")
+    first = hits.groupBy(company).agg(F.min("query_pos").alias("query_pos"))
+    found = hits.join(first, [company, "query_pos"]).select(company, F.col("listed").alias("symbol"))
+    return matched.select(company).distinct().join(found, company, "left")

@@ -6,6 +6,7 @@ from tickerloom.functions.markets import NEWS_OVERRIDES
 from tickerloom.functions.text import BLOCKED_HEADLINE_PHRASES
 from tickerloom.operators.resolve import IGNORED_WORDS
 from tickerloom.oracle.views import market, r, symbol
+from tickerloom.sources.views import BRANDS
 
 _WS = "E' \\t\\r\\n'"
 _OVERRIDES = ", ".join(f"('{s}', '{n}', {t})" for s, n, t in NEWS_OVERRIDES)
@@ -62,6 +63,21 @@ select symbol, k.doc_id, k.url, k.relevance_score, i as rank from (
     group by symbol))"""
 
 
+_VALID = """(regexp_full_match(upper(trim(search_text)), '[A-Z0-9][A-Z0-9&-]{0,19}(\\.(NS|BO|SI|AX))?')
+    or regexp_full_match(upper(trim(search_text)), '[A-Z0-9][A-Z0-9 .&\'\'()-]{1,79}'))"""
+
+
+def search_queries(names: str, key: str) -> str:
+    return f"""
+select {key}, row_number() over (partition by {key} order by pos) - 1 as query_pos, query
+from (select *, row_number() over (partition by {key}, upper(query) order by pos) as k from (
+  select {key}, 0 as pos, name as query from {names}
+  union all select {key}, 1, array_to_string(words, ' ') from {names}
+  union all select {key}, 2, case when len(words) > 1 then
+    array_to_string(list_transform(words, lambda w: w[1]), '') else '' end from {names}
+  union all select {key}, 3, coalesce(words[1], '') from {names}) where query <> '') where k = 1"""
+
+
 CTES = {
     "term_rows": f"""
 select c.symbol, coalesce(o.search_name, c.company_name) as search_name,
@@ -100,14 +116,21 @@ select company_key, legal_name as name,
   list_filter(regexp_extract_all(legal_name, '[A-Za-z0-9]+'),
     lambda w: lower(w) not in (%s)) as words from companies"""
     % _IGNORED,
-    "query_rows": """
-select company_key, row_number() over (partition by company_key order by pos) - 1 as query_pos, query
-from (select *, row_number() over (partition by company_key, upper(query) order by pos) as k from (
-  select company_key, 0 as pos, name as query from named_companies
-  union all select company_key, 1, array_to_string(words, ' ') from named_companies
-  union all select company_key, 2, case when len(words) > 1 then
-    array_to_string(list_transform(words, lambda w: w[1]), '') else '' end from named_companies
-  union all select company_key, 3, coalesce(words[1], '') from named_companies) where query <> '') where k = 1""",
+    "query_rows": search_queries("named_companies", "company_key"),
+    "requests": f"""
+select c_custkey, case c_custkey % 4 when 0 then lower({symbol("c_custkey")})
+  when 1 then '  the ' || list_extract([{", ".join(f"'{b}'" for b in BRANDS)}], cast(c_custkey % 7 + 1 as int)) || '  company ltd'
+  when 2 then '-bad' else c_name end as search_text from customer""",
+    "typed_requests": f"""
+select *, regexp_replace(trim(search_text), '\\s+', ' ', 'g') as name, upper(trim(search_text)) as typed,
+  {_VALID} as valid from requests""",
+    "request_names": f"""
+select c_custkey, name, list_filter(regexp_extract_all(name, '[A-Za-z0-9]+'), lambda w: lower(w) not in ({_IGNORED})) as words
+from typed_requests where valid""",
+    "request_queries": search_queries("request_names", "c_custkey"),
+    "request_symbols": """
+select c_custkey, arg_min(listed, query_pos) filter (listed is not null) as by_name
+from request_queries left join selected on query_key = upper(query) group by c_custkey""",
     "listing_rows": """
 select q as query, company_key as result_pos,
   case when company_key % 16 = 5 then '' when company_key % 2 = 1 then lower(symbol) else symbol end as symbol,

@@ -217,6 +217,17 @@ select symbol, 'returns', label, value from (
         ("6 Months", "six_month_return"), ("1 Year", "one_year_return")])}) where value is not null
 union all
 select symbol, 'gauge', 'position', {r(f"({_clamp('intelligence_score')} + 1) / 2 * 100", 2)} from report_combined""",
+    "intelligence_by_request": """
+select t.c_custkey, t.search_text,
+  case when d.symbol is not null then 'direct' when n.symbol is not null then 'resolved' else 'rejected' end as outcome,
+  coalesce(d.symbol, n.symbol) as symbol, case when d.symbol is not null then d.intelligence_score
+    else n.intelligence_score end as intelligence_score,
+  coalesce(d.classification, n.classification) as classification,
+  case when not valid then 'invalid search text' when d.symbol is null and n.symbol is null
+    then 'no listed company found' end as reason
+from typed_requests t left join request_symbols q on q.c_custkey = t.c_custkey
+left join report_combined d on valid and d.symbol = t.typed
+left join report_combined n on n.symbol = upper(q.by_name)""",
     "module_errors": """
 select symbol, module, reason from (
   select x.symbol, unnest([{'module': 'market_data', 'reason': case when bar_count is null then 'no market data' end},

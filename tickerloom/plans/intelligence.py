@@ -6,13 +6,14 @@ symbol before its own, macro is one row per market and broadcast. The module tab
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickerloom.functions import markets
 from tickerloom.functions.numeric import named
+from tickerloom.functions.text import is_valid_search, stripped
 from tickerloom.operators import bars as B
-from tickerloom.operators import historical, macro, news, scoring, sector, sentiment, technical
+from tickerloom.operators import historical, macro, news, resolve, scoring, sector, sentiment, technical
 from tickerloom.plans.fundamental_queries import fundamental_records
 from tickerloom.plans.macro_queries import features
 from tickerloom.sources import views
@@ -95,5 +96,36 @@ def assembled(spark: SparkSession, sf: str, period: str = "2y", news_limit: int
     return with_sector_macro(rows, features(spark, sf)).selectExpr("*", MODULE_ERRORS)
 
 
+def by_request(requests: DataFrame, key: str, text: str, best_listings: DataFrame, report: DataFrame) -> DataFrame:
+    """One row per request: its report row under the symbol it names, else under the symbol that a search by
+    name finds (once), else the reason why there is none. The report has one row per symbol and is built once.
+    """
+    valid = is_valid_search(F.col(text))
+    typed = requests.select(key, text, F.coalesce(valid, F.lit(False)).alias("valid"), F.upper(stripped(F.col(text))).alias("typed"))
+    named = resolve.company_queries(typed.filter("valid"), text, [key])
+    found = resolve.company_resolve(named, best_listings, key).withColumnRenamed("symbol", "by_name")
+    # both symbols of a request look for a report; the typed one wins
+    asked = typed.join(found, key, "left").select(
+        key, text, "valid", F.posexplode(F.array(F.when(F.col("valid"), F.col("typed")), F.upper("by_name"))).alias("way", "symbol")
+    )
+    figures = [c for c in report.columns if c != "symbol"]
+    reported = asked.join(report.withColumn("reported", F.lit(True)), "symbol", "left")
+    first = F.min(F.when(F.col("reported"), F.col("way")))
+    picked = lambda c: F.max(F.when(F.col("reported") & (F.col("way") == F.col("first_way")), F.col(c)))
+    ways = reported.withColumn("first_way", first.over(Window.partitionBy(key)))
+    return (
+        ways.groupBy(key, text, "valid", "first_way")
+        .agg(*[picked(c).alias(c) for c in ("symbol", *figures)])
+        .select(
+            key,
+            text,
+            F.expr("case first_way when 0 then 'direct' when 1 then 'resolved' else 'rejected' end as outcome"),
+            "symbol",
+            *figures,
+            F.expr("case when not valid then 'invalid search text' when first_way is null then 'no listed company found' end as reason"),
+        )
+    )
+
+
 def intelligence_report(spark: SparkSession, sf: str, period: str = "2y", news_limit: int = 5) -> DataFrame:
     return scoring.intelligence_score(assembled(spark, sf, period, news_limit))

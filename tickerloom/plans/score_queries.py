@@ -148,6 +148,21 @@ def company_resolve(spark, sf):
     return resolve.company_resolve(queries, resolve.symbol_select(listings(spark, sf)), "company_key")
 
 
+def requests(spark: SparkSession, sf: str) -> DataFrame:
+    """What users type: symbols in lower case, names with filler words, invalid and unknown texts."""
+    brands = views._pick(views.BRANDS, "c_custkey % 7")
+    text = f"""
+      case c_custkey % 4 when 0 then lower({views.symbol_of('c_custkey')})
+        when 1 then concat('  the ', {brands}, '  company ltd') when 2 then '-bad' else c_name end as search_text"""
+    return table(spark, sf, "customer").selectExpr("c_custkey", text)
+
+
+def intelligence_by_request(spark, sf):
+    """From a typed text to a report: the text as a symbol, else the symbol found by its name, else a reason."""
+    report = I.intelligence_report(spark, sf).select("symbol", "intelligence_score", "classification")
+    return I.by_request(requests(spark, sf), "c_custkey", "search_text", resolve.symbol_select(listings(spark, sf)), report)
+
+
 def symbols_rejected(spark, sf):
     """Requested symbols that have neither bars nor a company name."""
     requests = table(spark, sf, "customer").selectExpr(f"{views.symbol_of('c_custkey')} as symbol")
@@ -282,5 +297,6 @@ QUERIES = {
         report_assemble,
         report_chart_series,
         module_errors,
+        intelligence_by_request,
     )
 }
