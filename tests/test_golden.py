@@ -327,3 +327,18 @@ def test_shared_folder_is_the_one_the_session_names(spark):
     from tickerloom import shared_folder
 
     assert shared_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir") + "/x-")
+
+
+def test_every_kind_of_character_reference(spark):
+    import html
+
+    from pyspark.sql.functions import col
+
+    from tickerloom.functions.text import unescaped
+
+    texts = [
+        "a &amp; b", "&lt;x&gt; &amp;lt; &#8217;&#x2019;&#X41; &eacute;&ndash;&nbsp;", "&", "&&", "no", "", "tail &amp",
+        "&nope; &#; &#xZ; &#128;&#0;&#1114112;&#99999999999999999999;", "&#x1F600; &copy 1 &hearts;", None,
+    ]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", unescaped(col("t")).alias("u"))
+    assert all(r.u == (html.unescape(r.t) if r.t is not None else None) for r in frame.collect())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,18 +25,6 @@ BLOCKED_HEADLINE_PHRASES = [
 SYMBOL_PATTERN = r"^[A-Z0-9][A-Z0-9&-]{0,19}(\.(NS|BO|SI|AX))?$"
 COMPANY_NAME_PATTERN = r"^[A-Z0-9][A-Z0-9 .&'()-]{1,79}$"
 
-# Character entities seen in the supported pages; the ampersand is replaced last.
-ENTITIES = [
-    ("lt", "<"),
-    ("gt", ">"),
-    ("quot", '"'),
-    ("#39", "'"),
-    ("nbsp", " "),
-    ("copy", "©"),
-    ("middot", "·"),
-    ("amp", "&"),
-]
-
 WHITESPACE = " \t\r\n"
 
 
@@ -47,10 +37,38 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "[ \\t\\r\\n\\f\\u00a0]+", " "))
 
 
+# Every named character reference, with and without its semicolon where that is allowed.
+NAMED_REFERENCES = {name: char for name, char in sorted(html5.items()) if not set(char) & {"\x01", "\x02"}}
+# Numbers 128 to 159 stand for what Windows prints there.
+LEGACY_NUMBERS = {n: c for n in range(128, 160) if (c := bytes([n]).decode("cp1252", "ignore"))}
+_NAMED = "\x01".join(f"{name}\x02{char}" for name, char in NAMED_REFERENCES.items())
+_REFERENCE = "^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*;?)"
+
+
+def _character(number: Column) -> Column:
+    """The character of a code point; what is none becomes the replacement character."""
+    legacy = F.create_map(*[F.lit(x) for pair in LEGACY_NUMBERS.items() for x in pair])
+    sound = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    plain = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    return F.coalesce(F.try_element_at(legacy, number.cast("int")), F.when(sound, plain), F.lit("\ufffd"))
+
+
 def unescaped(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.regexp_replace(text, f"&{name};?", char)
-    return text
+    """Named, decimal and hexadecimal character references decoded, in one pass from left to right."""
+    named = F.str_to_map(F.lit(_NAMED), F.lit("\x01"), F.lit("\x02"))  # folded into one constant
+
+    def decoded(piece: Column) -> Column:
+        found = F.regexp_extract(piece, _REFERENCE, 1)
+        digits = F.regexp_replace(found, "[#;xX]", "")
+        number = F.when(found.rlike("^#[0-9]"), digits.try_cast("bigint")).when(
+            found.rlike("^#[xX]"), F.conv(F.right(F.concat(F.lit("0"), digits), F.lit(9)), 16, 10).try_cast("bigint")
+        )
+        char = F.when(found.startswith("#"), _character(F.coalesce(number, F.lit(0)))).otherwise(F.try_element_at(named, found))
+        return F.when(char.isNotNull(), F.concat(char, F.substr(piece, F.length(found) + 1))).otherwise(F.concat(F.lit("&"), piece))
+
+    pieces = F.split(text, "&")
+    rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), decoded)
+    return F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, ""))
 
 
 def html_cell_text(fragment: Column) -> Column:
