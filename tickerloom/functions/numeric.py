@@ -12,6 +12,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # Fixed value: plain decimal notation with optional exponent; NaN and infinities are not numbers here.
 NUMBER_PATTERN = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 WHITESPACE = " \\t\\r\\n"
@@ -39,6 +42,13 @@ def to_number(text: str) -> str:
     return f"(case when {trimmed} rlike '{NUMBER_PATTERN}' and abs({number}) < double('Infinity') then {number} end)"
 
 
+def number_in(text: Column) -> Column:
+    """:func:`to_number` of a column, for use inside lambdas."""
+    trimmed = F.btrim(text, F.lit(" \t\r\n"))
+    number = trimmed.try_cast("double")
+    return F.when(trimmed.rlike(NUMBER_PATTERN) & (F.abs(number) < float("inf")), number)
+
+
 def to_percent(ratio: str) -> str:
     return rounded(f"{finite(ratio)} * 100", 2)
 

@@ -37,20 +37,25 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "[ \\t\\r\\n\\f\\u00a0]+", " "))
 
 
-# Every named character reference, with and without its semicolon where that is allowed.
+# Every named character reference, with and without its semicolon where that is allowed, and the numbers 128
+# to 159, which stand for what Windows prints there.
 NAMED_REFERENCES = {name: char for name, char in sorted(html5.items()) if not set(char) & {"\x01", "\x02"}}
-# Numbers 128 to 159 stand for what Windows prints there.
-LEGACY_NUMBERS = {n: c for n in range(128, 160) if (c := bytes([n]).decode("cp1252", "ignore"))}
+NAMED_REFERENCES |= {
+    f"#{number}{end}": char
+    for n in range(128, 160)
+    if (char := bytes([n]).decode("cp1252", "ignore"))
+    for number in (n, f"x{n:x}", f"X{n:x}", f"x{n:X}", f"X{n:X}")
+    for end in ("", ";")
+}
 _NAMED = "\x01".join(f"{name}\x02{char}" for name, char in NAMED_REFERENCES.items())
 _REFERENCE = "^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*;?)"
 
 
 def _character(number: Column) -> Column:
     """The character of a code point; what is none becomes the replacement character."""
-    legacy = F.create_map(*[F.lit(x) for pair in LEGACY_NUMBERS.items() for x in pair])
     sound = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
     plain = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-    return F.coalesce(F.try_element_at(legacy, number.cast("int")), F.when(sound, plain), F.lit("\ufffd"))
+    return F.when(sound, plain).otherwise(F.lit("\ufffd"))
 
 
 def unescaped(text: Column) -> Column:
@@ -63,7 +68,8 @@ def unescaped(text: Column) -> Column:
         number = F.when(found.rlike("^#[0-9]"), digits.try_cast("bigint")).when(
             found.rlike("^#[xX]"), F.conv(F.right(F.concat(F.lit("0"), digits), F.lit(9)), 16, 10).try_cast("bigint")
         )
-        char = F.when(found.startswith("#"), _character(F.coalesce(number, F.lit(0)))).otherwise(F.try_element_at(named, found))
+        numbered = F.when(found.startswith("#"), _character(F.coalesce(number, F.lit(0))))
+        char = F.coalesce(F.try_element_at(named, found), numbered)
         return F.when(char.isNotNull(), F.concat(char, F.substr(piece, F.length(found) + 1))).otherwise(F.concat(F.lit("&"), piece))
 
     pieces = F.split(text, "&")

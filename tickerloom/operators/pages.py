@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickerloom.functions.numeric import rounded, to_number
+from tickerloom.functions.numeric import number_in, rounded, to_number
 from tickerloom.functions.text import html_cell_text, page_text, stripped
 
 # Patterns, captions and markers of the supported publications.
@@ -48,42 +48,56 @@ def page_rate_extract(pages: DataFrame) -> DataFrame:
     )
 
 
-def _table_rows(indicator: str) -> Column:
-    """Rows of one captioned table as an array of (date, order, first cell, second cell); null when the
-    table is missing or breaks off."""
-    marker = f"<caption>{TABLE_CAPTIONS[indicator]}</caption>"
-    html = F.col("html")
-    tail = F.when(html.contains(marker), F.split_part(html, F.lit(marker), F.lit(2)))
-    table = F.when(tail.contains("</table>"), F.split_part(tail, F.lit("</table>"), F.lit(1)))
-
-    def parsed(row: Column, position: Column) -> Column:
-        cells = F.transform(F.regexp_extract_all(row, F.lit(CELL_PATTERN), F.lit(1)), html_cell_text)
-        header = html_cell_text(F.regexp_extract(row, ROW_HEADER_PATTERN, 1))
-        return F.struct(
-            F.try_to_date(F.initcap(header), "MMM-yy").alias("date"),
+def _latest_row(table: Column, trend_optional: bool) -> Column:
+    """Latest row of a table with a date and its two figures: (date, first cell, second cell), else null.
+
+    Rows are read for their dates only; the cells of one row after the other, latest first, are cleaned
+    until a row is sound, which ends the fold's work.
+    """
+    kind = "struct<date:date,first_text:string,second_text:string>"
+    dated = F.transform(
+        F.regexp_extract_all(table, F.lit(ROW_PATTERN), F.lit(1)),
+        lambda row, position: F.struct(
+            F.try_to_date(F.initcap(html_cell_text(F.regexp_extract(row, ROW_HEADER_PATTERN, 1))), "MMM-yy").alias("date"),
             (-position).alias("order"),
-            F.get(cells, F.lit(0)).alias("first_text"),
-            F.get(cells, F.lit(1)).alias("second_text"),
+            row.alias("row"),
+        ),
+    )
+    newest_first = F.sort_array(F.filter(dated, lambda r: r["date"].isNotNull()), asc=False)
+
+    def figures(row: Column, cells: Column) -> Column:
+        first, second = F.get(cells, F.lit(0)), F.get(cells, F.lit(1))
+        sound = number_in(second).isNotNull() & (
+            number_in(first).isNotNull() | ((first == "") if trend_optional else F.lit(False))
         )
+        return F.when(sound, F.struct(row["date"], first.alias("first_text"), second.alias("second_text")))
 
-    return F.transform(F.regexp_extract_all(table, F.lit(ROW_PATTERN), F.lit(1)), parsed)
+    def step(best: Column, row: Column) -> Column:
+        cells = F.transform(F.regexp_extract_all(row["row"], F.lit(CELL_PATTERN), F.lit(1)), html_cell_text)
+        once = F.transform(F.array(cells), lambda c: figures(row, c))  # cells are cleaned once for all uses
+        return F.when(best.isNotNull(), best).otherwise(F.get(once, F.lit(0)).cast(kind))
+
+    return F.aggregate(newest_first, F.lit(None).cast(kind), step)
 
 
 def page_table_extract(pages: DataFrame) -> DataFrame:
     """Latest row of each captioned table, all tables of a page in one pass over it.
 
     Inflation publishes the annual change (second cell), unemployment the adjusted rate (second cell,
-    trend optional), growth the quarterly change (first cell); ``other`` is the remaining cell.
+    trend optional), growth the quarterly change (first cell); ``other`` is the remaining cell. A table that
+    is missing or breaks off is an error.
     """
-    first, second = to_number("r.first_text"), to_number("r.second_text")
-    both = f"r.date is not null and {second} is not null and {first} is not null"
-    trend_optional = f"r.date is not null and {second} is not null and ({first} is not null or r.first_text = '')"
-    latest = ", ".join(
-        f"'{i}', {i} is null, array_max(filter({i}, r -> {trend_optional if i == 'unemployment' else both}))"
-        for i in TABLE_CAPTIONS
-    )
-    picked = pages.select("page_id", *[_table_rows(i).alias(i) for i in TABLE_CAPTIONS]).selectExpr(
-        "page_id", f"stack({len(TABLE_CAPTIONS)}, {latest}) as (indicator, no_table, latest)"
+    tails = {
+        i: F.when(F.instr("html", marker) > 0, F.substr("html", F.instr("html", marker) + len(marker)))
+        for i, marker in ((i, f"<caption>{c}</caption>") for i, c in TABLE_CAPTIONS.items())
+    }
+    tables = {i: F.when(F.instr(i, "</table>") > 0, F.substring_index(i, "</table>", 1)) for i in TABLE_CAPTIONS}
+    latest = ", ".join(f"'{i}', {i} is null, latest_{i}" for i in TABLE_CAPTIONS)
+    picked = (
+        pages.select("page_id", *[t.alias(i) for i, t in tails.items()])
+        .select("page_id", *[t.alias(i) for i, t in tables.items()])
+        .select("*", *[_latest_row(F.col(i), i == "unemployment").alias(f"latest_{i}") for i in TABLE_CAPTIONS])
+        .selectExpr("page_id", f"stack({len(TABLE_CAPTIONS)}, {latest}) as (indicator, no_table, latest)")
     )
     by_quarter = "indicator = 'gdp_growth'"
     return picked.selectExpr(
