@@ -68,33 +68,33 @@ def sketches(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
 def fingerprints(documents: DataFrame, keep: str | None = None) -> DataFrame:
     """Per row: doc_id, number of shingles, two sums that identify the set, text bytes and sketch values.
 
-    With ``keep`` that column of the documents instead of the sketch values.
+    With ``keep``, a text or a row that holds it, that column of the documents instead of the sketch values.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in texts.slices(batch):
+            for part in texts.slices(texts.with_text(batch, 1)):
                 n = part.num_rows
-                row, value = texts.shingles(texts.words(part.column(1)), n, SHINGLE)
+                row, value = texts.shingles(texts.words(part.column("text")), n, SHINGLE)
                 spans = texts.row_spans(row, n)
                 sums = []
                 for factor in (texts._M1, texts._M2):
                     total = np.r_[np.zeros(1, np.uint64), np.cumsum(texts.mix(value * factor), dtype=np.uint64)]
                     sums.append(total[spans[1:]] - total[spans[:-1]])
                 if keep:
-                    last = part.column(2)
+                    last = part.column(1)
                 else:
                     found = sketches(row, value, n)
                     last = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * found.shape[1], _signed(found.ravel()))
                 size = pa.array(np.diff(spans).astype(np.int64))
-                length = pa.array(np.diff(texts.buffers(part.column(1))[1]))
+                length = pa.array(np.diff(texts.buffers(part.column("text"))[1]))
                 columns = [part.column(0), size, _signed(sums[0]), _signed(sums[1]), length, last]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *SET, "bytes", keep or "sketch"])
 
     schema = StructType([StructField(name, LongType()) for name in ("doc_id", *SET, "bytes")])
     schema.add(keep or "sketch", documents.schema[keep].dataType if keep else ArrayType(LongType()))
-    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *([F.col(keep).alias("kept")] if keep else [])]
-    return map_arrow(documents.select(*columns), run, schema)
+    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(keep or "text").alias("kept"))
+    return map_arrow(source, run, schema)
 
 
 SET = ["n_shingles", "key1", "key2"]
@@ -241,7 +241,7 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     _, named = classes(documents)
     keepers = named.filter("node = component").select(*[F.col(c).alias(f"of_{c}") for c in SET], "first")
     names = documents.columns
-    whole = documents.select("doc_id", "text", F.struct(*names).alias("row"))
+    whole = documents.select("doc_id", F.struct(*names).alias("row"))
     keyed = fingerprints(whole, keep="row")
     match = [F.col(c) == F.col(f"of_{c}") for c in SET] + [F.col("doc_id").eqNullSafe(F.col("first"))]
     joined = keyed.join(keepers, match, "left")

@@ -323,10 +323,10 @@ def repeats(documents: DataFrame) -> Repeats:
 def _cut(batches: Iterator[pa.RecordBatch], leave) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in texts.slices(batch):
-            data, offsets = texts.buffers(part.column(1))
+            data, offsets = texts.buffers(part.column("text"))
             out = []
             for i in range(part.num_rows):
-                lists = [np.asarray(part.column(k)[i].values) if part.column(k)[i].is_valid else np.zeros(0, np.int64) for k in (2, 3)]
+                lists = [np.asarray(part.column(k)[i].values) if part.column(k)[i].is_valid else np.zeros(0, np.int64) for k in ("starts", "stops")]
                 own = data[offsets[i] : offsets[i + 1]]
                 out.append((own, *merged(*lists)) if len(lists[0]) else (own, lists[0], lists[1]))
             yield leave(part, out)
@@ -371,7 +371,6 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     copied = (F.col("copies") > 1) & (F.octet_length("row.text") >= WINDOW)
     joined = rows.join(by_text, digest == F.col("of")).select(
         "row",
-        F.col("row.text").alias("text"),
         F.when(copied, F.array(F.lit(0).cast("long"))).otherwise(F.col("starts")).alias("starts"),
         F.when(copied, F.array(F.octet_length("row.text").cast("long"))).otherwise(F.col("stops")).alias("stops"),
     )
@@ -382,7 +381,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
             removed = [int((stops - starts).sum()) for _, starts, stops in out]
             return pa.RecordBatch.from_arrays([part.column(0), pa.array(left, pa.string()), pa.array(removed, pa.int64())], ["row", "left", "removed"])
 
-        return _cut(batches, leave)
+        return _cut((texts.with_text(batch, 0) for batch in batches), leave)
 
     schema = StructType([joined.schema["row"], StructField("left", StringType()), StructField("removed", LongType())])
     cut = map_arrow(joined, run, schema)

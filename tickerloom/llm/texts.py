@@ -94,6 +94,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[own[0] : own[-1]], own - own[0]
 
 
+def with_text(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
+    """The batch with a column ``text``: column ``at`` itself, or the field of that name of its rows (a view)."""
+    column = batch.column(at)
+    text = column.field("text") if pa.types.is_struct(column.type) else column
+    return pa.RecordBatch.from_arrays([*batch.columns, text], [*batch.schema.names, "text"])
+
+
 def slices(batch: pa.RecordBatch, name: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts hold about ``limit`` bytes; a longer text is a run of its own."""
     _, offsets = buffers(batch.column(batch.schema.get_field_index(name)))

@@ -48,7 +48,7 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows, n = len(column), len(found.hash)
     spans = texts.row_spans(found.row, rows)
     length = np.diff(spans)
-    ids = np.zeros((1 + len(PREFIXES), n + rows * PAD), np.int64)
+    ids = np.zeros((1 + len(PREFIXES), n + rows * PAD), np.int32)
     at = np.arange(n) + found.row * PAD
     ids[0, at] = (found.hash >> np.uint64(48)).astype(np.int64) % (BUCKETS - 1) + 1
     values, size = texts.byte_values(True), found.end - found.start
@@ -61,6 +61,17 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, spans[:-1] + np.arange(rows) * PAD, length
 
 
+def _sample_features(column: pa.Array, rows: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`features` of a sample, a few rows at a time, so that the driver holds little more than the ids."""
+    parts, begin = [features(column.slice(at, rows)) for at in range(0, len(column), rows)], 0
+    starts = []
+    for ids, start, _ in parts:
+        starts.append(start + begin)
+        begin += ids.shape[1]
+    ids = np.concatenate([ids for ids, _, _ in parts], axis=1)
+    return ids, np.concatenate(starts), np.concatenate([length for _, _, length in parts])
+
+
 def _embed(embedding: np.ndarray, ids: np.ndarray) -> np.ndarray:
     total = embedding[ids[0]]
     for k in range(1, len(ids)):
@@ -114,9 +125,9 @@ def train(column: pa.Array, label: np.ndarray, lang: list, epochs: int = 6, leas
     holdout = np.arange(n) % 5 == 4
     if label[holdout].min(initial=1) == label[holdout].max(initial=0):
         holdout[:] = False
-    ids, start, length = features(column)
+    ids, start, length = _sample_features(column)
     held, toxic = _held_by(ids, start, length, label, ~holdout)
-    ids = np.where(held[ids] > 1, ids, 0)  # a word of one text only could do nothing but memorise it
+    ids[held[ids] <= 1] = 0  # a word of one text only could do nothing but memorise it
     f = len(WIDTHS) * FILTERS
     p = {"e": (rng.standard_normal((BUCKETS, WIDTH_OF)) * 0.1).astype(np.float32)}
     mean = label[~holdout].mean()
@@ -263,11 +274,11 @@ def held_out(doc_id):
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 6000, max_text_bytes: int = 20_000) -> Model:
-    sample = labelled_sample(documents, labels, max_rows, max_text_bytes).toPandas()
-    sample = sample.sort_values(["doc_id", "text"], kind="stable")
-    return train(
-        pa.array(sample["text"], pa.string()), sample["toxic"].to_numpy(np.float32), sample["lang"].tolist()
-    )
+    sample = labelled_sample(documents, labels, max_rows, max_text_bytes).toArrow().combine_chunks()
+    sample = sample.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    text = sample.column("text").combine_chunks()
+    text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
+    return train(text, sample.column("toxic").to_numpy().astype(np.float32), sample.column("lang").to_pylist())
 
 
 def _scores(model: Model, column: pa.Array) -> np.ndarray:
