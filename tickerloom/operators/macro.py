@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.functions.bands import (
@@ -39,32 +39,38 @@ _UNAVAILABLE = "(" + ", ".join(f"'{s}'" for s in UNAVAILABLE_STATUSES) + ")"
 
 
 def indicator_priority(live: DataFrame, cached: DataFrame, fallback: DataFrame) -> DataFrame:
-    """Per market and indicator: live, else the last good observation, else (India, all but the
-    policy rate) the annual fallback. The US snapshot is all or nothing: live or cached rows of the
-    US count only when all four indicators are there.
+    """:func:`prioritised` for observations that come as tables of their own, each with at most one row per
+    market and indicator."""
+    item = "struct(" + ", ".join(OBSERVATION[1:6]) + ") as item"
+    tiers = [f.selectExpr("market_code", f"{k} as tier", item) for k, f in enumerate((live, cached, fallback))]
+    lists = [F.expr(f"collect_list(item) filter (where tier = {k}) as {name}") for k, name in enumerate(TIERS)]
+    return prioritised(tiers[0].unionByName(tiers[1]).unionByName(tiers[2]).groupBy("market_code").agg(*lists))
 
-    Every input has at most one row per market and indicator, a handful in all.
+
+TIERS = ["live", "cached", "fallback"]
+
+
+def prioritised(markets: DataFrame) -> DataFrame:
+    """Per market and indicator: live, else the last good observation, else (India, all but the policy
+    rate) the annual fallback. The US snapshot is all or nothing: live or cached rows of the US count only
+    when all four indicators are there.
+
+    Takes one row per market with an array of observations per tier (a handful each) and chooses inside
+    the row: nothing moves.
     """
-    plain = [c for c in OBSERVATION if c not in ("is_cached", "is_fallback")]
-    tiers = (
-        live.selectExpr(*OBSERVATION, "0 as priority")
-        .unionByName(
-            cached.selectExpr(*plain, "true as is_cached", "false as is_fallback", "1 as priority")
+    chosen = []
+    for indicator in INDICATORS:
+        first = {t: f"get(filter({t}, o -> o.indicator = '{indicator}'), 0)" for t in TIERS}
+        whole = {t: f"(market_code <> 'US' or size({t}) = {len(INDICATORS)})" for t in TIERS[:2]}
+        option = lambda t, cached, fallback: (
+            f"if({first[t]} is null, null, struct({first[t]} as item, {cached} as is_cached, {fallback} as is_fallback))"
         )
-        .unionByName(
-            fallback.filter("market_code = 'IN' and indicator <> 'policy_rate'").selectExpr(
-                *plain, "false as is_cached", "true as is_fallback", "2 as priority"
-            )
-        )
-    )
-    in_tier = F.count("*").over(Window.partitionBy("market_code", "priority"))
-    best = F.row_number().over(Window.partitionBy("market_code", "indicator").orderBy("priority"))
-    return (
-        tiers.withColumn("in_tier", in_tier)
-        .filter(f"market_code <> 'US' or in_tier = {len(INDICATORS)}")
-        .withColumn("position", best)
-        .filter("position = 1")
-        .select(*OBSERVATION)
+        options = [f"if({whole[t]}, {option(t, str(t == 'cached').lower(), 'false')}, null)" for t in TIERS[:2]]
+        if indicator != "policy_rate":
+            options.append(f"if(market_code = 'IN', {option('fallback', 'false', 'true')}, null)")
+        chosen.append(f"coalesce({', '.join(options)})")
+    return markets.selectExpr("market_code", f"inline(array({', '.join(chosen)}))").filter("item is not null").selectExpr(
+        "market_code", "item.*", "is_cached", "is_fallback"
     )
 
 

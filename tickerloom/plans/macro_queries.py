@@ -211,14 +211,7 @@ def classify_intelligence(spark, sf):
 
 
 def observations(spark: SparkSession, sf: str) -> DataFrame:
-    cached = (
-        store.good_obs_latest(views.stored_observations(spark, sf))
-        .withColumn("is_fallback", F.lit(False))
-        .drop("cached_at")
-    )
-    return M.indicator_priority(
-        views.live_observations(spark, sf), cached, views.fallback_observations(spark, sf)
-    )
+    return M.prioritised(views.market_observations(spark, sf))
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:

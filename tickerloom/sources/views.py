@@ -508,6 +508,62 @@ def fallback_observations(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def market_observations(spark: SparkSession, sf: str, as_of: str = AS_OF) -> DataFrame:
+    """One row per market with its live, stored and fallback observations as arrays.
+
+    The same figures as :func:`live_observations`, :func:`stored_observations` and
+    :func:`fallback_observations`, from one pass: a market's published points (bounded by the calendar) come
+    together once, and everything else is computed inside the row.
+    """
+    points = (
+        macro_obs(spark, sf, as_of)
+        .groupBy("market_code")
+        .agg(F.array_sort(F.collect_list(F.struct("indicator", "period_date", "value"))).alias("points"))
+    )
+    names = {"policy_rate": "policy_rate", "inflation": "cpi", "gdp_growth": "gdp_growth", "unemployment": "unemployment"}
+    series = points.selectExpr(
+        "market_code", *[f"filter(points, p -> p.indicator = '{source}') as {name}" for name, source in names.items()]
+    )
+    begin = f"trunc(date'{as_of}', 'YEAR')"
+    for name in names:
+        series = series.selectExpr(
+            "*",
+            f"try_element_at({name}, -1) as {name}_last",
+            f"try_element_at(filter({name}, p -> p.period_date < {begin}), -1) as {name}_kept",
+        )
+    policy = _IS_POLICY_RATE.removesuffix(" as is_policy_rate")
+
+    def item(name: str, value: str, date: str, source: str, is_policy_rate: str, when: str) -> str:
+        return (
+            f"if({when} and {value} is not null, struct('{name}' as indicator, {value} as value,"
+            f" {date} as observation_date, '{source}' as source, {is_policy_rate} as is_policy_rate), null)"
+        )
+
+    def day(point: str) -> str:
+        return f"date_format({point}.period_date, 'yyyy-MM-dd')"
+
+    def allowed(name: str, *markets: str) -> str:
+        return f"market_code not in ({', '.join(repr(m) for m in markets)})" if markets else "true"
+
+    base = "get(filter(inflation, p -> p.period_date = add_months(inflation_last.period_date, -12)), 0).value"
+    live_out = {"gdp_growth": ["US", "IN"], "unemployment": ["SG"], "inflation": ["AU"]}
+    kept_out = {"unemployment": ["SG"], "gdp_growth": ["IN"]}
+    live, kept, annual = [], [], []
+    for name in names:
+        last, stored = f"{name}_last", f"{name}_kept"
+        change = f"if({base} <> 0, {rounded(f'({last}.value / {base} - 1) * 100', 2)}, null)"
+        value = change if name == "inflation" else rounded(f"{last}.value", 4)
+        live.append(item(name, value, day(last), "official", policy, allowed(name, *live_out.get(name, []))))
+        value = rounded(f"({stored}.value - 100) / 10", 4) if name == "inflation" else f"{stored}.value"
+        kept.append(item(name, value, day(stored), "official", policy, allowed(name, *kept_out.get(name, []))))
+        if name != "inflation":
+            same_year = f"filter({name}, p -> year(p.period_date) = year({last}.period_date))"
+            value = rounded(f"array_max(transform({same_year}, p -> p.value))", 2)
+            annual.append(item(name, value, f"string(year({last}.period_date))", "annual", "cast(null as boolean)", "true"))
+    lists = (f"array_compact(array({', '.join(items)})) as {tier}" for tier, items in (("live", live), ("cached", kept), ("fallback", annual)))
+    return series.selectExpr("market_code", *lists)
+
+
 # ---- news -------------------------------------------------------------------------------------
 
 
