@@ -172,3 +172,12 @@ def test_folds_stay_in_the_row(spark, sf):
 
     text = plan(macro_queries.sora_table_extract(spark, sf))
     assert text.count("Scan parquet") == 1 and "Exchange" not in text
+
+
+@pytest.mark.parametrize("name", ["indicator_priority", "macro_combined", "sector_macro"])
+def test_macro_reads_the_orders_once(spark, sf, name):
+    from tickerloom.plans.catalog import all_queries
+
+    text = plan(all_queries()[name](spark, sf))
+    assert text.count("FileScan parquet [o_custkey") == 1
+    assert text.count("Exchange hashpartitioning") <= 3

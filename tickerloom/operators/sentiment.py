@@ -48,10 +48,10 @@ def sentiment_features(symbols: DataFrame, classified: DataFrame) -> DataFrame:
     )
 
 
-def _words(articles: DataFrame) -> DataFrame:
-    """Each distinct word of a headline once."""
-    found = "regexp_extract_all(lower(coalesce(headline, '')), '[a-z0-9]+', 0)"
-    return articles.selectExpr("*", f"explode(array_distinct({found})) as word")
+def _words(articles: DataFrame, with_empty: bool = False) -> DataFrame:
+    """Each distinct word of a headline once, and the empty word if it is asked for."""
+    found = "array_distinct(regexp_extract_all(lower(coalesce(headline, '')), '[a-z0-9]+', 0))"
+    return articles.selectExpr("*", f"explode({f'array_append({found}, {chr(39)*2})' if with_empty else found}) as word")
 
 
 def _micro(probability: Column) -> Column:
@@ -60,7 +60,7 @@ def _micro(probability: Column) -> Column:
 
 
 class Model(NamedTuple):
-    """Naive Bayes: a weight per word and class, and one row of counts per class."""
+    """Naive Bayes: a weight per word and class, and one row with the counts of classes."""
 
     words: DataFrame
     classes: DataFrame
@@ -69,16 +69,24 @@ class Model(NamedTuple):
 def train(labelled: DataFrame) -> Model:
     """Count-based naive Bayes on ``headline, sentiment`` rows: in how many headlines of a class a word is.
 
-    All labelled rows count; counting combines before the shuffle.
+    All labelled rows count, in one aggregate that combines before the shuffle: each headline also counts
+    under the empty word, which gives the size of its class.
     """
     label = normalize_sentiment(F.col("sentiment"))
     rows = labelled.filter(stripped(F.col("headline")) != "").select("headline", label.alias("label"))
-    per_class = [F.count_if(F.col("label") == c).alias(f"n_{c}") for c in CLASSES]
-    counts = _words(rows).groupBy("word").agg(*per_class)
-    sums = [(F.coalesce(F.sum(f"n_{c}"), F.lit(0)) + F.count("*")).alias(f"n_{c}") for c in CLASSES]
-    total = counts.agg(*sums).select(F.struct("*")).scalar()
-    words = counts.select("word", *[_micro((F.col(f"n_{c}") + 1.0) / total[f"n_{c}"]).alias(f"w_{c}") for c in CLASSES])
-    return Model(words, rows.agg(F.count("*").alias("n"), *per_class))
+    counts = _words(rows, with_empty=True).groupBy("word").agg(
+        *[F.count_if(F.col("label") == c).alias(f"n_{c}") for c in CLASSES]
+    )
+    real = F.col("word") != ""
+    sums = [F.coalesce(F.sum(F.when(real, F.col(f"n_{c}"))), F.lit(0)) + F.count_if(real) for c in CLASSES]
+    sizes = [F.coalesce(F.max(F.when(~real, F.col(f"n_{c}"))), F.lit(0)) for c in CLASSES]
+    classes = counts.agg(*[x.alias(f"d_{c}") for x, c in zip(sums, CLASSES)], *[x.alias(f"n_{c}") for x, c in zip(sizes, CLASSES)])
+    # one scalar subquery, kept in a column of its own so that it stands in the plan once
+    total = classes.select(F.struct("*")).scalar()
+    words = counts.filter(real).withColumn("total", total).select(
+        "word", *[_micro((F.col(f"n_{c}") + 1.0) / F.col(f"total.d_{c}")).alias(f"w_{c}") for c in CLASSES]
+    )
+    return Model(words, classes)
 
 
 def predict(model: Model, articles: DataFrame) -> DataFrame:
@@ -88,13 +96,19 @@ def predict(model: Model, articles: DataFrame) -> DataFrame:
     """
     found = salted_lookup(_words(articles.select("doc_id", "headline")), model.words, ["word"], ["doc_id"], how="inner")
     sums = found.groupBy("doc_id").agg(*[F.sum(f"w_{c}").alias(f"s_{c}") for c in CLASSES])
-    prior = model.classes.select(F.struct("*")).scalar()
-    total = {
-        c: F.coalesce(f"s_{c}", F.lit(0)) + _micro((prior[f"n_{c}"] + 1.0) / (prior["n"] + float(len(CLASSES))))
-        for c in CLASSES
-    }
-    best = F.greatest(*total.values())
+    scored = articles.join(sums, "doc_id", "left").withColumn("class_sizes", model.classes.select(F.struct("*")).scalar())
+    everything = sum((F.col(f"class_sizes.n_{c}") for c in CLASSES), F.lit(0.0))
+    scored = scored.select(
+        *articles.columns,
+        *[
+            (
+                F.coalesce(f"s_{c}", F.lit(0)) + _micro((F.col(f"class_sizes.n_{c}") + 1.0) / (everything + float(len(CLASSES))))
+            ).alias(f"t_{c}")
+            for c in CLASSES
+        ],
+    )
+    best = F.greatest(*[f"t_{c}" for c in CLASSES])
     label = F.when(stripped(F.coalesce("headline", F.lit(""))) == "", F.lit("neutral"))
     for c in CLASSES:
-        label = label.when(total[c] == best, F.lit(c))
-    return articles.join(sums, "doc_id", "left").select(*articles.columns, label.alias("sentiment"))
+        label = label.when(F.col(f"t_{c}") == best, F.lit(c))
+    return scored.select(*articles.columns, label.alias("sentiment"))

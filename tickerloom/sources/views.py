@@ -445,30 +445,6 @@ def interpretation_rows(spark: SparkSession, sf: str) -> DataFrame:
 _IS_POLICY_RATE = "case when market_code <> 'US' then market_code <> 'SG' end as is_policy_rate"
 
 
-def live_observations(spark: SparkSession, sf: str) -> DataFrame:
-    """Latest live observation per market and indicator; some are out, one US outage spoils all of US."""
-    keyed = macro_obs(spark, sf).selectExpr(
-        "concat(market_code, ':', indicator) as series_id", "period_date as date", "value"
-    )
-    inflation = O.inflation_yoy(keyed.filter("series_id like '%:cpi'")).selectExpr(
-        "replace(series_id, ':cpi', ':inflation') as series_id", "value", "observation_date"
-    )
-    rest = O.series_latest(keyed.filter("series_id not like '%:cpi'"))
-    return (
-        inflation.unionByName(rest)
-        .filter("series_id not in ('US:gdp_growth', 'IN:gdp_growth', 'SG:unemployment', 'AU:inflation')")
-        .selectExpr(
-            "split_part(series_id, ':', 1) as market_code",
-            "split_part(series_id, ':', 2) as indicator",
-            "value",
-            "observation_date",
-        )
-        .selectExpr(
-            "*", "'official' as source", _IS_POLICY_RATE, "false as is_cached", "false as is_fallback"
-        )
-    )
-
-
 def stored_observations(spark: SparkSession, sf: str, as_of: str = AS_OF) -> DataFrame:
     """Good observations kept until the year of ``as_of`` (the price index stands for inflation, less 100)."""
     return (
@@ -487,33 +463,12 @@ def stored_observations(spark: SparkSession, sf: str, as_of: str = AS_OF) -> Dat
     )
 
 
-def fallback_observations(spark: SparkSession, sf: str) -> DataFrame:
-    """Annual fallback per market and indicator from the same publications."""
-    annual = (
-        macro_obs(spark, sf)
-        .filter("indicator <> 'cpi'")
-        .selectExpr("market_code as country_code", "indicator", "year(period_date) as year", "value")
-        .groupBy("country_code", "indicator", "year")
-        .agg(F.expr("max(value) as value"))
-    )
-    return O.annual_latest(annual).selectExpr(
-        "country_code as market_code",
-        "indicator",
-        "value",
-        "observation_date",
-        "'annual' as source",
-        "cast(null as boolean) as is_policy_rate",
-        "false as is_cached",
-        "is_fallback",
-    )
-
-
 def market_observations(spark: SparkSession, sf: str, as_of: str = AS_OF) -> DataFrame:
     """One row per market with its live, stored and fallback observations as arrays.
 
-    The same figures as :func:`live_observations`, :func:`stored_observations` and
-    :func:`fallback_observations`, from one pass: a market's published points (bounded by the calendar) come
-    together once, and everything else is computed inside the row.
+    Live: the latest value, some are out, and one US outage spoils all of US. Stored: as in
+    :func:`stored_observations`, the latest of each. Fallback: the latest annual figure. All from one pass: a
+    market's published points (bounded by the calendar) come together once, the rest is computed in the row.
     """
     points = (
         macro_obs(spark, sf, as_of)
