@@ -414,7 +414,8 @@ def test_importance_resampling(spark):
     junk = [" ".join(f"{w}$$$ |" for w in h.prose(k, 60).split()) for k in range(100)]
     texts = [*good, *junk, *h.edge_texts()]
     marks = [(k, int(k < 300), 0) for k in range(0, 400, 2)]
-    found = quality.resample(h.documents(spark, texts, clash=True), labels(spark, marks)).collect()
+    assert quality.good_share(labels(spark, marks)) == 0.75 and quality.good_share(labels(spark, [])) == quality.KEEP
+    found = quality.resample(h.documents(spark, texts, clash=True), labels(spark, marks), keep=0.8).collect()
     kept = {r["doc_id"] for r in found if r["kept"]}
     assert len(found) == len(texts) and len(kept) == int(np.ceil(0.8 * len(texts)))
     assert sum(k < 300 for k in kept) >= 295 and sum(300 <= k < 400 for k in kept) <= 45

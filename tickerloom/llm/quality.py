@@ -122,8 +122,18 @@ def kth_highest(frame: DataFrame, name: str, k: int, ranges: int = 1024) -> floa
     return low
 
 
-def resample(documents: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
-    """Every document with its weight, its key and whether it is among the ``keep`` share taken."""
+def good_share(labels: DataFrame) -> float:
+    """Share of labelled rows that are good, ``KEEP`` without labels."""
+    good, total = labels.filter("doc_id is not null").agg(F.expr("count_if(quality = 1)"), F.expr("count_if(quality in (0, 1))")).first()
+    return good / total if total else KEEP
+
+
+def resample(documents: DataFrame, labels: DataFrame, keep: float | None = None) -> DataFrame:
+    """Every document with its weight, its key and whether it is among the ``keep`` share taken.
+
+    By default as large a share of the documents is taken as the labels call good.
+    """
+    keep = good_share(labels) if keep is None else keep
     weighed = settle(weigh(documents, fit(documents, labels)), "quality-keys")
     floor = kth_highest(weighed, "key", int(np.ceil(keep * weighed.count())))
     return weighed.withColumn("kept", F.col("key") >= F.lit(float("inf") if floor is None else floor))
