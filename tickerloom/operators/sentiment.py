@@ -94,7 +94,7 @@ def predict(model: Model, articles: DataFrame) -> DataFrame:
 
     Words of all headlines meet the model by an equi-join on the word, spread by salt where one is frequent.
     """
-    found = salted_lookup(_words(articles.select("doc_id", "headline")), model.words, ["word"], ["doc_id"], how="inner")
+    found = salted_lookup(_words(articles.select("doc_id", "headline")), model.words, ["word"], ["doc_id"], salts=16, how="inner")
     sums = found.groupBy("doc_id").agg(*[F.sum(f"w_{c}").alias(f"s_{c}") for c in CLASSES])
     scored = articles.join(sums, "doc_id", "left").withColumn("class_sizes", model.classes.select(F.struct("*")).scalar())
     everything = sum((F.col(f"class_sizes.n_{c}") for c in CLASSES), F.lit(0.0))
