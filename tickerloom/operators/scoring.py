@@ -193,6 +193,7 @@ def module_scores(scored: DataFrame) -> DataFrame:
 
 def report_chart_series(scored: DataFrame) -> DataFrame:
     """Chart points per symbol: module scores (0 when unavailable), known returns, gauge position."""
+    # Labels of the returns chart.
     labels = {
         "1 Week": "one_week_return",
         "1 Month": "one_month_return",

@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickerloom.functions.literals import literal_table
+from tickerloom.functions.markets import SECTOR_WEIGHTS
 from tickerloom.functions.numeric import rounded
 from tickerloom.operators import observations as O
 from tickerloom.operators.bars import bars_from_trades
+from tickerloom.operators.fundamentals import STATEMENT_METRICS
 from tickerloom.operators.pages import TABLE_CAPTIONS
 from tickerloom.sources.tables import table
 
@@ -25,20 +27,7 @@ LEGAL_FORMS = [
     "Group plc",
     "Bank of the North",
 ]
-SECTORS = [
-    "Technology",
-    "Financial Services",
-    "Energy",
-    "Basic Materials",
-    "Consumer Cyclical",
-    "Consumer Defensive",
-    "Real Estate",
-    "Utilities",
-    "Healthcare",
-    "Industrials",
-    "Communication Services",
-    "Conglomerates",
-]
+SECTORS = [*(sector for sector, *_ in SECTOR_WEIGHTS), "Conglomerates"]
 AS_OF = "2001-11-05"
 
 
@@ -184,22 +173,22 @@ def statements(spark: SparkSession, sf: str, as_of: str = AS_OF) -> DataFrame:
     equity = table(spark, sf, "supplier").selectExpr(
         "s_suppkey as company_key", f"double(2 * {cents('s_acctbal')}) as equity"
     )
-    metrics = [
-        ("annualTotalRevenue", "revenue / 10000"),
-        ("annualNetIncome", "income / 1000000"),
-        ("annualStockholdersEquity", "case when company_key % 13 <> 0 then equity end"),
-        ("annualTotalAssets", "assets / 100"),
-        ("annualTotalDebt", "debt * 6 / 10000"),
-        ("annualFreeCashFlow", "case when company_key % 17 <> 0 then cash / 100000 end"),
-        ("annualDilutedAverageShares", "case when company_key % 3 <> 0 then shares end"),
-        ("annualOrdinarySharesNumber", "shares + 1"),
+    values = [
+        "revenue / 10000",
+        "income / 1000000",
+        "case when company_key % 13 <> 0 then equity end",
+        "assets / 100",
+        "debt * 6 / 10000",
+        "case when company_key % 17 <> 0 then cash / 100000 end",
+        "case when company_key % 3 <> 0 then shares end",
+        "shares + 1",
     ]
-    stacked = ", ".join(f"{i}, '{name}', {value}" for i, (name, value) in enumerate(metrics))
+    stacked = ", ".join(f"{i}, '{name}', {value}" for i, (name, value) in enumerate(zip(STATEMENT_METRICS, values)))
     currency = f"case when company_key % 4 = 0 then 'USD' else {trading_currency('company_key')} end"
     return (
         yearly.join(equity, "company_key")
         .selectExpr(
-            "company_key", "fiscal_year", f"stack({len(metrics)}, {stacked}) as (metric_pos, metric, raw)"
+            "company_key", "fiscal_year", f"stack({len(values)}, {stacked}) as (metric_pos, metric, raw)"
         )
         .filter("raw is not null")
         .selectExpr(
