@@ -174,6 +174,26 @@ def _repeated(frame: DataFrame, *keys: str) -> DataFrame:
     return frame.join(frame.groupBy(*keys).agg(F.count("*").alias("times")).filter("times > 1").drop("times"), list(keys))
 
 
+def _packed(documents: DataFrame) -> DataFrame:
+    """doc_id, digest and the compressed text of every row: texts move in half the bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 3)
+        for batch in batches:
+            data, offsets = texts.buffers(batch.column(1))
+            parts = [codec.compress(data[i:j].tobytes(), asbytes=True) for i, j in zip(offsets[:-1], offsets[1:])]
+            columns = [batch.column(0), batch.column(2), pa.array(np.diff(offsets)), pa.array(parts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n_bytes", "packed"])
+
+    return map_arrow(_digested(documents), run, "doc_id long, digest binary, n_bytes long, packed binary")
+
+
+def _unpacked(column: pa.Array, sizes: pa.Array) -> pa.Array:
+    codec = pa.Codec("zstd", 3)
+    parts = [codec.decompress(p.as_buffer(), n, asbytes=True) if n else b"" for p, n in zip(column, sizes.to_pylist())]
+    return pa.array(parts, pa.binary()).cast(pa.string())
+
+
 def active_texts(documents: DataFrame, marks: DataFrame, distinct: DataFrame) -> DataFrame:
     """Texts that hold a repeated core: tid, text, and the anchors of repeated cores."""
     cores = _of_first(marks, distinct).select("tid", F.posexplode("cores").alias("number", "core"))
@@ -182,19 +202,21 @@ def active_texts(documents: DataFrame, marks: DataFrame, distinct: DataFrame) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in texts.slices(batch):
-                found = anchors(part.column(1))
+            for part in texts.slices(batch, "packed", texts.SLICE_BYTES // 2):
+                text = _unpacked(part.column(1), part.column(2))
+                found = anchors(text)
                 spans = texts.row_spans(found.row, part.num_rows)
-                chosen, ends = part.column(2), [0]
+                chosen = part.column(3)
                 flat = np.asarray(chosen.flatten()).astype(np.int64)
                 counts = np.asarray(chosen.value_lengths())
                 at = np.sort(flat + np.repeat(spans[:-1], counts))
                 ends = np.r_[0, np.cumsum(counts)]
                 lists = [_lists(x[at], ends) for x in (found.at, found.low, found.high, found.core, found.head, found.tail)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], ["tid", "text", *PLACE])
+                yield pa.RecordBatch.from_arrays([part.column(0), text, *lists], ["tid", "text", *PLACE])
 
     lists = ", ".join(f"{name} array<long>" for name in PLACE)
-    return map_arrow(_of_first(_digested(documents), wanted).select("tid", "text", "numbers"), run, f"tid long, text string, {lists}")
+    found = _of_first(_packed(documents), wanted).select("tid", "packed", "n_bytes", "numbers")
+    return map_arrow(found, run, f"tid long, text string, {lists}")
 
 
 PLACE = ["at", "low", "high", "core", "head", "tail"]
