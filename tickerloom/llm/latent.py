@@ -40,7 +40,7 @@ LEAST_WORDS, SEGMENT = 5, 48
 ITEMS_AT_ONCE = 4096
 FIXED_POINT = 1 << 10
 GROUPS = 64
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 class Space(NamedTuple):
