@@ -321,6 +321,26 @@ def test_decontamination(spark):
     assert latent.find(h.documents(spark, texts), bench.filter("false")).count() == 0
 
 
+def test_short_items_word_for_word(spark):
+    """Items of 5 to 13 words inside longer documents, and the same with one of nine or more words changed."""
+    rng, texts, items, expected = random.Random(6), [], [], set()
+    for k in range(270):
+        size = 5 + k % 9
+        own, words = h.prose(20_000 + k, size).split(), h.prose(30_000 + k, rng.randrange(60, 160)).split()
+        items.append((k, " ".join(own)))
+        if k % 2 and size > 8:
+            own[2] = "changed"
+        at = rng.randrange(len(words))
+        expected.add((k, k))
+        texts.append(" ".join(words[:at] + own + words[at:]))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r for r in latent.find(h.documents(spark, texts), bench).collect()}
+    whole = {(k, k) for k in range(270) if not (k % 2 and 5 + k % 9 > 8)}
+    assert whole <= set(found) and all(found[p]["common_words"] == found[p]["item_words"] for p in whole)
+    assert set(found) <= expected and len(set(found) - whole) > 0.95 * len(expected - whole)
+    assert latent.without_items(h.documents(spark, texts), bench).filter(~(F.col("doc_id") % 2 == 1)).count() == 0
+
+
 def test_common_subsequence():
     rng = random.Random(5)
     for _ in range(100):

@@ -7,10 +7,13 @@
    singular vectors and values of A by Nystrom's method (only terms x SKETCH numbers reach the driver).
 3. Candidates. Benchmark items (long ones in segments) and overlapping windows of every whole document are
    folded into the latent space, ``x V / s``, and compared by cosine: those above ``COSINE`` are candidates.
+   Items of fewer than ``SHORT`` words also meet windows of 12 words, where ``COSINE_SHORT`` is enough.
 4. Checks. A window must hold ``SHARED`` of the item's squared weights (of as many of its words as it has room for); then the longest
    common subsequence of the item's words and the text around the window is measured. An item is found where it covers ``FULL`` of
    the item's words, or ``PARTLY`` of them and the item's answer (its last quarter of words, three at least)
    stands there word for word.
+5. Exact way. Whatever the cosine, an item that stands in a text word for word is found by fingerprints of runs
+   of words (cosine 1, all words common).
 
 Items are taken in groups of at most ``ITEMS_AT_ONCE`` per pass over the documents, so what a task holds of
 the benchmark is bounded and any number of items is searched exactly alike.
@@ -34,8 +37,8 @@ from tickerloom.llm import texts
 from tickerloom.llm.tables import map_arrow, workers_import
 
 PASSAGE, BUCKETS, SKETCH, RANK = 32, 1 << 13, 48, 40
-BLOCK, WINDOWS = 12, (24, 48)
-COSINE, SHARED, FULL, PARTLY = 0.4, 0.3, 0.75, 0.6
+WINDOWS, SHORT = (12, 24, 48), 16  # each twice the one before; they step by half their width
+COSINE, COSINE_SHORT, SHARED, FULL, PARTLY = 0.4, 0.2, 0.3, 0.75, 0.6
 LEAST_WORDS, SEGMENT = 5, 48
 ITEMS_AT_ONCE = 4096
 FIXED_POINT = 1 << 10
@@ -51,6 +54,14 @@ class Space(NamedTuple):
     weight: np.ndarray
 
 
+class Runs(NamedTuple):
+    """Fingerprints of whole items by length, and of their first ``LEAST_WORDS`` words, with a table of those' top bits."""
+
+    heads: np.ndarray
+    likely: np.ndarray
+    whole: dict[int, tuple[np.ndarray, np.ndarray]]
+
+
 class Items(NamedTuple):
     """Items as lists of word numbers in their common vocabulary, and their segments in the latent space."""
 
@@ -63,6 +74,7 @@ class Items(NamedTuple):
     length: np.ndarray
     weight: np.ndarray
     groups: np.ndarray
+    runs: Runs
 
 
 def _terms(found: texts.Words) -> np.ndarray:
@@ -178,7 +190,55 @@ def prepare(ids: list, column: pa.Array, space: Space) -> Items | None:
     for k, w in enumerate(words):
         groups[k, w % GROUPS] = 1
     length = np.array([len(w) for w in words])
-    return Items([ids[i] for i in kept], words, unit, np.array(item_of), vocabulary, holds, length, heavy, groups[item_of])
+    runs = _item_runs([found.hash[spans[i] : spans[i + 1]] for i in kept])
+    return Items([ids[i] for i in kept], words, unit, np.array(item_of), vocabulary, holds, length, heavy, groups[item_of], runs)
+
+
+def _sums(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums from which :func:`_run` reads the fingerprint of any run of words."""
+    up, down = texts.powers(1 << max(16, len(hashes).bit_length()))
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
+    return total, down
+
+
+def _run(total: np.ndarray, down: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    return (total[at + size] - total[at]) * down[at]
+
+
+def _item_runs(hashes: list[np.ndarray]) -> Runs:
+    first, heads, by_length = np.zeros(1, np.int64), [], {}
+    for i, own in enumerate(hashes):
+        total, down = _sums(own)
+        heads.append(_run(total, down, first, LEAST_WORDS)[0])
+        by_length.setdefault(len(own), []).append((_run(total, down, first, len(own))[0], i))
+    heads = np.unique(np.array(heads, np.uint64))
+    likely = np.zeros(1 << 16, bool)
+    likely[heads >> np.uint64(48)] = True
+    whole = {n: (np.array([k for k, _ in sorted(own)], np.uint64), np.array([i for _, i in sorted(own)])) for n, own in by_length.items()}
+    return Runs(heads, likely, whole)
+
+
+def _verbatim(found: texts.Words, spans: np.ndarray, place: np.ndarray, items: Items) -> Iterator[tuple[int, int, int]]:
+    """(row, item, first word) of the places where an item stands word for word."""
+    heads, likely, whole = items.runs
+    n = len(found.hash) - LEAST_WORDS + 1
+    if n <= 0:
+        return
+    total, down = _sums(found.hash)
+    value = (total[LEAST_WORDS:] - total[:n]) * down[:n]
+    at = np.flatnonzero(likely[value >> np.uint64(48)])
+    value = value[at]
+    at = at[heads[np.minimum(np.searchsorted(heads, value), len(heads) - 1)] == value]
+    for size, (keys, numbers) in whole.items() if len(at) else ():
+        begin = at[at + size <= spans[found.row[at] + 1]]
+        value = _run(total, down, begin, size)
+        low, high = np.searchsorted(keys, value), np.searchsorted(keys, value, side="right")
+        some = high > low
+        for p, a, b in zip(begin[some].tolist(), low[some].tolist(), high[some].tolist()):
+            for i in numbers[a:b].tolist():
+                if np.array_equal(place[p : p + size], items.words[i]):
+                    yield int(found.row[p]), i, p
 
 
 def common_subsequence(item: np.ndarray, text: np.ndarray) -> int:
@@ -213,8 +273,9 @@ def search_column(column: pa.Array, space: Space, items: Items) -> list[tuple[in
     found = texts.words(column, "alnum")
     if not len(found.row):
         return []
-    starts = _block_starts(found, len(column), BLOCK)
-    row, spans = found.row[starts], texts.row_spans(found.row, len(column))
+    short = items.length[items.item_of] < SHORT
+    widths = WINDOWS if short.any() else WINDOWS[1:]
+    starts, spans = _block_starts(found, len(column), widths[0] // 2), texts.row_spans(found.row, len(column))
     term = _terms(found)
     blocks = np.add.reduceat(space.fold[term], starts, axis=0)
     none = len(items.vocabulary)
@@ -225,25 +286,27 @@ def search_column(column: pa.Array, space: Space, items: Items) -> list[tuple[in
     held = np.bincount(block * GROUPS + place % GROUPS, weight * (place < none), len(starts) * GROUPS)
     held = held.reshape(len(starts), GROUPS).astype(np.float32)
     best: dict[tuple[int, int], tuple] = {}
-    for width in WINDOWS:
-        count, vector, known = width // BLOCK, blocks.copy(), held.copy()
-        for k in range(1, count):
-            same = row[k:] == row[:-k]
-            vector[: len(row) - k][same] += blocks[k:][same]
-            known[: len(row) - k][same] += held[k:][same]
-        number = (starts - spans[row]) // BLOCK
-        chosen = np.flatnonzero(number % (count // 2) == 0)
-        near = _unit(vector[chosen]) @ items.vectors.T >= COSINE
-        first = starts[chosen]
-        stop = np.minimum(first + width, spans[row[chosen] + 1])
+    for width in widths:
+        if width > widths[0]:  # two blocks become one; each text begins a block
+            pairs = np.flatnonzero((starts - spans[found.row[starts]]) % (width // 2) == 0)
+            starts, blocks, held = starts[pairs], np.add.reduceat(blocks, pairs, axis=0), np.add.reduceat(held, pairs, axis=0)
+        first = starts
+        row = found.row[first]
+        vector, known, same = blocks.copy(), held.copy(), row[1:] == row[:-1]
+        vector[:-1][same] += blocks[1:][same]
+        known[:-1][same] += held[1:][same]
+        own = np.flatnonzero(short) if width < WINDOWS[1] else np.arange(len(short))
+        near = _unit(vector) @ items.vectors[own].T >= (COSINE_SHORT if width < WINDOWS[1] else COSINE)
+        stop = np.minimum(first + width, spans[row + 1])
         # the words of a window by groups of the vocabulary bound what it holds of an item's words
         least = SHARED * items.weight * np.minimum(1.0, width / items.length)
-        near &= known[chosen] @ items.groups.T >= (least[items.item_of] * 0.999)[None, :]
+        near &= known @ items.groups[own].T >= (least[items.item_of[own]] * 0.999)[None, :]
         window, segment = np.nonzero(near)
+        segment = own[segment]
         if not len(window):
             continue
-        item, first, stop, at_window = items.item_of[segment], first[window], stop[window], chosen[window]
-        value = np.einsum("ij,ij->i", _unit(vector[at_window]), items.vectors[segment])
+        item, first, stop = items.item_of[segment], first[window], stop[window]
+        value = np.einsum("ij,ij->i", _unit(vector[window]), items.vectors[segment])
         shared = np.zeros(len(first))
         for k in range(width):
             inside = first + k < stop
@@ -263,6 +326,8 @@ def search_column(column: pa.Array, space: Space, items: Items) -> list[tuple[in
                 continue
             entry = (common, c, answer, at - int(spans[r]))
             best[r, i] = max(best.get((r, i), entry), entry)
+    for r, i, at in _verbatim(found, spans, place, items):
+        best.setdefault((r, i), (int(items.length[i]), 1.0, True, at - int(spans[r])))
     return [(r, i, c, common, answer, at) for (r, i), (common, c, answer, at) in sorted(best.items())]
 
 
