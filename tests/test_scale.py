@@ -119,6 +119,43 @@ def test_number_of_stories_is_checked(spark, sf):
         news.news_dedup(spark.range(1), 21)
 
 
+def test_every_accepted_story_is_given(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [("HOT" if k % 3 else "B", k, f"T{rng.randrange(400)}", f"u{rng.randrange(400)}" if k % 50 else " ", f"2026-{rng.randrange(10, 13)}", rng.randrange(8, 14)) for k in range(1500)]
+    rows += [("CHAIN", k, f"t{k // 2}", f"u{(k + 1) // 2}", "2026", 60 - k) for k in range(12)]
+    frame = spark.createDataFrame(rows, "symbol string, doc_id int, headline string, url string, published_at string, relevance_score int")
+    frame = frame.selectExpr("*", "' d ' as description", "named_struct('name', 'n') as source")
+    expected, titles, urls = {}, set(), set()
+    for r in sorted(sorted(rows, key=lambda r: (r[4], -r[1]), reverse=True), key=lambda r: -r[5]):
+        title, url = (r[0], r[2].lower()), (r[0], r[3].strip())
+        if url[1] and title not in titles and url not in urls:
+            titles.add(title)
+            urls.add(url)
+            expected.setdefault(r[0], []).append(r[1])
+    got = {}
+    for r in news.news_dedup_all(frame).orderBy("symbol", "rank").collect():
+        got.setdefault(r.symbol, []).append(r.doc_id)
+        assert r["rank"] == len(got[r.symbol])
+    assert got == expected and len(got["HOT"]) > 100
+    assert news.news_dedup_all(frame.filter("false")).collect() == []
+    limited = [r.doc_id for r in news.news_dedup(frame.filter("symbol = 'HOT'")).orderBy("rank").collect()]
+    assert limited == expected["HOT"][:20]
+
+
+def test_registered_stories_have_no_limit(spark, tmp_path, monkeypatch):
+    from tickerloom.plans import score_queries
+
+    rows = [("ACME", k, f"acme news {k}", f"u{k}") for k in range(60)]
+    frame = spark.createDataFrame(rows, "symbol string, doc_id int, title string, url string").selectExpr(
+        "*", "'' as description", "'' as content", "'2026' as published_at", "named_struct('name', 'n') as source"
+    )
+    monkeypatch.setattr(score_queries.views, "news", lambda *_: frame)
+    monkeypatch.setattr(score_queries, "terms", lambda *_: spark.sql("select 'ACME' as symbol, array('acme') as terms"))
+    assert score_queries.news_dedup(spark, "").count() == 60
+
+
 def test_symbols_of_long_keys_stay_apart(spark):
     keys = spark.sql("select explode(array(7L, 12345678901L, 12345678902L, 123456789012L)) as k")
     rows = keys.selectExpr("k", f"{views.symbol_of('k')} as symbol").selectExpr("k", f"{views.KEY_OF_SYMBOL} as back", "symbol").collect()

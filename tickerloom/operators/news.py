@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions.text import is_blocked_headline, stripped
 from tickerloom.operators.joins import salted_lookup
+from tickerloom.session import shared_folder
 
 # Provider page size, points per match, the least relevant score kept,
 # and how many stories are given.
@@ -99,6 +100,16 @@ def relevant(scored: DataFrame) -> DataFrame:
     return scored.filter(F.col("relevance_score") >= MIN_RELEVANCE)
 
 
+def _best() -> list[Column]:
+    return [F.col("relevance_score").desc(), F.col("published_at").desc(), F.col("doc_id")]
+
+
+def _keyed(scored: DataFrame) -> DataFrame:
+    return scored.withColumns(
+        {"title_key": F.lower("headline"), "url_key": stripped(F.coalesce("url", F.lit("")))}
+    )
+
+
 def contenders(scored: DataFrame, limit: int) -> DataFrame:
     """Articles among which the first ``limit`` accepted of the greedy pass are found; the rest cannot matter.
 
@@ -110,14 +121,13 @@ def contenders(scored: DataFrame, limit: int) -> DataFrame:
     many articles one symbol has, a bounded number of them leaves a task.
     """
     frame = scored.filter(F.col("url_key") != "")
-    best = [F.col("relevance_score").desc(), F.col("published_at").desc(), F.col("doc_id")]
     for keys, most in (
         (["symbol", "title_key", "url_key"], 1),
         (["symbol", "title_key"], limit),
         (["symbol", "url_key"], limit),
         (["symbol"], limit + 2 * (limit - 1) ** 2),
     ):
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*best))
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*_best()))
         frame = frame.withColumn("position", place).filter(F.col("position") <= most)
     return frame
 
@@ -130,9 +140,6 @@ def news_dedup(scored: DataFrame, limit: int = MAX_LIMIT) -> DataFrame:
     """
     if not 1 <= limit <= MAX_LIMIT:
         raise ValueError(f"the number of stories must be 1 to {MAX_LIMIT}")
-    keyed = scored.withColumns(
-        {"title_key": F.lower("headline"), "url_key": stripped(F.coalesce("url", F.lit("")))}
-    )
     item = F.struct(
         "position",
         "title_key",
@@ -144,7 +151,7 @@ def news_dedup(scored: DataFrame, limit: int = MAX_LIMIT) -> DataFrame:
         "relevance_score",
         "doc_id",
     )
-    grouped = contenders(keyed, limit).groupBy("symbol").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    grouped = contenders(_keyed(scored), limit).groupBy("symbol").agg(F.sort_array(F.collect_list(item)).alias("items"))
 
     def accept(kept: Column, article: Column) -> Column:
         seen = F.exists(
@@ -161,6 +168,49 @@ def news_dedup(scored: DataFrame, limit: int = MAX_LIMIT) -> DataFrame:
     )
 
 
+def _settled(frame: DataFrame, name: str) -> DataFrame:
+    path = shared_folder(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def news_dedup_all(scored: DataFrame) -> DataFrame:
+    """The greedy de-duplication of :func:`news_dedup` without a limit: every accepted story of each symbol.
+
+    In rounds: an article that is the best left of its title and of its url is accepted, since no better one
+    can rule it out; what shares a title or url with an accepted one goes; until none is left. Every round accepts
+    at least the best article left of each symbol. The rounds are written to the shared folder, so this runs jobs when it
+    is called. Only the numbering of the accepted stories gathers a symbol (sorted, not held).
+    """
+
+    def first(frame: DataFrame, *keys: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("symbol", *keys).orderBy(*_best(), "title_key", "url_key"))
+        return frame.withColumn("position", place).filter("position = 1").drop("position")
+
+    left = _keyed(scored).filter("url_key <> '' and symbol is not null and title_key is not null").select(
+        "symbol",
+        "title_key",
+        "url_key",
+        "headline",
+        stripped(F.coalesce("description", F.lit(""))).alias("description"),
+        F.col("source.name").alias("source"),
+        "published_at",
+        "relevance_score",
+        "doc_id",
+    )
+    left, accepted = _settled(first(left, "title_key", "url_key"), "news-left"), None
+    while accepted is None or not left.isEmpty():
+        keys = ["symbol", "title_key", "url_key"]
+        won = _settled(first(left, "title_key").join(first(left, "url_key").select(*keys), keys), "news-accepted")
+        accepted = won if accepted is None else accepted.unionByName(won)
+        for key in ("title_key", "url_key"):
+            left = left.join(won.select("symbol", key), ["symbol", key], "left_anti")
+        left = _settled(left, "news-left")
+    return accepted.withColumn("rank", F.row_number().over(Window.partitionBy("symbol").orderBy(*_best(), "title_key", "url_key"))).select(
+        "symbol", "rank", F.col("url_key").alias("url"), "headline", "description", "source", "published_at", "relevance_score", "doc_id"
+    )
+
+
 def news_topk(articles: DataFrame, terms: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """Relevant, de-duplicated news per symbol, out of all its articles: at most ``limit`` stories, best first."""
     return news_dedup(relevant(relevance_score(headline_filter(articles), terms)), limit)

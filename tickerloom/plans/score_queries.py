@@ -60,9 +60,9 @@ def _stories(frame: DataFrame) -> DataFrame:
 
 
 def news_dedup(spark, sf):
-    """The first 20 stories of each symbol, the most that a report may ask for."""
+    """Every story of each symbol that the greedy pass accepts."""
     scored = news.relevant(news.relevance_score(news.headline_filter(views.news(spark, sf)), terms(spark, sf)))
-    return _stories(news.news_dedup(scored, news.MAX_LIMIT).select("symbol", "rank", "doc_id", "url", "relevance_score"))
+    return _stories(news.news_dedup_all(scored).select("symbol", "rank", "doc_id", "url", "relevance_score"))
 
 
 def news_topk(spark, sf):
