@@ -253,6 +253,17 @@ def test_toxicity_edges(spark):
     assert toxicity.classify(h.documents(spark, []), labels(spark, marks)).count() == 0
 
 
+def test_stage_decides_by_the_threshold_of_the_language(spark):
+    texts = [h.prose(k, 5 + k % 40) + (" vile" if k % 4 == 0 else "") for k in range(400)] + [None, ""]
+    docs = h.documents(spark, texts, clash=True)
+    model = toxicity.fit(docs, labels(spark, [(k, 1, int(k % 4 == 0)) for k in range(400)]))
+    scores = {r["doc_id"]: (r["lang"], r["score"]) for r in toxicity.score(docs, model).collect()}
+    middle = float(np.median([s for _, s in scores.values()]))
+    for own in ({}, {"en": 2.0}, {"en": middle, "de": 0.0}, {"": 2.0, "de": middle}):
+        kept = {r["doc_id"] for r in toxicity.not_toxic(docs, model._replace(thresholds=own)).collect()}
+        assert kept == {i for i, (lang, s) in scores.items() if s < own.get(lang or "", 0.3)}
+
+
 # ---- licenses
 
 

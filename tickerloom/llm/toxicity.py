@@ -300,13 +300,16 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def not_toxic(documents: DataFrame, model: Model) -> DataFrame:
-    """The documents with a score below the threshold; rows are filtered in place, without a shuffle."""
+    """The documents with a score below the threshold of their language, ``THRESHOLD`` where none was calibrated;
+    rows are filtered in place, without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in texts.slices(batch):
                 column = part.column(part.schema.get_field_index("text"))
-                yield part.filter(pa.array(_scores(model, column) < THRESHOLD))
+                lang = part.column(part.schema.get_field_index("lang")).to_pylist()
+                limit = np.array([model.thresholds.get(x if x is not None else "", THRESHOLD) for x in lang])
+                yield part.filter(pa.array(_scores(model, column) < limit))
 
     return map_arrow(documents, run, documents.schema)
 
