@@ -105,7 +105,91 @@ select query_id, row_number() over (partition by query_id order by score desc, v
 from scored qualify rank <= 10
 """
 
+INFILL = r"""
+with cut as (
+  select doc_id, coalesce(text, '') as text,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as units,
+    sha256('42:' || coalesce(doc_id::varchar, '')) as h
+  from documents
+), drawn as (
+  select *, len(units) as n, list_transform(range(0, 4), lambda k: ('0x' || substr(h, (8 * k + 1)::int, 8))::bigint) as d from cut
+), formed as (
+  select *, least(d[1] % (n + 1), d[2] % (n + 1)) as one, greatest(d[1] % (n + 1), d[2] % (n + 1)) as two,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or d[3] % 100 >= 50 then 'plain'
+      when d[4] % 100 < 80 then 'spm' else 'psm' end as form
+  from drawn
+), parts as (
+  select *, array_to_string(units[:one], '') as p, array_to_string(units[one + 1 : two], '') as m, array_to_string(units[two + 1 :], '') as s
+  from formed
+)
+select doc_id, n::bigint as n, form,
+  case when form <> 'plain' then length(p) end::bigint as prefix_chars,
+  case when form <> 'plain' then length(m) end::bigint as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+    else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(text) as restored_sha256
+from parts
+"""
+
+
+def _merkle_field(name: str) -> str:
+    return f"case when {name} is null then '-' else strlen({name}::varchar) || ':' || {name}::varchar end"
+
+
+def _merkle_leaf(text: str) -> str:
+    fields = [_merkle_field(name) for name in ("doc_id", "source", "lang", "n_chars")]
+    return f"sha256({' || '.join([*fields, text])})"
+
+
+MANIFEST = f"""
+with recursive read as (
+  select *, {_merkle_field("lang")} as tree, {_merkle_leaf(_merkle_field("text"))} as leaf,
+    {_merkle_leaf(_merkle_field("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"))} as other,
+    list_reduce(list_transform(range(1, length(doc_id::varchar) + 1), lambda k: ord(substr(doc_id::varchar, k::int, 1))::bigint),
+      lambda crc, byte: list_reduce(range(0, 8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), xor(crc, byte)), 4294967295) as crc
+  from documents
+), leaves as (
+  select tree, lang, doc_id, leaf, case when xor(crc, 4294967295) % 3 = 0 then other else leaf end as claim,
+    row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as idx, count(*) over (partition by tree) as n
+  from read
+), low as (
+  select tree, 0 as level, idx, leaf as hash, n from leaves
+  union all
+  select tree, level + 1, idx // 8, sha256(string_agg(hash, '' order by idx)), (any_value(n) + 7) // 8
+  from low where n > 1 group by tree, level, idx // 8
+), subroots as (
+  select l.tree, l.hash as subroot, row_number() over (order by any_value(v.lang) nulls first) - 1 as idx, count(*) over () as n
+  from low l join leaves v on v.tree = l.tree where l.n = 1 group by l.tree, l.hash
+), high as (
+  select '' as tree, 0 as level, idx, subroot as hash, n from subroots
+  union all
+  select tree, level + 1, idx // 8, sha256(string_agg(hash, '' order by idx)), (any_value(n) + 7) // 8
+  from high where n > 1 group by tree, level, idx // 8
+), runs as (
+  select tree, level, idx // 8 as parent, list(hash order by idx) as members
+  from (select * from low union all select * from high) where n > 1 group by tree, level, idx // 8
+), walk as (
+  select v.doc_id, v.idx as start, v.leaf, v.tree as own, v.tree, 0 as level, v.idx, v.n, v.claim as value, '' as proof, s.subroot,
+    s.idx as place, s.n as places
+  from leaves v join subroots s on s.tree = v.tree
+  union all
+  select w.doc_id, w.start, w.leaf, w.own,
+    case when w.n = 1 then '' else w.tree end, case when w.n = 1 then 0 else w.level + 1 end,
+    case when w.n = 1 then w.place else w.idx // 8 end, case when w.n = 1 then w.places else (w.n + 7) // 8 end,
+    case when w.n = 1 then w.value else sha256(array_to_string(
+      r.members[: w.idx % 8] || [w.value] || r.members[w.idx % 8 + 2 :], '')) end,
+    case when w.n = 1 then w.proof else w.proof || array_to_string(r.members[: w.idx % 8] || r.members[w.idx % 8 + 2 :], '') end,
+    w.subroot, w.place, w.places
+  from walk w left join runs r on r.tree = w.tree and r.level = w.level and r.parent = w.idx // 8
+  where w.n > 1 or w.tree <> ''
+)
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, value as folded_root, value = root as verified
+from walk, (select hash as root from high where n = 1) where tree = '' and n = 1
+"""
+
 ORACLES: dict[str, str] = {
+    "op11_sparse_exception_infill": INFILL,
+    "op12_octopus_manifest": MANIFEST,
     "op2_entropy_mixing": MIXING,
     "op3_content_archive": ARCHIVE,
     "op4_tensored_minhash": NEAR_DUPLICATES,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import archive, latent, licenses, mixing, neardup, quality, suffixes, tokens, topk, toxicity
+from tickerloom.llm import archive, infill, latent, licenses, merkle, mixing, neardup, pivots, quality, suffixes, tokens, topk, toxicity
 from tickerloom.llm.tables import read_table
 
 
@@ -55,6 +55,25 @@ def op10_norm_bucket_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(read_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op11_sparse_exception_infill(spark: SparkSession, folder: str) -> DataFrame:
+    made = infill.fill_in_middle(read_table(spark, folder, "documents"))
+    restored = infill.restore(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256")
+    )
+
+
+def op12_octopus_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    proofs = merkle.prove(merkle.build(read_table(spark, folder, "documents"), claim=merkle.tampered()))
+    digest = F.sha2(F.lower(F.hex("proof")), 256)
+    return proofs.select("doc_id", "leaf", "subroot", "root", digest.alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_pivot_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = pivots.near_duplicates(read_table(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: query for name, query in list(globals().items()) if name.startswith("op") and "_" in name
 }
