@@ -151,6 +151,27 @@ def test_near_duplicates(spark, clash, monkeypatch):
     assert len(found) == len(texts)
 
 
+def test_a_large_group_of_copies_moves_few_texts(spark):
+    n = 20_000
+    member = spark.range(n + 300).selectExpr("id as node", "100 + id % 7 as n_shingles", "900L as bytes")
+    star = spark.range(1, n).selectExpr("id as a", "0L as b")
+    assert neardup.beside_heads(member, star).count() < 2 * n
+    # one class of n members and 300 single ones in one cluster: the large class is not compared with itself
+    placed = neardup.place(member.selectExpr("*", f"if(node < {n}, 0L, node) as known", "0L as cluster"))
+    assert placed.selectExpr("sum(size(places))").first()[0] < 8 * n
+    assert placed.filter(f"node < {n}").selectExpr("max(size(places))").first()[0] <= 4
+
+
+def test_clusters_of_several_classes_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 6)
+    base = h.prose(5, 90).split()
+    steps = [" ".join([f"s{k}x{j}" for j in range(3 * k)] + base[3 * k :]) for k in range(16)]  # a chain of near copies
+    texts = [*steps, *near_copies(40, 90, 5), *near_copies(25, 60, 6), *h.edge_texts()]
+    random.Random(4).shuffle(texts)
+    found = neardup.near_duplicates(h.documents(spark, texts)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in found} == h.brute_classes(enumerate(texts))
+
+
 def test_near_duplicates_repeated_ids_null_ids_and_no_rows(spark):
     text = h.prose(1, 50)
     frame = h.documents(spark, [text, text, text + " tail", "alone", "", None], ids=[3, 3, None, None, None, 8])

@@ -7,11 +7,13 @@ tables of ``2 * WIDTH`` minhashes each come from ``2 * SKETCHES * WIDTH`` minhas
 values are dropped before pairs are formed. Two documents of similarity 0.75 share no table with a
 probability below 2 (1 - 0.75 ** WIDTH) ** SKETCHES, about 4e-6.
 
-Candidates are verified on full shingle sets. The members of a table are linked to its smallest member; the
-components of these candidate links are clusters, which all true links lie within. A cluster is cut into
-blocks of at most ``BLOCK_ROWS`` documents (and ``BLOCK_BYTES`` of text) of similar set size; blocks whose
-sizes allow the similarity are compared in pairs, and a task emits only a spanning forest of the links that
-it confirms, never all pairs. Components of the confirmed links are the classes.
+Candidates are verified on full shingle sets, in two steps. The members of tables are linked to the smallest
+ones they share a table with, and first compared with these, in blocks of at most ``BLOCK_ROWS`` documents (and
+``BLOCK_BYTES`` of text): work and moved texts are in proportion to the members, however large a group of copies is.
+What this confirms are classes. Only where candidate links lead from one class to another is more to be compared:
+such clusters are cut into blocks of similar set size, and blocks whose sizes allow the similarity are compared
+across classes. A task emits only a spanning forest of the links that it confirms, never all pairs. Components
+of the confirmed links are the classes.
 
 Documents with equal shingle sets are one node from the start, so copies are never compared.
 
@@ -38,6 +40,7 @@ SHINGLE, PERCENT = 5, 75
 SKETCHES, WIDTH = 24, 3
 BLOCK_ROWS, BLOCK_BYTES = 256, 4 << 20
 NAMELESS = 1 << 62  # nodes of rows without doc_id lie from here on
+SHARED = -(1 << 62)  # owner of the blocks that small classes share
 
 _rng = np.random.Generator(np.random.PCG64(11))
 _MULTIPLIERS = _rng.integers(1, 1 << 62, 2 * SKETCHES * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -105,7 +108,11 @@ def _nameless():
 
 
 def candidate_links(nodes: DataFrame) -> DataFrame:
-    """(a, b): members of each shared table and its smallest member."""
+    """(a, b): links that connect the members of each shared table.
+
+    A table's head is its smallest member, a node's ``low`` the smallest head of its tables. Each node is linked to
+    its low, and each head to the lows of its members: a link or so for each node, however many tables a group shares.
+    """
     values = nodes.select("node", F.posexplode("sketch").alias("at", "value"))
     shared = values.groupBy("at", "value").agg(F.count("*").alias("n")).filter("n > 1").select("at", "value")
     alive = values.join(shared, ["at", "value"]).groupBy("node").agg(F.collect_list(F.struct("at", "value")).alias("alive"))
@@ -118,22 +125,26 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
     )
     keys = settle(keys, "neardup-tables")
     heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return keys.join(heads, "key").filter("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    # a node is in at most SKETCHES ** 2 tables, so its heads are bounded
+    met = keys.join(heads, "key").groupBy("node").agg(F.collect_set("head").alias("heads")).withColumn("low", F.array_min("heads"))
+    own = met.select(F.col("node").alias("a"), F.col("low").alias("b"))
+    return own.union(met.select(F.explode("heads").alias("a"), F.col("low").alias("b"))).filter("a != b").distinct()
 
 
 def _confirm(table: pa.Table) -> pa.Table:
-    """Spanning forest of the links between the documents of one pair of blocks."""
+    """Spanning forest of the links between the documents of one pair of blocks; those of one ``known`` class are linked already."""
     column = table.column("text").combine_chunks()
     if isinstance(column, pa.ChunkedArray):
         column = column.chunk(0) if column.num_chunks else pa.array([], pa.string())
-    nodes, sides = np.asarray(table.column("node")), np.asarray(table.column("side"))
+    nodes, sides, known = (np.asarray(table.column(name)) for name in ("node", "side", "known"))
     n = len(nodes)
     row, value = texts.shingles(texts.words(column), n, SHINGLE)
     spans = texts.row_spans(row, n)
     sizes = np.diff(spans)
     _, code = np.unique(value, return_inverse=True)
     mark = np.zeros(len(code) + 1, np.int64)
-    parent = list(range(n))
+    _, first, which = np.unique(known, return_index=True, return_inverse=True)
+    parent = first[which].tolist()
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -147,7 +158,7 @@ def _confirm(table: pa.Table) -> pa.Table:
         if not alone and sides[i] == 1:
             continue
         rest = np.arange(i + 1, n) if alone else np.flatnonzero(sides == 1)
-        fits = (100 * sizes[rest] >= PERCENT * sizes[i]) & (100 * sizes[i] >= PERCENT * sizes[rest])
+        fits = (100 * sizes[rest] >= PERCENT * sizes[i]) & (100 * sizes[i] >= PERCENT * sizes[rest]) & (known[rest] != known[i])
         rest = rest[fits]
         if not len(rest):
             continue
@@ -167,47 +178,80 @@ def _confirm(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
 
+def _parts():
+    """How many blocks a group of members needs."""
+    return F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("bytes") / BLOCK_BYTES), F.lit(1)).cast("int").alias("parts")
+
+
+def beside_heads(member: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, hub, part): the blocks of the first comparison, each node with the smallest it is linked to.
+
+    The members of a hub are cut into blocks, and the hub stands in each: a member moves once, a hub once for each block.
+    """
+    low = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("hub"))
+    hubs = low.join(member.select("node", "bytes"), "node")
+    parts = hubs.groupBy("hub").agg(_parts())
+    spread = hubs.join(parts, "hub").select("node", "hub", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+    return spread.union(parts.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
+
+
 def place(member: DataFrame) -> DataFrame:
-    """Adds ``places``: the pairs of blocks that a member of a cluster is compared in.
+    """Adds ``places``: the pairs of blocks that a member (node, n_shingles, bytes, known, cluster) is compared in.
 
-    Sizes of a ratio of 0.75 or more fall into one band or two neighbouring bands; a band is cut into
-    blocks by hash. A cluster that fits one block is not cut into bands.
+    Sizes of a ratio of 0.75 or more fall into one band or two neighbouring bands; a cluster that fits one block is
+    not cut into bands. A class that is ``known`` to be linked and needs several blocks has them to itself, and they
+    are not compared with each other; smaller classes share blocks.
     """
-    total = lambda *keys: member.groupBy(*keys).agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("parts")
-    )
-    small = total("cluster").filter("parts <= 1").select("cluster", F.lit(True).alias("small"))
+    small = member.groupBy("cluster").agg(_parts()).filter("parts <= 1").select("cluster", F.lit(True).alias("small"))
     band = F.floor(F.log("n_shingles") / F.log(F.lit(100 / PERCENT)) + 1e-9).cast("int")
     member = member.join(small, "cluster", "left").withColumn("band", F.when(F.col("small"), F.lit(-1)).otherwise(band)).drop("small")
-    parts = total("cluster", "band")
-    below = parts.select("cluster", (F.col("band") + 1).alias("band"), F.col("parts").alias("below")).filter("band > 0")
-    above = parts.select("cluster", (F.col("band") - 1).alias("band"), F.col("parts").alias("above")).filter("band >= 0")
-    parts = parts.join(below, ["cluster", "band"], "left").join(above, ["cluster", "band"], "left")
-    own, level = F.col("part"), F.col("band")
-    numbers = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    pair = lambda low, i, high, j, side: F.struct(
-        low.alias("low"), i.alias("i"), high.alias("high"), j.alias("j"), side.cast("int").alias("side")
-    )
-    none = F.array().cast("array<struct<low:int,i:int,high:int,j:int,side:int>>")
-    same = F.transform(numbers("parts"), lambda j: pair(level, F.least(own, j), level, F.greatest(own, j), own > j))
-    up = F.transform(numbers("above"), lambda j: pair(level, own, level + 1, j, F.lit(0)))
-    down = F.transform(numbers("below"), lambda j: pair(level - 1, j, level, own, F.lit(1)))
+    large = member.groupBy("cluster", "band", "known").agg(_parts()).filter("parts > 1").select("cluster", "band", "known", F.col("known").alias("own"))
+    member = member.join(large, ["cluster", "band", "known"], "left").fillna(SHARED, ["own"])
+    groups = member.groupBy("cluster", "band", "own").agg(_parts())
+    numbers = groups.select("cluster", "band", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    blocks = numbers.groupBy("cluster", "band").agg(F.collect_list(F.struct("band", "own", "part")).alias("same"))
+    above = blocks.select("cluster", (F.col("band") - 1).alias("band"), F.col("same").alias("above")).filter("band >= 0")
+    below = blocks.select("cluster", (F.col("band") + 1).alias("band"), F.col("same").alias("below")).filter("band > 0")
+    blocks = blocks.join(above, ["cluster", "band"], "left").join(below, ["cluster", "band"], "left")
+    mine = F.struct("band", "own", "part")
+    none = F.array().cast("array<struct<band:int,own:bigint,part:int>>")
+    met = F.concat("same", F.coalesce("above", none), F.coalesce("below", none))
+    pair = lambda x: F.struct(F.least(mine, x).alias("low"), F.greatest(mine, x).alias("high"), (mine > x).cast("int").alias("side"))
     return (
-        member.join(parts, ["cluster", "band"])
+        member.join(groups, ["cluster", "band", "own"])
         .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        .select("node", "cluster", F.concat(same, F.coalesce(up, none), F.coalesce(down, none)).alias("places"))
+        .join(blocks, ["cluster", "band"])
+        .select("node", "known", "cluster", F.transform(F.filter(met, lambda x: (x["own"] != F.col("own")) | (x["own"] == SHARED)), pair).alias("places"))
     )
 
 
-def confirmed_links(documents: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(a, b): enough confirmed links to connect what the links of each cluster connect."""
-    member = nodes.join(clusters, "node").select("node", "n_shingles", "bytes", F.col("component").alias("cluster"))
-    placed = settle(place(member), "neardup-places")
+def confirmed_links(documents: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b): enough confirmed links to connect what all links among candidates connect.
+
+    First each node is compared with the smallest it is linked to, in blocks: in a large group of copies this confirms
+    nearly all, at a cost in proportion to its members. Then only clusters in which different classes remain are
+    compared, across classes.
+    """
+    linked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    member = settle(nodes.join(linked, "node").select("node", "n_shingles", "bytes").distinct(), "neardup-members")
     named = documents.select(F.col("doc_id").cast("long").alias("node"), "text").filter("node is not null and text is not null")
     unnamed = fingerprints(documents.filter("doc_id is null"), keep="text").select(_nameless().alias("node"), "text")
-    found = named.union(unnamed).join(placed.hint("merge"), "node")  # grows with the corpus: never broadcast
-    spread = found.select("node", "text", "cluster", F.explode("places").alias("p")).select("cluster", "p.*", "node", "text")
-    return spread.groupBy("cluster", "low", "i", "high", "j").applyInArrow(_confirm, "a long, b long")
+    # grows with the corpus: never broadcast
+    found = settle(named.union(unnamed).join(member.select("node").hint("merge"), "node", "left_semi"), "neardup-texts")
+
+    hubs = found.join(beside_heads(member, links), "node").select("hub", "part", "node", F.col("node").alias("known"), F.lit(0).alias("side"), "text")
+    near = settle(hubs.groupBy("hub", "part").applyInArrow(_confirm, "a long, b long"), "neardup-first")
+    known = member.join(components(near), "node", "left").withColumn("known", F.coalesce("component", "node")).drop("component")
+    known = settle(known, "neardup-known")
+
+    named_class = lambda side: known.select(F.col("node").alias(side), F.col("known").alias(f"{side}_class"))
+    across = links.join(named_class("a"), "a").join(named_class("b"), "b").filter("a_class != b_class")
+    clusters = components(across.select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct())
+    left = known.join(clusters.select(F.col("node").alias("known"), F.col("component").alias("cluster")), "known")
+    placed = settle(place(left), "neardup-places")
+    spread = found.join(placed, "node").select("node", "text", "known", "cluster", F.explode("places").alias("p"))
+    rest = spread.select("cluster", "p.*", "node", "known", "text").groupBy("cluster", "low", "high").applyInArrow(_confirm, "a long, b long")
+    return near.union(settle(rest, "neardup-rest"))
 
 
 def classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -218,8 +262,8 @@ def classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = settle(sets.withColumn("node", F.coalesce("first", _nameless())), "neardup-sets")
     mine = [marks[c] == sets[c] for c in SET]
     nodes = marks.join(sets, [*mine, marks["doc_id"].eqNullSafe(sets["first"])]).select("node", sets["n_shingles"], "bytes", "sketch")
-    clusters = components(candidate_links(nodes.select("node", "sketch")))
-    found = components(confirmed_links(documents, nodes.drop("sketch"), clusters))
+    links = settle(candidate_links(nodes.select("node", "sketch")), "neardup-links")
+    found = components(confirmed_links(documents, nodes.drop("sketch"), links))
     named = sets.join(found, "node", "left").select(*SET, "first", "node", F.coalesce("component", "node").alias("component"))
     return marks.drop("sketch"), named
 
