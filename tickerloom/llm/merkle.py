@@ -35,13 +35,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.llm.tables import settle, workers_import
+from tickerloom.operators.joins import salted_lookup
 
 FAN, TIER = 8, 4
 _BITS = 3  # FAN = 1 << _BITS
 SPAN = _BITS * TIER
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 TOP = ""  # name of the tree of subroots; trees of rows are named by the field of their lang, which is never empty
-NODE = "tree string, level int, idx long, hash binary, top boolean"
+NODE = "tree string, size long, level int, idx long, hash binary, top boolean"
 REQUESTS_PER_SALT = 4096
 
 
@@ -94,10 +95,11 @@ def _hexes(column: pa.ChunkedArray) -> list[bytes]:
 
 def _reduce_block(table: pa.Table) -> pa.Table:
     """The nodes above one aligned block of nodes (tree, size, level, idx, hash), up to TIER levels or the tree's root."""
-    tree, size, level = (table.column(name)[0].as_py() for name in ("tree", "size", "level"))
+    tree, whole, level = (table.column(name)[0].as_py() for name in ("tree", "size", "level"))
     order = np.argsort(np.asarray(table.column("idx")), kind="stable")
     values = _hexes(table.column("hash").take(pa.array(order)))
     start = int(np.asarray(table.column("idx"))[order[0]])
+    size = whole
     for _ in range(level):
         size = -(-size // FAN)
     out = []
@@ -106,23 +108,22 @@ def _reduce_block(table: pa.Table) -> pa.Table:
             break
         values = [_hash(values[k : k + FAN]) for k in range(0, len(values), FAN)]
         size, start = -(-size // FAN), start // FAN
-        out += [(tree, level + step, start + k, bytes.fromhex(v.decode()), size == 1) for k, v in enumerate(values)]
-    columns = list(zip(*out)) if out else [[]] * 5
-    kinds = (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.bool_())
-    return pa.table({n: pa.array(list(c), k) for n, c, k in zip(("tree", "level", "idx", "hash", "top"), columns, kinds)})
+        out += [(tree, whole, level + step, start + k, bytes.fromhex(v.decode()), size == 1) for k, v in enumerate(values)]
+    columns = list(zip(*out)) if out else [[]] * 6
+    kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.bool_())
+    return pa.table({n: pa.array(list(c), k) for n, c, k in zip(("tree", "size", "level", "idx", "hash", "top"), columns, kinds)})
 
 
 def _grow(leaves: DataFrame, name: str) -> DataFrame:
     """All nodes above the leaves (tree, position, size, hash) of every tree."""
     most = leaves.agg(F.max("size")).first()[0] or 0
     now = leaves.select("tree", "size", F.lit(0).alias("level"), F.col("position").alias("idx"), "hash")
-    sizes = leaves.filter("position = 0").select("tree", "size")
     tiers, level = [], 0
     while most > 1:
         block = F.shiftright("idx", SPAN).alias("block")
         tiers.append(settle(now.groupBy("tree", block).applyInArrow(_reduce_block, NODE), f"{name}-tier"))
         level, most = level + TIER, -(-most // FAN**TIER)
-        now = tiers[-1].filter((F.col("level") == level) & ~F.col("top")).join(sizes, "tree").select("tree", "size", "level", "idx", "hash")
+        now = tiers[-1].filter((F.col("level") == level) & ~F.col("top")).drop("top")
     empty = leaves.sparkSession.createDataFrame([], NODE)
     return reduce(DataFrame.unionByName, tiers, empty)
 
@@ -149,12 +150,12 @@ def build(rows: DataFrame, claim: Column | None = None) -> Manifest:
     places = _numbered(named.select(F.lit(TOP).alias("tree"), F.col("tree").alias("of"), "lang", "hash"), [first("lang")], "manifest-roots")
     upper = _grow(places, "manifest-top")
     last = upper.filter("top").select("hash").union(places.filter("size = 1").select("hash")).first()
-    bottom = places.select("tree", F.lit(0).alias("level"), F.col("position").alias("idx"), "hash", F.lit(False).alias("top"))
+    bottom = places.select("tree", F.lit(0).alias("level"), F.col("position").alias("idx"), "hash")
     parts = leaves.filter("position = 0").agg(F.sum(F.shiftright(F.col("size") - 1, SPAN) + 1)).first()[0] or 0
     return Manifest(
         leaves.select("tree", "position", "size", "doc_id", "lang", F.col("hash").alias("leaf"), "claim"),
-        inner.union(bottom).union(upper).drop("top"),
-        places.select(F.col("of").alias("tree"), F.col("position").alias("place"), F.col("size").alias("places")),
+        reduce(DataFrame.unionByName, (part.select("tree", "level", "idx", "hash") for part in (inner, bottom, upper))),
+        settle(places.select(F.col("of").alias("tree"), F.col("position").alias("place"), F.col("size").alias("places")), "manifest-places"),
         last[0].hex() if last else None,
         int(parts),
     )
@@ -267,7 +268,8 @@ def prove(manifest: Manifest, wanted: Column | None = None) -> DataFrame:
     """
     part = F.shiftright("position", SPAN)
     leaves = manifest.leaves if wanted is None else manifest.leaves.filter(wanted)
-    leaves = leaves.join(manifest.roots, "tree").withColumn("part", part)
+    # salted, so that the blocks of a large tree are neither joined nor, by reuse of the exchange, proved in one task
+    leaves = salted_lookup(leaves, manifest.roots, ["tree"], ["position"], how="inner").withColumn("part", part)
     coordinates = leaves.select("tree", "part", "position", "size", "place", "places")
     wishes = settle(
         coordinates.groupBy("tree", "part").applyInArrow(_wishes, "tree string, part long, of string, level int, idx long"), "manifest-wishes"
