@@ -5,13 +5,14 @@
 2. Randomised SVD. With A the TF-IDF matrix of all passages and O a random matrix of ``SKETCH`` columns,
    tasks add up their part of ``A'(A O)`` (a fixed number of rows each); the sum gives the leading right
    singular vectors and values of A by Nystrom's method (only terms x SKETCH numbers reach the driver).
-3. Candidates. Benchmark items (long ones in segments) and overlapping windows of every whole document are
-   folded into the latent space, ``x V / s``, and compared by cosine: those above ``COSINE`` are candidates.
-   Items of fewer than ``SHORT`` words also meet windows of 12 words, where ``COSINE_SHORT`` is enough.
-4. Checks. A window must hold ``SHARED`` of the item's squared weights (of as many of its words as it has room for); then the longest
-   common subsequence of the item's words and the text around the window is measured. An item is found where it covers ``FULL`` of
-   the item's words, or ``PARTLY`` of them and the item's answer (its last quarter of words, three at least)
-   stands there word for word.
+3. Candidates. Every whole document is covered by overlapping windows. A window must hold ``SHARED`` of an item's
+   squared weights (of as many of its words as it has room for), which lists of the items that hold a word count for all
+   items at once; such windows and the items (long ones in segments) are folded into the latent space, ``x V / s``,
+   and compared by cosine: those above ``COSINE`` are candidates. Items of fewer than ``SHORT`` words also meet windows of
+   12 words, where ``COSINE_SHORT`` is enough.
+4. Checks. The longest common subsequence of the item's words and the text around the window is measured. An item is found
+   where it covers ``FULL`` of the item's words, or ``PARTLY`` of them and the item's answer (its last quarter of words,
+   three at least) stands there word for word; an item of several segments also where it covers ``FULL`` of one.
 5. Exact way. Whatever the cosine, an item that stands in a text word for word is found by fingerprints of runs
    of words (cosine 1, all words common).
 
@@ -19,8 +20,9 @@ Items are taken in groups of at most ``ITEMS_AT_ONCE`` per pass over the documen
 the benchmark is bounded and any number of items is searched exactly alike.
 
 Defined results: null and empty texts hold nothing; items with fewer than ``LEAST_WORDS`` words are not
-searched; repeated rows and repeated items give rows of their own; null ids pass through; an empty table on
-either side gives no rows; other columns are ignored.
+searched; repeated rows and repeated items give rows of their own; of equally good places the first by common words,
+cosine, answer and position counts; a very long text is searched whole; null ids pass through; an empty table on either
+side gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,13 +38,13 @@ from pyspark.sql import functions as F
 from tickerloom.llm import texts
 from tickerloom.llm.tables import map_arrow, workers_import
 
-PASSAGE, BUCKETS, SKETCH, RANK = 32, 1 << 13, 48, 40
+PASSAGE, BUCKETS, SKETCH, RANK = 32, 1 << 13, 56, 48
 WINDOWS, SHORT = (12, 24, 48), 16  # each twice the one before; they step by half their width
 COSINE, COSINE_SHORT, SHARED, FULL, PARTLY = 0.4, 0.2, 0.3, 0.75, 0.6
 LEAST_WORDS, SEGMENT = 5, 48
 ITEMS_AT_ONCE = 4096
 FIXED_POINT = 1 << 10
-GROUPS = 64
+DENSE = 1 << 20  # blocks times items counted at once
 SLICE = 1 << 18
 
 
@@ -62,18 +64,29 @@ class Runs(NamedTuple):
     whole: dict[int, tuple[np.ndarray, np.ndarray]]
 
 
+class Holders(NamedTuple):
+    """Which of some items hold a word: of common words as rows of a matrix, of the others as lists."""
+
+    items: np.ndarray
+    common: np.ndarray
+    matrix: np.ndarray
+    start: np.ndarray
+    listed: np.ndarray
+
+
 class Items(NamedTuple):
     """Items as lists of word numbers in their common vocabulary, and their segments in the latent space."""
 
     ids: list
     words: list[np.ndarray]
     vectors: np.ndarray
-    item_of: np.ndarray
+    segments: list[list[int]]
+    pieces: list[np.ndarray]
     vocabulary: np.ndarray
-    holds: np.ndarray
+    all: Holders
+    short: Holders
     length: np.ndarray
     weight: np.ndarray
-    groups: np.ndarray
     runs: Runs
 
 
@@ -119,19 +132,18 @@ def fit(documents: DataFrame) -> Space:
     probe = (random * weight[:, None]).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((BUCKETS, SKETCH))
+        total = np.zeros((SKETCH, BUCKETS))
         for batch in batches:
             for part in texts.slices(batch, limit=SLICE):
                 found = texts.words(part.column(0), "alnum")
                 if not len(found.row):
                     continue
                 term, starts = _terms(found), _block_starts(found, part.num_rows, PASSAGE)
-                product = np.add.reduceat(probe[term], starts, axis=0)
+                product = np.ascontiguousarray(np.add.reduceat(probe[term], starts, axis=0).T, dtype=np.float64)
                 passage = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(term)]))
-                order = np.argsort(term.astype(np.uint16), kind="stable")
-                first = np.flatnonzero(np.r_[True, np.diff(term[order]) != 0])
-                total[term[order][first]] += np.add.reduceat(product[passage[order]], first, axis=0)
-        exact = np.rint(total * FIXED_POINT).astype(np.int64)
+                for k in range(SKETCH):
+                    total[k] += np.bincount(term, product[k][passage], BUCKETS)
+        exact = np.rint(total.T * FIXED_POINT).astype(np.int64)
         some = np.flatnonzero(exact.any(axis=1))
         columns = [pa.array(some), *(pa.array(exact[some, k]) for k in range(SKETCH))]
         yield pa.RecordBatch.from_arrays(columns, names)
@@ -164,6 +176,40 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-20).astype(x.dtype)
 
 
+def _holders(words: list[np.ndarray], chosen: np.ndarray, vocabulary: int) -> Holders:
+    """Common words are those that a sixteenth of the chosen items hold."""
+    own = [np.unique(words[i]) for i in chosen]
+    held = np.concatenate([np.zeros(0, np.int64), *own])
+    item = np.repeat(np.arange(len(own)), [len(w) for w in own])
+    count = np.bincount(held, minlength=vocabulary + 1)
+    often = np.flatnonzero(count > max(1, len(own) // 16))
+    common = np.full(vocabulary + 1, -1)
+    common[often] = np.arange(len(often))
+    matrix = np.zeros((len(often), len(own)), np.float32)
+    dense = common[held] >= 0
+    matrix[common[held[dense]], item[dense]] = 1
+    held, item = held[~dense], item[~dense]
+    order = np.argsort(held, kind="stable")
+    start = np.searchsorted(held[order], np.arange(vocabulary + 2))
+    return Holders(chosen, common, matrix, start, item[order])
+
+
+def _held_weight(holders: Holders, place: np.ndarray, weight: np.ndarray, block: np.ndarray, blocks: int) -> np.ndarray:
+    """(blocks, items): the squared weights of a block's words that an item holds."""
+    n, row = len(holders.items), holders.common[place]
+    dense = row >= 0
+    width = len(holders.matrix)
+    sums = np.bincount(block[dense] * width + row[dense], weight[dense], blocks * width)
+    out = sums.reshape(blocks, width).astype(np.float32) @ holders.matrix
+    count = holders.start[place + 1] - holders.start[place]
+    some = np.flatnonzero(count)
+    count, begin = count[some], holders.start[place[some]]
+    entry = np.arange(count.sum()) + np.repeat(begin - (np.cumsum(count) - count), count)
+    key = np.repeat(block[some] * n, count) + holders.listed[entry]
+    out += np.bincount(key, np.repeat(weight[some], count), blocks * n).reshape(blocks, n)
+    return out
+
+
 def prepare(ids: list, column: pa.Array, space: Space) -> Items | None:
     """Items in the latent space, with the words that they hold."""
     found = texts.words(column, "alnum")
@@ -171,27 +217,21 @@ def prepare(ids: list, column: pa.Array, space: Space) -> Items | None:
     kept = [i for i in range(len(column)) if spans[i + 1] - spans[i] >= LEAST_WORDS]
     if not kept:
         return None
-    words = [found.hash[spans[i] : spans[i + 1]] for i in kept]
+    hashes = [found.hash[spans[i] : spans[i + 1]] for i in kept]
     term = _terms(found)
-    vectors, item_of = [], []
+    vocabulary = np.unique(np.concatenate(hashes))
+    words = [np.searchsorted(vocabulary, w) for w in hashes]
+    vectors, segments, pieces = [], [], []
     for k, i in enumerate(kept):
-        pieces = -(-len(words[k]) // SEGMENT)
-        for piece in np.array_split(np.arange(spans[i], spans[i + 1]), pieces):
-            vectors.append(space.fold[term[piece]].sum(0))
-            item_of.append(k)
-    vocabulary = np.unique(np.concatenate(words))
-    words = [np.searchsorted(vocabulary, w) for w in words]
-    holds = np.zeros((len(words), len(vocabulary) + 1), bool)
-    for k, w in enumerate(words):
-        holds[k, w] = True
+        cut = np.array_split(np.arange(len(words[k])), -(-len(words[k]) // SEGMENT))
+        segments.append(list(range(len(vectors), len(vectors) + len(cut))))
+        vectors += [space.fold[term[spans[i] + piece]].sum(0) for piece in cut]
+        pieces += [words[k][piece] for piece in cut]
     heavy = np.array([(space.weight[term[spans[i] : spans[i + 1]]] ** 2).sum() for i in kept])
     unit = _unit(np.array(vectors)).astype(np.float32)
-    groups = np.zeros((len(words), GROUPS), np.float32)
-    for k, w in enumerate(words):
-        groups[k, w % GROUPS] = 1
     length = np.array([len(w) for w in words])
-    runs = _item_runs([found.hash[spans[i] : spans[i + 1]] for i in kept])
-    return Items([ids[i] for i in kept], words, unit, np.array(item_of), vocabulary, holds, length, heavy, groups[item_of], runs)
+    every, short = (_holders(words, chosen, len(vocabulary)) for chosen in (np.arange(len(words)), np.flatnonzero(length < SHORT)))
+    return Items([ids[i] for i in kept], words, unit, segments, pieces, vocabulary, every, short, length, heavy, _item_runs(hashes))
 
 
 def _sums(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,61 +308,79 @@ def _holds_run(text: np.ndarray, run: np.ndarray) -> bool:
     return len(at) > 0
 
 
+def _windows(items: Items, found: texts.Words, spans: np.ndarray, place: np.ndarray, weight: np.ndarray) -> Iterator[tuple]:
+    """(first word, end, item) of the windows that hold enough of an item's weight, by width and in parts of bounded size.
+
+    What a window holds of an item is counted exactly, word by word, from the lists of the items that hold a word, so the
+    latent vectors are formed for these windows only.
+    """
+    for width in WINDOWS:
+        holders = items.short if width < WINDOWS[1] else items.all
+        if not len(holders.items):
+            continue
+        step = width // 2
+        starts = _block_starts(found, len(spans) - 1, step)
+        stops = np.r_[starts[1:], len(found.row)]
+        row = found.row[starts]
+        goes_on = np.r_[row[1:] == row[:-1], False]
+        least = (SHARED * items.weight * np.minimum(1.0, width / items.length))[holders.items].astype(np.float32) * np.float32(0.9999)
+        at_once = max(1, DENSE // len(holders.items))
+        for lo in range(0, len(starts), at_once):
+            hi = min(len(starts), lo + at_once)
+            end = min(len(starts), hi + 1)  # the last window's second block
+            own = slice(starts[lo], stops[end - 1])
+            block = np.repeat(np.arange(end - lo), stops[lo:end] - starts[lo:end])
+            held = _held_weight(holders, place[own], weight[own], block, end - lo)
+            known = held[: hi - lo].copy()
+            more = np.flatnonzero(goes_on[lo:hi])
+            known[more] += held[more + 1]
+            window, item = np.nonzero(known >= least)
+            if len(window):
+                window = window + lo
+                last = np.where(goes_on[window], stops[np.minimum(window + 1, len(stops) - 1)], stops[window])
+                yield width, starts[window], last, holders.items[item]
+
+
 def search_column(column: pa.Array, space: Space, items: Items) -> list[tuple[int, int, float, int, bool, int]]:
     """(row, item, cosine, common words, answer found, first word) of the items that texts hold."""
     found = texts.words(column, "alnum")
     if not len(found.row):
         return []
-    short = items.length[items.item_of] < SHORT
-    widths = WINDOWS if short.any() else WINDOWS[1:]
-    starts, spans = _block_starts(found, len(column), widths[0] // 2), texts.row_spans(found.row, len(column))
+    spans = texts.row_spans(found.row, len(column))
     term = _terms(found)
-    blocks = np.add.reduceat(space.fold[term], starts, axis=0)
     none = len(items.vocabulary)
     place = np.minimum(np.searchsorted(items.vocabulary, found.hash), none - 1)
     place[items.vocabulary[place] != found.hash] = none
     weight = space.weight[term] ** 2
-    block = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(term)]))
-    held = np.bincount(block * GROUPS + place % GROUPS, weight * (place < none), len(starts) * GROUPS)
-    held = held.reshape(len(starts), GROUPS).astype(np.float32)
     best: dict[tuple[int, int], tuple] = {}
-    for width in widths:
-        if width > widths[0]:  # two blocks become one; each text begins a block
-            pairs = np.flatnonzero((starts - spans[found.row[starts]]) % (width // 2) == 0)
-            starts, blocks, held = starts[pairs], np.add.reduceat(blocks, pairs, axis=0), np.add.reduceat(held, pairs, axis=0)
-        first = starts
-        row = found.row[first]
-        vector, known, same = blocks.copy(), held.copy(), row[1:] == row[:-1]
-        vector[:-1][same] += blocks[1:][same]
-        known[:-1][same] += held[1:][same]
-        own = np.flatnonzero(short) if width < WINDOWS[1] else np.arange(len(short))
-        near = _unit(vector) @ items.vectors[own].T >= (COSINE_SHORT if width < WINDOWS[1] else COSINE)
-        stop = np.minimum(first + width, spans[row + 1])
-        # the words of a window by groups of the vocabulary bound what it holds of an item's words
-        least = SHARED * items.weight * np.minimum(1.0, width / items.length)
-        near &= known @ items.groups[own].T >= (least[items.item_of[own]] * 0.999)[None, :]
-        window, segment = np.nonzero(near)
-        segment = own[segment]
-        if not len(window):
-            continue
-        item, first, stop = items.item_of[segment], first[window], stop[window]
-        value = np.einsum("ij,ij->i", _unit(vector[window]), items.vectors[segment])
-        shared = np.zeros(len(first))
+    mark = np.zeros(none + 1, bool)
+    for width, first, stop, item in _windows(items, found, spans, place, weight):
+        begin, which = np.unique(first, return_inverse=True)
+        end = np.zeros(len(begin), np.int64)
+        end[which] = stop
+        vector = np.zeros((len(begin), RANK), np.float32)
         for k in range(width):
-            inside = first + k < stop
-            at = first[inside] + k
-            shared[inside] += weight[at] * items.holds[item[inside], place[at]]
-        likely = shared >= least[item]
-        for at, end, i, c in zip(first[likely].tolist(), stop[likely].tolist(), item[likely].tolist(), value[likely].tolist()):
-            r = int(found.row[at])
-            own = items.words[i]
-            begin = max(int(spans[r]), at - len(own))
-            around = place[begin : min(int(spans[r + 1]), end + len(own))]
-            common = common_subsequence(own, around)
-            if common < PARTLY * len(own):
+            inside = begin + k < end
+            vector[inside] += space.fold[term[begin[inside] + k]]
+        vector = _unit(vector)
+        for at, last, i, v in zip(first.tolist(), stop.tolist(), item.tolist(), which.tolist()):
+            near = items.vectors[items.segments[i]] @ vector[v]
+            c = float(near.max())
+            if c < (COSINE_SHORT if width < WINDOWS[1] else COSINE):
                 continue
-            answer = _holds_run(around, answer_of(own))
-            if common < FULL * len(own) and not answer:
+            r, own = int(found.row[at]), items.words[i]
+            around = place[max(int(spans[r]), at - len(own)) : min(int(spans[r + 1]), last + len(own))]
+            mark[around] = True
+            present = int(mark[own].sum())
+            mark[around] = False
+            if present < PARTLY * len(own) and len(items.segments[i]) == 1:
+                continue  # the subsequence is no longer than the words that are there at all
+            mark[own] = True
+            known = around[mark[around]]
+            mark[own] = False
+            common = common_subsequence(own, known)
+            answer = common >= PARTLY * len(own) and _holds_run(around, answer_of(own))
+            if common < FULL * len(own) and not answer and not _holds_segment(items, i, near, known):
                 continue
             entry = (common, c, answer, at - int(spans[r]))
             best[r, i] = max(best.get((r, i), entry), entry)
@@ -331,27 +389,36 @@ def search_column(column: pa.Array, space: Space, items: Items) -> list[tuple[in
     return [(r, i, c, common, answer, at) for (r, i), (common, c, answer, at) in sorted(best.items())]
 
 
+def _holds_segment(items: Items, item: int, near: np.ndarray, around: np.ndarray) -> bool:
+    """Whether a text covers ``FULL`` of a segment of a long item that is near."""
+    pieces = [items.pieces[s] for s, c in zip(items.segments[item], near) if c >= COSINE]
+    return len(items.segments[item]) > 1 and any(common_subsequence(p, around) >= FULL * len(p) for p in pieces)
+
+
 def _item_groups(benchmark: DataFrame) -> Iterator[tuple[list, pa.Array]]:
-    """The benchmark in groups of bounded size."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
+    """The distinct texts of the benchmark with their digests, in groups of bounded size."""
+    rows = benchmark.select("text").filter("text is not null").distinct().withColumn("item_key", F.sha2("text", 256))
     groups = max(1, -(-rows.count() // (ITEMS_AT_ONCE // 2)))
     for g in range(groups):
-        own = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g).orderBy("item_id", "text").collect()
+        own = rows.filter(F.pmod(F.xxhash64("text"), F.lit(groups)) == g).orderBy("item_key").collect()
         if own:
-            yield [r["item_id"] for r in own], pa.array([r["text"] for r in own], pa.string())
+            yield [r["item_key"] for r in own], pa.array([r["text"] for r in own], pa.string())
 
 
 def find(documents: DataFrame, benchmark: DataFrame, space: Space | None = None) -> DataFrame:
-    """One row for each document and item that it holds."""
+    """One row for each document and item that it holds; each text of the benchmark is searched once, however many items have it."""
     workers_import(documents.sparkSession)
     space = space or fit(documents)
-    schema = "doc_id long, item_id long, cosine double, common_words int, item_words int, answer_found boolean, near_word long"
+    schema = "doc_id long, item_key string, cosine double, common_words int, item_words int, answer_found boolean, near_word long"
     base, result = documents.select(F.col("doc_id").cast("long"), "text"), None
-    for ids, column in _item_groups(benchmark):
-        if items := prepare(ids, column, space):
+    for keys, column in _item_groups(benchmark):
+        if items := prepare(keys, column, space):
             part = map_arrow(base, _finder(space, items), schema)
             result = part if result is None else result.union(part)
-    return result if result is not None else documents.sparkSession.createDataFrame([], schema)
+    if result is None:
+        result = documents.sparkSession.createDataFrame([], schema)
+    named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.sha2("text", 256).alias("item_key"))
+    return result.join(named, "item_key").select("doc_id", "item_id", "cosine", "common_words", "item_words", "answer_found", "near_word")
 
 
 def _finder(space: Space, items: Items):
@@ -361,14 +428,14 @@ def _finder(space: Space, items: Items):
                 hits = search_column(part.column(1), space, items)
                 columns = [
                     part.column(0).take(pa.array([h[0] for h in hits], pa.int64())),
-                    pa.array([items.ids[h[1]] for h in hits], pa.int64()),
+                    pa.array([items.ids[h[1]] for h in hits], pa.string()),
                     pa.array([float(h[2]) for h in hits], pa.float64()),
                     pa.array([h[3] for h in hits], pa.int32()),
                     pa.array([int(items.length[h[1]]) for h in hits], pa.int32()),
                     pa.array([h[4] for h in hits], pa.bool_()),
                     pa.array([h[5] for h in hits], pa.int64()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "cosine", "common_words", "item_words", "answer_found", "near_word"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_key", "cosine", "common_words", "item_words", "answer_found", "near_word"])
 
     return run
 
