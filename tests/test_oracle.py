@@ -16,7 +16,7 @@ def connection(sf):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) - set(ORACLES) == {"headline_classify"}  # a trained classifier: tests/test_stores.py
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -98,6 +98,20 @@ MACRO_CLASSES = [
 ]
 
 
+BAND_TABLE = "market string, indicator string, lower double, lower_in boolean, upper double, upper_in boolean, status string, score int"
+
+
+def band_rows() -> list[tuple]:
+    """The bands as intervals: an end that one band leaves out, its neighbour takes in; a missing end is unbounded."""
+    rows = []
+    for (market, indicator), rules in BANDS.items():
+        lower, lower_in = None, False
+        for bound, op, status, score in rules:
+            rows.append((market, indicator, lower, lower_in, bound, op == LE, status, score))
+            lower, lower_in = bound, op == LT
+    return rows
+
+
 def _band_case(value: str, rules: list[tuple]) -> str:
     cases = " ".join(
         f"else struct('{status}' as status, {score} as score)"

@@ -259,17 +259,12 @@ def from_statements(quotes: DataFrame, chart: DataFrame, wide: DataFrame, rates:
 def with_fallback(*records: DataFrame) -> DataFrame:
     """First provider, in the order given, that has a record of the symbol.
 
-    The whole record travels as one struct through the aggregate, so plans that use different columns
-    of the result still share one computed exchange.
+    Each provider has one record of a symbol at most, so the records are joined by symbol and the first one
+    present is taken whole: nothing is aggregated or sorted by priority.
     """
-    ranked = None
+    joined = None
     for priority, record in enumerate(records):
-        tagged = record.selectExpr(
-            "symbol", f"struct({', '.join(RECORD[1:])}) as record", f"{priority} as priority"
-        )
-        ranked = tagged if ranked is None else ranked.unionByName(tagged)
-    return (
-        ranked.groupBy("symbol")
-        .agg(F.min_by("record", "priority").alias("record"))
-        .select("symbol", "record.*")
-    )
+        tagged = record.selectExpr("symbol", f"struct({', '.join(RECORD[1:])}) as record_{priority}")
+        joined = tagged if joined is None else joined.join(tagged, "symbol", "full")
+    first = ", ".join(f"record_{priority}" for priority in range(len(records)))
+    return joined.selectExpr("symbol", f"inline(array(coalesce({first})))")

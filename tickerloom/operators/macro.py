@@ -119,6 +119,40 @@ def threshold_classify(rows: DataFrame, market: str, indicator: str, value: str,
     return _banded(rows, band_of(value, market, indicator), prefix)
 
 
+def threshold_classify_table(rows: DataFrame, bands: DataFrame, market: str, indicator: str, value: str, prefix: str, width: float = 1.0) -> DataFrame:
+    """:func:`threshold_classify` with the bands as a table (``bands.BAND_TABLE``) of any size: an interval join.
+
+    Every band is listed under the bins of ``width`` that it reaches into, unbounded ends up to one bin beyond the
+    outermost finite bound, so a value meets only the bands of its bin by an equi-join, and the interval's own open or
+    closed ends decide. Values that are no numbers lie above everything, as in comparisons.
+    """
+    ends = bands.selectExpr(f"floor(coalesce(lower, upper) / {width}D) as least", f"floor(coalesce(upper, lower) / {width}D) as most")
+    edges = ends.select(F.struct((F.min("least") - 1).alias("lo"), (F.max("most") + 1).alias("hi"))).scalar()
+    binned = bands.withColumn("edges", edges).selectExpr(
+        "market as band_market",
+        "indicator as band_indicator",
+        "lower",
+        "lower_in",
+        "upper",
+        "upper_in",
+        "status",
+        "score",
+        f"explode(sequence(coalesce(floor(lower / {width}D), edges.lo), coalesce(floor(upper / {width}D), edges.hi))) as bin",
+    )
+    keyed = rows.withColumn("edges", edges).selectExpr(
+        "* except (edges)",
+        f"{market} as row_market",
+        f"{indicator} as row_indicator",
+        f"{value} as row_value",
+        f"if(isnan({value}), edges.hi, greatest(edges.lo, least(edges.hi, floor({value} / {width}D)))) as row_bin",
+    )
+    above = "lower is null or row_value > lower or (lower_in and row_value = lower)"
+    below = "upper is null or row_value < upper or (upper_in and row_value = upper)"
+    on = f"row_market = band_market and row_indicator = band_indicator and row_bin = bin and ({above}) and ({below})"
+    joined = keyed.join(binned, F.expr(on), "left")
+    return joined.select(*[F.col(c) for c in rows.columns], F.col("status").alias(f"{prefix}_status"), F.col("score").alias(f"{prefix}_score"))
+
+
 def _banded(rows: DataFrame, band: str, prefix: str) -> DataFrame:
     return rows.selectExpr("*", f"{band} as matched_band").selectExpr(
         "* except (matched_band)",

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.functions.text import is_blocked_headline, stripped
 from tickerloom.operators.joins import salted_lookup
-from tickerloom.session import shared_folder
+from tickerloom.operators.linked import connected_components, placed_in_order, settled
 
 # Provider page size, points per match, the least relevant score kept,
 # and how many stories are given.
@@ -15,6 +17,7 @@ CANDIDATES_PER_SYMBOL = 100
 TITLE_POINTS, DESCRIPTION_POINTS, CONTENT_POINTS = 10, 4, 1
 MIN_RELEVANCE = 8
 DEFAULT_LIMIT, MAX_LIMIT = 5, 20
+DEDUP_ROUNDS = 2  # before what is left is folded by component
 
 
 def company_terms(companies: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -168,29 +171,25 @@ def news_dedup(scored: DataFrame, limit: int = MAX_LIMIT) -> DataFrame:
     )
 
 
-def _settled(frame: DataFrame, name: str) -> DataFrame:
-    path = shared_folder(frame.sparkSession, name)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
-
-
 def news_dedup_all(scored: DataFrame) -> DataFrame:
     """The greedy de-duplication of :func:`news_dedup` without a limit: every accepted story of each symbol.
 
-    In rounds: an article that is the best left of its title and of its url is accepted, since no better one
-    can rule it out; what shares a title or url with an accepted one goes; until none is left. Every round accepts
-    at least the best article left of each symbol. The rounds are written to the shared folder, so this runs jobs when it
-    is called. Only the numbering of the accepted stories gathers a symbol (sorted, not held).
+    In a few rounds, an article that is the best left of its title and of its url is accepted, since no better one can rule
+    it out, and what shares a title or url with it goes. That settles all but chains of articles that rule each other
+    out in turn. What is left falls into components of titles and urls, which cannot affect each other: each is folded
+    from the best article to the worst as a sorted stream, holding only the titles and urls accepted in it. So the number
+    of rounds does not follow the length of a chain. The rounds are written to the shared folder: this runs jobs when it
+    is called.
     """
 
     def first(frame: DataFrame, *keys: str) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy("symbol", *keys).orderBy(*_best(), "title_key", "url_key"))
+        place = F.row_number().over(Window.partitionBy("symbol", *keys).orderBy(*order))
         return frame.withColumn("position", place).filter("position = 1").drop("position")
 
+    order = [*_best(), F.col("title_key"), F.col("url_key")]
+    keys = ["symbol", "title_key", "url_key"]
     left = _keyed(scored).filter("url_key <> '' and symbol is not null and title_key is not null").select(
-        "symbol",
-        "title_key",
-        "url_key",
+        *keys,
         "headline",
         stripped(F.coalesce("description", F.lit(""))).alias("description"),
         F.col("source.name").alias("source"),
@@ -198,17 +197,48 @@ def news_dedup_all(scored: DataFrame) -> DataFrame:
         "relevance_score",
         "doc_id",
     )
-    left, accepted = _settled(first(left, "title_key", "url_key"), "news-left"), None
-    while accepted is None or not left.isEmpty():
-        keys = ["symbol", "title_key", "url_key"]
-        won = _settled(first(left, "title_key").join(first(left, "url_key").select(*keys), keys), "news-accepted")
-        accepted = won if accepted is None else accepted.unionByName(won)
+    left, accepted = settled(first(left, "title_key", "url_key"), "news-left"), []
+    for _ in range(DEDUP_ROUNDS):
+        if left.isEmpty():
+            break
+        accepted.append(settled(first(left, "title_key").join(first(left, "url_key").select(*keys), keys), "news-accepted"))
         for key in ("title_key", "url_key"):
-            left = left.join(won.select("symbol", key), ["symbol", key], "left_anti")
-        left = _settled(left, "news-left")
-    return accepted.withColumn("rank", F.row_number().over(Window.partitionBy("symbol").orderBy(*_best(), "title_key", "url_key"))).select(
-        "symbol", "rank", F.col("url_key").alias("url"), "headline", "description", "source", "published_at", "relevance_score", "doc_id"
-    )
+            left = left.join(accepted[-1].select("symbol", key), ["symbol", key], "left_anti")
+        left = settled(left, "news-left")
+    if not left.isEmpty():
+        accepted.append(_folded(left, order))
+    stories = reduce(DataFrame.unionByName, accepted, left.filter("false"))
+    ranked = placed_in_order(stories, "symbol", order, "news-ranked").withColumn("rank", (F.col("position") + 1).cast("int"))
+    return ranked.select("symbol", "rank", F.col("url_key").alias("url"), "headline", "description", "source", "published_at", "relevance_score", "doc_id")
+
+
+def _folded(left: DataFrame, order: list[Column]) -> DataFrame:
+    """The greedy pass over each component of titles and urls."""
+
+    def accept(batches):
+        component, titles, urls = None, set(), set()
+        for batch in batches:
+            taken = []
+            for own, title, url in zip(*(batch.column(n).to_pylist() for n in ("component", "title_key", "url_key"))):
+                if own != component:
+                    component, titles, urls = own, set(), set()
+                fresh = title not in titles and url not in urls
+                if fresh:
+                    titles.add(title)
+                    urls.add(url)
+                taken.append(fresh)
+            yield batch.filter(taken_mask(taken))
+
+    def taken_mask(taken):
+        import pyarrow as pa
+
+        return pa.array(taken, pa.bool_())
+
+    title, url = (F.xxhash64("symbol", F.lit(key), key) for key in ("title_key", "url_key"))
+    named = connected_components(left.select(title.alias("a"), url.alias("b")))
+    found = left.withColumn("node", title).join(named, "node").drop("node")
+    in_order = found.repartition("component").sortWithinPartitions("component", "symbol", *order)
+    return in_order.mapInArrow(accept, in_order.schema).drop("component")
 
 
 def news_topk(articles: DataFrame, terms: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:

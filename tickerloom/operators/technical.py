@@ -11,11 +11,12 @@ those into the published, rounded figures.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.functions.numeric import named, rounded
 from tickerloom.operators.bars import per_symbol
+from tickerloom.operators.linked import decayed_sums, placed_in_order
 
 MIN_BARS = 50
 FAST_SPAN, SLOW_SPAN, SIGNAL_SPAN = 12, 26, 9
@@ -239,18 +240,21 @@ def technical_analysis(numbered: DataFrame) -> DataFrame:
 
 
 def ema_series(bars: DataFrame, span: int) -> DataFrame:
-    """The whole EMA series. A recursive series has no window form, so each symbol's daily closes
-    (bounded by the calendar) are folded in order of date inside the row, keeping every state."""
+    """The whole EMA series of each symbol, of any length.
+
+    The recursion is an affine map of the state for each bar, so it is a segmented scan (:func:`linked.decayed_sums`): bars
+    are sorted by range and numbered by partition, and no task holds more than a segment of a series. It starts
+    with the first close; a bar without a close keeps the state. Intermediate tables are written: this runs jobs.
+    """
     weight = 2 / (span + 1)
-    days = F.array_sort(F.collect_list(F.struct("date", "close")))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("states"))
-
-    def step(state: Column, day: Column) -> Column:
-        value = F.coalesce(state["last"] * (1 - weight) + day["close"] * weight, day["close"], state["last"])
-        return F.struct(value.alias("last"), F.concat(state["states"], F.array(value)).alias("states"))
-
-    folded = bars.groupBy("symbol").agg(days.alias("days"))
-    states = F.aggregate("days", start, step)["states"]
-    return folded.select(
-        "symbol", F.explode(F.arrays_zip(F.col("days.date").alias("date"), states.alias("ema"))).alias("day")
-    ).selectExpr("symbol", "day.date as date", f"{rounded('day.ema', 4)} as ema")
+    rows = placed_in_order(bars.select("symbol", "date", "close"), "symbol", [F.col("date")], "ema-bars")
+    in_run = Window.partitionBy("symbol", "run")
+    closes = rows.withColumn("known", F.count("close").over(in_run.orderBy("position").rowsBetween(Window.unboundedPreceding, 0)))
+    counts = rows.groupBy("symbol", "run").agg(F.count("close").alias("n"))
+    earlier = (F.sum("n").over(Window.partitionBy("symbol").orderBy("run")) - F.col("n")).alias("earlier")
+    numbered = closes.join(counts.select("symbol", "run", earlier), ["symbol", "run"]).withColumn("index", F.col("earlier") + F.col("known") - 1)
+    step = F.when(F.col("index") == 0, F.col("close")).otherwise(F.col("close") * weight)
+    started = numbered.filter("index >= 0").select("symbol", "date", "position", "index", step.alias("step"))
+    series = decayed_sums(started, "symbol", "index", "position", "step", 1 - weight)
+    early = numbered.filter("index < 0").selectExpr("symbol", "date", "cast(null as double) as ema")
+    return series.selectExpr("symbol", "date", f"{rounded('decayed', 4)} as ema").union(early)

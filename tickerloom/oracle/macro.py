@@ -353,6 +353,12 @@ select row_id, market_code, rate, indicator,
 from (select * replace (case when market_code = mk then mk end as mk),
   case row_id % 3 when 0 then 'inflation' when 1 then 'gdp_growth' else 'unemployment' end as indicator
   from interpretation_rows)""",
+    "landed_series": """
+select series_id, strftime(date, '%Y-%m-%d') as date, value from series_valid
+where month(date) not in (3, 7) and cast(series_id[2:] as bigint) % 97 <> 5""",
+    "landed_rejects": """
+select distinct series_id, 'not valid JSON' as reason, true as has_file from customer_series
+where cast(series_id[2:] as bigint) % 97 = 5""",
     "component_normalize": f"""
 select event_id, score, {_NORMAL.format("score")}::double as normalized
 from (select event_id, cast(event_id % 7 - 3 as int) as score from events)""",
@@ -399,3 +405,5 @@ join (values {", ".join(str(row) for row in MACRO_PUBLISHERS)})
   on p.market_code = c.market_code
 group by all""",
 }
+
+QUERIES["threshold_classify_table"] = QUERIES["threshold_classify"]

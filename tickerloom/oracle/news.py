@@ -67,6 +67,17 @@ _VALID = """(regexp_full_match(upper(trim(search_text)), '[A-Z0-9][A-Z0-9&-]{0,1
     or regexp_full_match(upper(trim(search_text)), '[A-Z0-9][A-Z0-9 .&\'\'()-]{1,79}'))"""
 
 
+def selection(rows: str) -> str:
+    return f"""
+select query_key, listed from (
+  select *, row_number() over (partition by query_key order by rank, result_pos, listed) as k from (
+    select upper(query) as query_key, result_pos, upper(trim(symbol)) as listed,
+      case when upper(symbol) like '%.NS' then 0 when upper(symbol) like '%.SI' then 1
+        when upper(symbol) like '%.AX' then 2
+        when symbol <> '' and (upper(symbol) = upper(query) or upper(trim(display_symbol)) = upper(query)) then 3
+        when symbol <> '' then 4 end as rank from {rows}) where rank is not null) where k = 1"""
+
+
 def search_queries(names: str, key: str) -> str:
     return f"""
 select {key}, row_number() over (partition by {key} order by pos) - 1 as query_pos, query
@@ -140,14 +151,17 @@ from (select company_key, symbol, case when company_key % 7 < 5 then lower(compa
     legal_name[1] || string_split(legal_name, ' ')[2][1] || 'S' end from companies
   union all select company_key, symbol, case when company_key % 10 = 0 then legal_name end from companies)
 where q is not null""",
-    "selected": """
-select query_key, listed from (
-  select *, row_number() over (partition by query_key order by rank, result_pos, listed) as k from (
-    select upper(query) as query_key, result_pos, upper(trim(symbol)) as listed,
-      case when upper(symbol) like '%.NS' then 0 when upper(symbol) like '%.SI' then 1
-        when upper(symbol) like '%.AX' then 2
-        when symbol <> '' and (upper(symbol) = upper(query) or upper(trim(display_symbol)) = upper(query)) then 3
-        when symbol <> '' then 4 end as rank from listing_rows) where rank is not null) where k = 1""",
+    "selected": selection("listing_rows"),
+    "listed_names": """
+select company_key as listing, case when company_key % 9 = 4 then company_name else legal_name end as name,
+  case when company_key % 16 = 5 then '' when company_key % 2 = 1 then lower(symbol) else symbol end as symbol,
+  case when company_key % 12 = 4 then ' ' || upper(company_name) end as display_symbol from companies""",
+    "search_hits": """
+select q.query, least(len(lw) - len(qw), 15) * 68719476736 + listing as result_pos, symbol, display_symbol
+from (select distinct upper(query) as query, list_distinct(regexp_extract_all(upper(query), '[A-Z0-9]+')) as qw from query_rows) q
+join (select *, list_distinct(regexp_extract_all(upper(name), '[A-Z0-9]+')) as lw from listed_names) l
+  on len(qw) > 0 and len(list_filter(qw, lambda w: not list_contains(lw, w))) = 0""",
+    "selected_hits": selection("search_hits"),
     "search_texts": f"""
 select c_custkey, case c_custkey % 8 when 0 then lower({symbol("c_custkey")}) when 1 then c_name
   when 2 then '  ' || c_mktsegment || ' ' when 3 then 'Tata & Sons (' || c_mktsegment || ')'
@@ -173,7 +187,7 @@ from news n join (select symbol, unnest(terms) as term from term_rows) t on t.sy
 select symbol, doc_id, cast(relevance_score as int) as relevance_score from all_scored
 where relevance_score >= 8""",
     "candidate_cap": "select symbol, doc_id, position, published_at from candidates",
-    "news_dedup": "select symbol, rank, doc_id, url, relevance_score from deduped where rank <= 20",
+    "news_dedup": "select symbol, rank, doc_id, url, relevance_score from deduped",
     "sentiment_predict": "select doc_id, sentiment from predicted",
     "company_sentiment": features("companies", "story_classes"),
     "news_topk": f"""
@@ -192,6 +206,21 @@ from search_texts""",
     "company_resolve": """
 select company_key, arg_min(listed, query_pos) filter (listed is not null) as symbol
 from query_rows left join selected on query_key = upper(query) group by company_key""",
+    "company_search": """
+select company_key, arg_min(listed, query_pos) filter (listed is not null) as symbol
+from query_rows left join selected_hits on query_key = upper(query) group by company_key""",
+    "term_mentions": """
+select * from (
+  select doc_id, term, contains(lower(coalesce(title, '')), term) as in_title,
+    contains(lower(coalesce(description, '')), term) as in_description, contains(lower(coalesce(content, '')), term) as in_content
+  from news, (select distinct lower(t) as term from (select unnest(terms) as t from term_rows)))
+where in_title or in_description or in_content""",
+    "headline_idf": f"""
+select word, count(*) as headlines, {r("ln((any_value(n) + 1) / (count(*) + 1))", 6)} as idf
+from (select distinct doc_id, w as word, n from (
+  select *, unnest(regexp_extract_all(lower(title), '[a-z0-9]+')) as w from (
+    select doc_id, title, count(*) over () as n from news join sentiment_labels l using (doc_id) where trim(title, {_WS}) <> '')))
+group by word""",
     "symbols_rejected": f"""
 select s as symbol from (select {symbol("c_custkey")} as s, {market("c_custkey")} as m from customer)
 where s not in (select symbol from trades_2y where ts <= timestamp '2001-11-05')

@@ -240,3 +240,5 @@ select symbol, module, reason from (
       recursive := true)
   from report_rows x left join report_sectors s on s.symbol = x.symbol) where reason is not null""",
 }
+
+QUERIES["report_from_tables"] = QUERIES["report_assemble"]

@@ -38,27 +38,19 @@ def latest_two_statements(spark, sf):
     )
 
 
-def statement_currencies(statements: DataFrame) -> DataFrame:
-    """First reported currency of long statement rows (metric order, then date)."""
-    positions = statements.selectExpr(
-        "symbol", "currency", "metric_pos as series_pos", "as_of_date as obs_pos"
-    )
-    return FD.statement_currency(positions)
-
-
 def fx_convert(spark, sf):
     """Latest revenue in the currency each company trades in."""
     statements = views.statements(spark, sf)
-    revenue = (
-        statements.filter(F.col("metric") == "annualTotalRevenue")
-        .groupBy("symbol")
-        .agg(F.max_by("raw", "as_of_date").alias("raw"))
+    # one aggregate for both: the latest revenue, and the currency of the first figure in metric order, then by date
+    is_revenue = "metric = 'annualTotalRevenue'"
+    reported = statements.groupBy("symbol").agg(
+        F.expr(f"max_by(if({is_revenue}, raw, null), if({is_revenue}, as_of_date, null)) as raw"),
+        F.expr(f"count_if({is_revenue}) as revenues"),
+        F.expr("min_by(currency, if(currency <> '', bigint(metric_pos) * 1000000 + unix_date(as_of_date), null)) as statement_currency"),
     )
     key = views.KEY_OF_SYMBOL
     currency = f"case when {key} % 6 = 0 then 'USD' else {views.trading_currency(key)} end"
-    rows = revenue.join(statement_currencies(statements), "symbol").selectExpr(
-        "*", f"{currency} as trading_currency"
-    )
+    rows = reported.filter("revenues > 0 and statement_currency is not null").drop("revenues").selectExpr("*", f"{currency} as trading_currency")
     converted = FD.fx_convert(rows, FD.latest_rates(views.fx_rates(spark)))
     return converted.selectExpr(
         "symbol",
@@ -70,21 +62,25 @@ def fx_convert(spark, sf):
     )
 
 
-def direct_records(spark: SparkSession, sf: str) -> DataFrame:
-    recent = B.bars_period(views.trades(spark, sf), "1mo", views.AS_OF)
+def direct_records(spark: SparkSession, sf: str, daily: DataFrame | None = None) -> DataFrame:
+    """``daily``: daily bars already at hand, else built from the trades of the last month."""
+    if daily is None:
+        recent = views.daily_bars(B.bars_period(views.trades(spark, sf), "1mo", views.AS_OF))
+    else:
+        recent = B.bars_period(daily, "1mo", views.AS_OF, "date")
     return FD.from_statements(
         views.listing_quotes(spark, sf),
-        views.chart_meta(views.daily_bars(recent)),
+        views.chart_meta(recent),
         FD.wide_statements(views.statements(spark, sf)),
         FD.latest_rates(views.fx_rates(spark)),
     )
 
 
-def fundamental_records(spark: SparkSession, sf: str) -> DataFrame:
+def fundamental_records(spark: SparkSession, sf: str, daily: DataFrame | None = None) -> DataFrame:
     return FD.with_fallback(
         FD.from_primary(views.primary_quotes(spark, sf)),
         FD.from_metrics(views.metric_profiles(spark, sf)),
-        direct_records(spark, sf),
+        direct_records(spark, sf, daily),
     )
 
 

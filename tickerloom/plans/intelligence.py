@@ -2,10 +2,12 @@
 
 Shuffles by symbol only: bars are reduced to daily bars before theirs, news is cut to contenders per
 symbol before its own, macro is one row per market and broadcast. The module tables have one row per symbol.
+Daily bars, fundamental records and the headline model are written when a report is built, and read from there.
 """
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,10 +15,13 @@ from tickerloom.functions import markets
 from tickerloom.functions.numeric import named
 from tickerloom.functions.text import is_valid_search, stripped
 from tickerloom.operators import bars as B
-from tickerloom.operators import historical, macro, news, resolve, scoring, sector, sentiment, technical
+from tickerloom.operators import headlines, historical, macro, news, resolve, scoring, sector, sentiment, technical
+from tickerloom.operators.linked import settled
 from tickerloom.plans.fundamental_queries import fundamental_records
 from tickerloom.plans.macro_queries import features
+from tickerloom.session import shared_folder
 from tickerloom.sources import views
+from tickerloom.sources.tables import written_at
 
 
 def price_report(bars: DataFrame) -> DataFrame:
@@ -44,10 +49,40 @@ def with_sector_macro(rows: DataFrame, market_features: DataFrame) -> DataFrame:
     return sector.sector_macro(macro.by_market(rows, renamed))
 
 
+def labelled_headlines(spark: SparkSession, sf: str) -> DataFrame:
+    titles = views.news(spark, sf).select("doc_id", F.col("title").alias("headline"))
+    return titles.join(views.sentiment_labels(spark, sf), "doc_id")
+
+
+def _tables_key(spark: SparkSession, sf: str) -> tuple:
+    """What a model depends on: this session and when the tables it is fitted on were written."""
+    written = [written_at(spark, f"{sf}/{name}.parquet") for name in ("documents", "labels")]
+    return (spark.sparkContext.applicationId, sf, *written)
+
+
+_MODELS: dict[tuple, sentiment.Model] = {}
+
+
 def headline_model(spark: SparkSession, sf: str) -> sentiment.Model:
-    """The classifier of headlines, from all labelled articles."""
-    headlines = views.news(spark, sf).select("doc_id", F.col("title").alias("headline"))
-    return sentiment.train(headlines.join(views.sentiment_labels(spark, sf), "doc_id"))
+    """The classifier of headlines, from all labelled articles: fitted and written once per session and state of the tables."""
+    key = _tables_key(spark, sf)
+    if key not in _MODELS:
+        model = sentiment.train(labelled_headlines(spark, sf))
+        _MODELS[key] = sentiment.Model(*(settled(part, f"headline-{name}") for name, part in model._asdict().items()))
+    return _MODELS[key]
+
+
+_PIPELINES: dict[tuple, str] = {}
+
+
+def headline_pipeline(spark: SparkSession, sf: str) -> PipelineModel:
+    """The TF-IDF classifier of headlines, stored once per session and state of the tables, and loaded from there."""
+    key = _tables_key(spark, sf)
+    if key not in _PIPELINES:
+        path = shared_folder(spark, "headline-pipeline")
+        headlines.fit(labelled_headlines(spark, sf)).write().save(path)
+        _PIPELINES[key] = path
+    return PipelineModel.load(_PIPELINES[key])
 
 
 def classified_news(spark: SparkSession, sf: str, records: DataFrame, symbols: DataFrame, limit: int) -> DataFrame:
@@ -84,16 +119,50 @@ map_filter(map(
 """
 
 
-def assembled(spark: SparkSession, sf: str, period: str = "2y", news_limit: int = 5) -> DataFrame:
+def modules(spark: SparkSession, sf: str, period: str = "2y", news_limit: int = 5) -> dict[str, DataFrame]:
+    """The tables that a report is joined from, one row per symbol each.
+
+    Daily bars and fundamental records are written first: several modules read them, so the line items are read once for
+    bars and once for statements, and the plan of a report stays small.
+    """
     symbols = views.companies(spark, sf).select("symbol")
-    trades = B.bars_period(views.trades(spark, sf), period, views.AS_OF)
-    records = fundamental_records(spark, sf)
+    daily = settled(views.daily_bars(B.bars_period(views.trades(spark, sf), period, views.AS_OF)), "daily-bars")
+    # a period shorter than the chart's month cannot serve it
+    short = B.period_start(period, views.AS_OF) > B.period_start("1mo", views.AS_OF)
+    records = settled(fundamental_records(spark, sf, None if short else daily), "fundamental-records")
     stories = classified_news(spark, sf, records, symbols, news_limit)
-    sentiments = sentiment.sentiment_features(symbols, stories).withColumnRenamed(
-        "sentiment_score", "headline_score"
-    )
-    rows = report_assemble(symbols, price_report(views.daily_bars(trades)), records, sentiments)
-    return with_sector_macro(rows, features(spark, sf)).selectExpr("*", MODULE_ERRORS)
+    sentiments = sentiment.sentiment_features(symbols, stories).withColumnRenamed("sentiment_score", "headline_score")
+    return {"symbols": symbols, "prices": price_report(daily), "fundamentals": records, "sentiments": sentiments}
+
+
+def assembled(spark: SparkSession, sf: str, period: str = "2y", news_limit: int = 5) -> DataFrame:
+    return with_sector_macro(report_assemble(**modules(spark, sf, period, news_limit)), features(spark, sf)).selectExpr("*", MODULE_ERRORS)
+
+
+def write_modules(spark: SparkSession, sf: str, buckets: int | None = None, period: str = "2y", news_limit: int = 5) -> dict[str, str]:
+    """Writes the tables of a report, macro included, bucketed and sorted by symbol; name of module -> name of table.
+
+    All have the same buckets, so reports join them file by file, without an exchange, as often as they are read.
+    """
+    buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tables = modules(spark, sf, period, news_limit)
+    sectors = tables["symbols"].join(tables["fundamentals"].select("symbol", "sector"), "symbol", "left")
+    tables["macro"] = with_sector_macro(sectors, features(spark, sf)).drop("sector")
+    names = {}
+    for module, frame in tables.items():
+        path = shared_folder(spark, f"module-{module}")
+        names[module] = f"module_{path.rsplit('-', 1)[1]}"
+        by_bucket = frame.repartition(buckets, "symbol").write.bucketBy(buckets, "symbol").sortBy("symbol")
+        by_bucket.option("path", path).saveAsTable(names[module])
+    return names
+
+
+def from_tables(spark: SparkSession, names: dict[str, str]) -> DataFrame:
+    """The report joined from the written tables: merge joins of equal buckets."""
+    rows = spark.table(names["symbols"])
+    for module in ("prices", "fundamentals", "sentiments", "macro"):
+        rows = rows.join(spark.table(names[module]).hint("merge"), "symbol", "left")
+    return rows.filter("bars is not null or company_name is not null").selectExpr("*", MODULE_ERRORS)
 
 
 def by_request(requests: DataFrame, key: str, text: str, best_listings: DataFrame, report: DataFrame) -> DataFrame:

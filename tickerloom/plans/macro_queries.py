@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerloom.functions import bands, markets
+from tickerloom.functions.literals import literal_table
 from tickerloom.functions.text import html_cell_text as cell_text
 from tickerloom.operators import macro as M
+from tickerloom.operators.linked import settled
 from tickerloom.operators import observations as O
 from tickerloom.operators import pages as P
 from tickerloom.operators import sector as S
@@ -181,6 +183,39 @@ def threshold_classify(spark, sf):
     return M.threshold_classify(rows, "market_code", "indicator", "rate", "band")
 
 
+def threshold_classify_table(spark, sf):
+    """The same bands, read from a table."""
+    bands_table = settled(literal_table(spark, bands.band_rows(), bands.BAND_TABLE), "bands")
+    indicator = "element_at(array('inflation', 'gdp_growth', 'unemployment'), int(row_id % 3 + 1)) as indicator"
+    rows = views.interpretation_rows(spark, sf).selectExpr("row_id", "market_code", "rate", indicator)
+    return M.threshold_classify_table(rows, bands_table, "market_code", "indicator", "rate", "band")
+
+
+def landed_series(spark, sf):
+    """Observations of the series files that parse: payloads written as lines of files, read back and parsed."""
+    good, _ = landed.json_lines(spark, landed_series_files(spark, sf), f"series_id string, {landed.OBSERVATIONS_SCHEMA}")
+    rows = landed.valid_observations(good.select("series_id", F.inline("observations")))
+    return rows.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
+def landed_rejects(spark, sf):
+    """The records of those files that do not parse, each with a reason."""
+    _, rejected = landed.json_lines(spark, landed_series_files(spark, sf), f"series_id string, {landed.OBSERVATIONS_SCHEMA}")
+    series = F.regexp_extract("record", '"series_id":"([^"]*)"', 1).alias("series_id")
+    return rejected.select(series, "reason", F.col("file").isNotNull().alias("has_file"))
+
+
+def landed_series_files(spark: SparkSession, sf: str) -> str:
+    """A folder of files with one payload a line; of every 97th series the line breaks off."""
+    lines = payloads.observation_payloads(views.customer_series(spark, sf)).selectExpr(
+        "series_id", """concat('{"series_id":"', series_id, '",', substr(payload, 2)) as line"""
+    )
+    broken = F.expr("if(bigint(substr(series_id, 2)) % 97 = 5, left(line, length(line) - 9), line)")
+    path = shared_folder(spark, "landed-series")
+    lines.select(broken.alias("value")).write.text(path)
+    return path
+
+
 def component_normalize(spark, sf):
     scores = table(spark, sf, "events").selectExpr("event_id", "int(event_id % 7 - 3) as score")
     return scores.selectExpr("*", f"{bands.normalized_component('score')} as normalized")
@@ -311,6 +346,9 @@ QUERIES = {
         interpret_unemployment,
         interpret_monetary_rate,
         threshold_classify,
+        threshold_classify_table,
+        landed_series,
+        landed_rejects,
         component_normalize,
         classify_macro,
         classify_sector,

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerloom.functions import markets
+from tickerloom.functions.numeric import rounded
 from tickerloom.functions.text import is_valid_search
 from tickerloom.operators import bars as B
-from tickerloom.operators import historical, news, resolve, scoring, sentiment, technical
+from tickerloom.operators import headlines, historical, lookup, news, resolve, scoring, sentiment, technical
 from tickerloom.plans import intelligence as I
 from tickerloom.plans.fundamental_queries import fundamental_records
 from tickerloom.plans.macro_queries import features
@@ -28,6 +29,12 @@ def news_payload(spark, sf):
     return articles.select("symbol", "title", "description", "content", F.col("source.name").alias("source"), "published_at", "url")
 
 
+def term_mentions(spark, sf):
+    """All terms in all articles, whatever symbol an article came under."""
+    distinct = terms(spark, sf).select(F.explode("terms").alias("term")).select(F.lower("term").alias("term")).distinct()
+    return lookup.mentions(views.news(spark, sf).drop("symbol"), distinct)
+
+
 def headline_filter(spark, sf):
     return news.headline_filter(views.news(spark, sf)).select("symbol", "doc_id", "headline")
 
@@ -91,6 +98,18 @@ def sentiment_predict(spark, sf):
     return sentiment.predict(I.headline_model(spark, sf), headlines).select("doc_id", "sentiment")
 
 
+def headline_classify(spark, sf):
+    """Classes of all headlines by the stored TF-IDF classifier."""
+    articles = views.news(spark, sf).select("doc_id", F.col("title").alias("headline"))
+    return headlines.predict(I.headline_pipeline(spark, sf), articles).select("doc_id", "sentiment")
+
+
+def headline_idf(spark, sf):
+    """The stored classifier's words and their inverse document frequencies."""
+    stored = headlines.weights(spark, I.headline_pipeline(spark, sf))
+    return stored.selectExpr("word", "headlines", f"{rounded('idf', 6)} as idf")
+
+
 def company_sentiment(spark, sf):
     """Features over the classified top stories of each company."""
     stories = sentiment.predict(I.headline_model(spark, sf), news_topk(spark, sf))
@@ -148,6 +167,23 @@ def company_resolve(spark, sf):
     return resolve.company_resolve(queries, resolve.symbol_select(listings(spark, sf)), "company_key")
 
 
+def listed_names(spark: SparkSession, sf: str) -> DataFrame:
+    """What is listed under which name; some names are short, some symbols missing or in lower case."""
+    return views.companies(spark, sf).selectExpr(
+        "company_key as listing",
+        "case when company_key % 9 = 4 then company_name else legal_name end as name",
+        "case when company_key % 16 = 5 then '' when company_key % 2 = 1 then lower(symbol) else symbol end as symbol",
+        "case when company_key % 12 = 4 then concat(' ', upper(company_name)) end as display_symbol",
+    )
+
+
+def company_search(spark, sf):
+    """Symbol of each company by searching the listings for its name."""
+    queries = resolve.company_queries(_named(spark, sf), "name", ["company_key"])
+    results = lookup.search_listings(queries.select("query"), listed_names(spark, sf))
+    return resolve.company_resolve(queries, resolve.symbol_select(results), "company_key")
+
+
 def requests(spark: SparkSession, sf: str) -> DataFrame:
     """What users type: symbols in lower case, names with filler words, invalid and unknown texts."""
     brands = views._pick(views.BRANDS, "c_custkey % 7")
@@ -238,7 +274,16 @@ def intelligence_rank(spark, sf):
 
 
 def report_assemble(spark, sf):
-    return I.assembled(spark, sf).select(
+    return _assembled(I.assembled(spark, sf))
+
+
+def report_from_tables(spark, sf):
+    """The same report from written module tables."""
+    return _assembled(I.from_tables(spark, I.write_modules(spark, sf)))
+
+
+def _assembled(report: DataFrame) -> DataFrame:
+    return report.select(
         "symbol",
         "company_name",
         "data_source",
@@ -271,6 +316,7 @@ QUERIES = {
     for f in (
         news_payload,
         headline_filter,
+        term_mentions,
         company_search_name,
         company_terms,
         term_article_join,
@@ -281,11 +327,14 @@ QUERIES = {
         sentiment_normalize,
         sentiment_features,
         sentiment_predict,
+        headline_classify,
+        headline_idf,
         company_sentiment,
         search_input_valid,
         company_queries,
         symbol_select,
         company_resolve,
+        company_search,
         symbols_rejected,
         score_technical,
         score_historical,
@@ -295,6 +344,7 @@ QUERIES = {
         intelligence_score,
         intelligence_rank,
         report_assemble,
+        report_from_tables,
         report_chart_series,
         module_errors,
         intelligence_by_request,

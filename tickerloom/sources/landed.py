@@ -46,6 +46,17 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Landed files of one JSON record a line: (the records that parse, the rejected ones with file and reason).
+
+    Files are read as they are, line by line and split by size; a damaged record never fails or shifts the others.
+    """
+    parsed = F.from_json("value", f"{schema}, damaged string", {"columnNameOfCorruptRecord": "damaged"})
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("record"), parsed.alias("parsed"))
+    rejected = lines.filter("parsed.damaged is not null").select("file", "record", F.lit("not valid JSON").alias("reason"))
+    return lines.filter("parsed.damaged is null").select("parsed.*").drop("damaged"), rejected
+
+
 def bars_from_chart_json(payloads: DataFrame, column: str) -> DataFrame:
     """Parallel arrays to bar rows with ``symbol, ts, seq``; a column whose array does not match the
     timestamps in length is null throughout. Epoch seconds become zone-free UTC timestamps."""
@@ -103,11 +114,15 @@ def series_observations(payloads: DataFrame, column: str, limit: int | None = No
     return (
         payloads.select("series_id", F.from_json(column, OBSERVATIONS_SCHEMA).alias("parsed"))
         .select("series_id", F.inline(newest))
-        .selectExpr("series_id", "try_cast(date as date) as date", f"{to_number('value')} as value")
-        .filter("value is not null")
+        .transform(valid_observations)
     )
 
 
+def valid_observations(rows: DataFrame) -> DataFrame:
+    """Observations (series_id, date, value as text) whose value is a number."""
+    return rows.selectExpr("series_id", "try_cast(date as date) as date", f"{to_number('value')} as value").filter("value is not null")
+
+
 def _parsed(lines: DataFrame, column: str, schema: str, keep: list[str]) -> DataFrame:
     """Fields of each JSON payload as columns. Parsing sits in a generator, which filters on the fields
     do not pass: a payload is parsed once however many conditions follow."""

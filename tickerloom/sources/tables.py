@@ -13,7 +13,7 @@ def _schema(spark: SparkSession, path: str, changed: int) -> StructType:
     return spark.read.parquet(path).schema
 
 
-def _changed(spark: SparkSession, path: str) -> int:
+def written_at(spark: SparkSession, path: str) -> int:
     """When the table was last written."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).getModificationTime()
@@ -23,4 +23,4 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table by name. Its schema is read from the files once per session and write, so a plan that uses
     a table in several places starts no job for it."""
     path = f"{folder}/{name}.parquet"
-    return spark.read.schema(_schema(spark, path, _changed(spark, path))).parquet(path)
+    return spark.read.schema(_schema(spark, path, written_at(spark, path))).parquet(path)
