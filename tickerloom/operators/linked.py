@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,8 +67,6 @@ def decayed_sums(rows: DataFrame, key: str, index: str, order: str, value: str,
     relative to their start, and the states at their ends are chained by the same scan over the segments. However
     long a series is, no task holds more than a segment of it.
     """
-    import math
-
     length = max(2, min(longest, int(300 / -math.log(decay))))
     after = math.pow(decay, length)
     segment, offset = F.floor(F.col(index) / length).cast("long"), F.pmod(F.col(index), F.lit(length)).cast("double")
@@ -77,7 +77,8 @@ def decayed_sums(rows: DataFrame, key: str, index: str, order: str, value: str,
     inner = settled(inner, "segments")
     ends = inner.groupBy(key, "segment").agg(F.max_by("inner", order).alias("end"))
     if after > 1e-40:  # an earlier segment still counts: chain all of them
-        ends = decayed_sums(ends, key, "segment", "segment", "end", after, longest).select(key, "segment", F.col("decayed").alias("end"))
+        chained = decayed_sums(ends.withColumnRenamed("segment", "number"), key, "number", "number", "end", after, longest)
+        ends = chained.select(key, F.col("number").alias("segment"), F.col("decayed").alias("end"))
     before = ends.select(key, (F.col("segment") + 1).alias("segment"), F.col("end").alias("before"))
     carried = F.pow(F.lit(decay), F.col("offset") + 1) * F.coalesce("before", F.lit(0.0))
     return inner.join(before, [key, "segment"], "left").withColumn("decayed", F.col("inner") + carried).drop("segment", "offset", "inner", "before")
