@@ -8,11 +8,14 @@ constraint, so the Hessian is diagonal, its sums over documents are pre-aggregat
 the iterations run on the distributed table of sources. A rate is then rounded to a number of copies: its
 whole part, and one more copy where an error-diffusing pass over the documents of a source, largest first,
 is behind by half a document. So a source's words differ from the target by about half of its smallest
-documents. A source of many documents is cut into chunks that round on their own.
+documents. A source of many documents is cut into chunks that round on their own. Documents of equal id, source and
+size are one row until they are rounded, so an id (or null) that holds very many rows gathers no group of its rows.
 
 Defined results: null or empty text has size 0; null sources are one source, sorted last; sources of no
-words have target 0; repeated rows and repeated or null ids are documents of their own; an empty table
-gives an empty mix. Sources are ranked in one task: one row per distinct source.
+words have target 0; repeated rows and repeated or null ids are documents of their own, and of equal ones (by id
+and size) any may get the copy more; documents of equal size round in order of their ids, null last; a very long text
+counts whole; an empty table gives an empty mix; other columns are ignored. Sources are ranked in one task: one row per
+distinct source.
 """
 
 from __future__ import annotations
@@ -107,16 +110,20 @@ def solve(goals: DataFrame, steps: int = NEWTON_STEPS) -> DataFrame:
 
 
 def _round(group: pd.DataFrame) -> pd.DataFrame:
+    """How many of ``times`` equal documents get one copy more than the whole part of the rate."""
     group = group.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", na_position="last")
     base, part = divmod(int(group["units"].iloc[0]), UNIT)
-    copies, behind = [], 0
-    for size in map(int, group["size"].tolist()):
-        behind += part * size
-        extra = size > 0 and part > 0 and 2 * behind >= UNIT * size
-        behind -= UNIT * size * extra
-        copies.append(base + extra)
-    group["copies"] = copies
-    return group[["doc_id", "source", "size", "source_size", "target", "copies"]]
+    more, behind = [], 0
+    for size, times in zip(map(int, group["size"].tolist()), map(int, group["times"].tolist())):
+        extra = 0
+        if size > 0 and part > 0:
+            # what is behind grows by at most one document a step, so the extra copies of a run of equal ones have a closed form
+            behind += part * size * times
+            extra = min(times, max(0, (2 * behind + UNIT * size) // (2 * UNIT * size)))
+            behind -= UNIT * size * extra
+        more.append(extra)
+    group["base"], group["more"] = base, more
+    return group[["doc_id", "source", "size", "source_size", "target", "base", "more", "times"]]
 
 
 def mix(documents: DataFrame) -> DataFrame:
@@ -131,11 +138,28 @@ def mix(documents: DataFrame) -> DataFrame:
         F.ceil(F.col("documents") / CHUNK_ROWS).alias("chunks"),
     )
     goals = settle(goals, "mix-goals")
-    spread = F.pmod(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(1_000_003)) * 7919, F.col("chunks"))
-    return (
-        sized.join(goals, F.col("source").eqNullSafe(F.col("of")))
+    # equal rows are one with a number of times; ids that repeat with other sizes fall into other chunks
+    equal = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("times"))
+    spread = F.pmod(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(1_000_003)) * 7919 + F.col("size") * 104_729, F.col("chunks"))
+    rounded = (
+        equal.join(goals, F.col("source").eqNullSafe(F.col("of")))
         .withColumn("chunk", spread)
         .groupBy("of", "chunk")
-        .applyInPandas(_round, "doc_id long, source string, size long, source_size long, target double, copies int")
-        .withColumn("taken", F.col("copies") * F.col("size"))
+        .applyInPandas(_round, "doc_id long, source string, size long, source_size long, target double, base int, more long, times long")
+    )
+    return _repeated(settle(rounded, "mix-rounded")).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def _repeated(rounded: DataFrame) -> DataFrame:
+    """One row for each document again; a row of very many times is cut into pieces that spread over tasks."""
+    kept = ["doc_id", "source", "size", "source_size", "target"]
+    groups = F.array(
+        F.struct((F.col("base") + 1).alias("copies"), F.col("more").alias("rows")),
+        F.struct(F.col("base").alias("copies"), (F.col("times") - F.col("more")).alias("rows")),
     )
+    parts = rounded.select(*kept, F.inline(groups)).filter("rows > 0")
+    few, many = parts.filter(F.col("rows") <= CHUNK_ROWS), parts.filter(F.col("rows") > CHUNK_ROWS)
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / CHUNK_ROWS)), lambda k: F.least(F.lit(CHUNK_ROWS), F.col("rows") - k * CHUNK_ROWS))
+    cut = many.select(*kept, "copies", F.posexplode(pieces).alias("piece", "rows")).repartition("doc_id", "size", "copies", "piece").drop("piece")
+    each = few.unionByName(cut)
+    return each.select(*kept, "copies", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("row")).drop("row")

@@ -26,7 +26,7 @@ with sized as (
   from goals
 ), placed as (
   select s.doc_id, s.source, s.size, r.source_size, r.target, r.units // 1000000000 as base, r.units % 1000000000 as part,
-    ((coalesce(s.doc_id, 0) % 1000003) * 7919) % r.chunks as chunk
+    ((coalesce(s.doc_id, 0) % 1000003) * 7919 + s.size * 104729) % r.chunks as chunk
   from sized s join rated r on s.source is not distinct from r.source
 ), numbered as (
   select *, row_number() over (partition by source, chunk order by size desc, doc_id nulls last) as turn from placed
