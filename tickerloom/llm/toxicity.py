@@ -4,12 +4,13 @@ A word is embedded as the sum of three hashed embeddings (the word, its first fo
 bytes), whose first component starts from the word's association with the labels and all of which are
 learned; filters of widths 1, 2 and 3 slide over the whole text, each is max-pooled, and a logistic layer
 gives the score. The network is trained in numpy on a sample of labelled rows of documented bounds
-(``max_rows``, ``max_text_bytes``); a calibration part of the sample fits the score's scale and one
+(``max_rows`` rows and ``max_bytes`` of text, drawn by hash whatever their length); a calibration part of the sample fits the score's scale and one
 threshold per language. Scoring reads every whole text, in one pass without a shuffle.
 
 Defined results: a null or empty text has the score of a text without features; a null ``doc_id`` is not
 held out; repeated rows score alike; without labels of both kinds every score is the labels' mean (0
-without labels). Columns beyond those named are ignored.
+without labels), so an empty table of labels gives 0 and one of documents no rows. Very long texts are scored whole.
+Columns beyond those named are ignored.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.llm import texts
-from tickerloom.llm.tables import map_arrow
+from tickerloom.llm.tables import map_arrow, settle
 
 BUCKETS, WIDTH_OF, FILTERS, WIDTHS = 1 << 16, 8, 8, (1, 2, 3)
 PREFIXES = (4, 5)
@@ -248,33 +249,37 @@ def _by_language(score: np.ndarray, label: np.ndarray, lang: list, part: np.ndar
     return out
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, max_rows: int, max_text_bytes: int) -> DataFrame:
-    """At most ``max_rows`` labelled rows that are not held out, the same ones in every run."""
+def labelled_sample(documents: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int) -> DataFrame:
+    """Labelled texts that are not held out, drawn by hash until ``max_rows`` or ``max_bytes``; the same in every run.
+
+    Texts of any length are drawn alike. A text that repeats under one doc_id is one row, whose labels count as toxic if any is.
+    """
     usable = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
         .groupBy("doc_id")
-        .agg(F.max("toxic").alias("toxic"))
+        .agg(F.max("toxic").cast("int").alias("toxic"))
         .filter(~held_out(F.col("doc_id")))
-        .withColumn("draw", F.xxhash64("doc_id").bitwiseAND((1 << 40) - 1))
     )
-    total = usable.count()
+    mark = F.xxhash64("doc_id", "text").alias("mark")
+    present = documents.filter("text is not null").select("doc_id", mark, F.octet_length("text").cast("long").alias("bytes"))
+    found = present.join(usable, "doc_id").groupBy("doc_id", "mark").agg(F.max("toxic").alias("toxic"), F.max("bytes").alias("bytes"))
+    found = settle(found.withColumn("draw", F.xxhash64("mark", "doc_id").bitwiseAND((1 << 40) - 1)), "toxicity-labelled")
+    total = found.count()
     if total > max_rows:
-        usable = usable.filter(F.col("draw") < int((1 << 40) * min(1.0, 1.1 * max_rows / total + 1e-4)))
-    chosen = usable.orderBy("draw", "doc_id").limit(max_rows)
-    return (
-        documents.select("doc_id", "text", "lang")
-        .filter(F.octet_length("text") <= max_text_bytes)
-        .join(F.broadcast(chosen), "doc_id")  # bounded by max_rows
-        .select("doc_id", "text", "lang", F.col("toxic").cast("int").alias("toxic"))
-    )
+        found = found.filter(F.col("draw") < int((1 << 40) * min(1.0, 1.1 * max_rows / total + 1e-4)))
+    first = found.orderBy("draw", "doc_id").limit(max_rows)
+    taken = F.sum("bytes").over(Window.orderBy("draw", "doc_id", "mark"))  # over max_rows rows
+    chosen = first.withColumn("taken", taken).filter(F.col("taken") <= max_bytes).select("doc_id", "mark", "toxic")
+    texts_of = documents.select("doc_id", "text", "lang", mark).join(F.broadcast(chosen), ["doc_id", "mark"])  # bounded by max_rows
+    return texts_of.groupBy("doc_id", "mark").agg(F.min("text").alias("text"), F.min("lang").alias("lang"), F.max("toxic").alias("toxic")).drop("mark")
 
 
 def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 6000, max_text_bytes: int = 20_000) -> Model:
-    sample = labelled_sample(documents, labels, max_rows, max_text_bytes).toArrow().combine_chunks()
+def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 6000, max_bytes: int = 16 << 20) -> Model:
+    sample = labelled_sample(documents, labels, max_rows, max_bytes).select("doc_id", "text", "lang", "toxic").toArrow().combine_chunks()
     sample = sample.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     text = sample.column("text").combine_chunks()
     text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
