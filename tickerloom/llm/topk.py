@@ -2,8 +2,8 @@
 
 Vectors are integers, ``floor(1024 * x)``. Candidates are grouped into buckets of similar length, and a
 bucket into blocks of at most ``BLOCK_ROWS``. A first pass scores each query against the block of the
-longest vectors; its k-th score is a floor that no final score can be below. In the second pass a query
-meets a block with the local cosine threshold ``floor / (|q| * longest in block)``: above 1 the block is
+longest vectors; its k-th score is a floor that no final score can be below. Blocks too short for every query of
+a block of queries are dropped before any vector moves. In the second pass a query meets a block with the local cosine threshold ``floor / (|q| * longest in block)``: above 1 the block is
 skipped; if it is high, coordinate pruning keeps the vectors whose values on the query's strongest
 coordinates could still reach that cosine; else length pruning keeps those long enough. What is left is
 verified by exact integer products, and the k best of each block are ranked.
@@ -12,8 +12,8 @@ Query and candidate blocks meet through an equi-join on block pairs; a task hold
 one block of at most ``QUERY_ROWS`` queries, and gives at most k rows per query.
 
 Defined results: vectors that are null, hold null or non-finite components, or have no vec_id take no part;
-a query is compared with vectors of its own number of components; of repeated rows with a query's vec_id the
-smallest vector is the query, and no row with that vec_id is its candidate; empty vectors score 0; ties go
+a query is compared with vectors of its own number of components only; of repeated rows with a query's vec_id the
+smallest vector is the query, and no row with that vec_id is its candidate; empty vectors score 0; an empty table gives no rows; ties go
 to the smaller vec_id; other columns are ignored. A score beyond 64 bits fails.
 """
 
@@ -141,6 +141,18 @@ def _meet(blocks: DataFrame, queries: DataFrame, pairs: DataFrame, k: int) -> Da
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_best(k), RESULT)
 
 
+def useful_pairs(blocks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(dim, bucket, block, part): the candidate blocks that some query of a block of queries can still use.
+
+    A product is at most the lengths' product, so a block whose longest vector is shorter than ``floor / |q|`` of every
+    query holds no result; it is dropped here, before any vector moves.
+    """
+    limited = (F.col("norm") > 0) & (F.col("floor") > float("-inf"))
+    need = F.min(F.when(limited, F.col("floor") / F.col("norm")).otherwise(F.lit(float("-inf")))).alias("need")
+    needs = queries.groupBy("dim", "part").agg(need)
+    return blocks.join(needs, "dim").filter(F.col("longest") >= F.col("need") - 1e-9 * F.abs("need")).select("dim", "bucket", "block", "part")
+
+
 def top_k(embeddings: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest products of each query with all other rows."""
     workers_import(embeddings.sparkSession)
@@ -150,14 +162,17 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     chosen = chosen.join(first, ["vec_id", "dim"])
     parts = chosen.groupBy("dim").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("parts"))
     queries = settle(chosen.join(parts, "dim").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")), "topk-queries")
-    query_parts = queries.groupBy("dim", "part").agg(F.min("norm").alias("shortest"))
-    blocks = vectors.groupBy("dim", "bucket", "block").agg(F.max("norm").alias("longest"))
-    top = blocks.groupBy("dim").agg(F.max_by("bucket", "longest").alias("bucket"), F.max_by("block", "longest").alias("block"))
+    query_parts = queries.groupBy("dim", "part").agg(F.count("*").alias("queries"))
+    blocks = settle(vectors.groupBy("dim", "bucket", "block").agg(F.max("norm").alias("longest"), F.count("*").alias("n")), "topk-blocks")
+    # the longest blocks that hold about BLOCK_ROWS vectors; one row per block is ranked
+    longer = Window.partitionBy("dim").orderBy(F.col("longest").desc(), "bucket", "block").rowsBetween(Window.unboundedPreceding, -1)
+    top = blocks.withColumn("before", F.coalesce(F.sum("n").over(longer), F.lit(0))).filter(F.col("before") < BLOCK_ROWS).select("dim", "bucket", "block")
     everyone = queries.withColumn("floor", F.lit(float("-inf")))
     seeds = _meet(vectors, everyone, top.join(query_parts, "dim"), k)
-    floors = seeds.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("reached"))
+    scores = F.sort_array(F.collect_list("score"), asc=False)  # of fewer than 2 * BLOCK_ROWS candidates
+    floors = seeds.groupBy("query_id").agg(F.try_element_at(scores, F.lit(k)).cast("double").alias("reached"))
     ready = queries.join(floors, F.col("vec_id") == F.col("query_id"), "left").withColumn("floor", F.coalesce("reached", F.lit(float("-inf"))))
     ready = settle(ready.drop("query_id", "reached"), "topk-floors")
-    found = _meet(vectors, ready, blocks.join(query_parts, "dim"), k)
+    found = _meet(vectors, ready, useful_pairs(blocks, ready), k)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
