@@ -34,11 +34,17 @@ def settle(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+BATCH_ROWS = 1000  # rows that Spark hands to a Python worker at once, where the session has not chosen a number
+
+
 def workers_import(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it.
+    """Let Python workers import this package from where the driver has it, and take whole texts in batches of bounded size.
 
-    A cluster whose executors do not see that folder gets the package by ``--py-files`` as usual.
+    A cluster whose executors do not see that folder gets the package by ``--py-files`` as usual. Spark's default
+    of 10,000 rows a batch is meant for numbers: as texts, a batch is held several times over on both sides.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{known}".rstrip(":")
