@@ -2,6 +2,7 @@
 
 import math
 import random
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -13,7 +14,8 @@ from tickerloom.functions.literals import literal_table
 from tickerloom.operators import headlines, linked, lookup, macro, news, technical
 from tickerloom.plans import intelligence as I
 from tickerloom.plans import score_queries
-from tickerloom.sources import landed, views
+from tickerloom.sources import landed, ranked, store, views
+from tickerloom.streaming import feeds
 
 
 @pytest.fixture
@@ -207,3 +209,64 @@ def test_damaged_lines_are_rejected_with_a_reason(spark, tmp_path):
     bad = {(r["file"], r["record"]) for r in rejected.collect()}
     assert ("one.json", '{"a":2') in bad and not any(f == "two.json" for f, _ in bad)
     assert good.count() + rejected.count() == 7 and rejected.filter("reason is null").count() == 0
+
+
+@pytest.mark.parametrize("limit", [1, 7, 100])
+def test_a_ranked_table_opens_few_runs(spark, many_runs, tmp_path, limit):
+    """A third of the rows is one symbol's; runs that no first row lies in are made unreadable before reading."""
+    rows = spark.range(30_000).selectExpr(
+        "case when id % 3 = 0 then 'HOT' when id % 501 = 1 then null else concat('S', id % 4) end as symbol",
+        "if(id % 97 = 0, null, concat('2026-', id % 13)) as published_at",
+        "id as doc_id",
+    )
+    path = str(tmp_path / "ranked")
+    ranked.write_ranked(rows, path, "symbol", news.newest_first(), runs=60)
+    found = ranked.first_rows(spark, path, "symbol", news.newest_first(), limit)
+    expected = {(r["doc_id"], r["position"]) for r in news.candidate_cap(rows, limit).collect()}
+    own = {r["run"] for r in spark.read.parquet(f"{path}/rows").filter(F.col("doc_id").isin([d for d, _ in expected])).select("run").distinct().collect()}
+    folders = list((tmp_path / "ranked" / "rows").glob("run=*"))
+    assert len(own) < 0.2 * len(folders)
+    for folder in folders:
+        if int(folder.name.split("=")[1]) not in own:
+            for file in folder.glob("*.parquet"):
+                file.write_bytes(b"not a table" * 20)
+            for file in folder.glob(".*.crc"):
+                file.unlink()
+    assert {(r["doc_id"], r["position"]) for r in found.collect()} == expected
+
+
+def test_an_empty_ranked_table(spark, tmp_path):
+    rows = spark.createDataFrame([], "symbol string, published_at string, doc_id long, run_name string")
+    ranked.write_ranked(rows, str(tmp_path / "none"), "symbol", news.newest_first())
+    assert ranked.first_rows(spark, str(tmp_path / "none"), "symbol", news.newest_first(), 3).count() == 0
+
+
+FETCHES = [  # market, time, values of inflation, gdp_growth, unemployment, policy_rate; None: the source failed
+    [("US", 1, 1.0, 2.0, 3.0, 4.0), ("IN", 1, 5.0, None, 7.0, None)],
+    [("US", 3, 1.3, None, 3.3, 4.3), ("IN", 3, None, None, None, None)],  # an outage
+    [("IN", 2, 5.2, 6.2, None, None), ("US", 2, 1.2, 2.2, 3.2, 4.2)],  # late
+    [("IN", 2, 5.2, 6.2, None, None), ("US", 2, 1.2, 2.2, 3.2, None), ("SG", 9, None, None, None, None)],  # again
+]
+NAMES = ["inflation", "gdp_growth", "unemployment", "policy_rate"]
+
+
+def test_the_last_good_observation_survives_outages_and_replays(spark, tmp_path):
+    source, path = tmp_path / "landed", str(tmp_path / "store")
+    schema = f"market_code string, cached_at timestamp_ntz, observations {feeds.FETCHED}"
+    expected, whole = {}, lambda values: None not in values
+    for number, batch in enumerate(FETCHES):
+        rows = [
+            (m, datetime(2026, 1, day), [(n, v, f"2026-01-0{day}", "s", None) for n, v in zip(NAMES, values)])
+            for m, day, *values in batch
+        ]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+        for m, day, *values in batch:
+            for n, v in zip(NAMES, values):
+                if v is not None and (m != "US" or whole(values)) and day >= expected.get((m, n), (0,))[0]:
+                    expected[m, n] = (day, v)
+        for checkpoint in ("state", "state", f"lost-{number}"):  # goes on, finds nothing new, begins anew
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+            feeds.keep_latest_good(stream, path, str(tmp_path / checkpoint)).awaitTermination(120)
+            latest = store.good_obs_latest(store.read_store(spark, path)).collect()
+            assert {(r["market_code"], r["indicator"]): (r["cached_at"].day, r["value"]) for r in latest} == expected
+    assert expected["US", "gdp_growth"] == (2, 2.2) and expected["IN", "unemployment"] == (1, 7.0)

@@ -13,6 +13,9 @@ from tickerloom.operators.bars import per_symbol
 # Return name -> number of bars back.
 SNAPSHOT_RETURNS = {"one_week_return": 5, "one_month_return": 21, "three_month_return": 63}
 
+# Groups of a context's series.
+GROUPS = ["indices", "currencies", "commodities", "volatility", "bond_yield"]
+
 
 def series_snapshot(numbered: DataFrame) -> DataFrame:
     """Latest value (4 places), its date and recent returns per series (``symbol``)."""
@@ -51,12 +54,11 @@ def context_maps(context: DataFrame) -> DataFrame:
         "series_symbol", "latest_value", "data_date", "one_week_return", "one_month_return", "three_month_return"
     )
     entry = F.struct("series_name", snapshot.alias("snapshot"))
-    groups = ["indices", "currencies", "commodities", "volatility", "bond_yield"]
     return context.groupBy("symbol", "market_code", "country", "currency").agg(
         *[
             F.map_from_entries(
                 F.collect_list(F.when(F.col("series_group") == g, entry))
             ).alias(g)
-            for g in groups
+            for g in GROUPS
         ]
     )

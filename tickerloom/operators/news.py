@@ -30,13 +30,18 @@ def company_terms(companies: DataFrame, overrides: DataFrame) -> DataFrame:
     )
 
 
+def newest_first() -> list[Column]:
+    """Order of a symbol's articles on a provider's result page."""
+    return [F.col("published_at").desc(), F.col("doc_id").asc()]
+
+
 def candidate_cap(articles: DataFrame, limit: int = CANDIDATES_PER_SYMBOL) -> DataFrame:
     """The provider's result page: the newest ``limit`` articles per symbol, with their ``position``.
 
     Spark applies the limit per partition before the shuffle, so however many articles one symbol
     has, no more than ``limit`` per map task travel, and everything later is bounded per symbol.
     """
-    newest = Window.partitionBy("symbol").orderBy(F.col("published_at").desc(), F.col("doc_id"))
+    newest = Window.partitionBy("symbol").orderBy(*newest_first())
     return articles.withColumn("position", F.row_number().over(newest)).filter(
         F.col("position") <= limit
     )

@@ -325,6 +325,11 @@ from (select *, row_number() over (partition by market_code, indicator order by
     "good_obs_store": "select market_code, indicator, value, observation_date, source from stored",
     "good_obs_latest": """
 select market_code, indicator, value, observation_date, true as is_cached from stored_latest""",
+    "good_obs_stream": """
+select market_code, indicator, value, observation_date, true as is_cached from (
+  select *, row_number() over (partition by market_code, indicator order by cached_at desc) as k
+  from (select *, count(distinct indicator) over (partition by market_code, cached_at) as found from stored)
+  where market_code <> 'US' or found = 4) where k = 1""",
     "interpret_inflation": f"""
 select row_id, market_code, rate as inflation_rate, {_settled("inflation", "rate", _inflation("rate"))},
   {r("rate - case mk when 'US' then 2.0::double when 'IN' then 4.0::double when 'SG' then 2.0::double when 'AU' then 2.5::double end", 2)}

@@ -187,6 +187,7 @@ from news n join (select symbol, unnest(terms) as term from term_rows) t on t.sy
 select symbol, doc_id, cast(relevance_score as int) as relevance_score from all_scored
 where relevance_score >= 8""",
     "candidate_cap": "select symbol, doc_id, position, published_at from candidates",
+    "candidate_cap_ranked": "select symbol, doc_id, position, published_at from candidates",
     "news_dedup": "select symbol, rank, doc_id, url, relevance_score from deduped",
     "sentiment_predict": "select doc_id, sentiment from predicted",
     "company_sentiment": features("companies", "story_classes"),

@@ -197,5 +197,6 @@ select symbol, current_price, {", ".join(n for n, _ in RETURNS)} from historical
     "historical_analysis": "select * from historical_module",
     "series_snapshot": "select * from series_figures",
     "market_context": "select * from market_context_rows",
+    "market_context_maps": "select * from market_context_rows",
     "symbol_market": f"select symbol, {detect('symbol')} as market_code from companies",
 }

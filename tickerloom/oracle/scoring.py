@@ -184,6 +184,11 @@ from (select *, coalesce({r(f"({_TOTAL}) / nullif({_WEIGHT}, 0)", 3)}, 0) as int
     {", ".join(f"case when {n}_available then {r(f'{n}_score * {w}', 3)} end as {n}_contribution"
                for n, w in _WEIGHTS.items())}
   from report_modules)""",
+    "report_error_counts": """
+select x.symbol, (bar_count is null)::bigint + (bar_count is not null and annualized_volatility is null)::bigint
+  + (bar_count is not null and net_score is null)::bigint + (data_source is null)::bigint
+  + (s.sector_macro_score is null)::bigint as error_count
+from report_rows x left join report_sectors s on s.symbol = x.symbol""",
     "half_year_bars": f"""
 select symbol, count(distinct cast(ts as date)) as n from trades
 where ts >= timestamp '{AS_OF}' - interval 186 day and ts <= timestamp '{AS_OF}' group by symbol""",
@@ -217,6 +222,12 @@ select symbol, 'returns', label, value from (
         ("6 Months", "six_month_return"), ("1 Year", "one_year_return")])}) where value is not null
 union all
 select symbol, 'gauge', 'position', {r(f"({_clamp('intelligence_score')} + 1) / 2 * 100", 2)} from report_combined""",
+    "report_modules": " union all ".join(
+        f"select symbol, company_name, classification, error_count, '{n}' as module, {n}_score as score,"
+        f" {n}_available as is_available, {n}_quality as quality_factor, cast({w} as double) as weight,"
+        f" {n}_contribution as weighted_contribution from report_combined join report_error_counts using (symbol)"
+        for n, w in _WEIGHTS.items()
+    ),
     "intelligence_by_request": """
 select t.c_custkey, t.search_text,
   case when d.symbol is not null then 'direct' when n.symbol is not null then 'resolved' else 'rejected' end as outcome,

@@ -16,6 +16,7 @@ from tickerloom.operators import sector as S
 from tickerloom.session import shared_folder
 from tickerloom.sources import landed, payloads, store, views
 from tickerloom.sources.tables import table
+from tickerloom.streaming import feeds
 
 
 # ---- published series and records -------------------------------------------------------------
@@ -144,6 +145,19 @@ def good_obs_latest(spark, sf):
     return latest.select("market_code", "indicator", "value", "observation_date", "is_cached")
 
 
+def good_obs_stream(spark, sf):
+    """The same from a stream of fetches, one per market and time, in several micro-batches."""
+    path = shared_folder(spark, "fetches")
+    row = F.struct("indicator", "value", "observation_date", "source", "is_policy_rate")
+    fetches = views.stored_observations(spark, sf).groupBy("market_code", "cached_at").agg(F.collect_list(row).alias("observations"))
+    fetches.repartition(3, "cached_at").write.parquet(f"{path}/landed")
+    schema = f"market_code string, cached_at timestamp_ntz, observations {feeds.FETCHED}"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/landed")
+    feeds.keep_latest_good(stream, f"{path}/store", f"{path}/state").awaitTermination()
+    latest = store.good_obs_latest(store.read_store(spark, f"{path}/store"))
+    return latest.select("market_code", "indicator", "value", "observation_date", "is_cached")
+
+
 # ---- interpretation ---------------------------------------------------------------------------
 
 
@@ -341,6 +355,7 @@ QUERIES = {
         rba_csv_extract,
         good_obs_store,
         good_obs_latest,
+        good_obs_stream,
         interpret_inflation,
         interpret_gdp_growth,
         interpret_unemployment,

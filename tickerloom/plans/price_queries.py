@@ -152,6 +152,15 @@ def market_context(spark, sf):
     )
 
 
+def market_context_maps(spark, sf):
+    """The nested context, opened again: one row per symbol, group and series."""
+    nested = context.context_maps(market_context(spark, sf))
+    groups = ", ".join(f"struct('{g}' as series_group, {g} as series)" for g in context.GROUPS)
+    grouped = nested.selectExpr("symbol", "market_code", "country", "currency", f"inline(array({groups}))")
+    opened = grouped.select("symbol", "market_code", "country", "currency", "series_group", F.explode("series").alias("series_name", "s"))
+    return opened.select("*", "s.*").drop("s")
+
+
 def symbol_market(spark, sf):
     return views.companies(spark, sf).select(
         "symbol", markets.detect_market(F.col("symbol")).alias("market_code")
@@ -185,6 +194,7 @@ QUERIES = {
         historical_analysis,
         series_snapshot,
         market_context,
+        market_context_maps,
         symbol_market,
     )
 }

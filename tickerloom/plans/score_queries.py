@@ -13,7 +13,8 @@ from tickerloom.operators import headlines, historical, lookup, news, resolve, s
 from tickerloom.plans import intelligence as I
 from tickerloom.plans.fundamental_queries import fundamental_records
 from tickerloom.plans.macro_queries import features
-from tickerloom.sources import landed, payloads, views
+from tickerloom.session import shared_folder
+from tickerloom.sources import landed, payloads, ranked, views
 from tickerloom.sources.tables import table
 
 
@@ -62,6 +63,14 @@ def candidate_cap(spark, sf):
     )
 
 
+def candidate_cap_ranked(spark, sf):
+    """The same result pages from articles that are stored in their order."""
+    path = shared_folder(spark, "ranked-articles")
+    ranked.write_ranked(views.news(spark, sf), path, "symbol", news.newest_first())
+    newest = ranked.first_rows(spark, path, "symbol", news.newest_first(), news.CANDIDATES_PER_SYMBOL)
+    return newest.select("symbol", "doc_id", F.col("position").cast("bigint").alias("position"), "published_at")
+
+
 def _stories(frame: DataFrame) -> DataFrame:
     return frame.withColumns({c: F.col(c).cast("bigint") for c in ("rank", "relevance_score")})
 
@@ -301,6 +310,15 @@ def _assembled(report: DataFrame) -> DataFrame:
     )
 
 
+def report_modules(spark, sf):
+    """The nested report, opened again: one row per symbol and module."""
+    nested = scoring.module_scores(I.intelligence_report(spark, sf))
+    each = ", ".join(f"struct('{n}' as module, module_scores.{n} as figures)" for n in scoring.MODULE_WEIGHTS)
+    return nested.selectExpr(
+        "symbol", "company_name", "classification", "cast(size(errors) as bigint) as error_count", f"inline(array({each}))"
+    ).select("symbol", "company_name", "classification", "error_count", "module", "figures.*")
+
+
 def report_chart_series(spark, sf):
     return scoring.report_chart_series(I.intelligence_report(spark, sf))
 
@@ -322,6 +340,7 @@ QUERIES = {
         term_article_join,
         relevance_score,
         candidate_cap,
+        candidate_cap_ranked,
         news_dedup,
         news_topk,
         sentiment_normalize,
@@ -345,6 +364,7 @@ QUERIES = {
         intelligence_rank,
         report_assemble,
         report_from_tables,
+        report_modules,
         report_chart_series,
         module_errors,
         intelligence_by_request,
