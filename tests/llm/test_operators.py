@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tickerloom.llm import archive, latent, licenses, mixing, neardup, quality, suffixes, tables, tokens, topk, toxicity
+from tickerloom.llm import archive, doubling, latent, licenses, mixing, neardup, quality, suffixes, tables, tokens, topk, toxicity
 
 EMPTY_LABELS = "doc_id long, quality int, toxic int"
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -228,6 +228,33 @@ def test_repeats(spark, clash):
         assert r["removed"] == e[1] and (r["text"] or "") == e[4].decode("utf-8", "ignore")
 
 
+@pytest.mark.parametrize("window, base", [(suffixes.WINDOW, doubling.BASE), (50, 25), (30, 8), (7, 25)])
+def test_plain_doubling_ranks_the_repeated_windows(spark, window, base):
+    texts = [(t or "")[:1500] if t is not None else None for t in repeating_texts()]
+    frame = spark.createDataFrame(list(enumerate(texts)), "tid int, text string").selectExpr("*", "'c' as rank", "1 as pos", "2 as head")
+    found = {(r["tid"], r["pos"]): r["rank"] for r in doubling.repeated_positions(frame, window, base).collect()}
+    places: dict = {}
+    for tid, text in enumerate(texts):
+        b = (text or "").encode()
+        for p in range(len(b) - window + 1):
+            places.setdefault(b[p : p + window], []).append((tid, p))
+    repeated = [own for own in places.values() if len(own) > 1]
+    assert set(found) == {x for own in repeated for x in own}
+    ranks = [{found[x] for x in own} for own in repeated]
+    assert all(len(r) == 1 for r in ranks) and len(set.union(*ranks)) == len(ranks)
+    assert doubling.repeated_positions(frame.limit(0), window, base).count() == 0
+
+
+def test_sampled_positions_remove_what_plain_doubling_finds(spark, sf):
+    documents = tables.read_table(spark, sf, "documents")
+    found = doubling.repeated_positions(documents.withColumnRenamed("doc_id", "tid"))
+    covered = {}
+    for r in found.collect():
+        covered.setdefault(r["tid"], set()).update(range(r["pos"], r["pos"] + suffixes.WINDOW))
+    got = {r["doc_id"]: r["n_removed"] for r in suffixes.removal_report(documents).collect()}
+    assert got == {i: len(covered.get(i, ())) for i in got} and covered
+
+
 def test_repeats_across_pieces_repeated_ids_and_no_rows(spark, monkeypatch):
     a = h.prose(21, 400)
     texts = [h.prose(22, 300) + a, a[100:1500] + h.prose(23, 300), a[:250], a[:250], "short"]
