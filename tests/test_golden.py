@@ -3,8 +3,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tickerloom.functions import markets
+from tickerloom.functions.text import html_cell_text
 from tickerloom.operators import macro as M
 from tickerloom.operators import news, observations, pages, resolve, scoring
 from tickerloom.plans import intelligence
@@ -204,6 +206,34 @@ def test_second_candidate_is_used_when_the_first_finds_nothing(spark):
     assert {r.id: r.symbol for r in got} == {"1": "TCS.NS", "2": None}
 
 
+def test_company_without_a_name_has_no_candidate_and_repeated_rows_give_one_answer(spark):
+    companies = spark.createDataFrame([("1", "Beta Ltd"), ("1", "Beta Ltd"), ("2", " "), ("3", None)], "id string, name string")
+    listings = spark.createDataFrame([("beta", 0, "BETA", "")], "query string, result_pos int, symbol string, display_symbol string")
+    queries = resolve.company_queries(companies, "name", ["id"])
+    assert {r.id for r in queries.collect()} == {"1"}
+    got = resolve.company_resolve(queries, resolve.symbol_select(listings), "id").collect()
+    assert [(r.id, r.symbol) for r in got] == [("1", "BETA")]
+
+
+@pytest.mark.parametrize("html, want", [("&nbsp;1&amp;2", "1&2"), ("a&lt;b&gt;&quot;&apos;", "a<b>\"'"), ("&amp x &eacute; &#150;", "& x \u00e9 \u2013")])
+def test_frequent_and_rare_references_are_decoded_alike(spark, html, want):
+    frame = spark.createDataFrame([(html,)], "html string")
+    assert frame.select(html_cell_text(F.col("html"))).first()[0] == want
+
+
+def test_table_runs_from_the_first_caption_to_the_next_end(spark):
+    row = '<tr><th class="row-header">{}</th><td>{}</td><td>{}</td></tr>'
+    caption = f"<caption>{pages.TABLE_CAPTIONS['inflation']}</caption>"
+    texts = {
+        1: f"<table>{caption}{row.format('Jan-25', 1, 2)}{row.format('Feb-25', 3, 'na')}</table>{caption}{row.format('Mar-25', 5, 6)}</table>",
+        2: f"</table>{caption}{row.format('Jan-25', 1, 2)}",
+        3: f"{caption}</table>",
+    }
+    frame = spark.createDataFrame(list(texts.items()), "page_id long, html string")
+    got = {r.page_id: (r.value, r.observation_date, r.error) for r in pages.page_table_extract(frame).filter("indicator = 'inflation'").collect()}
+    assert got == {1: (2.0, "2025-01", None), 2: (None, None, "table not found"), 3: (None, None, "no valid observations")}
+
+
 def test_greedy_dedup_counts_accepted_articles_only(spark):
     rows = [("t1", "u1"), ("t2", "u1"), ("t2", "u2"), ("t1", "u3"), ("t3", "")]
     frame = spark.createDataFrame(

@@ -48,7 +48,7 @@ def page_rate_extract(pages: DataFrame) -> DataFrame:
     )
 
 
-def _latest_row(table: Column, trend_optional: bool) -> Column:
+def _latest_row(table: Column, trend_optional: Column) -> Column:
     """Latest row of a table with a date and its two figures: (date, first cell, second cell), else null.
 
     Rows are read for their dates only; the cells of one row after the other, latest first, are cleaned
@@ -68,7 +68,7 @@ def _latest_row(table: Column, trend_optional: bool) -> Column:
     def figures(row: Column, cells: Column) -> Column:
         first, second = F.get(cells, F.lit(0)), F.get(cells, F.lit(1))
         sound = number_in(second).isNotNull() & (
-            number_in(first).isNotNull() | ((first == "") if trend_optional else F.lit(False))
+            number_in(first).isNotNull() | (trend_optional & (first == ""))
         )
         return F.when(sound, F.struct(row["date"], first.alias("first_text"), second.alias("second_text")))
 
@@ -87,17 +87,20 @@ def page_table_extract(pages: DataFrame) -> DataFrame:
     trend optional), growth the quarterly change (first cell); ``other`` is the remaining cell. A table that
     is missing or breaks off is an error.
     """
-    tails = {
-        i: F.when(F.instr("html", marker) > 0, F.substr("html", F.instr("html", marker) + len(marker)))
-        for i, marker in ((i, f"<caption>{c}</caption>") for i, c in TABLE_CAPTIONS.items())
-    }
-    tables = {i: F.when(F.instr(i, "</table>") > 0, F.substring_index(i, "</table>", 1)) for i in TABLE_CAPTIONS}
-    latest = ", ".join(f"'{i}', {i} is null, latest_{i}" for i in TABLE_CAPTIONS)
+    # a table with its caption, from the first mark of it to the next end of a table: one search of the page each
+    tables = {i: f"(?s)\\Q<caption>{c}</caption>\\E.*?</table>" for i, c in TABLE_CAPTIONS.items()}
+    listed = ", ".join(f"'{i}', {i}" for i in tables)
+    found = [F.nullif(F.regexp_extract("html", pattern, 0), F.lit("")).alias(i) for i, pattern in tables.items()]
     picked = (
-        pages.select("page_id", *[t.alias(i) for i, t in tails.items()])
-        .select("page_id", *[t.alias(i) for i, t in tables.items()])
-        .select("*", *[_latest_row(F.col(i), i == "unemployment").alias(f"latest_{i}") for i in TABLE_CAPTIONS])
-        .selectExpr("page_id", f"stack({len(TABLE_CAPTIONS)}, {latest}) as (indicator, no_table, latest)")
+        pages.select("page_id", *found)
+        .selectExpr("page_id", f"stack({len(tables)}, {listed}) as (indicator, found)")
+        .select(
+            "page_id",
+            "indicator",
+            F.col("found").isNull().alias("no_table"),
+            # an array of one is exploded, so that the row is picked once for all its uses below
+            F.explode(F.array(_latest_row(F.col("found"), F.col("indicator") == "unemployment"))).alias("latest"),
+        )
     )
     by_quarter = "indicator = 'gdp_growth'"
     return picked.selectExpr(

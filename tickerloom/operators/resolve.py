@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.functions.text import collapsed
@@ -54,7 +54,9 @@ def company_queries(companies: DataFrame, name: str, keep: list[str]) -> DataFra
     return (
         staged.withColumn("_candidates", candidates)
         .withColumn("_unique", F.filter("_candidates", is_new))
-        .select(*keep, F.posexplode("_unique").alias("query_pos", "query"))
+        # the outer form: an inner one makes Spark work out every candidate once more to filter by their number
+        .select(*keep, F.posexplode_outer("_unique").alias("query_pos", "query"))
+        .filter(F.col("query").isNotNull())
     )
 
 
@@ -83,11 +85,14 @@ def symbol_select(listings: DataFrame) -> DataFrame:
 
 
 def company_resolve(queries: DataFrame, best_listings: DataFrame, company: str) -> DataFrame:
-    """Symbol of the first query with a listing; null when no query has one."""
+    """Symbol of the first query with a listing; null when no query has one.
+
+    Hits come first in a company's order, so its first row is the answer, found or not. Spark limits the window
+    before its shuffle, so a company moves once, however many queries it has.
+    """
     matched = salted_lookup(
         queries.withColumn("query_key", F.upper("query")), best_listings, ["query_key"], [company]
     )
-    hits = matched.filter(F.col("listed").isNotNull()).select(company, "query_pos", "listed")
-    first = hits.groupBy(company).agg(F.min("query_pos").alias("query_pos"))
-    found = hits.join(first, [company, "query_pos"]).select(company, F.col("listed").alias("symbol"))
-    return matched.select(company).distinct().join(found, company, "left")
+    order = Window.partitionBy(company).orderBy(F.col("listed").isNull(), "query_pos", "listed")
+    first = matched.select(company, "listed", F.row_number().over(order).alias("_place")).filter("_place = 1")
+    return first.select(company, F.col("listed").alias("symbol"))
