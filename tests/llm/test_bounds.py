@@ -1,11 +1,13 @@
 """Groups that hold a third of all rows, and what is drawn, rounded or moved because of them."""
 
+import time
+
 import helpers as h
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickerloom.llm import mixing, topk, toxicity
+from tickerloom.llm import graph, mixing, tables, topk, toxicity
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -91,3 +93,42 @@ def test_blocks_too_short_for_every_query_do_not_move(spark, monkeypatch):
         best = sorted((k for k in range(1650) if k != q), key=lambda k: (-score[k], k))[:5]
         assert [r["vec_id"] for r in sorted((r for r in found if r["query_id"] == q), key=lambda r: r["rank"])] == best
     assert pairs and pairs[0][1] < pairs[0][0] / 2
+
+
+def test_written_steps_leave_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled() -> set:
+        return {name for k in range(disk.getAllFiles().size()) if (name := disk.getAllFiles().apply(k).getName()).endswith(".data")}
+
+    before = shuffled()
+    frame = spark.range(50_000).groupBy((F.col("id") % 1000).alias("k")).agg(F.count("*").alias("n"))
+    assert tables.settle(frame, "test-shuffles").agg(F.sum("n")).first()[0] == 50_000
+    mine = spark.range(10).repartition(3, "id")
+    assert mine.count() == 10 and frame.count() == 1000  # frames outside keep theirs, and may run again
+    frames = [f"shuffle_{k}_" for k in {name.split("_")[1] for name in shuffled() - before}]
+    end = time.time() + 20
+    tables.settle(frame, "test-shuffles")
+    while (left := {n for n in shuffled() - before if not n.startswith(tuple(frames))}) and time.time() < end:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(tables.SHUFFLES_GO, "false") == "false"
+
+
+def test_rounds_of_components_build_no_tables_on_the_driver(spark):
+    rng = np.random.default_rng(3)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))]
+    edges = spark.createDataFrame(pairs, "a long, b long").filter("a > b")
+    plan = graph._small_star(graph._large_star(edges))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Union" not in plan
+    parent = list(range(400))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        if a > b and root(a) != root(b):
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    nodes = {x for a, b in pairs if a > b for x in (a, b)}
+    assert sorted(map(tuple, graph.components(edges).collect())) == sorted((x, root(x)) for x in nodes)

@@ -37,21 +37,25 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+def _pairs(edges: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """Each row as several edges (a, b), in one pass: a union would plan what it is made from once for each."""
+    own = [F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in pairs]
+    return edges.select(F.explode(F.array(*own)).alias("edge")).select("edge.*")
+
+
+def _with_low(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges with the ``low`` of their a. Both sides grow with the corpus: merged, so that no round builds tables on the driver."""
+    return edges.join(least.select(F.col("a").alias("hub"), "low").hint("merge"), F.col("a") == F.col("hub"))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each neighbour larger than a node is linked to the smallest in the node's neighbourhood."""
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")).select(F.col("a").alias("hub"), "low")
-    return _tidy(
-        both.filter(F.col("b") > F.col("a"))
-        .join(least, F.col("a") == F.col("hub"))
-        .select(F.col("b").alias("a"), F.col("low").alias("b"))
-    )
+    both = _pairs(edges, ("a", "b"), ("b", "a"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+    return _tidy(_pairs(_with_low(both.filter(F.col("b") > F.col("a")), least), ("b", "low")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them; edges point from a to smaller b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("hub"), "low")
-    joined = edges.join(least, F.col("a") == F.col("hub"))
-    return _tidy(
-        joined.select("b", "low").select(F.col("b").alias("a"), F.col("low").alias("b")).union(least.select(F.col("hub").alias("a"), F.col("low").alias("b")))
-    )
+    least = edges.groupBy("a").agg(F.min("b").alias("low"))
+    return _tidy(_pairs(_with_low(edges, least), ("b", "low"), ("a", "low")))
