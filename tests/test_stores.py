@@ -150,6 +150,22 @@ def test_mentions_equal_all_pairs(spark):
     assert {tuple(r) for r in found.collect()} == expected
 
 
+def test_only_runs_that_a_term_has_leave_the_articles(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdeé日 ") for _ in range(300)) for _ in range(200)] + ["x" * 70_000 + "qué", "日", "q", ""]
+    articles = [(k % 150, t, None, t[::-1]) for k, t in enumerate(texts)]  # ids repeat
+    frame = spark.createDataFrame(articles, "doc_id int, title string, description string, content string")
+    words = ["ab", "日", "q", "é日 ", "qué", "nowhere", "xxxx"]
+    found = lookup.mentions(frame, spark.createDataFrame([(w,) for w in words], "term string"))
+    assert "regexp_extract_all" not in plan(found) and "array_distinct" not in plan(found)
+    hits = [(k, w, w in t, False, w in c) for k, t, _, c in articles for w in words if w in t or w in c]
+    assert sorted(map(tuple, found.collect())) == sorted(hits)
+    lowered = frame.select("doc_id", F.lower("title").alias("title"))
+    bits = lookup.named_bits(lookup.runs(spark.createDataFrame([("qué",)], "term string").select("term", F.col("term").alias("text")), "term", ("text",)))
+    counts = lookup.runs(lowered, "doc_id", ("title",), bits, counted=True).groupBy("probe").agg(F.sum("n").alias("n")).collect()
+    assert len(counts) == 2 and min(r["n"] for r in counts) == 1  # two runs of three bytes, the first in one text only
+
+
 def test_listings_are_found_by_all_words_of_a_query(spark):
     names = ["Acme Steel Ltd", "Acme Holdings", "steel & acme", None, "", "Acme"] + [f"Group {k} Ltd" for k in range(50)]
     listed = spark.createDataFrame([(k, n, f"S{k}", None) for k, n in enumerate(names)], "listing long, name string, symbol string, display_symbol string")
