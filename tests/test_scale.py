@@ -218,3 +218,13 @@ def test_macro_reads_the_orders_once(spark, sf, name):
     text = plan(all_queries()[name](spark, sf))
     assert text.count("FileScan parquet [o_custkey") == 1
     assert text.count("Exchange hashpartitioning") <= 3
+
+
+def test_last_arrivals_as_whole_rows_equal_one_fold_a_column(spark, sf):
+    """Bars of chart payloads are not held in hash tables of twelve numbers a row; the result stays."""
+    rows = [("S1", k % 5, seq, *[None if (k + c) % 4 == 0 else float(k * 10 + c) for c in range(5)]) for k, seq in enumerate([*range(40), None, None])]
+    raw = spark.createDataFrame(rows, "symbol string, ts int, seq long, open double, high double, low double, close double, volume double")
+    whole, folded = B.bars_clean(raw, in_place=True), B.bars_clean(raw)
+    assert whole.columns == folded.columns and sorted(map(repr, whole.collect())) == sorted(map(repr, folded.collect()))
+    text = plan(price_queries.bars_from_chart_json(spark, sf))
+    assert "SortAggregate(key=[symbol" in text and "partial_max_by(close#" not in text

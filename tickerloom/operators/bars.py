@@ -28,20 +28,21 @@ def bars_from_trades(trades: DataFrame, key: str = "symbol") -> DataFrame:
     )
 
 
-def bars_clean(raw: DataFrame) -> DataFrame:
+def bars_clean(raw: DataFrame, in_place: bool = False) -> DataFrame:
     """Rows with a close, last arrival per (symbol, ts).
 
     One ``max_by`` per column keeps the aggregation buffer primitive, so Spark hash-aggregates and
-    pre-combines repeated timestamps instead of sorting them.
+    pre-combines repeated timestamps instead of sorting them. Rows that lie by symbol already are not shuffled again,
+    and a task would hold them in two such tables at once, twelve numbers each: ``in_place`` takes the last arrival as
+    one row, which Spark sorts (and spills) once.
     """
     missing = [c for c in ["symbol", "ts", "seq", *PRICE_COLUMNS] if c not in raw.columns]
     if missing:
         raise ValueError("Bars are missing columns: " + ", ".join(missing))
-    return (
-        raw.filter(F.col("close").isNotNull())
-        .groupBy("symbol", "ts")
-        .agg(*[F.max_by(c, "seq").alias(c) for c in PRICE_COLUMNS])
-    )
+    grouped = raw.filter(F.col("close").isNotNull()).groupBy("symbol", "ts")
+    if in_place:
+        return grouped.agg(F.max_by(F.struct(*PRICE_COLUMNS), "seq").alias("bar")).select("symbol", "ts", "bar.*")
+    return grouped.agg(*[F.max_by(c, "seq").alias(c) for c in PRICE_COLUMNS])
 
 
 def period_start(period: str, as_of: str) -> date:

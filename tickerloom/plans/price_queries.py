@@ -41,7 +41,7 @@ def bars_clean(spark, sf):
 def bars_from_chart_json(spark, sf):
     """Bars to landed chart payloads and back: missing closes drop, a column of wrong length is null."""
     landing = payloads.chart_payloads(_bars(spark, sf))
-    bars = B.bars_clean(landed.bars_from_chart_json(landing, "payload"))
+    bars = B.bars_clean(landed.bars_from_chart_json(landing, "payload"), in_place=True)
     return dated(bars.withColumnRenamed("ts", "date"))
 
 
