@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -44,3 +45,13 @@ def test_slices_keep_every_row(limit):
     batch = pa.RecordBatch.from_pydict({"text": pa.array(h.edge_texts(), pa.string())})
     parts = [r for s in T.slices(batch, limit=limit) for r in s.column(0).to_pylist()]
     assert parts == h.edge_texts()
+
+
+def test_words_take_little_memory_besides_their_columns():
+    column = pa.array([" ".join("x" * 1000 for _ in range(1000))])
+    T.words(column)  # the powers are kept from here on
+    tracemalloc.start()
+    found = T.words(column)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(found.hash) == 1000 and most < 10 * T.SLICE_BYTES

@@ -129,7 +129,8 @@ def fit(documents: DataFrame) -> Space:
     """Latent space of the passages of all documents."""
     weight = term_weights(documents)
     random = np.random.Generator(np.random.PCG64(3)).standard_normal((BUCKETS, SKETCH))
-    probe = (random * weight[:, None]).astype(np.float32)
+    probe = np.zeros((BUCKETS + 1, SKETCH), np.float32)  # the last row stands for the words that a short passage lacks
+    probe[:-1] = random * weight[:, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((SKETCH, BUCKETS))
@@ -139,8 +140,12 @@ def fit(documents: DataFrame) -> Space:
                 if not len(found.row):
                     continue
                 term, starts = _terms(found), _block_starts(found, part.num_rows, PASSAGE)
-                product = np.ascontiguousarray(np.add.reduceat(probe[term], starts, axis=0).T, dtype=np.float64)
-                passage = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(term)]))
+                size = np.diff(np.r_[starts, len(term)])
+                sums, padded = np.zeros((len(starts), SKETCH), np.float32), np.r_[term, np.full(PASSAGE, BUCKETS)]
+                for k in range(PASSAGE):
+                    sums += probe[np.where(k < size, padded[starts + k], BUCKETS)]
+                product = np.ascontiguousarray(sums.T, dtype=np.float64)
+                passage = np.repeat(np.arange(len(starts)), size)
                 for k in range(SKETCH):
                     total[k] += np.bincount(term, product[k][passage], BUCKETS)
         exact = np.rint(total.T * FIXED_POINT).astype(np.int64)
@@ -334,7 +339,7 @@ def _windows(items: Items, found: texts.Words, spans: np.ndarray, place: np.ndar
             known = held[: hi - lo].copy()
             more = np.flatnonzero(goes_on[lo:hi])
             known[more] += held[more + 1]
-            window, item = np.nonzero(known >= least)
+            window, item = np.divmod(np.flatnonzero(known >= least), len(least))
             if len(window):
                 window = window + lo
                 last = np.where(goes_on[window], stops[np.minimum(window + 1, len(stops) - 1)], stops[window])
@@ -358,10 +363,13 @@ def search_column(column: pa.Array, space: Space, items: Items) -> list[tuple[in
         begin, which = np.unique(first, return_inverse=True)
         end = np.zeros(len(begin), np.int64)
         end[which] = stop
+        order = np.argsort(begin - end, kind="stable")  # longest first: those with a k-th word are the first n
+        begin, size = begin[order], (end - begin)[order]
+        which = np.argsort(order)[which]
         vector = np.zeros((len(begin), RANK), np.float32)
         for k in range(width):
-            inside = begin + k < end
-            vector[inside] += space.fold[term[begin[inside] + k]]
+            n = int(np.searchsorted(-size, -k))
+            vector[:n] += space.fold[term[begin[:n] + k]]
         vector = _unit(vector)
         for at, last, i, v in zip(first.tolist(), stop.tolist(), item.tolist(), which.tolist()):
             near = items.vectors[items.segments[i]] @ vector[v]
