@@ -4,6 +4,7 @@ import time
 
 import helpers as h
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,24 @@ def test_rounds_of_components_build_no_tables_on_the_driver(spark):
             parent[max(root(a), root(b))] = min(root(a), root(b))
     nodes = {x for a, b in pairs if a > b for x in (a, b)}
     assert sorted(map(tuple, graph.components(edges).collect())) == sorted((x, root(x)) for x in nodes)
+
+
+def test_settled_components_take_no_further_round(spark, monkeypatch):
+    written = []
+    settle = graph.settle
+    monkeypatch.setattr(graph, "settle", lambda frame, name: written.append(name) or settle(frame, name))
+    stars = spark.createDataFrame([(k, k % 3) for k in range(3, 40)], "a long, b long")
+    assert sorted(map(tuple, graph.components(stars).collect())) == [(k, k % 3) for k in range(40)] and len(written) == 1
+    for pairs, low in (([(2, 1), (1, 0)], {0: 0, 1: 0, 2: 0}), ([(2, 0), (2, 1)], {0: 0, 1: 0, 2: 0}), ([(5, 4), (4, 3), (8, 7)], {3: 3, 4: 3, 5: 3, 7: 7, 8: 7})):
+        written.clear()
+        assert dict(map(tuple, graph.components(spark.createDataFrame(pairs, "a long, b long")).collect())) == low and len(written) > 1
+    assert graph.components(stars.filter("a < 0")).count() == 0
+
+
+def test_sample_is_held_in_16_bits():
+    column = pa.array([*h.edge_texts(), *[f"word{k} other{k % 7}" for k in range(300)]], pa.string())
+    ids, start, length = toxicity._sample_features(column)
+    whole = toxicity.features(column)
+    assert ids.dtype == np.uint16 and all(np.array_equal(a, b) for a, b in zip((ids, start, length), whole))
+    parts = list(toxicity._stretches(ids, 100))
+    assert all(np.shares_memory(p, ids) for p in parts) and np.array_equal(np.concatenate(parts, axis=1), ids)

@@ -63,14 +63,21 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _sample_features(column: pa.Array, rows: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """:func:`features` of a sample, a few rows at a time, so that the driver holds little more than the ids."""
-    parts, begin = [features(column.slice(at, rows)) for at in range(0, len(column), rows)], 0
-    starts = []
-    for ids, start, _ in parts:
+    """:func:`features` of a sample, a few rows at a time and in 16 bits, so that the driver holds little more than the ids."""
+    parts, starts, lengths, begin = [], [], [], 0
+    for at in range(0, len(column), rows):
+        ids, start, length = features(column.slice(at, rows))
+        parts.append(ids.astype(np.uint16))
         starts.append(start + begin)
+        lengths.append(length)
         begin += ids.shape[1]
-    ids = np.concatenate([ids for ids, _, _ in parts], axis=1)
-    return ids, np.concatenate(starts), np.concatenate([length for _, _, length in parts])
+    return np.concatenate(parts, axis=1), np.concatenate(starts), np.concatenate(lengths)
+
+
+def _stretches(ids: np.ndarray, size: int = 1 << 15) -> Iterator[np.ndarray]:
+    """Views of the ids, a stretch of words each: an index as wide as the sample would be several times its size."""
+    for at in range(0, ids.shape[1], size):
+        yield ids[:, at : at + size]
 
 
 def _embed(embedding: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -128,7 +135,8 @@ def train(column: pa.Array, label: np.ndarray, lang: list, epochs: int = 6, leas
         holdout[:] = False
     ids, start, length = _sample_features(column)
     held, toxic = _held_by(ids, start, length, label, ~holdout)
-    ids[held[ids] <= 1] = 0  # a word of one text only could do nothing but memorise it
+    for part in _stretches(ids):
+        part[held[part] <= 1] = 0  # a word of one text only could do nothing but memorise it
     f = len(WIDTHS) * FILTERS
     p = {"e": (rng.standard_normal((BUCKETS, WIDTH_OF)) * 0.1).astype(np.float32)}
     mean = label[~holdout].mean()
@@ -153,7 +161,10 @@ def train(column: pa.Array, label: np.ndarray, lang: list, epochs: int = 6, leas
                 rate = 0.01 / (1 - 0.9**step)
                 p[k] -= rate * m / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)
             p["e"][0] = 0
-    p["e"][np.setdiff1d(np.arange(BUCKETS), ids)] = 0
+    unused = np.ones(BUCKETS, bool)
+    for part in _stretches(ids):
+        unused[part] = False
+    p["e"][unused] = 0
     model = Model(p["e"], tuple(p[f"k{w}"] for w in WIDTHS), tuple(p[f"b{w}"] for w in WIDTHS), p["o"], 1.0, 0.0, {})
     score = np.concatenate([logits(model, column.slice(i, 256)) for i in range(0, n, 256)])
     part = holdout if holdout.any() else np.ones(n, bool)
@@ -283,7 +294,12 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 6000, max_bytes
     sample = sample.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     text = sample.column("text").combine_chunks()
     text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
-    return train(text, sample.column("toxic").to_numpy().astype(np.float32), sample.column("lang").to_pylist())
+    label, lang = sample.column("toxic").to_numpy().astype(np.float32), sample.column("lang").to_pylist()
+    del sample
+    model = train(text, label, lang)
+    del text
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def _scores(model: Model, column: pa.Array) -> np.ndarray:
