@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tickerloom.llm import graph, mixing, tables, topk, toxicity
+from tickerloom.llm import graph, mixing, neardup, tables, topk, toxicity
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -154,3 +154,33 @@ def test_sample_is_held_in_16_bits():
     assert ids.dtype == np.uint16 and all(np.array_equal(a, b) for a, b in zip((ids, start, length), whole))
     parts = list(toxicity._stretches(ids, 100))
     assert all(np.shares_memory(p, ids) for p in parts) and np.array_equal(np.concatenate(parts, axis=1), ids)
+
+
+def test_near_dedup_plans_no_step_many_times(spark, monkeypatch):
+    joins, settle = {}, neardup.settle
+
+    def counted(frame, name):
+        joins[name] = frame._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString(), name
+        return settle(frame, name)
+
+    monkeypatch.setattr(neardup, "settle", counted)
+    texts = [h.prose(k // 3, 60) + f" w{k} x{k}" for k in range(60)]
+    kept = neardup.one_of_each(h.documents(spark, texts))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 60, 3))
+    assert max(joins.values()) <= 4, joins
+
+
+def test_training_runs_in_a_task(spark, monkeypatch):
+    docs = h.documents(spark, [h.prose(k, 20) + (" foul" if k % 2 else " fair") for k in range(200)])
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(200)], LABELS)
+    sample = toxicity.labelled_sample(docs, labels, 6000, 1 << 24).toArrow()
+    expected = toxicity._train_on(sample)
+
+    def never(*_):
+        raise AssertionError("trained on the driver")
+
+    monkeypatch.setattr(toxicity, "_sample_features", never)
+    model = toxicity.fit(docs, labels)
+    assert np.array_equal(model.embedding, expected.embedding) and model[4:] == expected[4:]
+    assert toxicity.fit(docs, labels.filter("doc_id < 0")).shift == 0.0

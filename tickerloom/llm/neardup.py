@@ -46,6 +46,11 @@ _rng = np.random.Generator(np.random.PCG64(11))
 _MULTIPLIERS = _rng.integers(1, 1 << 62, 2 * SKETCHES * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def _merged(frame: DataFrame, other: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of tables that both grow with the corpus: merged, so that no step builds tables on the driver."""
+    return frame.join(other.hint("merge"), on, how)
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -115,7 +120,7 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
     """
     values = nodes.select("node", F.posexplode("sketch").alias("at", "value"))
     shared = values.groupBy("at", "value").agg(F.count("*").alias("n")).filter("n > 1").select("at", "value")
-    alive = values.join(shared, ["at", "value"]).groupBy("node").agg(F.collect_list(F.struct("at", "value")).alias("alive"))
+    alive = _merged(values, shared, ["at", "value"]).groupBy("node").agg(F.collect_list(F.struct("at", "value")).alias("alive"))
     left = F.filter("alive", lambda x: x["at"] < SKETCHES)
     right = F.filter("alive", lambda x: x["at"] >= SKETCHES)
     keys = (
@@ -126,9 +131,9 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
     keys = settle(keys, "neardup-tables")
     heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
     # a node is in at most SKETCHES ** 2 tables, so its heads are bounded
-    met = keys.join(heads, "key").groupBy("node").agg(F.collect_set("head").alias("heads")).withColumn("low", F.array_min("heads"))
-    own = met.select(F.col("node").alias("a"), F.col("low").alias("b"))
-    return own.union(met.select(F.explode("heads").alias("a"), F.col("low").alias("b"))).filter("a != b").distinct()
+    met = _merged(keys, heads, "key").groupBy("node").agg(F.collect_set("head").alias("heads")).withColumn("low", F.array_min("heads"))
+    ends = F.explode(F.array_append("heads", F.col("node")))  # not a union, which would plan all of the above twice
+    return met.select(ends.alias("a"), F.col("low").alias("b")).filter("a != b").distinct()
 
 
 def _confirm(table: pa.Table) -> pa.Table:
@@ -189,9 +194,9 @@ def beside_heads(member: DataFrame, links: DataFrame) -> DataFrame:
     The members of a hub are cut into blocks, and the hub stands in each: a member moves once, a hub once for each block.
     """
     low = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("hub"))
-    hubs = low.join(member.select("node", "bytes"), "node")
+    hubs = settle(_merged(low, member.select("node", "bytes"), "node"), "neardup-hubs")
     parts = hubs.groupBy("hub").agg(_parts())
-    spread = hubs.join(parts, "hub").select("node", "hub", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+    spread = _merged(hubs, parts, "hub").select("node", "hub", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
     return spread.union(parts.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
 
 
@@ -200,28 +205,27 @@ def place(member: DataFrame) -> DataFrame:
 
     Sizes of a ratio of 0.75 or more fall into one band or two neighbouring bands; a cluster that fits one block is
     not cut into bands. A class that is ``known`` to be linked and needs several blocks has them to itself, and they
-    are not compared with each other; smaller classes share blocks.
+    are not compared with each other; smaller classes share blocks. Each table that several steps read is written
+    once: a plan holds what it reads as often as it names it, and steps of steps would multiply that on the driver.
     """
     small = member.groupBy("cluster").agg(_parts()).filter("parts <= 1").select("cluster", F.lit(True).alias("small"))
     band = F.floor(F.log("n_shingles") / F.log(F.lit(100 / PERCENT)) + 1e-9).cast("int")
-    member = member.join(small, "cluster", "left").withColumn("band", F.when(F.col("small"), F.lit(-1)).otherwise(band)).drop("small")
+    member = _merged(member, small, "cluster", "left").withColumn("band", F.when(F.col("small"), F.lit(-1)).otherwise(band)).drop("small")
+    member = settle(member, "neardup-banded")
     large = member.groupBy("cluster", "band", "known").agg(_parts()).filter("parts > 1").select("cluster", "band", "known", F.col("known").alias("own"))
-    member = member.join(large, ["cluster", "band", "known"], "left").fillna(SHARED, ["own"])
-    groups = member.groupBy("cluster", "band", "own").agg(_parts())
+    member = settle(_merged(member, large, ["cluster", "band", "known"], "left").fillna(SHARED, ["own"]), "neardup-owned")
+    groups = settle(member.groupBy("cluster", "band", "own").agg(_parts()), "neardup-groups")
     numbers = groups.select("cluster", "band", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    blocks = numbers.groupBy("cluster", "band").agg(F.collect_list(F.struct("band", "own", "part")).alias("same"))
-    above = blocks.select("cluster", (F.col("band") - 1).alias("band"), F.col("same").alias("above")).filter("band >= 0")
-    below = blocks.select("cluster", (F.col("band") + 1).alias("band"), F.col("same").alias("below")).filter("band > 0")
-    blocks = blocks.join(above, ["cluster", "band"], "left").join(below, ["cluster", "band"], "left")
+    near = F.when(F.col("band") < 0, F.array("band")).otherwise(F.sequence(F.greatest(F.col("band") - 1, F.lit(0)), F.col("band") + 1))
+    blocks = numbers.select("cluster", F.explode(near).alias("to"), F.struct("band", "own", "part").alias("block"))
+    blocks = blocks.groupBy("cluster", F.col("to").alias("band")).agg(F.collect_list("block").alias("met"))
     mine = F.struct("band", "own", "part")
-    none = F.array().cast("array<struct<band:int,own:bigint,part:int>>")
-    met = F.concat("same", F.coalesce("above", none), F.coalesce("below", none))
     pair = lambda x: F.struct(F.least(mine, x).alias("low"), F.greatest(mine, x).alias("high"), (mine > x).cast("int").alias("side"))
     return (
-        member.join(groups, ["cluster", "band", "own"])
+        _merged(member, groups, ["cluster", "band", "own"])
         .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        .join(blocks, ["cluster", "band"])
-        .select("node", "known", "cluster", F.transform(F.filter(met, lambda x: (x["own"] != F.col("own")) | (x["own"] == SHARED)), pair).alias("places"))
+        .join(blocks.hint("merge"), ["cluster", "band"])
+        .select("node", "known", "cluster", F.transform(F.filter("met", lambda x: (x["own"] != F.col("own")) | (x["own"] == SHARED)), pair).alias("places"))
     )
 
 
@@ -232,24 +236,23 @@ def confirmed_links(documents: DataFrame, nodes: DataFrame, links: DataFrame) ->
     nearly all, at a cost in proportion to its members. Then only clusters in which different classes remain are
     compared, across classes.
     """
-    linked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    member = settle(nodes.join(linked, "node").select("node", "n_shingles", "bytes").distinct(), "neardup-members")
+    linked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    member = settle(_merged(nodes, linked, "node").select("node", "n_shingles", "bytes").distinct(), "neardup-members")
     named = documents.select(F.col("doc_id").cast("long").alias("node"), "text").filter("node is not null and text is not null")
     unnamed = fingerprints(documents.filter("doc_id is null"), keep="text").select(_nameless().alias("node"), "text")
-    # grows with the corpus: never broadcast
-    found = settle(named.union(unnamed).join(member.select("node").hint("merge"), "node", "left_semi"), "neardup-texts")
+    found = settle(_merged(named.union(unnamed), member.select("node"), "node", "left_semi"), "neardup-texts")
 
-    hubs = found.join(beside_heads(member, links), "node").select("hub", "part", "node", F.col("node").alias("known"), F.lit(0).alias("side"), "text")
+    hubs = _merged(found, beside_heads(member, links), "node").select("hub", "part", "node", F.col("node").alias("known"), F.lit(0).alias("side"), "text")
     near = settle(hubs.groupBy("hub", "part").applyInArrow(_confirm, "a long, b long"), "neardup-first")
-    known = member.join(components(near), "node", "left").withColumn("known", F.coalesce("component", "node")).drop("component")
+    known = _merged(member, components(near), "node", "left").withColumn("known", F.coalesce("component", "node")).drop("component")
     known = settle(known, "neardup-known")
 
     named_class = lambda side: known.select(F.col("node").alias(side), F.col("known").alias(f"{side}_class"))
-    across = links.join(named_class("a"), "a").join(named_class("b"), "b").filter("a_class != b_class")
+    across = _merged(_merged(links, named_class("a"), "a"), named_class("b"), "b").filter("a_class != b_class")
     clusters = components(across.select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct())
-    left = known.join(clusters.select(F.col("node").alias("known"), F.col("component").alias("cluster")), "known")
+    left = settle(_merged(known, clusters.select(F.col("node").alias("known"), F.col("component").alias("cluster")), "known"), "neardup-left")
     placed = settle(place(left), "neardup-places")
-    spread = found.join(placed, "node").select("node", "text", "known", "cluster", F.explode("places").alias("p"))
+    spread = _merged(found, placed, "node").select("node", "text", "known", "cluster", F.explode("places").alias("p"))
     rest = spread.select("cluster", "p.*", "node", "known", "text").groupBy("cluster", "low", "high").applyInArrow(_confirm, "a long, b long")
     return near.union(settle(rest, "neardup-rest"))
 
@@ -261,10 +264,10 @@ def classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = marks.filter("n_shingles > 0").groupBy(*SET).agg(F.min("doc_id").alias("first"))
     sets = settle(sets.withColumn("node", F.coalesce("first", _nameless())), "neardup-sets")
     mine = [marks[c] == sets[c] for c in SET]
-    nodes = marks.join(sets, [*mine, marks["doc_id"].eqNullSafe(sets["first"])]).select("node", sets["n_shingles"], "bytes", "sketch")
+    nodes = marks.join(sets.hint("merge"), [*mine, marks["doc_id"].eqNullSafe(sets["first"])]).select("node", sets["n_shingles"], "bytes", "sketch")
     links = settle(candidate_links(nodes.select("node", "sketch")), "neardup-links")
     found = components(confirmed_links(documents, nodes.drop("sketch"), links))
-    named = sets.join(found, "node", "left").select(*SET, "first", "node", F.coalesce("component", "node").alias("component"))
+    named = _merged(sets, found, "node", "left").select(*SET, "first", "node", F.coalesce("component", "node").alias("component"))
     return marks.drop("sketch"), named
 
 
@@ -288,7 +291,7 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     whole = documents.select("doc_id", F.struct(*names).alias("row"))
     keyed = fingerprints(whole, keep="row")
     match = [F.col(c) == F.col(f"of_{c}") for c in SET] + [F.col("doc_id").eqNullSafe(F.col("first"))]
-    joined = keyed.join(keepers, match, "left")
+    joined = _merged(keyed, keepers, match, "left")
     # rows with the id and the set of the keeper are repeats of one row
     repeat = F.row_number().over(Window.partitionBy(*SET, "doc_id").orderBy(F.xxhash64("row.text")))
     kept = joined.withColumn("repeat", repeat).filter((F.col("n_shingles") == 0) | (F.col("of_key1").isNotNull() & (F.col("repeat") == 1)))
