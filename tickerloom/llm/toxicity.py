@@ -15,7 +15,6 @@ Columns beyond those named are ignored.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -291,22 +290,16 @@ def held_out(doc_id):
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 6000, max_bytes: int = 16 << 20) -> Model:
-    """The network, trained in a task on the bounded sample, so that the driver gets the model only."""
-    sample = labelled_sample(documents, labels, max_rows, max_bytes).select("doc_id", "text", "lang", F.col("toxic").cast("int").alias("toxic"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if parts := list(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_train_on(pa.Table.from_batches(parts)))], pa.binary())], ["model"])
-
-    row = map_arrow(sample.repartition(1), run, "model binary").first()  # max_rows rows and max_bytes of text at most
-    return pickle.loads(row["model"]) if row else train(pa.array([], pa.string()), np.zeros(0, np.float32), [])
-
-
-def _train_on(sample: pa.Table) -> Model:
+    sample = labelled_sample(documents, labels, max_rows, max_bytes).select("doc_id", "text", "lang", "toxic").toArrow().combine_chunks()
     sample = sample.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     text = sample.column("text").combine_chunks()
     text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
-    return train(text, sample.column("toxic").to_numpy().astype(np.float32), sample.column("lang").to_pylist())
+    label, lang = sample.column("toxic").to_numpy().astype(np.float32), sample.column("lang").to_pylist()
+    del sample
+    model = train(text, label, lang)
+    del text
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def _scores(model: Model, column: pa.Array) -> np.ndarray:
